@@ -2,9 +2,9 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here equal
 values are counted first (so a hot value is one row), a histogram over [min, max] finds the
-bin that holds each wanted rank, the bin is refined once more, and only the rows of the
-final bins are sorted. Every step uses exact counts and exact minima and maxima, so the
-result does not depend on task order.
+bin that holds each wanted rank, and only the values of those bins are sorted. ``levels`` > 1
+refines the bins again, for values that crowd into a small part of their range. Every step
+uses exact counts and exact minima and maxima, so the result does not depend on task order.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ _WINDOW = ["_lo", "_hi", "_below"]
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-    bins: int = 4096, levels: int = 2,
+    bins: int = 65536, levels: int = 1,
 ) -> DataFrame:
     """Rows (by..., prob, value): ``percentile(value, prob)`` per group, NULLs ignored."""
     keys = list(by or [])

@@ -1,4 +1,4 @@
 """Loads every query module and exposes the registry."""
 
-from crossgrid.plans import accuracy, keys  # noqa: F401
+from crossgrid.plans import accuracy, composite, keys  # noqa: F401
 from crossgrid.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -176,11 +176,11 @@ def organised_layout(t):
 
 
 @query("resume_todo", """
-    SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+    SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)""")
 def resume_todo(t):
     """Wanted keys that no result exists for yet."""
     return sinks.todo_keys(t.customer.select("c_custkey"),
-                           t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+                           t.orders.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("expected_minus_have", """
@@ -518,7 +518,7 @@ def key_intersect(t):
 
 @query("unit_union", """
     SELECT year(l_shipdate)::INTEGER AS year, quarter(l_shipdate)::INTEGER AS quarter FROM lineitem
-    UNION SELECT year(o_orderdate), quarter(o_orderdate) FROM orders""")
+    UNION SELECT year(o_orderdate)::INTEGER, quarter(o_orderdate)::INTEGER FROM orders""")
 def unit_union(t):
     """Units that occur on either side."""
     a = t.lineitem.select(F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter")).distinct()

@@ -15,18 +15,22 @@ from crossgrid.session import Tables
 # --- predictions -----------------------------------------------------------------------
 
 PRED_SQL = """
-    SELECT l_returnflag AS state, l_linestatus AS variable, l_orderkey, l_linenumber,
+    SELECT l_returnflag AS state, l_linestatus AS variable, l_orderkey, l_linenumber, l_partkey, l_suppkey,
            year(l_shipdate)::INTEGER AS year, quarter(l_shipdate)::INTEGER AS quarter,
            l_extendedprice AS label, 1500.0::DOUBLE * l_quantity * (1.0::DOUBLE - l_discount) AS pred,
            l_quantity AS quantity, l_discount AS discount, l_tax AS tax
     FROM lineitem"""
 
 
+# the columns that tell one line item from another
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def predictions(t: Tables) -> DataFrame:
     """One prediction per line item: the label is its price, the prediction a unit price rule."""
     return t.lineitem.select(
         F.col("l_returnflag").alias("state"), F.col("l_linestatus").alias("variable"),
-        "l_orderkey", "l_linenumber",
+        *LINE_KEY,
         F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter"),
         F.col("l_extendedprice").alias("label"),
         (1500.0 * F.col("l_quantity") * (1.0 - F.col("l_discount"))).alias("pred"),

@@ -571,10 +571,10 @@ def root_prefix(t):
 
 
 @query("sample_per_group", """
-    SELECT l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (
-        PARTITION BY l_returnflag ORDER BY md5('7:' || l_orderkey || ':' || l_linenumber)) AS k FROM lineitem) WHERE k <= 50""")
+    SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (
+        PARTITION BY l_returnflag ORDER BY md5('7:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey)) AS k
+        FROM lineitem) WHERE k <= 50""")
 def sample_per_group(t):
     """At most 50 rows per group in hash order."""
-    df = t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber",
-                           H.hash_order(F.lit(7), "l_orderkey", "l_linenumber").alias("_h"))
+    df = t.lineitem.select("l_returnflag", *X.LINE_KEY, H.hash_order(F.lit(7), *X.LINE_KEY).alias("_h"))
     return R.sample_per_group(df, ["l_returnflag"], "_h", 50).drop("_h")

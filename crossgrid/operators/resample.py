@@ -19,19 +19,17 @@ def permute_units(units: DataFrame, key: list[str], value: str, n_perms: int, se
                   within: list[str] | None = None) -> DataFrame:
     """(perm, within..., key..., value): the values dealt out anew to the units of each stratum."""
     within = list(within or [])
-    rows = units.select(*within, *[k for k in key if k not in within], value).withColumn(
-        "perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms))))
-    stratum = W.partitionBy("perm", *within)
-    drawn = stratum.orderBy(H.hash_order(F.lit(seed), "perm", *key))
-    natural = stratum.orderBy(*key)
-    # one stratum holds one value per unit: small by construction
-    dealt = F.array_sort(F.collect_list(F.struct(*key, F.col(value).alias("_v"))).over(stratum))
-    place = F.when(F.col("perm") == 0, F.row_number().over(natural)).otherwise(F.row_number().over(drawn))
-    return (
-        rows.withColumn("_place", place).withColumn("_dealt", dealt)
-        .withColumn(value, F.element_at("_dealt", F.col("_place"))["_v"])
-        .drop("_place", "_dealt")
-    )
+    own = [k for k in key if k not in within]
+    base = units.select(
+        *within, *own, value,
+        F.row_number().over(W.partitionBy(*within).orderBy(*key)).alias("_natural"))
+    fanned = base.drop(value).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms))))
+    drawn = W.partitionBy("perm", *within).orderBy(H.hash_order(F.lit(seed), "perm", *key))
+    place = F.when(F.col("perm") == 0, F.col("_natural")).otherwise(F.row_number().over(drawn))
+    # one row per unit
+    dealt = F.broadcast(base.select(*within, F.col("_natural").alias("_place"), value))
+    return fanned.withColumn("_place", place).join(dealt, [*within, "_place"]).select(
+        "perm", *within, *own, value)
 
 
 def summarize_null(stats: DataFrame, value: str, by: list[str] | None = None, two_sided: bool = False,

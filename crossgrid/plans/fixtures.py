@@ -172,7 +172,7 @@ def coords(t: Tables) -> DataFrame:
 
 PIXELS_SQL = """
     SELECT vec_id AS chip_id, label AS state, (vec_id % 4 + 1)::INTEGER AS quarter, px,
-           list_transform(range(1, 13), b -> greatest(0.0::DOUBLE, round(embedding[px * 12 + b]::DOUBLE * 100000))) AS bands
+           list_transform(range(1, 13), lambda b: greatest(0.0::DOUBLE, round(embedding[px * 12 + b]::DOUBLE * 100000))) AS bands
     FROM embeddings, (SELECT unnest(range(0, 5)) AS px)"""
 
 

@@ -145,24 +145,6 @@ def nested_r2(df: DataFrame, y: str, blocks: list[tuple[str, list[str]]], dummie
     return fits.withColumn("r_squared_added", F.col("r_squared") - previous)
 
 
-def within_r2(df: DataFrame, y: str, xs: list[str], within: str, by: list[str]) -> DataFrame:
-    """R2 of y ~ xs + C(within) per group of ``by``."""
-    k = len(xs) + 1
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                s = unpack(row.cross, k)
-                b = np.linalg.pinv(s[1:, 1:]) @ s[1:, 0]
-                out.append((*[getattr(row, c) for c in by], float(1 - (s[0, 0] - b @ s[1:, 0]) / row.sst), int(row.n)))
-            yield pd.DataFrame(out, columns=[*by, "r2", "n"])
-
-    schema = ", ".join([*[f"{c} {types[c]}" for c in by], "r2 DOUBLE", "n BIGINT"])
-    return moment_rows(df, y, xs, by, within).mapInPandas(solve, schema)
-
-
 CLUSTER_SCHEMA = (
     "term STRING, coef DOUBLE, se DOUBLE, p DOUBLE, standardized DOUBLE, ci_lower DOUBLE, "
     "ci_upper DOUBLE, n BIGINT, n_clusters BIGINT, n_params INT, r2 DOUBLE, low_cluster_count BOOLEAN"

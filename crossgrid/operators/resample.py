@@ -8,11 +8,15 @@ statistic in the same pass.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from crossgrid.functions import hashing as H, metrics as M
 from crossgrid.operators.accuracy import CELL_KEY
 from crossgrid.operators.ranking import hashed_rank
+from crossgrid.operators.regress import moment_rows, unpack
+from crossgrid.session import attach_params, materialize
 
 
 def permute_units(units: DataFrame, key: list[str], value: str, n_perms: int, seed: int = 0,
@@ -130,6 +134,64 @@ def gap_r2_test(cells: DataFrame, period_metrics: DataFrame, value: str, n_perms
     )
 
 
+def sequential_test(gaps: DataFrame, periods: DataFrame, value: str, quality: list[str], dummies: str,
+                    metric: str, n_perms: int = 999, seed: int = 0) -> DataFrame:
+    """R2 that a metric's gaps add to value ~ quality + dummies, when years are dealt anew per quarter.
+
+    ``gaps`` is a written cell table, ``periods`` has one row per (year, quarter). The controls
+    do not depend on the permutation: they are cleared of the dummies and made orthonormal once,
+    so a permutation only needs sums of its own two columns against them.
+    """
+    k = len(quality)
+    clean = gaps.dropna(subset=[value, *quality, dummies])
+    fitted = moment_rows(clean, value, quality, within=dummies)
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                s = unpack(row.cross, k + 1)
+                # columns q of the controls become orthonormal columns q @ basis
+                values, vectors = np.linalg.eigh(s[1:, 1:])
+                good = values > 1e-12 * max(values.max(), 1e-300)
+                basis = np.where(good, vectors / np.sqrt(np.where(good, values, 1.0)), 0.0)
+                b = basis @ (basis.T @ s[1:, 0])
+                out.append((basis.T.ravel().tolist(), b.tolist(), float(row.sst), int(row.n)))
+            yield pd.DataFrame(out, columns=["_w", "_b", "_sst", "n_obs"])
+
+    fit = fitted.mapInPandas(solve, "_w ARRAY<DOUBLE>, _b ARRAY<DOUBLE>, _sst DOUBLE, n_obs BIGINT")
+    means = clean.groupBy(dummies).agg(*[F.avg(c).alias(f"_m_{c}") for c in (value, *quality)])
+    # one row per dummy level
+    level = attach_params(clean.join(F.broadcast(means), dummies), fit)
+    left = f"({value} - _m_{value})" + "".join(f" - _b[{i}] * ({c} - _m_{c})" for i, c in enumerate(quality))
+    controls = [
+        " + ".join(f"_w[{j * k + i}] * ({c} - _m_{c})" for i, c in enumerate(quality)) + f" AS _q{j}" for j in range(k)
+    ]
+    base = level.selectExpr(*CELL_KEY, dummies, f"{left} AS _y", *controls)
+
+    units = periods.select("year", "quarter", F.col(metric).alias("_val")).filter(F.col("_val").isNotNull())
+    perms = permute_units(units, ["year", "quarter"], "_val", n_perms, seed, within=["quarter"])
+    fanned = _fan_out(base, n_perms)
+    for prefix in ("model", "eval"):
+        fanned = fanned.join(F.broadcast(_side(perms, prefix, "_val")), ["perm", f"{prefix}_year", f"{prefix}_quarter"])
+    fanned = fanned.withColumn("_d", F.col("_eval") - F.col("_model")).withColumn("_a", F.abs("_d"))
+    # _y and _q have mean 0 in every level, so only the squares of _d and _a need centring
+    sums = [f"sum({u} * {v}) AS {u[1:]}{v[1:]}" for u in ("_d", "_a") for v in ("_y", *[f"_q{j}" for j in range(k)])]
+    per_level = fanned.groupBy("perm", dummies).agg(*[F.expr(e) for e in (
+        *sums, "count(1) * var_pop(_d) AS dd", "count(1) * var_pop(_a) AS aa", "count(1) * covar_pop(_d, _a) AS da")])
+    names = [f"{u}{v}" for u in "da" for v in ("y", *[f"q{j}" for j in range(k)])] + ["dd", "aa", "da"]
+    total = per_level.groupBy("perm").agg(*[F.sum(n).alias(n) for n in names])
+
+    def cleared(u: str, v: str) -> str:
+        return f"({u}{v} - (" + " + ".join(f"{u}q{j} * {v}q{j}" for j in range(k)) + "))"
+
+    s11, s22, s12 = cleared("d", "d"), cleared("a", "a"), cleared("d", "a")
+    explained = f"try_divide(dy * dy * {s22} - 2 * dy * ay * {s12} + ay * ay * {s11}, {s11} * {s22} - {s12} * {s12})"
+    scored = attach_params(total, fit.select("_sst", "n_obs")).selectExpr("perm", f"try_divide({explained}, _sst) AS added")
+    out = attach_params(summarize_null(scored, "added"), fit.select("n_obs"))
+    return out.select(F.col("observed").alias("observed_r2_added"), "null_mean", "null_95pct", "p_value", "n_obs", "n_perms")
+
+
 def label_gap_test(pairs: DataFrame, units: DataFrame, unit: list[str], label: str, value: str,
                    n_perms: int = 999, seed: int = 0, plus_one: bool = True) -> DataFrame:
     """Mean similarity of pairs that share a label minus that of pairs that do not.
@@ -173,7 +235,8 @@ def bootstrap_r2(preds: DataFrame, cell: list[str], row_key: list[str], label: s
     rows = preds.filter(F.col(label).isNotNull() & F.col(pred).isNotNull()).select(
         *cell, F.col(label).alias("_y"), F.col(pred).alias("_f"),
         H.hash_order(F.lit("row"), *row_key).alias("_h"))
-    ranked = hashed_rank(rows, cell, "_h", "_idx")
+    # read twice: by the draws and by the rows they hit
+    ranked = materialize(hashed_rank(rows, cell, "_h", "_idx"), "ranked")
     sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_m"))
     draws = (
         ranked.select(*cell, F.col("_idx").alias("_k"))

@@ -10,8 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from crossgrid.session import attach_params
@@ -180,16 +178,27 @@ def pca_share(df: DataFrame, vector: str, k: int) -> DataFrame:
 
 
 def svd_share(cells: DataFrame, value: str) -> DataFrame:
-    """Squared singular values of the centred cell matrix as shares of their sum.
+    """Singular values of the centred cell matrix and their shares of the squared norm.
 
-    Rows are model periods: the matrix is as large as the calendar allows.
+    The Gram matrix of the rows (one per model period) has a side as long as the calendar; its
+    eigenvalues are the squared singular values.
     """
     mean = cells.agg(F.avg(value).alias("_mean"))
     centred = attach_params(cells, mean).withColumn("_v", F.col(value) - F.col("_mean"))
     rows = centred.groupBy("model_year", "model_quarter").agg(
-        F.array_sort(F.collect_list(F.struct("eval_year", "eval_quarter", "_v"))).alias("_r"))
-    matrix = RowMatrix(rows.select("_r._v").rdd.map(lambda r: Vectors.dense(r[0])))
-    sigma = matrix.computeSVD(matrix.numCols(), computeU=False).s.toArray()
-    total = float((sigma ** 2).sum())
-    shares = [(i + 1, float(s), float(s * s / total)) for i, s in enumerate(sigma)]
-    return cells.sparkSession.createDataFrame(shares, "component INT, singular_value DOUBLE, share DOUBLE")
+        F.transform(F.array_sort(F.collect_list(F.struct("eval_year", "eval_quarter", "_v"))), lambda e: e["_v"]).alias("_r"))
+    packed = gram(rows, "_r").agg(F.collect_list(F.struct("i", "j", "v")).alias("_g"))
+
+    def decompose(batches):
+        for pdf in batches:
+            out = []
+            for entries in pdf["_g"]:
+                k = 1 + max((e["j"] for e in entries), default=-1)
+                s = np.zeros((k, k))
+                for e in entries:
+                    s[e["i"], e["j"]] = s[e["j"], e["i"]] = e["v"]
+                squares = np.clip(np.linalg.eigvalsh(s)[::-1], 0.0, None) if k else np.zeros(0)
+                out += [(i + 1, float(np.sqrt(q)), float(q / squares.sum())) for i, q in enumerate(squares)]
+            yield pd.DataFrame(out, columns=["component", "singular_value", "share"])
+
+    return packed.mapInPandas(decompose, "component INT, singular_value DOUBLE, share DOUBLE")

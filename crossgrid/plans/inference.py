@@ -411,33 +411,37 @@ def ols_sequential(t):
     return out.select("block", rounded("r_squared").alias("r_squared"), rounded("r_squared_added").alias("r_squared_added"), "n_obs")
 
 
-@query("sequential_perm")
+def _sequential_sql() -> str:
+    q = _BLOCKS[0][1]
+    names = ["r2", *q]
+    steps = [f"w0 AS MATERIALIZED (SELECT {X.CELL_KEY}, season_pair, r2 AS raw, "
+             + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY season_pair) AS c{i}" for i, c in enumerate(names)) + " FROM gp)"]
+    for k in range(1, len(names)):
+        done, rest = list(range(1, k + 1)), [0, *range(k + 1, len(names))]
+        steps.append(
+            f"w{k} AS MATERIALIZED (SELECT {X.CELL_KEY}, season_pair, raw, " + ", ".join(f"c{i}" for i in done) + ", "
+            + ", ".join(f"c{i} - c{k} * (sum(c{i} * c{k}) OVER () / sum(c{k} * c{k}) OVER ()) AS c{i}" for i in rest) + f" FROM w{k - 1})")
+    n = len(q)
+    ctl = range(1, n + 1)
+    cleared = {f"{u}{v}": f"(sum({u}c * {v}c) - (" + " + ".join(f"sum({u}c * c{j}) * sum({v}c * c{j}) / sum(c{j} * c{j})" for j in ctl) + "))"
+               for u, v in ("dd", "aa", "da")}
+    units = f"SELECT year, quarter, ndvi AS val FROM ({X.PERIODS_SQL})"
+    return _GAPS + f""", {", ".join(steps)}, {perm_sql(units, within="quarter", cols="year")},
+    f AS (SELECT a.i, w.*, b.val - a.val AS d, abs(b.val - a.val) AS a FROM w{n} w
+          JOIN m a ON a.year = model_year AND a.quarter = model_quarter JOIN m b ON b.i = a.i AND b.year = eval_year AND b.quarter = eval_quarter),
+    h AS (SELECT *, d - avg(d) OVER (PARTITION BY i, season_pair) AS dc, a - avg(a) OVER (PARTITION BY i, season_pair) AS ac FROM f),
+    t AS (SELECT i, sum(dc * c0) AS dy, sum(ac * c0) AS ay, {cleared['dd']} AS dd, {cleared['aa']} AS aa, {cleared['da']} AS da, count(*) * var_pop(raw) AS sst FROM h GROUP BY i),
+    g AS (SELECT i, (dy * dy * aa - 2 * dy * ay * da + ay * ay * dd) / (dd * aa - da * da) / sst AS v FROM t),
+    {null_sql()}
+    SELECT {r("obs")} AS observed_r2_added, {r("null_mean")} AS null_mean, {r("null_95pct")} AS null_95pct, {r("p_value")} AS p_value,
+           (SELECT count(*) FROM gp) AS n_obs, n_perms FROM z"""
+
+
+@query("sequential_perm", _sequential_sql())
 def sequential_perm(t):
     """Landscape values permuted over years within each quarter; R2 added by the last block."""
-    g = _gap_rows(t)
-    return sequential_test(g, X.periods(t), N_PERMS)
-
-
-def sequential_test(gaps, periods, n_perms):
-    quality = _BLOCKS[0][1]
-    units = materialize(periods.select("year", "quarter", F.col("ndvi").alias("val")), "units")
-    perms = S.permute_units(units, ["year", "quarter"], "val", n_perms, 0, within=["quarter"])
-    rows = gaps.select(*A.CELL_KEY, "r2", "season_pair", *quality).withColumn(
-        "perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms))))
-    for side in ("model", "eval"):
-        m = perms.select("perm", F.col("year").alias(f"{side}_year"), F.col("quarter").alias(f"{side}_quarter"),
-                         F.col("val").alias(f"_{side}"))
-        rows = rows.join(F.broadcast(m), ["perm", f"{side}_year", f"{side}_quarter"])  # units x permutations rows
-    rows = rows.withColumn("_d", F.col("_eval") - F.col("_model")).withColumn("_a", F.abs("_d"))
-    full = G.within_r2(rows, "r2", [*quality, "_d", "_a"], "season_pair", ["perm"])
-    # block 2 does not depend on the permutation: fitted once
-    base = G.within_r2(gaps.withColumn("one", F.lit(1)), "r2", quality, "season_pair", ["one"]).select(
-        F.col("r2").alias("base_r2"), F.col("n").alias("n_obs"))
-    added = attach_params(full, base).withColumn("added", F.col("r2") - F.col("base_r2"))
-    out = S.summarize_null(added, "added")
-    n = base.select("n_obs")
-    return attach_params(out, n).select(
-        F.col("observed").alias("observed_r2_added"), "null_mean", "null_95pct", "p_value", "n_obs", "n_perms")
+    out = S.sequential_test(_gap_rows(t), materialize(X.periods(t), "periods"), "r2", _BLOCKS[0][1], "season_pair", "ndvi", N_PERMS)
+    return out.select(*[rounded(c).alias(c) for c in ("observed_r2_added", "null_mean", "null_95pct", "p_value")], "n_obs", "n_perms")
 
 
 # --- penalty regression --------------------------------------------------------------------

@@ -342,12 +342,12 @@ def quarter_labels(t):
 
 @query("quarter_bounds", """
     SELECT DISTINCT year(o_orderdate)::INTEGER AS year, quarter(o_orderdate)::INTEGER AS quarter,
-           date_trunc('quarter', o_orderdate)::DATE AS first_day,
-           (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS last_day FROM orders""")
+           date_trunc('quarter', o_orderdate)::DATE::VARCHAR AS first_day,
+           (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE::VARCHAR AS last_day FROM orders""")
 def quarter_bounds(t):
     units = t.orders.select(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).distinct()
     first, last = ids.quarter_bounds("year", "quarter")
-    return units.select("year", "quarter", first.alias("first_day"), last.alias("last_day"))
+    return units.select("year", "quarter", first.cast("string").alias("first_day"), last.cast("string").alias("last_day"))
 
 
 _LAYER_SQL = """

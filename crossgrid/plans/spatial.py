@@ -67,7 +67,7 @@ def _block(lon: str, lat: str) -> str:
 
 @query("block_sweep", _KNN + f""",
     o AS (SELECT unnest([{", ".join(f"{d}::DOUBLE" for d in SP.BLOCK_DEGREES)}]) AS block_deg),
-    b AS MATERIALIZED (SELECT block_deg, {_block("lon", "lat")} AS block, count(*) AS n, {_bucket(_block("lon", "lat"))} AS bucket FROM c, o GROUP BY 1, 2),
+    b AS MATERIALIZED (SELECT *, {_bucket("block")} AS bucket FROM (SELECT block_deg, {_block("lon", "lat")} AS block, count(*) AS n FROM c, o GROUP BY 1, 2)),
     z AS (SELECT block_deg, count(*) AS n_blocks, min(n) AS min_items, median(n)::DOUBLE AS median_items, max(n) AS max_items,
                  {", ".join(f"coalesce(100.0::DOUBLE * sum(n) FILTER (WHERE bucket = '{s}') / sum(n), 0) AS {s}_pct" for s in ("train", "val", "test"))}
           FROM b GROUP BY 1),

@@ -36,15 +36,15 @@ def stream_accuracy(t):
 
 
 @query("stream_windows", f"""
-    SELECT 'day' AS kind, time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, {r("sum(value)", 4)} AS total FROM events GROUP BY ALL
+    SELECT 'day' AS kind, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n, {r("sum(value)", 4)} AS total FROM events GROUP BY ALL
     UNION ALL
-    SELECT 'week', time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY * k, event_type, count(*), {r("sum(value)", 4)}
+    SELECT 'week', strftime(time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY * k, '%Y-%m-%d'), event_type, count(*), {r("sum(value)", 4)}
     FROM events, range(0, 7) t(k) GROUP BY ALL""")
 def stream_windows(t):
     """Tumbling days and sliding weeks over the event stream."""
     def run(kind, width, slide=None):
         out = jobs.stream_windows(_stream(t).events, "ts", ["event_type"], "value", "1 hour", scratch_path(t.spark, "stream"), width, slide)
-        return out.select(F.lit(kind).alias("kind"), F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        return out.select(F.lit(kind).alias("kind"), F.date_format("window_start", "yyyy-MM-dd").alias("window_start"),
                           "event_type", "n", rounded("total", 4).alias("total"))
 
     return run("day", "1 day").unionByName(run("week", "7 days", "1 day"))
@@ -54,13 +54,12 @@ def stream_windows(t):
     WITH e AS (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, TRUE)::INTEGER AS fresh FROM events),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
     g AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n, sum(value) AS total FROM s GROUP BY user_id, k)
-    SELECT user_id, session_start, session_end, n, {r("total", 4)} AS total FROM g
+    SELECT user_id, strftime(session_start, '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(session_end, '%Y-%m-%d %H:%M:%S.%f') AS session_end, n, {r("total", 4)} AS total FROM g
     WHERE session_end <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def stream_sessions(t):
     """Sessions per user with a 30 minute gap; open ones wait for the watermark."""
     out = jobs.stream_sessions(_stream(t).events, "ts", "user_id", "value", "30 minutes", "1 hour", scratch_path(t.spark, "stream"))
-    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
-                      F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n", rounded("total", 4).alias("total"))
+    return out.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("session_start", "session_end")], "n", rounded("total", 4).alias("total"))
 
 
 @query("stream_dedup", """SELECT event_id, user_id, event_type, value FROM events""")

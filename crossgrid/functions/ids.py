@@ -127,20 +127,25 @@ def directed_pairs(text) -> Column:
 
 
 def parse_pred_path(x) -> dict[str, Column]:
-    """Model period, evaluation period, epoch and variable of a prediction file path."""
-    c = _c(x)
+    """Model period, evaluation period, epoch and variable of a prediction file path.
+
+    One regular-expression pass rewrites the path to its fields; the fields are then split off.
+    A path of another form gives NULLs.
+    """
+    fields = F.split(F.regexp_replace(
+        _c(x), r"^.*?" + PRED_PATH_PATTERN, "\u0001" + "\u0001".join(f"${i}" for i in range(1, 9))), "\u0001")
 
     def part(i):
-        return F.regexp_extract(c, PRED_PATH_PATTERN, i)
+        return F.get(fields, F.lit(i))  # NULL past the end of an unmatched path
 
     return {
-        "state": F.nullif(part(1), F.lit("")),
+        "state": part(1),
         "model_quarter": part(2).try_cast("int"),
         "model_year": part(3).try_cast("int"),
         "epoch": part(4).try_cast("int"),
         "eval_year": part(6).try_cast("int"),
         "eval_quarter": part(7).try_cast("int"),
-        "variable": F.nullif(part(8), F.lit("")),
+        "variable": part(8),
     }
 
 

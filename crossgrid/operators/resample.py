@@ -8,6 +8,8 @@ statistic in the same pass.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -229,8 +231,8 @@ def bootstrap_r2(preds: DataFrame, cell: list[str], row_key: list[str], label: s
     """Percentile interval of R2 from exact resampling with replacement.
 
     Draw k of replicate b takes the row whose rank in its cell is hash(seed, b, k) mod n. Ranks
-    come from :func:`hashed_rank`, so a cell of any size is split over many tasks. Draws of the
-    same row are counted before they meet the rows.
+    come from :func:`hashed_rank`, so a cell of any size is split over many tasks, and draws meet
+    rows on (cell, rank), which spreads one cell over all tasks.
     """
     rows = preds.filter(F.col(label).isNotNull() & F.col(pred).isNotNull()).select(
         *cell, F.col(label).alias("_y"), F.col(pred).alias("_f"),
@@ -238,14 +240,19 @@ def bootstrap_r2(preds: DataFrame, cell: list[str], row_key: list[str], label: s
     # read twice: by the draws and by the rows they hit
     ranked = materialize(hashed_rank(rows, cell, "_h", "_idx"), "ranked")
     sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_m"))
+    # one md5 serves two replicates: fifteen hex digits each
+    digest = H.hash_order(F.lit(seed), "_block", "_k", *cell)
+    parts = F.array(*[
+        F.struct((F.col("_block") * 2 + i + 1).alias("rep"), F.substring("_d", 16 * i + 1, 15).alias("_u")) for i in range(2)])
     draws = (
         ranked.select(*cell, F.col("_idx").alias("_k"))
-        .join(sizes.select(*cell, "_n"), cell)
-        .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-        .withColumn("_idx", H.hash_int(F.lit(seed), "rep", "_k", *cell) % F.col("_n") + 1)
-        .groupBy(*cell, "_idx", "rep").agg(F.count(F.lit(1)).alias("_w"))
+        .join(sizes, cell)
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 2))))
+        .withColumn("_d", digest).withColumn("_p", F.explode(parts)).filter(F.col("_p.rep") <= n_boot)
+        .select(*cell, "_m", "_p.rep", (F.conv("_p._u", 16, 10).cast("long") % F.col("_n") + 1).alias("_idx"))
     )
-    hit = draws.join(ranked, [*cell, "_idx"]).join(sizes.select(*cell, "_m"), cell)
+    # the draws are many times the rows: hash the rows of a partition, do not sort the draws
+    hit = draws.join(ranked.hint("shuffle_hash"), [*cell, "_idx"]).withColumn("_w", F.lit(1))
     return _boot_summary(_weighted_r2(hit, cell), cell, ci)
 
 
@@ -258,11 +265,16 @@ def bootstrap_r2_poisson(preds: DataFrame, cell: list[str], row_key: list[str],
     rows = preds.filter(F.col(label).isNotNull() & F.col(pred).isNotNull()).select(
         *cell, *row_key, F.col(label).alias("_y"), F.col(pred).alias("_f"))
     means = rows.groupBy(*cell).agg(F.avg("_y").alias("_m"))
-    u = H.hash_unit(F.lit(seed), "rep", *row_key)
+    # one md5 serves four replicates: eight hex digits each
+    digest = H.hash_order(F.lit(seed), "_block", *row_key)
+    parts = F.array(*[
+        F.struct((F.col("_block") * 4 + i + 1).alias("rep"), F.substring("_d", 8 * i + 1, 8).alias("_u")) for i in range(4)])
     weighted = (
         rows.join(means, cell)
-        .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-        .withColumn("_w", poisson_weight(u)).filter(F.col("_w") > 0)
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 4))))
+        .withColumn("_d", digest).withColumn("_p", F.explode(parts))
+        .select(*cell, "_y", "_f", "_m", "_p.rep", poisson_weight(F.col("_p._u")).alias("_w"))
+        .filter((F.col("_w") > 0) & (F.col("rep") <= n_boot))
     )
     return _boot_summary(_weighted_r2(weighted, cell), cell, ci)
 
@@ -276,10 +288,13 @@ POISSON_CDF = (
 
 
 def poisson_weight(u):
-    """Number of draws of a row at uniform value ``u``."""
+    """Number of draws of a row at a uniform value given as eight hex digits.
+
+    Hex text of equal length compares like the numbers it stands for.
+    """
     w = F.lit(len(POISSON_CDF))
     for k in reversed(range(len(POISSON_CDF))):
-        w = F.when(u < POISSON_CDF[k], k).otherwise(w)
+        w = F.when(u < f"{math.ceil(POISSON_CDF[k] * 2 ** 32):08x}", k).otherwise(w)
     return w
 
 

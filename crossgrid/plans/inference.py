@@ -248,7 +248,7 @@ _CELL_ROWS = f"SELECT year, quarter, l_orderkey, l_linenumber, l_partkey, l_supp
     WITH p AS ({_CELL_ROWS}),
     rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY year, quarter ORDER BY md5('row:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey)) AS idx FROM p),
     n AS (SELECT year, quarter, count(*) AS n, avg(y) AS m FROM p GROUP BY ALL),
-    d AS (SELECT year, quarter, rep, ('0x' || substr(md5('0:' || rep || ':' || rk.idx || ':' || year || ':' || quarter), 1, 15))::BIGINT % n + 1 AS idx
+    d AS (SELECT year, quarter, rep, ('0x' || substr(md5('0:' || ((rep - 1) // 2) || ':' || rk.idx || ':' || year || ':' || quarter), 16 * ((rep - 1) % 2) + 1, 15))::BIGINT % n + 1 AS idx
           FROM rk JOIN n USING (year, quarter), range(1, {N_BOOT} + 1) t(rep)),
     s AS (SELECT year, quarter, rep, 1 - sum((y - f) * (y - f)) / nullif(sum((y - m) * (y - m)) - power(sum(y - m), 2) / count(*), 0) AS r2
           FROM d JOIN rk USING (year, quarter, idx) JOIN n USING (year, quarter) GROUP BY ALL)
@@ -266,7 +266,7 @@ _POISSON = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(S
 @query("bootstrap_r2_poisson", f"""
     WITH p AS ({_CELL_ROWS}), n AS (SELECT year, quarter, avg(y) AS m FROM p GROUP BY ALL),
     d AS (SELECT year, quarter, rep, y, f, {_POISSON} AS w FROM (
-          SELECT *, ('0x' || substr(md5('0:' || rep || ':' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+          SELECT *, ('0x' || substr(md5('0:' || ((rep - 1) // 4) || ':' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey), 8 * ((rep - 1) % 4) + 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
           FROM p, range(1, {N_BOOT} + 1) t(rep))),
     s AS (SELECT year, quarter, rep, 1 - sum(w * (y - f) * (y - f)) / nullif(sum(w * (y - m) * (y - m)) - power(sum(w * (y - m)), 2) / sum(w), 0) AS r2
           FROM d JOIN n USING (year, quarter) GROUP BY ALL)

@@ -80,21 +80,21 @@ def r2_by_quarter(t):
 
 
 @query("bias_std_by_quarter", f"""
-    SELECT year, quarter, count(*) AS n, {r("avg(pred - label)", 4)} AS bias,
-           {r("stddev_pop(pred - label)", 4)} AS error_std
+    SELECT year, quarter, count(*) AS n, {r("avg(pred - label)", 2)} AS bias,
+           {r("stddev_pop(pred - label)", 2)} AS error_std
     FROM ({X.PRED_SQL}) GROUP BY year, quarter""")
 def bias_std_by_quarter(t):
     return _by_quarter(t, [
-        F.count("label").alias("n"), rounded(M.bias("label", "pred"), 4).alias("bias"),
-        rounded(M.error_std("label", "pred"), 4).alias("error_std"),
+        F.count("label").alias("n"), rounded(M.bias("label", "pred"), 2).alias("bias"),
+        rounded(M.error_std("label", "pred"), 2).alias("error_std"),
     ])
 
 
 @query("mae_by_quarter", f"""
-    SELECT year, quarter, {r("avg(abs(label - pred))", 4)} AS mae
+    SELECT year, quarter, {r("avg(abs(label - pred))", 2)} AS mae
     FROM ({X.PRED_SQL}) GROUP BY year, quarter""")
 def mae_by_quarter(t):
-    return _by_quarter(t, [rounded(M.mae("label", "pred"), 4).alias("mae")])
+    return _by_quarter(t, [rounded(M.mae("label", "pred"), 2).alias("mae")])
 
 
 @query("pearson_by_quarter", f"""
@@ -378,8 +378,8 @@ def coverage_range(t):
 
 @query("preds_wide", f"""
     SELECT state, variable,
-           {", ".join(f"{r(f'avg(CASE WHEN year = {y} AND quarter = {q} THEN pred END)', 4)} AS q{q}_{y}_pred, "
-                      f"{r(f'avg(CASE WHEN year = {y} AND quarter = {q} THEN pred - label END)', 4)} AS q{q}_{y}_error"
+           {", ".join(f"{r(f'avg(CASE WHEN year = {y} AND quarter = {q} THEN pred END)', 2)} AS q{q}_{y}_pred, "
+                      f"{r(f'avg(CASE WHEN year = {y} AND quarter = {q} THEN pred - label END)', 2)} AS q{q}_{y}_error"
                       for y in (1997, 1998) for q in (1, 2, 3, 4))}
     FROM ({X.PRED_SQL}) GROUP BY state, variable""")
 def preds_wide(t):
@@ -387,14 +387,14 @@ def preds_wide(t):
     p = X.predictions(t).filter(F.col("year").isin(1997, 1998))
     base = p.withColumn("period", F.format_string("q%d_%d", "quarter", "year")).groupBy("state", "variable")
     wide = base.pivot("period", [f"q{q}_{y}" for y in (1997, 1998) for q in (1, 2, 3, 4)]).agg(
-        rounded(F.avg("pred"), 4).alias("pred"), rounded(F.avg(F.col("pred") - F.col("label")), 4).alias("error"))
+        rounded(F.avg("pred"), 2).alias("pred"), rounded(F.avg(F.col("pred") - F.col("label")), 2).alias("error"))
     return wide
 
 
 @query("landscape_accuracy", f"""
     SELECT p_type AS landscape, quarter, count(*) AS n,
            {r("1 - avg((label - pred) * (label - pred)) / var_pop(label)")} AS r2,
-           {r("sqrt(avg((label - pred) * (label - pred)))", 4)} AS rmse, {r("avg(pred - label)", 4)} AS bias,
+           {r("sqrt(avg((label - pred) * (label - pred)))", 2)} AS rmse, {r("avg(pred - label)", 2)} AS bias,
            {r("covar_pop(tt, pred - label) / nullif(var_pop(tt), 0)", 4)} AS temporal_slope
     FROM (SELECT *, (year(l_shipdate) * 4 + quarter(l_shipdate))::DOUBLE AS tt, quarter(l_shipdate)::INTEGER AS quarter,
                  l_extendedprice AS label, 1500.0::DOUBLE * l_quantity * (1.0::DOUBLE - l_discount) AS pred
@@ -413,7 +413,7 @@ def landscape_accuracy(t):
         li.join(t.part.select("p_partkey", F.col("p_type").alias("landscape")), F.col("p_partkey") == F.col("l_partkey"))
         .groupBy("landscape", "quarter").agg(
             F.count(F.lit(1)).alias("n"), rounded(M.r2("label", "pred")).alias("r2"),
-            rounded(M.rmse("label", "pred"), 4).alias("rmse"), rounded(M.bias("label", "pred"), 4).alias("bias"),
+            rounded(M.rmse("label", "pred"), 2).alias("rmse"), rounded(M.bias("label", "pred"), 2).alias("bias"),
             rounded(F.try_divide(F.covar_pop("tt", err), F.var_pop("tt")), 4).alias("temporal_slope"),
         )
     )

@@ -162,7 +162,7 @@ def label_targets_written(t):
 
 
 @query("organised_layout", f"""
-    SELECT state, year AS model_year, quarter AS model_quarter, count(*) AS n, {r("avg(pred)", 4)} AS mean_pred
+    SELECT state, year AS model_year, quarter AS model_quarter, count(*) AS n, {r("avg(pred)", 2)} AS mean_pred
     FROM ({X.PRED_SQL}) GROUP BY ALL""")
 def organised_layout(t):
     """Predictions collected into one table partitioned by state and model period."""
@@ -172,7 +172,7 @@ def organised_layout(t):
     keys = ["state", "model_year", "model_quarter"]
     sinks.write_predictions(p.repartition(*keys, F.hash("pred") % 4), path)
     back = t.spark.read.schema("pred DOUBLE, state STRING, model_year INT, model_quarter INT").parquet(path)
-    return back.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("pred"), 4).alias("mean_pred"))
+    return back.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("pred"), 2).alias("mean_pred"))
 
 
 @query("resume_todo", """
@@ -449,8 +449,8 @@ def matched_inner(t):
                       avg(abs(o_totalprice - 250000)) FILTER (WHERE o_orderstatus = 'F') AS matched,
                       avg(abs(o_totalprice - 250000)) FILTER (WHERE o_orderstatus = 'O') AS transfer
                FROM orders GROUP BY 1, 2)
-    SELECT tract, year, {r("transfer", 4)} AS error_transfer, {r("matched", 4)} AS error_matched,
-           {r("transfer - matched", 4)} AS penalty FROM e WHERE matched IS NOT NULL AND transfer IS NOT NULL""")
+    SELECT tract, year, {r("transfer", 2)} AS error_transfer, {r("matched", 2)} AS error_matched,
+           {r("transfer - matched", 2)} AS penalty FROM e WHERE matched IS NOT NULL AND transfer IS NOT NULL""")
 def transfer_penalty(t):
     """Transferred minus matched error per (tract, year): one pass instead of a self-join."""
     err = F.abs(F.col("o_totalprice") - 250000)
@@ -458,8 +458,8 @@ def transfer_penalty(t):
         F.avg(F.when(F.col("o_orderstatus") == "O", err)).alias("x"),
         F.avg(F.when(F.col("o_orderstatus") == "F", err)).alias("m"))
     return wide.filter("x is not null and m is not null").select(
-        "tract", "year", rounded("x", 4).alias("error_transfer"), rounded("m", 4).alias("error_matched"),
-        rounded(F.col("x") - F.col("m"), 4).alias("penalty"))
+        "tract", "year", rounded("x", 2).alias("error_transfer"), rounded("m", 2).alias("error_matched"),
+        rounded(F.col("x") - F.col("m"), 2).alias("penalty"))
 
 
 @query("corr_after_join", f"""

@@ -25,14 +25,14 @@ def _stream(t):
 
 @query("stream_accuracy", f"""
     SELECT state, year, quarter, count(*) AS n, {r("1 - avg((label - pred) * (label - pred)) / var_pop(label)")} AS r2,
-           {r("covar_pop(label, pred) / sqrt(var_pop(label) * var_pop(pred))")} AS pearson_r, {r("avg(pred - label)", 4)} AS bias,
-           {r("avg(abs(label - pred))", 4)} AS mae
+           {r("covar_pop(label, pred) / sqrt(var_pop(label) * var_pop(pred))")} AS pearson_r, {r("avg(pred - label)", 2)} AS bias,
+           {r("avg(abs(label - pred))", 2)} AS mae
     FROM ({X.PRED_SQL}) GROUP BY ALL""")
 def stream_accuracy(t):
     """Accuracy over arriving prediction files equals the batch result."""
     out = jobs.stream_accuracy(X.predictions(_stream(t)), ["state", "year", "quarter"], "label", "pred", scratch_path(t.spark, "stream"))
     return out.select("state", "year", "quarter", "n", rounded("r2").alias("r2"), rounded("pearson_r").alias("pearson_r"),
-                      rounded("bias", 4).alias("bias"), rounded("mae", 4).alias("mae"))
+                      rounded("bias", 2).alias("bias"), rounded("mae", 2).alias("mae"))
 
 
 @query("stream_windows", f"""

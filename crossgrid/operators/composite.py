@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crossgrid.functions import metrics as M
-from crossgrid.session import attach_params
+from crossgrid.session import attach_params, small_side
 
 # The features of each index.
 INDEX_FEATURES = {
@@ -32,11 +32,8 @@ INDEX_FEATURES = {
 
 
 def attach_fit(df: DataFrame, fit: DataFrame, by: list[str]) -> DataFrame:
-    """Add fitted columns to rows: one fitted row in all, or one per period."""
-    if not by:
-        return attach_params(df, fit)
-    # one row per period: bounded by the number of periods, whatever the size of the data
-    return df.join(F.broadcast(fit), by)
+    """Add fitted columns to rows: one fitted row in all, or one per group of ``by``."""
+    return df.join(fit, by) if by else attach_params(df, fit)
 
 
 def fit_indices(
@@ -51,6 +48,8 @@ def fit_indices(
     by = list(by or [])
     features = sorted({f for fs in definitions.values() for f in fs})
     counts = df.groupBy(*by).agg(*[F.count(f).alias(f"_n_{f}") for f in features])
+    if by:
+        counts = small_side(counts, "counts")
     rows = attach_fit(df.select(*by, income, *features), counts, by)
 
     # SQL text: a definition of k features needs k(k+1)/2 covariances, one parse does for all
@@ -91,7 +90,9 @@ def fit_indices(
             f"{min_non_null} AS {name}__gate",
         ]
     fitted = rows.selectExpr("*", *masked).groupBy(*by).agg(*[F.expr(a) for a in aggs])
-    return fitted.selectExpr("*", *solved).selectExpr(*out)
+    fit = fitted.selectExpr("*", *solved).selectExpr(*out)
+    # every user of the fit reads this table: it is written once
+    return small_side(fit, "fit")
 
 
 def raw_score(name: str, features, weight_prefix: str | None = None) -> Column:

@@ -51,7 +51,7 @@ def last_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFram
     return picked.select(*key, "_row.*").select(*df.columns)
 
 
-def sample_per_group(df: DataFrame, group: list[str], order: str, n: int, prefix: int = 2) -> DataFrame:
+def sample_per_group(df: DataFrame, group: list[str], order: str, n: int, prefix: int = 3) -> DataFrame:
     """At most ``n`` rows per group, the first ones by hex text ``order``.
 
     Two steps: the first ``n`` of every hash piece, then the first ``n`` of what is left

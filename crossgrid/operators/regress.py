@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from crossgrid.functions.metrics import normal_two_sided, student_t_two_sided
-from crossgrid.session import attach_params
+from crossgrid.session import attach_params, small_side
 
 Z_975 = 1.959963984540054
 
@@ -186,7 +186,7 @@ def cluster_ols(df: DataFrame, y: str, xs: list[str], factor: str, cluster: str,
 
     beta = solved.mapInPandas(coefficients, "_b ARRAY<DOUBLE>")
     means = clean.groupBy("_f").agg(*[F.avg(c).alias(f"_m_{c}") for c in (y, *xs)])
-    centred = clean.join(F.broadcast(means), "_f")  # one row per factor level
+    centred = clean.join(small_side(means, "levels"), "_f")
     residual = f"({y} - _m_{y})" + "".join(f" - _b[{i}] * ({c} - _m_{c})" for i, c in enumerate(xs))
     scored = attach_params(centred, beta).withColumn("_u", F.expr(residual))
     scores = scored.groupBy("_g").agg(*[F.expr(f"sum(({c} - _m_{c}) * _u)").alias(f"_s{i}") for i, c in enumerate(xs)])
@@ -224,17 +224,20 @@ def cluster_ols(df: DataFrame, y: str, xs: list[str], factor: str, cluster: str,
 
 
 def penalty_suite(errors: DataFrame, features: DataFrame, primary: str, classes: list[str], reference: str,
-                  urban: str, urban_threshold: float = 0.5, min_urban: int = 30) -> DataFrame:
-    """Main, dose-response, urban and reverse regressions of the transfer penalty as one table.
+                  urban: str, urban_threshold: float = 0.5, min_urban: int = 30,
+                  amplitude: DataFrame | None = None) -> DataFrame:
+    """Main, dose-response, urban, reverse and amplitude regressions of the transfer penalty.
 
     ``errors`` is long (key, year, train_quarter, eval_quarter, error) and small next to the rows
-    it came from; callers hand over a written table.
+    it came from; callers hand over a written table. ``amplitude`` is (key, amplitude): keys
+    without one drop out of that regression only.
     """
-    xs = [primary, *[c for c in classes if c not in (primary, reference)]]
-
-    def run(label: str, train: int, ev: int, only_urban: bool = False) -> DataFrame:
+    def run(label: str, train: int, ev: int, only_urban: bool = False, first: str = primary) -> DataFrame:
+        xs = [first, *[c for c in classes if c not in (first, reference)]]
         pen = transfer_penalty(errors, train, ev)
         feats = features.filter(F.col(urban) > urban_threshold) if only_urban else features
+        if first == "amplitude":
+            feats = feats.join(amplitude, "key", "left")
         out = cluster_ols(pen.join(feats, "key"), "penalty", xs, "year", "key")
         if only_urban:
             out = out.filter(F.col("n_clusters") >= min_urban)
@@ -244,6 +247,8 @@ def penalty_suite(errors: DataFrame, features: DataFrame, primary: str, classes:
         run("Q1->Q2", 1, 2), run("Q1->Q3", 1, 3), run("Q1->Q4", 1, 4),
         run("Q1->Q3 urban", 1, 3, only_urban=True), run("Q3->Q1 reverse", 3, 1),
     ]
+    if amplitude is not None:
+        runs.append(run("Q1->Q3 amplitude", 1, 3, first="amplitude"))
     out = runs[0]
     for r in runs[1:]:
         out = out.unionByName(r)

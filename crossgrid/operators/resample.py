@@ -18,24 +18,31 @@ from crossgrid.functions import hashing as H, metrics as M
 from crossgrid.operators.accuracy import CELL_KEY
 from crossgrid.operators.ranking import hashed_rank
 from crossgrid.operators.regress import moment_rows, unpack
-from crossgrid.session import attach_params, materialize
+from crossgrid.session import BROADCAST_ROWS, attach_params, materialize, small_side
 
 
 def permute_units(units: DataFrame, key: list[str], value: str, n_perms: int, seed: int = 0,
                   within: list[str] | None = None) -> DataFrame:
-    """(perm, within..., key..., value): the values dealt out anew to the units of each stratum."""
+    """(perm, within..., key..., value): the values dealt out anew to the units of each stratum.
+
+    The units are written and counted, so their joins are broadcast only while units (x
+    permutations) are few.
+    """
     within = list(within or [])
     own = [k for k in key if k not in within]
-    base = units.select(
+    base = materialize(units.select(
         *within, *own, value,
-        F.row_number().over(W.partitionBy(*within).orderBy(*key)).alias("_natural"))
+        F.row_number().over(W.partitionBy(*within).orderBy(*key)).alias("_natural")), "units")
+    n_units = base.count()
     fanned = base.drop(value).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms))))
     drawn = W.partitionBy("perm", *within).orderBy(H.hash_order(F.lit(seed), "perm", *key))
     place = F.when(F.col("perm") == 0, F.col("_natural")).otherwise(F.row_number().over(drawn))
-    # one row per unit
-    dealt = F.broadcast(base.select(*within, F.col("_natural").alias("_place"), value))
-    return fanned.withColumn("_place", place).join(dealt, [*within, "_place"]).select(
+    dealt = base.select(*within, F.col("_natural").alias("_place"), value)
+    if n_units <= BROADCAST_ROWS:
+        dealt = F.broadcast(dealt)
+    perms = fanned.withColumn("_place", place).join(dealt, [*within, "_place"]).select(
         "perm", *within, *own, value)
+    return F.broadcast(perms) if n_units * (n_perms + 1) <= BROADCAST_ROWS else perms
 
 
 def summarize_null(stats: DataFrame, value: str, by: list[str] | None = None, two_sided: bool = False,
@@ -85,10 +92,8 @@ def season_gap_test(cells: DataFrame, value: str, n_perms: int = 999, seed: int
     units = cell_units(cells).withColumn("season", F.col("quarter"))
     perms = permute_units(units, ["year", "quarter"], "season", n_perms, seed)
     fanned = _fan_out(cells.select(*CELL_KEY, value), n_perms)
-    # units x permutations rows: bounded by the calendar and n_perms
     for prefix in ("model", "eval"):
-        fanned = fanned.join(F.broadcast(_side(perms, prefix, "season")),
-                             ["perm", f"{prefix}_year", f"{prefix}_quarter"])
+        fanned = fanned.join(_side(perms, prefix, "season"), ["perm", f"{prefix}_year", f"{prefix}_quarter"])
     same_season = F.col("_model") == F.col("_eval")
     same_year = F.col("model_year") == F.col("eval_year")
     gaps = fanned.groupBy("perm").agg((
@@ -120,8 +125,8 @@ def gap_r2_test(cells: DataFrame, period_metrics: DataFrame, value: str, n_perms
     ev = _side(perms, "eval", "mean", ["metric"])
     fanned = (
         _fan_out(cells.filter(F.col(value).isNotNull()).select(*CELL_KEY, value), n_perms)
-        .join(F.broadcast(model), ["perm", "model_year", "model_quarter"])
-        .join(F.broadcast(ev), ["perm", "metric", "eval_year", "eval_quarter"])
+        .join(model, ["perm", "model_year", "model_quarter"])
+        .join(ev, ["perm", "metric", "eval_year", "eval_quarter"])
         .withColumn("_d", F.col("_eval") - F.col("_model")).withColumn("_a", F.abs("_d"))
     )
     stats = fanned.groupBy("metric", "perm").agg(
@@ -163,8 +168,7 @@ def sequential_test(gaps: DataFrame, periods: DataFrame, value: str, quality: li
 
     fit = fitted.mapInPandas(solve, "_w ARRAY<DOUBLE>, _b ARRAY<DOUBLE>, _sst DOUBLE, n_obs BIGINT")
     means = clean.groupBy(dummies).agg(*[F.avg(c).alias(f"_m_{c}") for c in (value, *quality)])
-    # one row per dummy level
-    level = attach_params(clean.join(F.broadcast(means), dummies), fit)
+    level = attach_params(clean.join(small_side(means, "levels"), dummies), fit)
     left = f"({value} - _m_{value})" + "".join(f" - _b[{i}] * ({c} - _m_{c})" for i, c in enumerate(quality))
     controls = [
         " + ".join(f"_w[{j * k + i}] * ({c} - _m_{c})" for i, c in enumerate(quality)) + f" AS _q{j}" for j in range(k)
@@ -175,7 +179,7 @@ def sequential_test(gaps: DataFrame, periods: DataFrame, value: str, quality: li
     perms = permute_units(units, ["year", "quarter"], "_val", n_perms, seed, within=["quarter"])
     fanned = _fan_out(base, n_perms)
     for prefix in ("model", "eval"):
-        fanned = fanned.join(F.broadcast(_side(perms, prefix, "_val")), ["perm", f"{prefix}_year", f"{prefix}_quarter"])
+        fanned = fanned.join(_side(perms, prefix, "_val"), ["perm", f"{prefix}_year", f"{prefix}_quarter"])
     fanned = fanned.withColumn("_d", F.col("_eval") - F.col("_model")).withColumn("_a", F.abs("_d"))
     # _y and _q have mean 0 in every level, so only the squares of _d and _a need centring
     sums = [f"sum({u} * {v}) AS {u[1:]}{v[1:]}" for u in ("_d", "_a") for v in ("_y", *[f"_q{j}" for j in range(k)])]
@@ -207,7 +211,7 @@ def label_gap_test(pairs: DataFrame, units: DataFrame, unit: list[str], label: s
     for side in ("a", "b"):
         m = perms.select("perm", *[F.col(u).alias(f"{side}_{u}") for u in unit],
                          F.col(label_col).alias(f"_{side}"))
-        fanned = fanned.join(F.broadcast(m), ["perm", *[f"{side}_{u}" for u in unit]])
+        fanned = fanned.join(m, ["perm", *[f"{side}_{u}" for u in unit]])
     same = F.when(F.col("_a") == F.col("_b"), F.col(value))
     other = F.when(F.col("_a") != F.col("_b"), F.col(value))
     stats = fanned.groupBy("perm").agg(

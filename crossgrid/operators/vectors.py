@@ -12,7 +12,11 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from crossgrid.session import attach_params
+from crossgrid.session import attach_params, small_side
+
+
+# Every task of a Gram aggregate holds a matrix of this side at most (200 MB of doubles).
+MAX_UNITS = 5000
 
 
 def vector_delta(fine: DataFrame, base: DataFrame, key: list[str], model: list[str]) -> DataFrame:
@@ -56,6 +60,8 @@ def gram(df: DataFrame, vector: str, by: str | None = None, positions: str | Non
         for pdf in batches:
             for g, part in pdf.groupby("g"):
                 k = int(part["k"].iloc[0])
+                if k > MAX_UNITS:
+                    raise ValueError(f"{k} units: a Gram matrix is for models or features, at most {MAX_UNITS}")
                 if part["p"].iloc[0] is None:
                     x = np.stack(part["x"].to_numpy())
                 else:
@@ -80,11 +86,12 @@ def cosine_pairs(long: DataFrame, unit: list[str], key: list[str], value: str, b
     the distinct units, a table as long as there are models.
     """
     groups = [by] if by else []
-    units = long.select(*unit).distinct().withColumn("_i", F.row_number().over(W.orderBy(*unit)) - 1)
+    units = small_side(
+        long.select(*unit).distinct().withColumn("_i", F.row_number().over(W.orderBy(*unit)) - 1), "units", MAX_UNITS)
     n_units = units.agg((F.max("_i") + 1).alias("_k"))
     # one row per key with at most one entry per unit
     packed = (
-        long.join(F.broadcast(units), unit)
+        long.join(units, unit)
         .groupBy(*dict.fromkeys([*groups, *key])).agg(F.collect_list(F.struct(F.col("_i").alias("p"), F.col(value).alias("x"))).alias("_e"))
         .select(*groups, F.col("_e.p").alias("_p"), F.col("_e.x").alias("_x"))
     )
@@ -93,9 +100,9 @@ def cosine_pairs(long: DataFrame, unit: list[str], key: list[str], value: str, b
     pairs = g.filter("i < j")
     for side in ("i", "j"):
         own = norms.select(*groups, F.col("i").alias(side), F.sqrt("v").alias(f"_n{side}"))
-        pairs = pairs.join(F.broadcast(own), [*groups, side])  # one row per unit and group
+        pairs = pairs.join(own, [*groups, side])
         named = units.select(F.col("_i").alias(side), *[F.col(u).alias(f"{'a' if side == 'i' else 'b'}_{u}") for u in unit])
-        pairs = pairs.join(F.broadcast(named), side)
+        pairs = pairs.join(named, side)
     sim = F.coalesce(F.try_divide("v", F.col("_ni") * F.col("_nj")), F.lit(0.0))
     return pairs.select(*groups, *[f"a_{u}" for u in unit], *[f"b_{u}" for u in unit], sim.alias("similarity"))
 

@@ -9,7 +9,7 @@ from crossgrid.operators import composite as CI, features as FE
 from crossgrid.operators.quantile import QUINTILE_LABELS, quantile_columns, quintile_label
 from crossgrid.plans import fixtures as X
 from crossgrid.plans.registry import query, r
-from crossgrid.session import materialize, rounded
+from crossgrid.session import materialize, rounded, small_side
 
 # the six index definitions on the stand-in features: 8, 6, 4, 2, 4 and 3 of them
 INDICES = {
@@ -177,9 +177,8 @@ def quintiles(t):
     """Quintile labels within a scope (here the order year) at interpolated edges."""
     s = t.orders.select("o_orderkey", F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("score"))
     edges = {"p20": 0.2, "p40": 0.4, "p60": 0.6, "p80": 0.8}
-    q = quantile_columns(s, "score", edges, ["year"])
-    # one row of edges per year
-    return s.join(F.broadcast(q), "year").select("o_orderkey", quintile_label("score", *edges).alias("quintile"))
+    q = small_side(quantile_columns(s, "score", edges, ["year"]), "edges")
+    return s.join(q, "year").select("o_orderkey", quintile_label("score", *edges).alias("quintile"))
 
 
 @query("index_quintiles", _MAIN_SQL + f""", q AS (SELECT period, quantile_cont(round(wealth_index, 9), [0.2, 0.4, 0.6, 0.8]) AS q FROM wv GROUP BY period)
@@ -188,8 +187,8 @@ def index_quintiles(t):
     """Quintile labels of the composite score per period."""
     s = materialize(_scored(t).select("tract", "period", F.round("wealth_index", 9).alias("score")), "scores")
     edges = {"p20": 0.2, "p40": 0.4, "p60": 0.6, "p80": 0.8}
-    q = quantile_columns(s, "score", edges, PERIOD)
-    return s.join(F.broadcast(q), "period", "left").select(
+    q = small_side(quantile_columns(s, "score", edges, PERIOD), "edges")
+    return s.join(q, "period", "left").select(
         "tract", "period", quintile_label("score", *edges).alias("quintile"))
 
 

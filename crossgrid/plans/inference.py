@@ -504,11 +504,15 @@ def cluster_ols(t):
 
 @query("penalty_suite")
 def penalty_suite(t):
-    """Dose-response, main, urban and reverse penalty regressions with all controls."""
+    """Dose-response, main, urban, reverse and amplitude penalty regressions with all controls."""
     err = materialize(errors(t), "errors")
     feats = materialize(land_cover(t), "landcover")
     reference = reference_class(feats, CLASSES, exclude=["tree_cover", "built_up"]).first()["reference_class"]
-    return G.penalty_suite(err, feats, "tree_cover", CLASSES, reference, urban="built_up", urban_threshold=0.3)
+    v, q = F.col("l_quantity") / 50, F.quarter("l_shipdate")
+    amplitude = t.lineitem.groupBy(F.col("l_partkey").alias("key")).agg(
+        (F.avg(F.when(q == 3, v)) - F.avg(F.when(q == 1, v))).alias("amplitude"))
+    return G.penalty_suite(err, feats, "tree_cover", CLASSES, reference, urban="built_up", urban_threshold=0.3,
+                           amplitude=materialize(amplitude, "amplitude"))
 
 
 @query("direction_note", _ERR_SQL + f""",

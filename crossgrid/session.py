@@ -53,6 +53,17 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+# A table of keys and a few numbers with this many rows is some tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """An aggregated table for the small side of a join: written once, counted, and broadcast
+    only if it has at most ``max_rows`` rows. A longer one is left to a shuffle join."""
+    table = materialize(df, label)
+    return F.broadcast(table) if table.count() <= max_rows else table
+
+
 def attach_params(df: DataFrame, params: DataFrame) -> DataFrame:
     """Add the columns of a one-row table (the result of a global aggregate) to every row.
 

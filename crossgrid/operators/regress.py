@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from crossgrid.functions.metrics import normal_two_sided, student_t_two_sided
-from crossgrid.session import attach_params, small_side
+from crossgrid.session import attach_params, materialize, small_side
 
 Z_975 = 1.959963984540054
 
@@ -160,11 +160,12 @@ def cluster_ols(df: DataFrame, y: str, xs: list[str], factor: str, cluster: str,
     so a cluster that holds a large share of the rows is no bottleneck. Near-constant controls
     (all but the first term) are dropped.
     """
-    clean = df.dropna(subset=[y, *xs, factor, cluster]).select(
-        F.col(factor).alias("_f"), F.col(cluster).alias("_g"), *[F.col(c).cast("double").alias(c) for c in (y, *xs)])
+    # the passes below read a written table, not the joins it came from
+    clean = materialize(df.dropna(subset=[y, *xs, factor, cluster]).select(
+        F.col(factor).alias("_f"), F.col(cluster).alias("_g"), *[F.col(c).cast("double").alias(c) for c in (y, *xs)]), "regression")
     spread = clean.agg(F.expr(
         "array(" + ", ".join(f"coalesce(stddev_samp({c}), 0)" for c in (y, *xs)) + ")").alias("sds"))
-    solved = attach_params(moment_rows(clean, y, xs, within="_f"), spread)
+    solved = materialize(attach_params(moment_rows(clean, y, xs, within="_f"), spread), "moments")
     k = len(xs)
 
     def keep(row):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from crossgrid.functions import geo, hashing as H
 from crossgrid.operators.quantile import quantile_columns
 from crossgrid.operators.resample import permute_units, summarize_null
-from crossgrid.session import attach_params
+from crossgrid.session import attach_params, materialize
 
 # Candidate block sizes in degrees, and the default sample.
 BLOCK_DEGREES = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5)
@@ -91,12 +91,11 @@ def block_sweep(points: DataFrame, neighbours: DataFrame, key: str, degrees=BLOC
     the (id, neighbor) table of :func:`knn`, found once for all sizes.
     """
     options = F.array(*[F.lit(float(d)) for d in degrees])
-    blocks = (
+    blocks = materialize(
         points.select("lon", "lat", F.explode(options).alias("block_deg"))
         .groupBy("block_deg", geo.block_id("lon", "lat", F.col("block_deg")).alias("block"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", H.split_bucket("block", split, seed))
-    )
+        .withColumn("bucket", H.split_bucket("block", split, seed)), "blocks")
     share = {b: (100 * F.try_divide(F.sum(F.when(F.col("bucket") == b, F.col("n")).otherwise(0)), F.sum("n"))).alias(f"{b}_pct")
              for b in ("train", "val", "test")}
     sizes = blocks.groupBy("block_deg").agg(

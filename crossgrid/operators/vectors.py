@@ -12,7 +12,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from crossgrid.session import attach_params, small_side
+from crossgrid.session import attach_params, materialize, small_side
 
 
 # Every task of a Gram aggregate holds a matrix of this side at most (200 MB of doubles).
@@ -95,7 +95,8 @@ def cosine_pairs(long: DataFrame, unit: list[str], key: list[str], value: str, b
         .groupBy(*dict.fromkeys([*groups, *key])).agg(F.collect_list(F.struct(F.col("_i").alias("p"), F.col(value).alias("x"))).alias("_e"))
         .select(*groups, F.col("_e.p").alias("_p"), F.col("_e.x").alias("_x"))
     )
-    g = gram(attach_params(packed, n_units), "_x", by, "_p", "_k")
+    # K x K rows, read for the norms of both sides and for the products
+    g = materialize(gram(attach_params(packed, n_units), "_x", by, "_p", "_k"), "gram")
     norms = g.filter("i = j")
     pairs = g.filter("i < j")
     for side in ("i", "j"):
@@ -127,7 +128,7 @@ def linear_cka(df: DataFrame, x: str, y: str) -> DataFrame:
     pass. NULL where either side does not vary.
     """
     stacked = df.select(F.concat(F.array(F.lit(1.0)), F.col(x).cast("array<double>"), F.col(y).cast("array<double>")).alias("_v"))
-    g = gram(stacked, "_v")
+    g = materialize(gram(stacked, "_v"), "gram")  # features x features rows, read four times
     p = df.agg(F.max(F.size(x)).alias("_p"))
     sums = g.filter("i = 0").select(F.col("j"), F.col("v").alias("s"))
     n = g.filter("i = 0 AND j = 0").select(F.col("v").alias("_n"))

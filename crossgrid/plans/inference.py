@@ -497,7 +497,7 @@ def land_cover(t):
 def cluster_ols(t):
     """Penalty on one land-cover share and year dummies, errors clustered by key."""
     pen = G.transfer_penalty(errors(t), 1, 3).join(land_cover(t).select("key", "tree_cover"), "key")
-    out = G.cluster_ols(materialize(pen, "penalty"), "penalty", ["tree_cover"], "year", "key")
+    out = G.cluster_ols(pen, "penalty", ["tree_cover"], "year", "key")
     return out.select("term", rounded("coef", 4).alias("coef"), rounded("se", 4).alias("se"), rounded("standardized").alias("standardized"),
                       "n", "n_clusters", "n_params", rounded("r2").alias("r2"), "low_cluster_count")
 
@@ -526,7 +526,7 @@ def penalty_suite(t):
 def direction_note(t):
     """Sign-aware reading of the penalty coefficient."""
     pen = G.transfer_penalty(errors(t), 1, 3).join(land_cover(t).select("key", "tree_cover"), "key")
-    out = G.cluster_ols(materialize(pen, "penalty"), "penalty", ["tree_cover"], "year", "key")
+    out = G.cluster_ols(pen, "penalty", ["tree_cover"], "year", "key")
     return out.select("term", M.direction_note("coef", "p").alias("note"))
 
 

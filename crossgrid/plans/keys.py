@@ -449,8 +449,8 @@ def matched_inner(t):
                       avg(abs(o_totalprice - 250000)) FILTER (WHERE o_orderstatus = 'F') AS matched,
                       avg(abs(o_totalprice - 250000)) FILTER (WHERE o_orderstatus = 'O') AS transfer
                FROM orders GROUP BY 1, 2)
-    SELECT tract, year, {r("transfer", 2)} AS error_transfer, {r("matched", 2)} AS error_matched,
-           {r("transfer - matched", 2)} AS penalty FROM e WHERE matched IS NOT NULL AND transfer IS NOT NULL""")
+    SELECT tract, year, {r("transfer")} AS error_transfer, {r("matched")} AS error_matched,
+           {r("transfer - matched")} AS penalty FROM e WHERE matched IS NOT NULL AND transfer IS NOT NULL""")
 def transfer_penalty(t):
     """Transferred minus matched error per (tract, year): one pass instead of a self-join."""
     err = F.abs(F.col("o_totalprice") - 250000)
@@ -458,8 +458,8 @@ def transfer_penalty(t):
         F.avg(F.when(F.col("o_orderstatus") == "O", err)).alias("x"),
         F.avg(F.when(F.col("o_orderstatus") == "F", err)).alias("m"))
     return wide.filter("x is not null and m is not null").select(
-        "tract", "year", rounded("x", 2).alias("error_transfer"), rounded("m", 2).alias("error_matched"),
-        rounded(F.col("x") - F.col("m"), 2).alias("penalty"))
+        "tract", "year", rounded("x").alias("error_transfer"), rounded("m").alias("error_matched"),
+        rounded(F.col("x") - F.col("m")).alias("penalty"))
 
 
 @query("corr_after_join", f"""

@@ -256,6 +256,20 @@ def penalty_suite(errors: DataFrame, features: DataFrame, primary: str, classes:
     return out
 
 
+def dose_response(errors: DataFrame, features: DataFrame, primary: str, classes: list[str], reference: str,
+                  train: int = 1, targets: tuple = (2, 3, 4)) -> DataFrame:
+    """Primary coefficient with its interval per transfer distance."""
+    xs = [primary, *[c for c in classes if c not in (primary, reference)]]
+    out = None
+    for ev in targets:
+        fit = cluster_ols(transfer_penalty(errors, train, ev).join(features, "key"), "penalty", xs, "year", "key")
+        row = fit.filter(F.col("term") == primary).select(
+            F.lit(f"Q{train}->Q{ev}").alias("transfer"), F.lit(ev - train).alias("distance_quarters"), "coef", "se",
+            "ci_lower", "ci_upper", "n", ((F.col("ci_lower") > 0) | (F.col("ci_upper") < 0)).alias("significant"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def transfer_penalty(errors: DataFrame, train: int, ev: int) -> DataFrame:
     """error(train -> eval) minus error(eval -> eval) per (key, year), in one pass."""
     moved = F.max(F.when((F.col("train_quarter") == train) & (F.col("eval_quarter") == ev), F.col("error")))

@@ -515,6 +515,36 @@ def penalty_suite(t):
                            amplitude=materialize(amplitude, "amplitude"))
 
 
+def _dose_sql(ev: int) -> str:
+    """Year means, then the controls, are cleared from penalty and primary; the rest is a line."""
+    names = ["penalty", "cropland", "built_up", "tree_cover"]
+    return f"""SELECT {ev} AS ev, * FROM (
+        WITH d AS (SELECT key, year, penalty, tree_cover, cropland, built_up FROM (
+                 SELECT key, year, max(error) FILTER (WHERE train_quarter = 1) - max(error) FILTER (WHERE train_quarter = {ev}) AS penalty
+                 FROM er WHERE eval_quarter = {ev} GROUP BY ALL HAVING penalty IS NOT NULL) JOIN fc USING (key)),
+        w0 AS MATERIALIZED (SELECT key, year, {", ".join(f"{c} - avg({c}) OVER (PARTITION BY year) AS c{i}" for i, c in enumerate(names))} FROM d),
+        w1 AS MATERIALIZED (SELECT key, year, {", ".join(f"c{i} - c1 * (sum(c{i} * c1) OVER () / sum(c1 * c1) OVER ()) AS c{i}" for i in (0, 2, 3))} FROM w0),
+        w2 AS MATERIALIZED (SELECT key, year, {", ".join(f"c{i} - c2 * (sum(c{i} * c2) OVER () / sum(c2 * c2) OVER ()) AS c{i}" for i in (0, 3))} FROM w1),
+        b AS (SELECT sum(c3 * c0) / sum(c3 * c3) AS b, sum(c3 * c3) AS sxx, count(*) AS n, count(DISTINCT key) AS g, count(DISTINCT year) + 3 AS k FROM w2),
+        s AS (SELECT key, sum(c3 * (c0 - b * c3)) AS s FROM w2, b GROUP BY key)
+        SELECT any_value(b) AS coef, sqrt(sum(s * s)) / any_value(sxx) * sqrt(any_value(g) / (any_value(g) - 1) * (any_value(n) - 1) / (any_value(n) - any_value(k))) AS se,
+               any_value(n) AS n FROM s, b)"""
+
+
+@query("dose_response", _ERR_SQL + f""",
+    fc AS MATERIALIZED (SELECT l_partkey AS key, avg((l_tax < 0.03)::INTEGER) AS tree_cover, avg((l_tax >= 0.03 AND l_tax < 0.045)::INTEGER) AS cropland,
+                               avg((l_tax >= 0.065)::INTEGER) AS built_up FROM lineitem GROUP BY 1),
+    r AS ({" UNION ALL ".join(_dose_sql(ev) for ev in (2, 3, 4))})
+    SELECT 'Q1->Q' || ev AS transfer, (ev - 1)::INTEGER AS distance_quarters, {r("coef", 3)} AS coef, {r("se", 3)} AS se,
+           {r("coef - 1.959963984540054 * se", 3)} AS ci_lower, {r("coef + 1.959963984540054 * se", 3)} AS ci_upper, n,
+           abs(coef) > 1.959963984540054 * se AS significant FROM r""")
+def dose_response(t):
+    """Coefficient of the primary share by transfer distance, all controls, clustered interval."""
+    out = G.dose_response(materialize(errors(t), "errors"), materialize(land_cover(t), "landcover"), "tree_cover", CLASSES, "grassland")
+    return out.select("transfer", "distance_quarters", *[rounded(c, 3).alias(c) for c in ("coef", "se", "ci_lower", "ci_upper")],
+                      "n", "significant")
+
+
 @query("direction_note", _ERR_SQL + f""",
     d AS MATERIALIZED (SELECT key, year, penalty - avg(penalty) OVER (PARTITION BY year) AS y, tree_cover - avg(tree_cover) OVER (PARTITION BY year) AS x
           FROM pn JOIN ft USING (key)),

@@ -151,21 +151,30 @@ CLUSTER_SCHEMA = (
 )
 
 
-def cluster_ols(df: DataFrame, y: str, xs: list[str], factor: str, cluster: str, min_std: float = 1e-8,
-                min_clusters: int = 30) -> DataFrame:
-    """y ~ xs + C(factor) with cluster-robust errors and normal p-values.
+def _attach(df: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
+    """Parameters of each model (one row per ``by`` group) to its rows."""
+    return df.join(params, by) if by else attach_params(df, params)
+
+
+def cluster_ols(df: DataFrame, y: str, xs: list[str], factor: str, cluster: str, by: list[str] | None = None,
+                min_std: float = 1e-8, min_clusters: int = 30) -> DataFrame:
+    """y ~ xs + C(factor) with cluster-robust errors and normal p-values, one model per ``by`` group.
 
     The factor is partialled out by its level means (one row per level). Pass 1 gives the
-    coefficients, pass 2 sums the scores per cluster; both are map-side combined aggregates,
-    so a cluster that holds a large share of the rows is no bottleneck. Near-constant controls
-    (all but the first term) are dropped.
+    coefficients, pass 2 sums the scores per cluster; both are map-side combined aggregates that
+    serve all models at once, so a cluster that holds a large share of the rows is no
+    bottleneck. Near-constant controls (all but the first term) are dropped per model.
     """
+    by = list(by or [])
     # the passes below read a written table, not the joins it came from
     clean = materialize(df.dropna(subset=[y, *xs, factor, cluster]).select(
-        F.col(factor).alias("_f"), F.col(cluster).alias("_g"), *[F.col(c).cast("double").alias(c) for c in (y, *xs)]), "regression")
-    spread = clean.agg(F.expr(
+        *by, F.col(factor).alias("_f"), F.col(cluster).alias("_g"),
+        *[F.col(c).cast("double").alias(c) for c in (y, *xs)]), "regression")
+    types = {f.name: f.dataType.simpleString() for f in clean.schema.fields}
+    by_schema = [f"{c} {types[c]}" for c in by]
+    spread = clean.groupBy(*by).agg(F.expr(
         "array(" + ", ".join(f"coalesce(stddev_samp({c}), 0)" for c in (y, *xs)) + ")").alias("sds"))
-    solved = materialize(attach_params(moment_rows(clean, y, xs, within="_f"), spread), "moments")
+    solved = small_side(_attach(moment_rows(clean, y, xs, by, within="_f"), spread, by), "moments")
     k = len(xs)
 
     def keep(row):
@@ -175,27 +184,27 @@ def cluster_ols(df: DataFrame, y: str, xs: list[str], factor: str, cluster: str,
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                if pd.isna(row.n) or row.n < 2:
-                    out.append(([0.0] * k,))
-                    continue
-                s = unpack(row.cross, k + 1)
-                idx = [i + 1 for i in keep(row)]
                 b = np.zeros(k)
-                b[[i - 1 for i in idx]] = np.linalg.pinv(s[np.ix_(idx, idx)]) @ s[idx, 0]
-                out.append((list(b),))
-            yield pd.DataFrame(out, columns=["_b"])
-
-    beta = solved.mapInPandas(coefficients, "_b ARRAY<DOUBLE>")
-    means = clean.groupBy("_f").agg(*[F.avg(c).alias(f"_m_{c}") for c in (y, *xs)])
-    centred = clean.join(small_side(means, "levels"), "_f")
+                if not pd.isna(row.n) and row.n >= 2:
+                    s = unpack(row.cross, k + 1)
+                    idx = [i + 1 for i in keep(row)]
+                    b[[i - 1 for i in idx]] = np.linalg.pinv(s[np.ix_(idx, idx)]) @ s[idx, 0]
+                out.append((*[getattr(row, c) for c in by], b.tolist()))
+            yield pd.DataFrame(out, columns=[*by, "_b"])
+
+    beta = small_side(solved.mapInPandas(coefficients, ", ".join([*by_schema, "_b ARRAY<DOUBLE>"])), "beta")
+    means = small_side(clean.groupBy(*by, "_f").agg(*[F.avg(c).alias(f"_m_{c}") for c in (y, *xs)]), "levels")
+    centred = clean.join(means, [*by, "_f"])
     residual = f"({y} - _m_{y})" + "".join(f" - _b[{i}] * ({c} - _m_{c})" for i, c in enumerate(xs))
-    scored = attach_params(centred, beta).withColumn("_u", F.expr(residual))
-    scores = scored.groupBy("_g").agg(*[F.expr(f"sum(({c} - _m_{c}) * _u)").alias(f"_s{i}") for i, c in enumerate(xs)])
+    scored = _attach(centred, beta, by).withColumn("_u", F.expr(residual))
+    scores = scored.groupBy(*by, "_g").agg(
+        *[F.expr(f"sum(({c} - _m_{c}) * _u)").alias(f"_s{i}") for i, c in enumerate(xs)])
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    meat = scores.agg(
+    meat = scores.groupBy(*by).agg(
         F.expr("array(" + ", ".join(f"sum(_s{i} * _s{j})" for i, j in pairs) + ")").alias("meat"),
         F.count(F.lit(1)).alias("clusters"))
-    final = attach_params(solved, meat)
+    final = _attach(solved, meat, by)
+    names = [f.strip().split(" ")[0] for f in CLUSTER_SCHEMA.split(",")]
 
     def sandwich(batches):
         for pdf in batches:
@@ -217,11 +226,21 @@ def cluster_ols(df: DataFrame, y: str, xs: list[str], factor: str, cluster: str,
                 for p, i in enumerate(kept):
                     se = math.sqrt(v[p, p])
                     std = b[p] * row.sds[i + 1] / row.sds[0] if row.sds[0] > 0 else None
-                    out.append((xs[i], float(b[p]), se, normal_two_sided(b[p] / se) if se > 0 else None, std,
+                    out.append((*[getattr(row, c) for c in by], xs[i], float(b[p]), se,
+                                normal_two_sided(b[p] / se) if se > 0 else None, std,
                                 b[p] - Z_975 * se, b[p] + Z_975 * se, n, g, params, float(r2), g < min_clusters))
-            yield pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in CLUSTER_SCHEMA.split(",")])
+            yield pd.DataFrame(out, columns=[*by, *names])
 
-    return final.mapInPandas(sandwich, CLUSTER_SCHEMA)
+    return final.mapInPandas(sandwich, ", ".join([*by_schema, CLUSTER_SCHEMA]))
+
+
+def _labelled(errors: DataFrame, runs: list[tuple[str, int, int]]) -> DataFrame:
+    """Penalties of several (label, train, eval) transfers as one long table."""
+    parts = [transfer_penalty(errors, a, b).withColumn("regression", F.lit(label)) for label, a, b in runs]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def penalty_suite(errors: DataFrame, features: DataFrame, primary: str, classes: list[str], reference: str,
@@ -230,44 +249,35 @@ def penalty_suite(errors: DataFrame, features: DataFrame, primary: str, classes:
     """Main, dose-response, urban, reverse and amplitude regressions of the transfer penalty.
 
     ``errors`` is long (key, year, train_quarter, eval_quarter, error) and small next to the rows
-    it came from; callers hand over a written table. ``amplitude`` is (key, amplitude): keys
-    without one drop out of that regression only.
+    it came from; callers hand over a written table. All regressions on the same terms run as
+    one grouped fit. ``amplitude`` is (key, amplitude): keys without one drop out of that
+    regression only.
     """
-    def run(label: str, train: int, ev: int, only_urban: bool = False, first: str = primary) -> DataFrame:
-        xs = [first, *[c for c in classes if c not in (first, reference)]]
-        pen = transfer_penalty(errors, train, ev)
-        feats = features.filter(F.col(urban) > urban_threshold) if only_urban else features
-        if first == "amplitude":
-            feats = feats.join(amplitude, "key", "left")
-        out = cluster_ols(pen.join(feats, "key"), "penalty", xs, "year", "key")
-        if only_urban:
-            out = out.filter(F.col("n_clusters") >= min_urban)
-        return out.select(F.lit(label).alias("regression"), "*", F.lit(reference).alias("reference_class"))
-
-    runs = [
-        run("Q1->Q2", 1, 2), run("Q1->Q3", 1, 3), run("Q1->Q4", 1, 4),
-        run("Q1->Q3 urban", 1, 3, only_urban=True), run("Q3->Q1 reverse", 3, 1),
-    ]
+    def terms(first: str) -> list[str]:
+        return [first, *[c for c in classes if c not in (first, reference)]]
+
+    runs = [("Q1->Q2", 1, 2), ("Q1->Q3", 1, 3), ("Q1->Q4", 1, 4), ("Q1->Q3 urban", 1, 3), ("Q3->Q1 reverse", 3, 1)]
+    rows = _labelled(errors, runs).join(features, "key").filter(
+        (F.col("regression") != "Q1->Q3 urban") | (F.col(urban) > urban_threshold))
+    out = cluster_ols(rows, "penalty", terms(primary), "year", "key", ["regression"]).filter(
+        (F.col("regression") != "Q1->Q3 urban") | (F.col("n_clusters") >= min_urban))
     if amplitude is not None:
-        runs.append(run("Q1->Q3 amplitude", 1, 3, first="amplitude"))
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
-    return out
+        rows = _labelled(errors, [("Q1->Q3 amplitude", 1, 3)]).join(features.join(amplitude, "key", "left"), "key")
+        out = out.unionByName(cluster_ols(rows, "penalty", terms("amplitude"), "year", "key", ["regression"]))
+    return out.withColumns({"reference_class": F.lit(reference), "n_tracts": F.col("n_clusters")})
 
 
 def dose_response(errors: DataFrame, features: DataFrame, primary: str, classes: list[str], reference: str,
                   train: int = 1, targets: tuple = (2, 3, 4)) -> DataFrame:
-    """Primary coefficient with its interval per transfer distance."""
+    """Primary coefficient with its interval per transfer distance, from one grouped fit."""
     xs = [primary, *[c for c in classes if c not in (primary, reference)]]
-    out = None
-    for ev in targets:
-        fit = cluster_ols(transfer_penalty(errors, train, ev).join(features, "key"), "penalty", xs, "year", "key")
-        row = fit.filter(F.col("term") == primary).select(
-            F.lit(f"Q{train}->Q{ev}").alias("transfer"), F.lit(ev - train).alias("distance_quarters"), "coef", "se",
-            "ci_lower", "ci_upper", "n", ((F.col("ci_lower") > 0) | (F.col("ci_upper") < 0)).alias("significant"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = _labelled(errors, [(str(ev), train, ev) for ev in targets]).join(features, "key")
+    fit = cluster_ols(rows, "penalty", xs, "year", "key", ["regression"]).filter(F.col("term") == primary)
+    ev = F.col("regression").cast("int")
+    return fit.select(
+        F.concat(F.lit(f"Q{train}->Q"), F.col("regression")).alias("transfer"), (ev - train).alias("distance_quarters"),
+        "coef", "se", "ci_lower", "ci_upper", "n",
+        ((F.col("ci_lower") > 0) | (F.col("ci_upper") < 0)).alias("significant"))
 
 
 def transfer_penalty(errors: DataFrame, train: int, ev: int) -> DataFrame:

@@ -61,6 +61,16 @@ def required_cells(spark: SparkSession, years: list[int]) -> DataFrame:
     ).select("year", F.explode("_c").alias("_c")).select("year", "_c.*")
 
 
+def manifest_from_template(cells: DataFrame, template: str) -> DataFrame:
+    """Manifest rows (year, train_quarter, eval_quarter, preds_csv).
+
+    ``template`` is a printf pattern over year, train quarter and eval quarter, such as
+    ``/preds/oh/q%2$d_%1$d/eval_q%3$d.csv``.
+    """
+    path = F.format_string(template, "year", "train_quarter", "eval_quarter")
+    return cells.select("year", "train_quarter", "eval_quarter", path.alias("preds_csv"))
+
+
 def missing_cells(required: DataFrame, have: DataFrame, key: list[str]) -> DataFrame:
     return required.join(have.select(*key).distinct(), key, "left_anti")
 

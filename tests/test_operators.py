@@ -256,6 +256,31 @@ def test_cluster_ols_against_sandwich(spark):
     assert got["a"].standardized == pytest.approx(beta[0] * pdf["a"].std() / pdf["y"].std())
 
 
+def test_grouped_cluster_fit_equals_single_fits(spark):
+    rng = np.random.default_rng(8)
+    n = 300
+    pdf = pd.DataFrame({"m": np.where(np.arange(n) < 220, "big", "small"), "g": rng.integers(0, 25, n), "year": rng.integers(0, 3, n),
+                        "a": rng.normal(size=n), "b": rng.normal(size=n)})
+    pdf["y"] = pdf["a"] * np.where(pdf["m"] == "big", 1.0, -2.0) + rng.normal(size=n)
+    df = spark.createDataFrame(pdf)
+    both = {(r.m, r.term): (r.coef, r.se, r.r2) for r in G.cluster_ols(df, "y", ["a", "b"], "year", "g", ["m"]).collect()}
+    for m in ("big", "small"):
+        for r in G.cluster_ols(df.filter(F.col("m") == m), "y", ["a", "b"], "year", "g").collect():
+            assert both[(m, r.term)] == pytest.approx((r.coef, r.se, r.r2))
+
+
+def test_penalty_suite_skips_a_small_urban_part(spark):
+    rng = np.random.default_rng(9)
+    err = [(k, y, a, b, float(rng.normal() + (a != b))) for k in range(60) for y in (2017, 2018) for a, b in readers.REQUIRED_CELLS]
+    errors = materialize(spark.createDataFrame(err, ["key", "year", "train_quarter", "eval_quarter", "error"]), "errors")
+    shares = rng.dirichlet([1, 1, 1], 60)
+    feats = spark.createDataFrame([(k, *map(float, s)) for k, s in enumerate(shares)], ["key", "tree_cover", "built_up", "cropland"])
+    out = G.penalty_suite(errors, feats, "tree_cover", ["tree_cover", "built_up", "cropland"], "cropland", "built_up", min_urban=60,
+                          amplitude=spark.createDataFrame([(k, float(k)) for k in range(50)], ["key", "amplitude"])).toPandas()
+    assert set(out["regression"]) == {"Q1->Q2", "Q1->Q3", "Q1->Q4", "Q3->Q1 reverse", "Q1->Q3 amplitude"}
+    assert (out[out["regression"] == "Q1->Q3 amplitude"]["n_clusters"] == 50).all()
+
+
 def test_nested_r2_adds_up(spark):
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame(rng.normal(size=(60, 3)), columns=["y", "q", "l"])
@@ -447,6 +472,14 @@ def test_missing_columns_are_named(spark):
         readers.require_columns(spark.createDataFrame([(1,)], ["a"]), ["a", "b", "c"])
 
 
+def test_manifest(spark):
+    need = readers.required_cells(spark, [2017])
+    rows = readers.manifest_from_template(need, "/p/q%2$d_%1$d/q%3$d.csv").collect()
+    assert len(rows) == 8 and rows[1].preds_csv == "/p/q1_2017/q2.csv"
+    left = readers.missing_cells(need, need.filter("train_quarter = 1"), ["year", "train_quarter", "eval_quarter"])
+    assert left.count() == 4
+
+
 def test_append_missing_is_idempotent(spark):
     path = scratch_path(spark, "append")
     df = spark.createDataFrame([(1, "a"), (2, "b")], ["k", "v"])

@@ -86,3 +86,24 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int
 
 def arrow_rows(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows with equal integer ``keys`` from batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last: tuple = ()
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        at = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), n]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(at[a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

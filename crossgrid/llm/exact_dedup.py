@@ -88,3 +88,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .agg(F.max_by(row, F.struct(F.col(id_col), F.xxhash64(*columns))).alias("_row")).select("_row.*")
     )
     return once.unionByName(best)
+
+
+def mark_listed(rows: DataFrame, listed: DataFrame, hash_col: str, filter_words: int = FILTER_WORDS) -> DataFrame:
+    """Add ``_maybe``: false where ``hash_col`` is surely not in ``listed`` (same column); the filter has a fixed size."""
+    h = F.col(hash_col)
+    bits = listed.groupBy(_word(h, filter_words).alias("_word")).agg(F.bit_or(_mask(h)).alias("_bits"))
+    return mark_repeats(rows, bits, hash_col, filter_words)

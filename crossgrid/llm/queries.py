@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crossgrid.llm import decontaminate, exact_dedup, pieces, toxicity
+from crossgrid.llm import decontaminate, exact_dedup, near_dedup, pieces, toxicity
 from crossgrid.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+_WORDS = "regexp_extract_all(" + _ASCII_LOWER + ", '[^\\x20\\x09-\\x0D]+')"
+
+
+@query("op9_near_dedup", f"""
+    WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+    ), shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM docs WHERE len(w) > 0)
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+    ), shared AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+    ), links AS (
+        SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+    ), reach(d, e) AS (SELECT doc_id, doc_id FROM docs UNION SELECT d, y FROM reach JOIN links ON e = x)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, low AS component_id, doc_id = low AS kept
+    FROM docs LEFT JOIN sizes USING (doc_id) JOIN (SELECT d AS doc_id, min(e) AS low FROM reach GROUP BY d) USING (doc_id)
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_dedup(Tables(spark, sf_dir).documents, shingle=4)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")

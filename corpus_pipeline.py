@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crossgrid.llm import decontaminate, exact_dedup, pieces, toxicity
+from crossgrid.llm import decontaminate, exact_dedup, near_dedup, pieces, toxicity
 from crossgrid.llm.queries import tokenizer_path, training_rows
 from crossgrid.session import Tables, materialize
 
@@ -24,6 +24,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays: the one with the smallest doc_id."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words lies in benchmark windows go."""
     marked = decontaminate.contamination(docs, Tables(spark, sf_dir).benchmark, carry=True)
@@ -39,6 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
     ("sentencepiece", encode),
 ]

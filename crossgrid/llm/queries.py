@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crossgrid.llm import decontaminate, exact_dedup, near_dedup, pieces, toxicity
+from crossgrid.llm import decontaminate, exact_dedup, html_wrapper, near_dedup, packing, pieces, pii, toxicity
 from crossgrid.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def token_pattern() -> str:
+    """The pre-token pattern that comes with the public vocabulary files."""
+    tokenizer_path("")
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def training_rows(labels: DataFrame) -> DataFrame:
     """Labels that may be learned from: the remainder of crc32(doc_id as text) by 5 is not 0."""
     return labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -93,6 +101,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op6_token_rows")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed rows of every document's token ids; tested by an exact round trip."""
+    with open(tokenizer_path("byte_bpe_50k.tiktoken")) as f:
+        vocabulary = f.read()
+    return packing.pack_documents(Tables(spark, sf_dir).documents, vocabulary, token_pattern())
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document; tested by held-out accuracy and against plain FTRL on a fixture."""
@@ -108,6 +124,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "regexp_extract_all(" + _ASCII_LOWER + ", '[^\\x20\\x09-\\x0D]+')"
 
 
+@query("op8_html_wrapper")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; tested on pages of known content and, with wrappers switched off, against the plain rules."""
+    return html_wrapper.extract(Tables(spark, sf_dir).pages)
+
+
 @query("op9_near_dedup", f"""
     WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
     ), shingles AS (
@@ -125,3 +147,16 @@ _WORDS = "regexp_extract_all(" + _ASCII_LOWER + ", '[^\\x20\\x09-\\x0D]+')"
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.near_dedup(Tables(spark, sf_dir).documents, shingle=4)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and revealing words of every text; tested against a brute-force version."""
+    out = pii.personal_data(Tables(spark, sf_dir).documents)
+    base = F.filter("spans", lambda s: s["rank"] < len(pii.KINDS))
+
+    def count(k: int):
+        return F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return out.select("doc_id", *counts, F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))

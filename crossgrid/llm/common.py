@@ -107,3 +107,60 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def squeeze(*parts: bytes | np.ndarray) -> bytes:
+    """Byte strings or arrays as one compressed message."""
+    import zstandard
+
+    raw = [p.tobytes() if isinstance(p, np.ndarray) else p for p in parts]
+    head = np.array([len(raw), *map(len, raw)], dtype="<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(raw))
+
+
+def unsqueeze(message: bytes) -> list[bytes]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(message)
+    n = int(np.frombuffer(data, dtype="<i8", count=1)[0])
+    at = 8 * (n + 1)
+    out = []
+    for size in np.frombuffer(data, dtype="<i8", count=n, offset=8).tolist():
+        out.append(data[at : at + size])
+        at += size
+    return out
+
+
+#: Rows that blocks of documents and shards of keys send each other.
+MESSAGE = "_to long, _from long, _role int, _data binary"
+MESSAGE_ARROW = pa.schema([("_to", pa.int64()), ("_from", pa.int64()), ("_role", pa.int32()), ("_data", pa.binary())])
+
+
+def messages(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Batches of messages of some ten MB each."""
+    at, size = 0, 0
+    for k, row in enumerate(rows):
+        size += len(row[3])
+        if size > 16 << 20 or k + 1 == len(rows):
+            yield arrow_rows({n: [r[j] for r in rows[at : k + 1]] for j, n in enumerate(MESSAGE_ARROW.names)}, MESSAGE_ARROW)
+            at, size = k + 1, 0
+
+
+def delivered(rows: DataFrame) -> DataFrame:
+    """Messages by receiver, those of lower role and sender first."""
+    return rows.select("_to", "_from", "_role", "_data").repartition("_to").sortWithinPartitions("_to", "_role", "_from")
+
+
+def received(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """(receiver, [(sender, role, data)]) from delivered messages."""
+    for group in sorted_groups(batches, ["_to"]):
+        yield group["_to"][0].as_py(), list(zip(group["_from"].to_pylist(), group["_role"].to_pylist(), group["_data"].to_pylist(), strict=True))
+
+
+def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that occurs, with the places of its entries in their given order."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    for part in np.split(order, cuts):
+        if len(part):
+            yield int(shard[part[0]]), part

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crossgrid.llm import decontaminate, exact_dedup, html_wrapper, near_dedup, packing, pieces, pii, toxicity
+from crossgrid.llm import decontaminate, exact_dedup, html_wrapper, near_dedup, packing, pieces, pii, substring_dedup, toxicity
 from crossgrid.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return out.select("doc_id", *counts, F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+@query("op5_substring_dedup", """
+    WITH docs AS (
+        SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS d, doc_id,
+               regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), windows AS (
+        SELECT r, d, i, array_to_string(w[i : i + 12], ' ') AS s
+        FROM (SELECT r, d, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)
+    ), bad AS (SELECT r, i FROM (SELECT r, i, d, min(d) OVER (PARTITION BY s) AS low FROM windows) WHERE low < d
+    ), gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 13)) AS p FROM bad)
+    ), words AS (
+        SELECT r, p, w[p] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM docs)
+    ), kept AS (
+        SELECT r, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (r, p) GROUP BY r
+    ), counts AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM docs LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(Tables(spark, sf_dir).documents)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crossgrid.llm import decontaminate, exact_dedup, html_wrapper, near_dedup, packing, pieces, pii, substring_dedup, toxicity
+from crossgrid.llm import decontaminate, exact_dedup, html_wrapper, lm, near_dedup, packing, pieces, pii, substring_dedup, toxicity
 from crossgrid.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(Tables(spark, sf_dir).documents)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op2_language_model")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document; the model's own score is tested against a brute-force trie-free version."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    out = lm.score_texts(docs, train="crc32(cast(doc_id as string)) % 10 <> 0")
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

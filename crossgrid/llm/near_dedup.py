@@ -7,7 +7,7 @@ that many symbols left out. At s = 0.8 a pair is beyond 31 of 64 with a probabil
 
 Stages, each on what the one before left:
 1. equal sets become one class (an aggregate; copies are never paired),
-2. every bucket's classes are held against its smallest class, each class against its nearest such leader,
+2. every bucket has a centre, and each class is held against the nearest centre of its buckets,
 3. components of the confirmed links,
 4. buckets that still hold several components: all pairs of different components, in tiles of bounded size, first by
    signature, then by set; a tile skips what its own links have joined and returns links only,
@@ -39,6 +39,8 @@ CHUNKS = 16
 DISTANCE = 31
 #: Classes in one side of a tile.
 TILE = 500
+#: Members to whom the centre of a bucket is near.
+PROBES = 16
 
 _rng = np.random.default_rng(20240229)
 _ADD = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -143,7 +145,7 @@ def classes_of(signed: DataFrame) -> DataFrame:
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """_key, _cls, _leader of every bucket with several classes; written once."""
+    """_key, _n, _cls, _sig of every bucket with several classes; buckets of the same classes count once. Written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,15 +155,47 @@ def bucket_members(classes: DataFrame) -> DataFrame:
                     [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["_key", "_cls"])
 
     keys = classes.select("_cls", "_sig").mapInArrow(run, "_key long, _cls long")
-    shared = keys.groupBy("_key").agg(F.min("_cls").alias("_leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return materialize(keys.join(shared, "_key"), "buckets")
+    shared = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key")
+    every = materialize(keys.join(shared, "_key"), "buckets")
+    return materialize(every.join(_distinct_groups(every), "_key").join(classes.select("_cls", "_sig"), "_cls").select("_key", "_n", "_cls", "_sig"), "buckets")
+
+
+def _distinct_groups(rows: DataFrame) -> DataFrame:
+    """_key, _n: one of the keys that have the same classes, and their number."""
+    group = rows.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("_cls")).alias("x1"), F.bit_xor(F.xxhash64("_cls", F.lit(1))).alias("x2"))
+    return group.groupBy("_n", "x1", "x2").agg(F.min("_key").alias("_key")).select("_key", "_n")
+
+
+def centres(members: DataFrame) -> DataFrame:
+    """_key, _leader: the class of each bucket that is nearest to ``PROBES`` others of its part. Only a good choice of whom
+    to ask first: what it misses is found in the last stages."""
+    part = F.pmod(F.xxhash64("_cls"), F.ceil(F.col("_n") / TILE)).alias("_part")
+    rows = members.select("_key", part, "_cls", "_sig").repartition("_key", "_part").sortWithinPartitions("_key", "_part")
+    made = pa.schema([("_key", pa.int64()), ("_leader", pa.int64()), ("_far", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = {f.name: [] for f in made}
+        for group in sorted_groups(batches, ["_key", "_part"]):
+            sig, cls = _u16(group["_sig"]), group["_cls"].to_numpy()
+            probe = np.argsort(mix64(cls.view(np.uint64)), kind="stable")[:PROBES]
+            far = sum((sig != sig[p]).sum(axis=1) for p in probe) / len(probe)
+            best = np.lexsort((cls, far))[0]
+            for name, value in zip(out, (group["_key"][0].as_py(), int(cls[best]), float(far[best])), strict=True):
+                out[name].append(value)
+            if len(out["_key"]) >= 10_000:
+                yield arrow_rows(out, made)
+                out = {f.name: [] for f in made}
+        yield arrow_rows(out, made)
+
+    found = rows.mapInArrow(run, "_key long, _leader long, _far double")
+    return found.groupBy("_key").agg(F.min(F.struct("_far", "_leader"))["_leader"].alias("_leader"))
 
 
 def near_leader(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """_leader, _cls: for each class the nearest leader of its buckets within the distance."""
-    sigs = classes.select("_cls", "_sig")
-    pairs = members.filter("_cls <> _leader").select("_leader", "_cls").distinct()
-    pairs = pairs.join(sigs, "_cls").join(sigs.select(F.col("_cls").alias("_leader"), F.col("_sig").alias("_sig2")), "_leader")
+    """_leader, _cls: for each class the nearest centre of its buckets within the distance."""
+    sigs = classes.select(F.col("_cls").alias("_leader"), F.col("_sig").alias("_sig2"))
+    pairs = members.join(centres(members).join(sigs, "_leader"), "_key").filter("_cls <> _leader")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,59 +245,55 @@ def confirm_leaders(pairs: DataFrame, sets, percent: int) -> DataFrame:
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """Deal the members of each bucket to tiles: every two of its parts meet in one of them, a part with itself too."""
-    part = F.pmod(F.xxhash64("_cls", F.lit(3)), F.col("_parts"))
-    rows = rows.withColumn("_part", part).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-    return rows.withColumn("_i", F.least("_part", "_other")).withColumn("_j", F.greatest("_part", "_other")).drop("_other", "_parts")
-
-
-def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    part = group["_part"].to_numpy()
-    if group["_i"][0] == group["_j"][0]:
-        every = np.arange(len(part))
-        return every, every
-    return np.flatnonzero(part == group["_i"][0].as_py()), np.flatnonzero(part == group["_j"][0].as_py())
+    """Deal the members (_key, _cls, _comp, _sig) of buckets with several components to tiles (_key, _i, _j) in roles.
+
+    Only pairs of different components count, so every pair has a side outside the bucket's most frequent component: those
+    members stand on the left (_role 0), in parts of ``TILE``; all members stand on the right (_role 1), in parts of twice
+    that. Each left part meets each right part in one tile."""
+    each = rows.groupBy("_key", "_comp").agg(F.count(F.lit(1)).alias("n"))
+    size = each.groupBy("_key").agg(F.sum("n").alias("_n"), F.max(F.struct("n", "_comp")).alias("m")).filter("_n > m.n").select(
+        "_key", F.col("m._comp").alias("_major"), F.ceil((F.col("_n") - F.col("m.n")) / TILE).alias("_left"), F.ceil(F.col("_n") / (2 * TILE)).alias("_right"))
+    dealt = rows.join(size, "_key")
+    own = lambda parts: F.pmod(F.xxhash64("_cls", F.lit(3)), F.col(parts)).cast("long")
+    all_ = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts).cast("long") - 1))
+    left = dealt.filter("_comp <> _major").select("_key", own("_left").alias("_i"), all_("_right").alias("_j"), F.lit(0).alias("_role"), "_cls", "_comp", "_sig")
+    right = dealt.select("_key", all_("_left").alias("_i"), own("_right").alias("_j"), F.lit(1).alias("_role"), "_cls", "_comp", "_sig")
+    return left.union(right)
 
 
 def _close_pairs(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row with the rows of the other side that are within the distance and in other components."""
-    sig, comp = _u16(group["_sig"]), group["_comp"].to_numpy()
-    left, right = _sides(group)
-    for x in left:
+    """Each left row with the right rows that are within the distance and in other components."""
+    sig, comp, role = _u16(group["_sig"]), group["_comp"].to_numpy(), group["_role"].to_numpy()
+    right = np.flatnonzero(role == 1)
+    for x in np.flatnonzero(role == 0):
         ok = right[comp[right] != comp[x]]
         ok = ok[(sig[ok] != sig[x]).sum(axis=1) <= DISTANCE] if len(ok) else ok
         if len(ok):
-            yield x, ok
+            yield int(x), ok
 
 
-def cross_links(members: DataFrame, classes: DataFrame, comps: DataFrame, sets, percent: int) -> DataFrame:
+def cross_links(members: DataFrame, comps: DataFrame, sets, percent: int) -> DataFrame:
     """Links (a, b) between classes of one bucket that are in different components so far."""
-    rows = members.select("_key", "_cls").join(comps.select(F.col("node").alias("_cls"), "comp"), "_cls", "left")
-    rows = rows.select("_key", "_cls", F.coalesce("comp", "_cls").alias("_comp"))
-    open_ = rows.groupBy("_key").agg(
-        F.min("_comp").alias("lo"), F.max("_comp").alias("hi"), F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.xxhash64("_cls")).alias("x1"), F.bit_xor(F.xxhash64("_cls", F.lit(1))).alias("x2"))
-    open_ = open_.filter("lo < hi").groupBy("n", "x1", "x2").agg(F.min("_key").alias("_key"))  # buckets of the same classes count once
-    open_ = open_.select("_key", F.ceil(F.col("n") / TILE).cast("long").alias("_parts"))
-    held = rows.join(open_, "_key").join(classes.select("_cls", "_sig"), "_cls")
-    tiled = _tiles(held).repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j", "_cls")
-    columns = ["_key", "_i", "_j", "_part", "_cls", "_comp", "_sig"]
+    rows = members.join(comps.select(F.col("node").alias("_cls"), "comp"), "_cls", "left")
+    rows = rows.select("_key", "_cls", F.coalesce("comp", "_cls").alias("_comp"), "_sig")
+    order = ["_key", "_i", "_j"]
+    kept = pa.schema([("_key", pa.int64()), ("_cls", pa.int64()), ("_comp", pa.int64()), ("_sig", pa.binary())])
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["_key", "_i", "_j"]):
-            hit = sorted({k for x, ok in _close_pairs(group) for k in (int(x), *ok.tolist())})
+        for group in sorted_groups(batches, order):
+            hit = sorted({k for x, ok in _close_pairs(group) for k in (x, *ok.tolist())})
             if hit:
                 g = group.take(pa.array(hit))
-                yield arrow_rows({"_key": g["_key"].combine_chunks(), "_cls": g["_cls"].combine_chunks(), "_comp": g["_comp"].combine_chunks(), "_sig": g["_sig"].to_pylist()}, kept)
+                yield arrow_rows({n: g[n].to_pylist() for n in kept.names}, kept)
 
-    kept = pa.schema([("_key", pa.int64()), ("_cls", pa.int64()), ("_comp", pa.int64()), ("_sig", pa.binary())])
-    left = materialize(tiled.select(*columns).mapInArrow(survivors, "_key long, _cls long, _comp long, _sig binary").distinct(), "open-buckets")
-    size = left.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("_parts"))
-    again = _tiles(left.join(size, "_key")).join(sets(left.select("_cls").distinct()), "_cls")
-    again = again.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j", "_cls")
+    tiled = _tiles(rows).repartition(*order).sortWithinPartitions(*order, "_role", "_cls")
+    left = tiled.mapInArrow(survivors, "_key long, _cls long, _comp long, _sig binary").dropDuplicates(["_key", "_cls"])
+    left = materialize(left, "open-buckets")
+    left = materialize(left.join(_distinct_groups(left).select("_key"), "_key"), "open-buckets")
+    again = _tiles(left).join(sets(left.select("_cls").distinct()), "_cls").repartition(*order).sortWithinPartitions(*order, "_role", "_cls")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["_key", "_i", "_j"]):
+        for group in sorted_groups(batches, order):
             every, cls, comp = _sets(group["_set"]), group["_cls"].to_pylist(), group["_comp"].to_pylist()
             joined: dict[int, int] = {}
 
@@ -283,7 +313,7 @@ def cross_links(members: DataFrame, classes: DataFrame, comps: DataFrame, sets,
             if a:
                 yield arrow_rows({"a": a, "b": b}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return again.select(*columns, "_set").mapInArrow(confirm, "a long, b long")
+    return again.select(*order, "_role", "_cls", "_comp", "_sig", "_set").mapInArrow(confirm, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
@@ -299,7 +329,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = materialize(near_leader(members, classes), "leaders")
     first = materialize(confirm_leaders(stars, sets, percent), "links")
     comps = materialize(components(first), "components")
-    more = materialize(cross_links(members, classes, comps, sets, percent), "links")
+    more = materialize(cross_links(members, comps, sets, percent), "links")
     comps = components(first.union(more))
     known = classes.join(comps.withColumnRenamed("node", "_cls"), "_cls", "left").select("_s1", "_s2", F.coalesce("comp", "_cls").alias("_comp"))
     alone = signed.filter("n_shingles = 0").withColumn("_comp", F.col("_row"))

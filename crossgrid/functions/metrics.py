@@ -106,7 +106,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 400):
+    # it converges in some sqrt(max(a, b)) steps; the bound only ends a last digit that wavers
+    for m in range(1, 400 + int(20 * math.sqrt(max(a, b)))):
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),

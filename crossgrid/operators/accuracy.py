@@ -23,6 +23,17 @@ def accuracy(df: DataFrame, keys: list[str], label: str, pred: str) -> DataFrame
     )
 
 
+def score_cells(preds: DataFrame, by: list[str]) -> DataFrame:
+    """Accuracy of every cell (the four periods and ``by``) from prediction rows: the highest epoch of a cell counts.
+
+    Every epoch is scored in one shuffle of partial sums and the highest one picked from the few scores, so no row is
+    compared with another."""
+    cell = [*CELL_KEY, *by]
+    scored = accuracy(preds, [*cell, "epoch"], "label", "pred")
+    measures = [c for c in scored.columns if c not in cell]
+    return scored.groupBy(*cell).agg(F.max_by(F.struct(*measures), "epoch").alias("_s")).select(*cell, "_s.*")
+
+
 def line_moments(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Centred second moments of (x, y) per group: enough to fit and to score any line."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -97,7 +108,8 @@ def score_histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """Equal-width counts over [min, max]; the last edge belongs to the last bin."""
     limits = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    idx = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))
+    # a constant column has one bin
+    idx = F.least(F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), width), F.lit(0.0))), F.lit(bins - 1))
     return (
         attach_params(df.filter(F.col(value).isNotNull()), limits)
         .groupBy(idx.cast("int").alias("bin")).agg(

@@ -116,7 +116,8 @@ def pixel_diversity(pixels: DataFrame, chip: list[str], bands: str = "bands", bi
 
 
 def zonal_counts(pixels: DataFrame, polygons: DataFrame, key: str, cell: float, salt: int = 8, max_pixels: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Class counts of the pixel centres inside each polygon, and the polygons left out as too large.
+    """Class counts of the pixel centres inside each polygon, all polygons included, and a report of those with more than
+    ``max_pixels`` (they are counted like the others).
 
     Pixels and polygons meet on a coarse grid cell. A crowded cell is split over ``salt`` tasks:
     pixels take a salt by their place, polygons are repeated for each. Equal pixels are counted
@@ -140,8 +141,7 @@ def zonal_counts(pixels: DataFrame, polygons: DataFrame, key: str, cell: float,
     counts = inside.groupBy(key, "class").agg(F.sum("c").alias("n"))
     if max_pixels is None:
         return counts, counts.limit(0)
-    too_large = counts.groupBy(key).agg(F.sum("n").alias("n_pixels")).filter(F.col("n_pixels") > max_pixels)
-    return counts.join(too_large, key, "left_anti"), too_large
+    return counts, counts.groupBy(key).agg(F.sum("n").alias("n_pixels")).filter(F.col("n_pixels") > max_pixels)
 
 
 def block_tiles(windows: DataFrame, width: str, height: str, size: int = 2048) -> DataFrame:

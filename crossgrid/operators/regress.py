@@ -64,10 +64,14 @@ def _coef_rows(row, terms: list[str], min_rows: int):
     s = unpack(row.cross, k + 1)
     inv = np.linalg.pinv(s[1:, 1:])
     b = inv @ s[1:, 0]
-    ssr = s[0, 0] - b @ s[1:, 0]
+    ssr = max(0.0, s[0, 0] - b @ s[1:, 0])  # rounding may take a perfect fit below zero
+    if ssr <= 1e-13 * s[0, 0]:
+        ssr = 0.0
     has_means = row.means is not None
     params = k + (1 if has_means else int(row.levels))
     dof = n - params
+    if dof <= 0:
+        return
     sigma2 = ssr / dof
     names, coef, var = list(terms), list(b), list(np.diag(inv) * sigma2)
     if has_means:
@@ -75,11 +79,13 @@ def _coef_rows(row, terms: list[str], min_rows: int):
         names.insert(0, "const")
         coef.insert(0, m[0] - b @ m[1:])
         var.insert(0, sigma2 * (1.0 / n + m[1:] @ inv @ m[1:]))
-    r2 = 1 - ssr / row.sst
-    llf = -n / 2 * (math.log(2 * math.pi) + math.log(ssr / n) + 1)
-    fit = (r2, 1 - (1 - r2) * (n - 1) / dof, 2 * params - 2 * llf, math.log(n) * params - 2 * llf, n)
+    # a constant label has no R2, a perfect fit no likelihood
+    r2 = 1 - ssr / row.sst if row.sst > 1e-13 * n else None
+    adjusted = None if r2 is None else 1 - (1 - r2) * (n - 1) / dof
+    llf = -n / 2 * (math.log(2 * math.pi) + math.log(ssr / n) + 1) if ssr > 0 else None
+    fit = (r2, adjusted, *((None, None) if llf is None else (2 * params - 2 * llf, math.log(n) * params - 2 * llf)), n)
     for name, c, v in zip(names, coef, var):
-        se = math.sqrt(v)
+        se = math.sqrt(max(0.0, v))
         t = c / se if se > 0 else float("nan")
         yield (name, float(c), se, t, student_t_two_sided(t, dof), *fit)
 

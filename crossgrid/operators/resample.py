@@ -9,6 +9,7 @@ statistic in the same pass.
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -18,31 +19,25 @@ from crossgrid.functions import hashing as H, metrics as M
 from crossgrid.operators.accuracy import CELL_KEY
 from crossgrid.operators.ranking import hashed_rank
 from crossgrid.operators.regress import moment_rows, unpack
-from crossgrid.session import BROADCAST_ROWS, attach_params, materialize, small_side
+from crossgrid.session import attach_params, materialize, small_side
 
 
 def permute_units(units: DataFrame, key: list[str], value: str, n_perms: int, seed: int = 0,
                   within: list[str] | None = None) -> DataFrame:
     """(perm, within..., key..., value): the values dealt out anew to the units of each stratum.
 
-    The units are written and counted, so their joins are broadcast only while units (x
-    permutations) are few.
+    The units are written when this is called, so Spark knows their size and chooses the join.
     """
     within = list(within or [])
     own = [k for k in key if k not in within]
     base = materialize(units.select(
         *within, *own, value,
         F.row_number().over(W.partitionBy(*within).orderBy(*key)).alias("_natural")), "units")
-    n_units = base.count()
     fanned = base.drop(value).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms))))
     drawn = W.partitionBy("perm", *within).orderBy(H.hash_order(F.lit(seed), "perm", *key))
     place = F.when(F.col("perm") == 0, F.col("_natural")).otherwise(F.row_number().over(drawn))
     dealt = base.select(*within, F.col("_natural").alias("_place"), value)
-    if n_units <= BROADCAST_ROWS:
-        dealt = F.broadcast(dealt)
-    perms = fanned.withColumn("_place", place).join(dealt, [*within, "_place"]).select(
-        "perm", *within, *own, value)
-    return F.broadcast(perms) if n_units * (n_perms + 1) <= BROADCAST_ROWS else perms
+    return fanned.withColumn("_place", place).join(dealt, [*within, "_place"]).select("perm", *within, *own, value)
 
 
 def summarize_null(stats: DataFrame, value: str, by: list[str] | None = None, two_sided: bool = False,
@@ -283,12 +278,8 @@ def bootstrap_r2_poisson(preds: DataFrame, cell: list[str], row_key: list[str],
     return _boot_summary(_weighted_r2(weighted, cell), cell, ci)
 
 
-# Distribution function of the Poisson distribution with mean 1, at 0, 1, 2, ...
-POISSON_CDF = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.9999988747974020, 0.9999998885745217,
-)
+# Distribution function of the Poisson distribution with mean 1 at 0, 1, 2, ...: as far as 32 bits tell it from 1.
+POISSON_CDF = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
 
 
 def poisson_weight(u):

@@ -15,17 +15,26 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from crossgrid.session import attach_params, materialize, small_side
 
 
-# Every task of a Gram aggregate holds a matrix of this side at most (200 MB of doubles).
-MAX_UNITS = 5000
+# Units in one side of a tile of a Gram matrix, and numbers a task holds for one batch of vectors.
+TILE_UNITS = 2000
+BATCH_NUMBERS = 4_000_000
 
 
 def vector_delta(fine: DataFrame, base: DataFrame, key: list[str], model: list[str]) -> DataFrame:
-    """Fine-tuned minus base value per key; a fine-tuned key that the base lacks is an error."""
-    b = base.select(*key, F.col("value").alias("_base"))
-    joined = fine.join(b, key, "left")
-    checked = F.when(F.col("_base").isNull(), F.raise_error(F.concat(
-        F.lit("parameter without base value: "), F.concat_ws("/", *[F.col(k).cast("string") for k in key])
-    )).cast("double")).otherwise(F.col("value") - F.col("_base"))
+    """Fine-tuned minus base value per key; a key that either side lacks, for any model, is an error."""
+    known = base.select(*key, F.col("value").alias("_base"), F.lit(True).alias("_in_base"))
+    total = known.agg(F.count(F.lit(1)).alias("_total"))
+    joined = fine.select(*model, *key, "value").join(known, key, "left")
+    held = joined.groupBy(*model).agg(F.count("_in_base").alias("_held"))  # one row a model
+    joined = attach_params(joined.join(held, model), total)
+
+    def named(what: str, columns: list[str]):
+        return F.raise_error(F.concat(F.lit(what), F.concat_ws("/", *[F.col(c).cast("string") for c in columns]))).cast("double")
+
+    checked = (
+        F.when(F.col("_in_base").isNull(), named("parameter without base value: ", key))
+        .when(F.col("_held") < F.col("_total"), named("base parameters missing in model ", model))
+        .otherwise(F.col("value") - F.col("_base")))
     return joined.select(*model, *key, checked.alias("delta"))
 
 
@@ -37,18 +46,24 @@ def missing_params(fine: DataFrame, base: DataFrame, key: list[str], model: list
 
 
 def param_overlay(recipient: DataFrame, donor: DataFrame, key: list[str], swap) -> DataFrame:
-    """Donor values where ``swap`` holds, the recipient's elsewhere; a missing donor key is an error."""
-    d = donor.select(*key, F.col("value").alias("_donor"))
-    joined = recipient.join(d, key, "left")
-    taken = F.when(F.col("_donor").isNull(), F.raise_error(F.lit("donor lacks a parameter to swap")).cast("double")).otherwise(F.col("_donor"))
-    return joined.select(*key, F.when(swap, taken).otherwise(F.col("value")).alias("value"), swap.alias("swapped"))
+    """Donor values where ``swap`` (a condition on the key) holds, the recipient's elsewhere.
+
+    A key of the swap set that either side lacks is an error, and so is an empty swap set."""
+    d = donor.filter(swap).select(*key, F.col("value").alias("_donor"), F.lit(True).alias("_in_donor"))
+    joined = recipient.select(*key, "value", F.lit(True).alias("_in_own")).join(d, key, "full").withColumn("_swap", swap)
+    taken = (
+        F.when(F.col("_in_donor").isNull(), F.raise_error(F.lit("donor lacks a parameter to swap")).cast("double"))
+        .when(F.col("_in_own").isNull(), F.raise_error(F.lit("recipient lacks a parameter to swap")).cast("double")).otherwise(F.col("_donor")))
+    n = d.agg(F.count(F.lit(1)).alias("_n_swap"))
+    value = F.when(F.col("_n_swap") == 0, F.raise_error(F.lit("no parameter to swap")).cast("double")).when(F.col("_swap"), taken).otherwise(F.col("value"))
+    return attach_params(joined, n).select(*key, value.alias("value"), F.col("_swap").alias("swapped"))
 
 
 def gram(df: DataFrame, vector: str, by: str | None = None, positions: str | None = None, size: str | None = None) -> DataFrame:
     """Upper triangle (i, j, v) of the sum of x x^T over all rows, per value of ``by``.
 
-    ``positions`` and ``size`` are given for sparse rows (array of places, full length). Each
-    task holds one K x K matrix per ``by`` value and emits it once.
+    ``positions`` and ``size`` are given for sparse rows (array of places, full length). A matrix of up to ``TILE_UNITS``
+    units is summed in the task and emitted once; a larger one is computed in tiles, each emitted per batch of rows.
     """
     group = F.col(by).cast("string") if by else F.lit("")
     pos = F.col(positions) if positions else F.lit(None).cast("array<int>")
@@ -58,19 +73,25 @@ def gram(df: DataFrame, vector: str, by: str | None = None, positions: str | Non
     def accumulate(batches):
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
-            for g, part in pdf.groupby("g"):
-                k = int(part["k"].iloc[0])
-                if k > MAX_UNITS:
-                    raise ValueError(f"{k} units: a Gram matrix is for models or features, at most {MAX_UNITS}")
-                if part["p"].iloc[0] is None:
-                    x = np.stack(part["x"].to_numpy())
-                else:
+            for g, whole in pdf.groupby("g"):
+                k = int(whole["k"].max())
+                rows = max(1, BATCH_NUMBERS // max(1, k))
+                for at in range(0, len(whole), rows):
+                    part = whole.iloc[at : at + rows]
+                    if not (part["k"] == k).all():
+                        raise ValueError("vectors of different lengths in one Gram matrix")
                     x = np.zeros((len(part), k))
-                    lengths = [len(v) for v in part["p"]]
-                    x[np.repeat(np.arange(len(part)), lengths), np.concatenate(part["p"].to_numpy()).astype(int)] = \
-                        np.concatenate(part["x"].to_numpy())
-                s = x.T @ x
-                total[g] = total[g] + s if g in total else s
+                    places = [np.arange(len(v)) if p is None else np.asarray(p, dtype=int) for p, v in zip(part["p"], part["x"])]
+                    x[np.repeat(np.arange(len(part)), [len(p) for p in places]), np.concatenate(places)] = np.concatenate(part["x"].to_numpy())
+                    if k <= TILE_UNITS:
+                        s = x.T @ x
+                        total[g] = total[g] + s if g in total else s
+                        continue
+                    for a in range(0, k, TILE_UNITS):
+                        for b in range(a, k, TILE_UNITS):
+                            s = x[:, a : a + TILE_UNITS].T @ x[:, b : b + TILE_UNITS]
+                            i, j = np.triu_indices(len(s)) if a == b else np.indices(s.shape).reshape(2, -1)
+                            yield pd.DataFrame({"g": g, "i": (i + a).astype("int32"), "j": (j + b).astype("int32"), "v": s[i, j]})
         for g, s in total.items():
             i, j = np.triu_indices(len(s))
             yield pd.DataFrame({"g": g, "i": i.astype("int32"), "j": j.astype("int32"), "v": s[i, j]})
@@ -87,7 +108,7 @@ def cosine_pairs(long: DataFrame, unit: list[str], key: list[str], value: str, b
     """
     groups = [by] if by else []
     units = small_side(
-        long.select(*unit).distinct().withColumn("_i", F.row_number().over(W.orderBy(*unit)) - 1), "units", MAX_UNITS)
+        long.select(*unit).distinct().withColumn("_i", F.row_number().over(W.orderBy(*unit)) - 1), "units")
     n_units = units.agg((F.max("_i") + 1).alias("_k"))
     # one row per key with at most one entry per unit
     packed = (
@@ -193,8 +214,13 @@ def svd_share(cells: DataFrame, value: str) -> DataFrame:
     """
     mean = cells.agg(F.avg(value).alias("_mean"))
     centred = attach_params(cells, mean).withColumn("_v", F.col(value) - F.col("_mean"))
-    rows = centred.groupBy("model_year", "model_quarter").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("eval_year", "eval_quarter", "_v"))), lambda e: e["_v"]).alias("_r"))
+    # every row of the matrix must hold every column: a hole has no singular value
+    columns = cells.select("eval_year", "eval_quarter").distinct().agg(F.count(F.lit(1)).alias("_columns"))
+    listed = attach_params(centred.groupBy("model_year", "model_quarter").agg(
+        F.array_sort(F.collect_list(F.struct("eval_year", "eval_quarter", "_v"))).alias("_e"), F.count("_v").alias("_n")), columns)
+    row = F.when(F.col("_n") == F.col("_columns"), F.transform("_e", lambda e: e["_v"])).otherwise(
+        F.raise_error(F.concat(F.lit("incomplete matrix: model period "), F.concat_ws("/", "model_year", "model_quarter"), F.lit(" lacks cells"))).cast("array<double>"))
+    rows = listed.select(row.alias("_r"))
     packed = gram(rows, "_r").agg(F.collect_list(F.struct("i", "j", "v")).alias("_g"))
 
     def decompose(batches):

@@ -8,7 +8,9 @@ from crossgrid.functions import metrics as M
 from crossgrid.operators import accuracy as A, cells as C
 from crossgrid.plans import fixtures as X
 from crossgrid.plans.registry import query, r
-from crossgrid.session import attach_params, rounded
+from crossgrid.session import attach_params, rounded, scratch_path
+from crossgrid.sources.readers import read_predictions
+from crossgrid.sources.sinks import write_prediction_files
 
 PERIOD = ["year", "quarter"]
 
@@ -28,6 +30,24 @@ def cross_quarter_matrix(t):
                              rounded("pearson_r").alias("pearson_r"))
 
 
+@query("prediction_cells", f"""
+    SELECT lower(state || state) AS state, variable, year AS model_year, 1::INTEGER AS model_quarter, year AS eval_year, quarter AS eval_quarter,
+           12::INTEGER AS epoch, count(*) AS n, {r("1 - avg((label - pred) * (label - pred)) / var_pop(label)")} AS r2,
+           {r("covar_pop(label, pred) / sqrt(var_pop(label) * var_pop(pred))")} AS pearson_r
+    FROM ({X.PRED_SQL}) GROUP BY ALL""")
+def prediction_cells(t):
+    """Prediction files of two epochs, written, scanned and scored: R2, r and n of every cell at its highest epoch."""
+    p = X.predictions(t)
+    rows = p.select(
+        F.lower(F.concat("state", "state")).alias("state"), "variable", F.col("year").alias("model_year"), F.lit(1).alias("model_quarter"),
+        F.col("year").alias("eval_year"), F.col("quarter").alias("eval_quarter"), F.col("l_orderkey").cast("string").alias("name"), "label",
+        F.explode(F.array(F.struct(F.lit(5).alias("epoch"), (F.col("pred") / 2).alias("pred")), F.struct(F.lit(12).alias("epoch"), F.col("pred").alias("pred")))).alias("e"))
+    path = scratch_path(t.spark, "predictions")
+    write_prediction_files(rows.select("*", "e.epoch", "e.pred").drop("e"), path)
+    out = A.score_cells(read_predictions(t.spark, path), ["state", "variable"])
+    return out.select("state", "variable", *A.CELL_KEY, "epoch", "n", rounded("r2").alias("r2"), rounded("pearson_r").alias("pearson_r"))
+
+
 @query("cross_state_matrix", f"""
     WITH p AS ({X.PRED_SQL}),
     q AS (SELECT state, count(*) AS n, avg(quantity) AS mx, avg(label) AS my, var_pop(quantity) AS vx,

@@ -295,7 +295,7 @@ def zonal_counts(t):
     WITH p AS (SELECT lon, lat FROM ({X.COORDS_SQL})), {_ZONES}
     SELECT geoid, count(*) AS n_pixels FROM p JOIN zn ON lon >= x0 AND lon < x0 + 10.5 AND lat >= y0 AND lat < y0 + 4.5 GROUP BY geoid HAVING count(*) > 60""")
 def zonal_rejects(t):
-    """Polygons whose pixel count is over the limit: reported, not counted."""
+    """Polygons whose pixel count is over the limit: reported, and counted like the others."""
     px = X.coords(t).select(F.col("lon").alias("x"), F.col("lat").alias("y"), F.lit("all").alias("class"))
     k = F.col("n_nationkey")
     x0 = -125.0 + 11 * (k % 5)

@@ -43,7 +43,7 @@ def stream_accuracy(t):
 def stream_windows(t):
     """Tumbling days and sliding weeks over the event stream."""
     def run(kind, width, slide=None):
-        out = jobs.stream_windows(_stream(t).events, "ts", ["event_type"], "value", "1 hour", scratch_path(t.spark, "stream"), width, slide)
+        out = jobs.stream_windows(_stream(t).events, "ts", ["event_type"], "value", scratch_path(t.spark, "stream"), width, slide)
         return out.select(F.lit(kind).alias("kind"), F.date_format("window_start", "yyyy-MM-dd").alias("window_start"),
                           "event_type", "n", rounded("total", 4).alias("total"))
 
@@ -54,12 +54,12 @@ def stream_windows(t):
     WITH e AS (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, TRUE)::INTEGER AS fresh FROM events),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
     g AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n, sum(value) AS total FROM s GROUP BY user_id, k)
-    SELECT user_id, strftime(session_start, '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(session_end, '%Y-%m-%d %H:%M:%S.%f') AS session_end, n, {r("total", 4)} AS total FROM g
-    WHERE session_end <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""")
+    SELECT user_id, strftime(session_start, '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(session_end, '%Y-%m-%d %H:%M:%S.%f') AS session_end, n, {r("total", 4)} AS total,
+           session_end > (SELECT max(ts) FROM events) AS is_open FROM g""")
 def stream_sessions(t):
-    """Sessions per user with a 30 minute gap; open ones wait for the watermark."""
-    out = jobs.stream_sessions(_stream(t).events, "ts", "user_id", "value", "30 minutes", "1 hour", scratch_path(t.spark, "stream"))
-    return out.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("session_start", "session_end")], "n", rounded("total", 4).alias("total"))
+    """Sessions per user with a 30 minute gap, open ones too."""
+    out = jobs.stream_sessions(_stream(t).events, "ts", "user_id", "value", "30 minutes", scratch_path(t.spark, "stream"))
+    return out.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("session_start", "session_end")], "n", rounded("total", 4).alias("total"), "is_open")
 
 
 @query("stream_dedup", """SELECT event_id, user_id, event_type, value FROM events""")
@@ -69,5 +69,5 @@ def stream_dedup(t):
     events = _stream(t).events.select("event_id", "user_id", "event_type", "value", "ts")
     out = None
     for _ in range(2):  # the second run starts without progress, like a lost checkpoint
-        out = jobs.stream_append_once(events, ["event_id"], "ts", "1 hour", scratch_path(t.spark, "stream"), table)
+        out = jobs.stream_append_once(events, ["event_id"], scratch_path(t.spark, "stream"), table)
     return out.select("event_id", "user_id", "event_type", "value")

@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="crossgrid-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
@@ -53,15 +55,10 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
-# A table of keys and a few numbers with this many rows is some tens of MB.
-BROADCAST_ROWS = 500_000
-
-
-def small_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """An aggregated table for the small side of a join: written once, counted, and broadcast
-    only if it has at most ``max_rows`` rows. A longer one is left to a shuffle join."""
-    table = materialize(df, label)
-    return F.broadcast(table) if table.count() <= max_rows else table
+def small_side(df: DataFrame, label: str) -> DataFrame:
+    """An aggregated table for one side of a join, written once (when this is called). Its size in bytes is then known,
+    and Spark chooses the join by its own threshold."""
+    return materialize(df, label)
 
 
 def attach_params(df: DataFrame, params: DataFrame) -> DataFrame:

@@ -27,13 +27,28 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, required:
     return require_columns(df, required or [])
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """All prediction files below a glob in one scan; periods come from each file's path."""
-    raw = (
+def plain_path(path: Column) -> Column:
+    """A file's path without ``name=`` before partition values and without Spark's part file below a ``.csv`` folder."""
+    return F.regexp_replace(F.regexp_replace(path, r"(?<=/)[a-z_]+=", ""), r"(\.csv)/part-[^/]*$", "$1")
+
+
+def unmatched_paths(spark: SparkSession, path: str) -> DataFrame:
+    """Files below a glob whose path does not tell their cell: (path, n_rows). ``read_predictions`` leaves them out."""
+    raw = _prediction_files(spark, path)
+    return raw.select("path", *[c.alias(n) for n, c in parse_pred_path("path").items()]).filter("epoch is null").groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _prediction_files(spark: SparkSession, path: str) -> DataFrame:
+    return (
         spark.read.schema(PRED_SCHEMA).option("header", True).option("enforceSchema", True)
         .option("recursiveFileLookup", True).csv(path)
-        .withColumn("path", F.col("_metadata.file_path"))
+        .withColumn("path", plain_path(F.col("_metadata.file_path")))
     )
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """All prediction files below a glob in one scan; periods come from each file's path."""
+    raw = _prediction_files(spark, path)
     return raw.select(
         "path", *[c.alias(n) for n, c in parse_pred_path("path").items()],
         normalize_id(item_key("name")).alias("geoid"),

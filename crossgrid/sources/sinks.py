@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crossgrid.functions.ids import safe_double
@@ -37,6 +38,15 @@ def write_predictions(preds: DataFrame, path: str) -> None:
     preds.write.partitionBy("state", "model_year", "model_quarter").parquet(path)
 
 
+def write_prediction_files(preds: DataFrame, path: str) -> None:
+    """One folder of CSV for each model, evaluation cell, epoch and variable, named as ``read_predictions`` expects."""
+    file = F.format_string("epoch%d_valset_%s_%d_q%d_s2_allbands_%s_preds.csv", "epoch", "state", "eval_year", "eval_quarter", "variable")
+    rows = preds.select(
+        F.lit(None).cast("string").alias("row_index"), "name", "pred", "label", F.lit(None).cast("string").alias("extra"),
+        F.col("state").alias("state_"), F.format_string("q%d_%d", "model_quarter", "model_year").alias("model_"), file.alias("file_"))
+    rows.repartition("state_", "model_", "file_").write.partitionBy("state_", "model_", "file_").option("header", True).csv(path)
+
+
 def write_matrix(wide: DataFrame, path: str) -> None:
     """A wide matrix has one row per model period, so one CSV file is enough."""
     wide.coalesce(1).write.option("header", True).csv(path)
@@ -57,16 +67,26 @@ def todo_keys(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return wanted.join(done.select(*key), key, "left_anti")
 
 
-def append_missing(spark: SparkSession, fresh: DataFrame, path: str, key: list[str]) -> None:
-    """Append only the rows whose key the table does not hold yet."""
+#: Column by which an appended table is partitioned: a hash of the key.
+BUCKET = "_bucket"
+BUCKETS = 64
+
+
+def append_missing(spark: SparkSession, fresh: DataFrame, path: str, key: list[str], buckets: int = BUCKETS) -> None:
+    """Append only the rows whose key the table does not hold yet, one row for each key.
+
+    The table is partitioned by key bucket; of what it holds, only the buckets of ``fresh`` are read, and only the keys."""
+    rows = fresh.dropDuplicates(key).withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
     try:
-        done = spark.read.parquet(path).select(*key)
-    except Exception as e:  # first run: the table does not exist
-        if "PATH_NOT_FOUND" not in str(e):
+        done = spark.read.schema(rows.schema).parquet(path)
+    except AnalysisException as e:  # first run: the table does not exist
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        fresh.write.parquet(path)
+        rows.write.partitionBy(BUCKET).parquet(path)
         return
-    fresh.join(done, key, "left_anti").write.mode("append").parquet(path)
+    touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+    have = done.filter(F.col(BUCKET).isin(touched)).select(*key)
+    rows.join(have, key, "left_anti").write.mode("append").partitionBy(BUCKET).parquet(path)
 
 
 def union_parts(parts: list[DataFrame]) -> DataFrame:

@@ -7,9 +7,10 @@ that is replayed after a failure replaces its own output and nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from crossgrid.sources.sinks import append_missing
+from crossgrid.session import attach_params
+from crossgrid.sources.sinks import BUCKET, append_missing
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -75,44 +76,46 @@ def stream_accuracy(stream: DataFrame, keys: list[str], label: str, pred: str, w
     return merge_moments(stream.sparkSession.read.parquet(out), keys)
 
 
-def stream_windows(stream: DataFrame, time: str, group: list[str], value: str, delay: str, work_dir: str,
-                   width: str, slide: str | None = None) -> DataFrame:
-    """Count and sum per event-time window in update mode; the latest batch wins per window."""
+def stream_windows(stream: DataFrame, time: str, group: list[str], value: str, work_dir: str, width: str, slide: str | None = None) -> DataFrame:
+    """Count and sum per event-time window. Each batch adds its partial sums, so a row counts however late it comes."""
     out = f"{work_dir}/windows"
     window = F.window(time, width, slide) if slide else F.window(time, width)
-    counts = stream.withWatermark(time, delay).groupBy(window, *group).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        parts = batch.groupBy(window.alias("window"), *group).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+        parts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    run_batches(stream, work_dir, add)
+    parts = stream.sparkSession.read.parquet(out)
+    return parts.groupBy("window", *group).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *group, "n", "total")
 
-    run_batches(counts, work_dir, add, "update")
-    updates = stream.sparkSession.read.parquet(out)
-    return updates.groupBy("window", *group).agg(
-        F.max_by(F.struct("n", "total"), "batch").alias("_v")
-    ).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *group, "_v.*")
 
+def stream_sessions(stream: DataFrame, time: str, key: str, value: str, gap: str, work_dir: str) -> DataFrame:
+    """Sessions over all batches, open ones too.
 
-def stream_sessions(stream: DataFrame, time: str, key: str, value: str, gap: str, delay: str, work_dir: str) -> DataFrame:
-    """Closed sessions only: a session is emitted once the watermark has passed its end."""
+    Each batch adds the sessions of its own rows; those of one key that touch are merged at the end, so late rows widen or
+    join sessions and none is lost. ``is_open``: no event of any key is later than the session's end."""
     out = f"{work_dir}/sessions"
-    sessions = stream.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("s"), key).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    run_batches(sessions, work_dir, add)
-    done = stream.sparkSession.read.parquet(out)
-    return done.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n", "total")
+        parts = batch.groupBy(F.session_window(time, gap).alias("s"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+        parts.select(key, F.col("s.start").alias("a"), F.col("s.end").alias("b"), "n", "total").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
+    run_batches(stream, work_dir, add)
+    parts = stream.sparkSession.read.parquet(out).drop("batch")
+    by_start = W.partitionBy(key).orderBy("a", "b")
+    before = F.max("b").over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    numbered = parts.withColumn("_new", (before.isNull() | (F.col("a") >= before)).cast("int")).withColumn("_k", F.sum("_new").over(by_start))
+    whole = numbered.groupBy(key, "_k").agg(F.min("a").alias("session_start"), F.max("b").alias("session_end"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    last = parts.agg((F.max("b") - F.expr(f"INTERVAL {gap}")).alias("_last"))
+    return attach_params(whole, last).select(key, "session_start", "session_end", "n", "total", (F.col("session_end") > F.col("_last")).alias("is_open"))
 
-def stream_append_once(stream: DataFrame, key: list[str], time: str, delay: str, work_dir: str, table: str) -> DataFrame:
-    """Append rows whose key is new: duplicates within the watermark and replays change nothing."""
-    unique = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
+def stream_append_once(stream: DataFrame, key: list[str], work_dir: str, table: str) -> DataFrame:
+    """Append rows whose key is new, however late they come: repeats in a batch, in the table and in replays change nothing."""
     def add(batch: DataFrame, batch_id: int) -> None:
         append_missing(batch.sparkSession, batch, table, key)
 
-    run_batches(unique, work_dir, add)
-    return stream.sparkSession.read.parquet(table)
+    run_batches(stream, work_dir, add)
+    return stream.sparkSession.read.parquet(table).drop(BUCKET)

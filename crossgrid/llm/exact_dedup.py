@@ -67,10 +67,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = maybe.groupBy("text_sha256").agg(
         F.max(F.struct("_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("group_size")
     )
-    # one row a group on the right; adaptive execution splits the left side of a hot group
-    compared = maybe.join(groups, "text_sha256").select(
-        F.col("_id").alias(id_col), F.col("_keep._id").alias("keep_id"), "group_size",
-        (F.col("_row") == F.col("_keep._row")).alias("kept"), "text_sha256",
+    # one row a group, written apart: the join below then has exchanges of its own, and adaptive execution can split the
+    # rows of a hot group among tasks
+    groups = materialize(groups.filter("group_size > 1"), "text-groups")
+    compared = maybe.join(groups, "text_sha256", "left").select(
+        F.col("_id").alias(id_col), F.when(F.col("_keep").isNull(), F.col("_id")).otherwise(F.col("_keep._id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        (F.col("_keep").isNull() | (F.col("_row") == F.col("_keep._row"))).alias("kept"), "text_sha256",
     )
     return once.unionByName(compared)
 

@@ -49,14 +49,14 @@ def unit_grid(units: DataFrame, left: str, right: str, by: list[str] | None = No
     """Every ordered pair of units as two struct columns.
 
     ``units`` is an aggregated table with one row per unit (periods, models), so the array
-    that is exploded twice is bounded by the number of units, not by the data.
+    that is exploded twice is bounded by the number of units, not by the data. The first explode
+    is dealt out by unit, so no single task makes all the pairs.
     """
     keys = list(by or [])
     cols = [c for c in units.columns if c not in keys]
     packed = units.groupBy(*keys).agg(F.collect_list(F.struct(*cols)).alias("_u"))
-    return packed.select(*keys, F.explode("_u").alias(left), "_u").select(
-        *keys, left, F.explode("_u").alias(right)
-    )
+    first = packed.select(*keys, F.explode("_u").alias(left), "_u").repartition(*keys, left)
+    return first.select(*keys, left, F.explode("_u").alias(right))
 
 
 def transfer_cells(moments: DataFrame, year: str = "year", quarter: str = "quarter",

@@ -12,7 +12,7 @@ from crossgrid.session import materialize, rounded
 
 CELL = ["year", "quarter"]
 SETS = {"quantity": ("quantity",), "discount": ("discount",), "tax": ("tax",), "terms": ("quantity", "discount")}
-REPEATS = 3
+REPEATS = 5
 
 
 def _score(c):
@@ -236,7 +236,7 @@ def _layer_pairs_sql(layer: str) -> str:
 
 
 _LAYERS = {"A": "patch_embed", "N": "stage3", "R": "final_norm"}
-_LAYER_PERMS = 199
+_LAYER_PERMS = 999
 
 
 def _layer_sql() -> str:

@@ -86,7 +86,7 @@ def block_sweep(t):
                       rounded("cross_split_fraction").alias("cross_split_fraction"), rounded("chance_agreement").alias("chance_agreement"))
 
 
-_MORAN_PERMS = 199
+_MORAN_PERMS = 999
 
 
 def _moran_sql() -> str:

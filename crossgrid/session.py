@@ -11,14 +11,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 class Tables:
     """Lazy access to the parquet tables of one directory: ``Tables(spark, dir).lineitem``."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, conditions: dict | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.conditions = dict(conditions or {})
+
+    def where(self, **conditions) -> Tables:
+        """The same tables, some of them filtered: ``where(lineitem=condition)``."""
+        return Tables(self.spark, self.sf_dir, self.conditions | conditions)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return table.filter(self.conditions[name]) if name in self.conditions else table
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,36 +1,46 @@
 """Exact linear-interpolated quantiles without gathering a group in one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here equal
-values are counted first (so a hot value is one row), a histogram over [min, max] finds the
-bin that holds each wanted rank, and only the values of those bins are sorted. ``levels`` > 1
-refines the bins again, for values that crowd into a small part of their range. Every step
-uses exact counts and exact minima and maxima, so the result does not depend on task order.
+values are counted first (so a hot value is one row) and written, a histogram over [min, max]
+finds the bin that holds each wanted rank, and only the values of those bins are sorted. Bins
+are refined until the ones that are sorted are small, so values may crowd into any part of
+their range. Every step uses exact counts and exact minima and maxima, so the result does not
+depend on task order. The data are read once, when this is called.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from crossgrid.session import materialize
+
 _WINDOW = ["_lo", "_hi", "_below"]
+#: Distinct values that one task may have to sort.
+SMALL_BIN = 200_000
 
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-    bins: int = 65536, levels: int = 1,
+    bins: int = 65536, levels: int = 1, exclusive: bool = False,
 ) -> DataFrame:
-    """Rows (by..., prob, value): ``percentile(value, prob)`` per group, NULLs ignored."""
+    """Rows (by..., prob, value): ``percentile(value, prob)`` per group, NULLs ignored.
+
+    Bins are refined ``levels`` times at least, and until they are small.
+    ``exclusive`` takes positions p * (n + 1) instead, within the first and the last value."""
     keys = list(by or [])
     group = keys or ["_all"]
     base = df if keys else df.withColumn("_all", F.lit(1))
-    counts = (
+    counts = materialize(
         base.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*group, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.count(F.lit(1)).alias("_c")), "value-counts"
     )
     limits = counts.groupBy(*group).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n")
     )
     pos = F.col("_p") * (F.col("_n") - 1)
+    if exclusive:
+        pos = F.least(F.greatest(F.col("_p") * (F.col("_n") + 1) - 1, F.lit(0.0)), F.col("_n") - 1.0)
     targets = (
         limits.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("_frac", pos - F.floor(pos))
@@ -50,17 +60,19 @@ def exact_quantiles(
             (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
         )
 
-    for _ in range(levels):
+    level = 0
+    while True:
+        level += 1
         share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
         hist = (
             spans(targets).withColumn("_bin", F.floor(share * bins))
             .groupBy(*group, *_WINDOW, "_bin")
-            .agg(F.sum("_c").alias("_m"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi"))
+            .agg(F.sum("_c").alias("_m"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi"), F.count(F.lit(1)).alias("_rows"))
         )
         before = W.partitionBy(*group, *_WINDOW).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
         hist = hist.withColumn(
             "_start", F.col("_below") + F.coalesce(F.sum("_m").over(before), F.lit(0))
-        ).select(*group, *_WINDOW, "_start", "_m", "_blo", "_bhi")
+        ).select(*group, *_WINDOW, "_start", "_m", "_blo", "_bhi", "_rows")
         narrowed = targets.join(hist, [*group, *_WINDOW], "left").filter(
             F.col("_start").isNull()
             | ((F.col("_k") >= F.col("_start")) & (F.col("_k") < F.col("_start") + F.col("_m")))
@@ -68,8 +80,13 @@ def exact_quantiles(
         targets = narrowed.select(
             *group, "_p", "_frac", "_k", "_is_low",
             F.coalesce("_blo", "_lo").alias("_lo"), F.coalesce("_bhi", "_hi").alias("_hi"),
-            F.coalesce("_start", "_below").alias("_below"),
+            F.coalesce("_start", "_below").alias("_below"), "_rows",
         )
+        targets = materialize(targets, "quantile-bins")  # groups x probabilities
+        if level >= levels and (targets.filter("_lo < _hi").agg(F.max("_rows")).first()[0] or 0) <= SMALL_BIN:
+            targets = targets.drop("_rows")
+            break
+        targets = targets.drop("_rows")
 
     run = W.partitionBy(*group, *_WINDOW).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     ranked = (

@@ -1,10 +1,10 @@
-"""Spatial operators: nearest neighbours of a sample, block sweeps, spatial autocorrelation."""
+"""Spatial operators: nearest neighbours of all points or of a sample, block sweeps, spatial autocorrelation."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from crossgrid.functions import geo, hashing as H
 from crossgrid.operators.quantile import quantile_columns
@@ -65,22 +65,70 @@ def knn(points: DataFrame, sample: DataFrame, key: str, k: int = NEIGHBOURS) ->
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def exclusive_quartiles(df: DataFrame, value: str) -> DataFrame:
-    """min, p25, median, p75, max with the exclusive rule (positions p * (n + 1)).
+#: Points of a grid cell from which the search of all neighbours starts.
+CROWD = 64
+FINEST = 22
+
+
+def _cell(m: int) -> tuple[Column, Column]:
+    g = 360.0 / (1 << m)
+    return (F.floor((F.col("lon") + 180.0) / g) % (1 << m)).cast("long").alias("cx"), F.floor((F.col("lat") + 90.0) / g).cast("long").alias("cy")
 
-    For samples: the values are as many as the sample size parameter allows.
+
+def knn_all(points: DataFrame, key: str, k: int = NEIGHBOURS, crowd: int = CROWD) -> DataFrame:
+    """k nearest other points of every point by great-circle distance, exactly: (id, neighbor, km, rank).
+
+    Points at one place share their search, and only the k + 1 lowest keys of a place can be anyone's neighbours, so a
+    crowded place is small. Places look in the 3 x 3 grid cells around them. A place is done when its neighbours are nearer
+    than the edge of that square; the others look again in cells four times as wide, up to the whole globe. The first grid
+    is the widest one whose cells hold at most ``crowd`` places. Points without coordinates are left out.
     """
-    xs = df.agg(F.array_sort(F.collect_list(value)).alias("x")).withColumn("n", F.size("x"))
+    own = points.select(F.col(key).alias("id"), (F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon")).filter("lat is not null and lon is not null")
+    lowest = F.row_number().over(W.partitionBy("lat", "lon").orderBy("id"))
+    refs = materialize(own.withColumn("_r", lowest).filter(F.col("_r") <= k + 1), "reference-points")
+    places = refs.filter("_r = 1").select("lat", "lon")
+    grid = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), *_cell(m)) for m in range(2, FINEST + 1)])).alias("g")
+    most = places.select(grid).groupBy("g").agg(F.count(F.lit(1)).alias("n")).groupBy("g.m").agg(F.max("n").alias("n"))
+    fine = [r["m"] for r in most.collect() if r["n"] <= crowd]  # one row a level
+    level, todo, done = min(fine, default=FINEST), places, None
+    while True:
+        g = 360.0 / (1 << level)
+        cx, cy = _cell(level)
+        around = F.array(*[F.struct(((F.col("_x") + i + (1 << level)) % (1 << level)).alias("cx"), (F.col("_y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        asked = todo.select("lat", "lon", cx.alias("_x"), cy.alias("_y")).withColumn("_c", F.explode(F.array_distinct(around)))
+        there = refs.select(F.col("id").alias("neighbor"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *[c for c in _cell(level)])
+        there = there.select("neighbor", F.col("_lat"), F.col("_lon"), "cx", "cy")
+        near = asked.select("lat", "lon", "_x", "_y", "_c.*").join(there, ["cx", "cy"]).withColumn("km", geo.haversine_km("lat", "lon", "_lat", "_lon"))
+        best = W.partitionBy("lat", "lon").orderBy("km", "neighbor")
+        near = near.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k + 1)
+        # what lies outside the square is at least as far as its nearest edge: a parallel or a meridian
+        north, south = (F.col("_y") + 2) * g - 90.0, (F.col("_y") - 1) * g - 90.0
+        to_parallel = F.least(F.when(north < 90.0, north - F.col("lat")).otherwise(F.lit(360.0)), F.when(south > -90.0, F.col("lat") - south).otherwise(F.lit(360.0)))
+        turn = F.col("lon") + 180.0 - F.floor((F.col("lon") + 180.0) / g) * g + g
+        aside = F.least(turn, 3 * g - turn)
+        to_meridian = F.when(aside < 90.0, F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(aside)))).otherwise(F.radians(90.0 - F.abs("lat")))
+        edge = geo.EARTH_RADIUS_KM * F.least(F.radians(to_parallel), to_meridian)
+        whole = F.lit(level <= 1)
+        state = near.groupBy("lat", "lon").agg(
+            (F.when(F.count(F.lit(1)) > k, F.max("km")).otherwise(F.lit(float("inf"))) < F.min(edge)).alias("_ok"),
+            F.collect_list(F.struct("neighbor", "km")).alias("_near"))  # at most k + 1
+        found = materialize(state.withColumn("_ok", F.col("_ok") | whole), "neighbours-found")
+        part = found.filter("_ok").select("lat", "lon", "_near")
+        done = part if done is None else done.union(part)
+        todo = found.filter("not _ok").select("lat", "lon")
+        if level <= 1 or todo.isEmpty():
+            break
+        level = max(1, level - 2)
+    each = own.join(done, ["lat", "lon"]).select("id", F.explode("_near").alias("n")).select("id", "n.*").filter("id <> neighbor")
+    rank = F.row_number().over(W.partitionBy("id").orderBy("km", "neighbor"))
+    return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "neighbor", "km", "rank")
 
-    def at(p: float):
-        pos = F.lit(p) * (F.col("n") + 1)
-        j = F.least(F.greatest(F.floor(pos).cast("int"), F.lit(1)), F.col("n") - 1)
-        d = pos - j
-        return F.element_at("x", j) * (1 - d) + F.element_at("x", j + 1) * d
 
-    return xs.select(
-        F.col("n"), F.array_min("x").alias("min"), at(0.25).alias("p25"), at(0.5).alias("median"),
-        at(0.75).alias("p75"), F.array_max("x").alias("max"))
+def exclusive_quartiles(df: DataFrame, value: str) -> DataFrame:
+    """min, p25, median, p75, max with the exclusive rule (positions p * (n + 1)), for any number of values."""
+    quartiles = quantile_columns(df, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}, exclusive=True)
+    ends = df.agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return attach_params(quartiles, ends).select(F.col("n").cast("int").alias("n"), "min", "p25", "median", "p75", "max")
 
 
 def block_sweep(points: DataFrame, neighbours: DataFrame, key: str, degrees=BLOCK_DEGREES,
@@ -101,10 +149,9 @@ def block_sweep(points: DataFrame, neighbours: DataFrame, key: str, degrees=BLOC
     sizes = blocks.groupBy("block_deg").agg(
         F.count(F.lit(1)).alias("n_blocks"), F.min("n").alias("min_items"), F.max("n").alias("max_items"), *share.values())
     median = quantile_columns(blocks, "n", {"median_items": 0.5}, ["block_deg"])
-    # the neighbour pairs are sample size x k rows
-    pairs = F.broadcast(neighbours.select(F.col("id").alias("_a"), F.col("neighbor").alias("_b")))
+    pairs = neighbours.select(F.col("id").alias("_a"), F.col("neighbor").alias("_b"))
     place = points.select(F.col(key).alias("_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
-    a = F.broadcast(place.join(pairs, "_a"))
+    a = place.join(pairs, "_a")
     other = points.select(F.col(key).alias("_b"), "lon", "lat")
     both = other.join(a, "_b").withColumn("block_deg", F.explode(options))
     crossed = H.split_bucket(geo.block_id("lon_a", "lat_a", F.col("block_deg")), split, seed) != H.split_bucket(

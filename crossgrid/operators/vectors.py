@@ -54,7 +54,7 @@ def param_overlay(recipient: DataFrame, donor: DataFrame, key: list[str], swap)
     taken = (
         F.when(F.col("_in_donor").isNull(), F.raise_error(F.lit("donor lacks a parameter to swap")).cast("double"))
         .when(F.col("_in_own").isNull(), F.raise_error(F.lit("recipient lacks a parameter to swap")).cast("double")).otherwise(F.col("_donor")))
-    n = d.agg(F.count(F.lit(1)).alias("_n_swap"))
+    n = joined.agg(F.count_if("_swap").alias("_n_swap"))
     value = F.when(F.col("_n_swap") == 0, F.raise_error(F.lit("no parameter to swap")).cast("double")).when(F.col("_swap"), taken).otherwise(F.col("value"))
     return attach_params(joined, n).select(*key, value.alias("value"), F.col("_swap").alias("swapped"))
 

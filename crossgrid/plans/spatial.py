@@ -26,19 +26,18 @@ _KM = """2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(power(sin(radians(p.l
          + cos(radians(s.lat)) * cos(radians(p.lat)) * power(sin(radians(p.lon - s.lon) / 2), 2))))"""
 
 _KNN = f"""
-    WITH c AS MATERIALIZED ({X.COORDS_SQL}), s AS (SELECT * FROM c ORDER BY md5('1337:' || id) LIMIT {SP.SAMPLE_SIZE}),
+    WITH c AS MATERIALIZED ({X.COORDS_SQL}), s AS (SELECT * FROM c),
     d AS (SELECT s.id, p.id AS neighbor, {_KM} AS km FROM s JOIN c p ON p.id <> s.id),
     k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, neighbor)::INTEGER AS rank FROM d QUALIFY rank <= {SP.NEIGHBOURS})"""
 
 
 def _knn(t, k=SP.NEIGHBOURS):
-    pts = X.coords(t)
-    return SP.knn(pts, SP.sample_points(pts, "id"), "id", k)
+    return SP.knn_all(X.coords(t), "id", k)
 
 
 @query("knn_haversine", _KNN + f" SELECT id, neighbor, rank, {r('km')} AS km FROM k")
 def knn_haversine(t):
-    """Five nearest other points of every sampled point."""
+    """Five nearest other points of every point."""
     return _knn(t).select("id", "neighbor", "rank", rounded("km").alias("km"))
 
 

@@ -13,6 +13,10 @@ from crossgrid.session import attach_params
 from crossgrid.sources.sinks import BUCKET, append_missing
 
 
+#: Key buckets of a table that is appended to.
+BUCKETS = 64
+
+
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Parquet files of one table as a stream, with the table's own schema.
 
@@ -115,7 +119,7 @@ def stream_sessions(stream: DataFrame, time: str, key: str, value: str, gap: str
 def stream_append_once(stream: DataFrame, key: list[str], work_dir: str, table: str) -> DataFrame:
     """Append rows whose key is new, however late they come: repeats in a batch, in the table and in replays change nothing."""
     def add(batch: DataFrame, batch_id: int) -> None:
-        append_missing(batch.sparkSession, batch, table, key)
+        append_missing(batch.sparkSession, batch, table, key, BUCKETS)
 
     run_batches(stream, work_dir, add)
     return stream.sparkSession.read.parquet(table).drop(BUCKET)

@@ -512,3 +512,132 @@ def test_streaming_union_of_batches_is_batch(spark):
     want = A.accuracy(spark.createDataFrame(pdf), ["k"], "y", "f").toPandas().sort_values("k")
     for c in ("n", "r2", "pearson_r", "bias", "mae"):
         assert np.allclose(got[c], want[c], rtol=1e-9)
+
+
+def test_knn_all_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    pts = [(i, float(lo), float(la)) for i, (lo, la) in enumerate(zip(rng.uniform(-180, 180, 120), rng.uniform(-90, 90, 120)))]
+    pts += [(200 + i, float(lo), float(la)) for i, (lo, la) in enumerate(zip(rng.uniform(10, 10.01, 150), rng.uniform(50, 50.01, 150)))]
+    pts += [(1000 + i, 179.99, -40.0) for i in range(60)] + [(2000, -179.99, -40.0), (2001, 0.0, 90.0), (2002, 90.0, 90.0)]
+    df = spark.createDataFrame(pts, ["id", "lon", "lat"])
+    lon, lat, ids = np.radians([p[1] for p in pts]), np.radians([p[2] for p in pts]), np.array([p[0] for p in pts])
+    a = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    km = 2 * 6371.0 * np.arcsin(np.minimum(1.0, np.sqrt(a)))
+    for crowd in (8, 1000):
+        got = SP.knn_all(df, "id", 4, crowd=crowd).toPandas()
+        assert len(got) == 4 * len(pts)
+        by_id = {i: part.sort_values("rank") for i, part in got.groupby("id")}
+        for k, i in enumerate(ids):
+            others = np.delete(np.arange(len(ids)), k)
+            want = np.sort(km[k][others])[:4]
+            assert np.allclose(by_id[i]["km"], want, atol=1e-6)
+    few = SP.knn_all(df.limit(3), "id", 4).toPandas()
+    assert len(few) == 6
+
+
+def test_quantiles_with_an_outlier_sort_small_bins(spark, monkeypatch):
+    from crossgrid.operators import quantile as QN
+
+    monkeypatch.setattr(QN, "SMALL_BIN", 50)
+    xs = [*np.linspace(0, 1, 2001), 1e12, -1e9]
+    df = spark.createDataFrame([(float(x),) for x in xs], ["v"])
+    got = {r.prob: r.value for r in QN.exact_quantiles(df, "v", [0.1, 0.5, 0.9], bins=64).collect()}
+    for p, v in got.items():
+        assert v == pytest.approx(np.quantile(xs, p), abs=1e-12)
+
+
+def _event_files(spark, name):
+    """Three files that arrive out of order: 20, 21 and 2 January."""
+    path = scratch_path(spark, name)
+    rows = [[(1, "u", "2024-01-20 10:00:00", 1.0), (2, "u", "2024-01-20 10:10:00", 2.0)], [(3, "u", "2024-01-21 10:00:00", 4.0), (3, "u", "2024-01-21 10:00:00", 4.0)],
+            [(4, "u", "2024-01-02 10:00:00", 8.0), (5, "v", "2024-01-20 10:20:00", 16.0), (6, "u", "2024-01-20 10:35:00", 32.0)]]
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, "id int, user string, t string, value double").selectExpr("id", "user", "cast(t as timestamp) ts", "value").coalesce(1).write.parquet(f"{path}/f={k}")
+    return path, [r for part in rows for r in part]
+
+
+def test_streams_lose_no_late_rows(spark):
+    from crossgrid.streaming import jobs
+
+    path, rows = _event_files(spark, "events")
+    stream = lambda: jobs.read_stream(spark, f"{path}/*", max_files=1)
+    table = scratch_path(spark, "sink")
+    for _ in range(2):
+        out = jobs.stream_append_once(stream(), ["id"], scratch_path(spark, "work"), table)
+    assert sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 5, 6]
+    days = jobs.stream_windows(stream(), "ts", ["user"], "value", scratch_path(spark, "work"), "1 day").collect()
+    want = {}
+    for _, u, t, v in rows:
+        n, s = want.get((u, t[:10]), (0, 0.0))
+        want[u, t[:10]] = (n + 1, s + v)
+    assert {(r.user, str(r.window_start)[:10]): (r.n, r.total) for r in days} == want
+    sessions = jobs.stream_sessions(stream(), "ts", "user", "value", "30 minutes", scratch_path(spark, "work")).collect()
+    got = sorted((r.user, str(r.session_start), r.n, r.total, r.is_open) for r in sessions)
+    assert got == [("u", "2024-01-02 10:00:00", 1, 8.0, False), ("u", "2024-01-20 10:00:00", 3, 35.0, False),
+                   ("u", "2024-01-21 10:00:00", 2, 8.0, True), ("v", "2024-01-20 10:20:00", 1, 16.0, False)]
+
+
+def test_perfect_and_constant_fits_end_no_job(spark):
+    rows = [("fit", float(x), 2.0 * x + 1) for x in range(10)] + [("flat", float(x), 3.0) for x in range(10)] + [("noisy", float(x), float(x * x % 7)) for x in range(10)]
+    out = G.ols(spark.createDataFrame(rows, ["g", "x", "y"]), "y", ["x"], ["g"]).collect()
+    by = {(r.g, r.term): r for r in out}
+    assert by["fit", "x"].coef == pytest.approx(2) and by["fit", "x"].r_squared == pytest.approx(1) and by["fit", "x"].aic is None
+    assert by["flat", "x"].coef == pytest.approx(0, abs=1e-9) and by["flat", "x"].r_squared is None
+    assert by["noisy", "x"].aic is not None
+
+
+def test_histogram_of_a_constant(spark):
+    from crossgrid.operators import accuracy as A
+
+    got = A.score_histogram(spark.createDataFrame([(2.0,)] * 5 + [(None,)], "v double"), "v", 10).collect()
+    assert [(r.bin, r.left, r.n) for r in got] == [(0, 2.0, 5)]
+
+
+def test_parameter_checks_look_both_ways(spark):
+    base = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, value double")
+    fine = spark.createDataFrame([("m", "a", 1.5), ("m", "b", 2.5), ("n", "a", 3.0)], "model string, k string, value double")
+    assert V.vector_delta(fine.filter("model = 'm'"), base, ["k"], ["model"]).agg(F.sum("delta")).first()[0] == pytest.approx(1.0)
+    with pytest.raises(Exception, match="base parameters missing in model n"):
+        V.vector_delta(fine, base, ["k"], ["model"]).collect()
+    with pytest.raises(Exception, match="parameter without base value"):
+        V.vector_delta(fine, base.filter("k = 'a'"), ["k"], ["model"]).collect()
+    own, donor = base, base.withColumn("value", F.col("value") * 10)
+    got = V.param_overlay(own, donor, ["k"], F.col("k") == "a").collect()
+    assert {r.k: (r.value, r.swapped) for r in got} == {"a": (10.0, True), "b": (2.0, False)}
+    for a, d, swap, text in ((own, donor.filter("k = 'b'"), "a", "donor lacks"), (own.filter("k = 'b'"), donor.filter("k = 'a'"), "a", "recipient lacks"), (own, donor, "z", "no parameter")):
+        with pytest.raises(Exception, match=text):
+            V.param_overlay(a, d, ["k"], F.col("k") == swap).collect()
+
+
+def test_svd_of_an_incomplete_matrix_is_an_error(spark):
+    rows = [(y, 1, e, 1, float(y * e % 5)) for y in range(3) for e in range(3)]
+    cells = spark.createDataFrame(rows, "model_year int, model_quarter int, eval_year int, eval_quarter int, r2 double")
+    got = V.svd_share(cells, "r2").toPandas().sort_values("component")
+    m = np.array([r[4] for r in rows]).reshape(3, 3)
+    assert np.allclose(got["singular_value"], np.linalg.svd(m - m.mean())[1], atol=1e-6)
+    with pytest.raises(Exception, match="incomplete matrix"):
+        V.svd_share(cells.filter("model_year <> 1 or eval_year <> 2"), "r2").collect()
+
+
+def test_gram_in_tiles_is_the_whole_gram(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(30, 11))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
+    want = x.T @ x
+    for tile in (4, 2000):
+        monkeypatch.setattr(V, "TILE_UNITS", tile)
+        got = V.gram(df, "v").collect()
+        assert len(got) == 66 and all(r.v == pytest.approx(want[r.i, r.j]) for r in got)
+
+
+def test_prediction_files_are_scored_at_the_highest_epoch(spark):
+    from crossgrid.operators import accuracy as A
+    from crossgrid.sources import readers, sinks
+
+    rows = [("ga", "income", 2018, 1, 2019, 3, epoch, f"{i}", float(i) + bias, float(i)) for epoch, bias in ((9, 5.0), (10, 0.5)) for i in range(6)]
+    preds = spark.createDataFrame(rows, "state string, variable string, model_year int, model_quarter int, eval_year int, eval_quarter int, epoch int, name string, pred double, label double")
+    path = scratch_path(spark, "preds")
+    sinks.write_prediction_files(preds, path)
+    preds.limit(2).select("name", "pred").write.option("header", True).csv(f"{path}/notes.csv")
+    got = A.score_cells(readers.read_predictions(spark, path), ["state", "variable"]).collect()
+    assert len(got) == 1 and got[0].epoch == 10 and got[0].n == 6 and got[0].r2 == pytest.approx(1 - 0.25 / np.var(range(6)))
+    assert [(r.n_rows, r.path.endswith("notes.csv")) for r in readers.unmatched_paths(spark, path).collect()] == [(2, True)]

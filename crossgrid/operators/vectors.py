@@ -169,7 +169,7 @@ def linear_cka(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def head_forward(probes: DataFrame, heads: DataFrame, model: str, probe: str, x: str) -> DataFrame:
-    """ReLU(x W0^T + b0) w3 + b3 of every head on every probe.
+    """ReLU(x W0^T + b0), the hidden layer, and hidden w3 + b3, the output, of every head on every probe.
 
     ``heads`` has one row per model (w0 array<array>, b0, w3 array, b3): the heads are packed
     into one row, whose size depends on the models alone.
@@ -181,7 +181,34 @@ def head_forward(probes: DataFrame, heads: DataFrame, model: str, probe: str, x:
         return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
 
     hidden = F.zip_with(F.col("h.w0"), F.col("h.b0"), lambda w, b: F.greatest(F.lit(0.0), dot(w, F.col("_x")) + b))
-    return rows.select(F.col(f"h.{model}").alias(model), probe, (dot(hidden, F.col("h.w3")) + F.col("h.b3")).alias("output"))
+    active = rows.select(F.col(f"h.{model}").alias(model), probe, hidden.alias("hidden"), "h.w3", "h.b3")
+    return active.select(model, probe, "hidden", (dot(F.col("hidden"), F.col("w3")) + F.col("b3")).alias("output"))
+
+
+def cka_matrix(activations: DataFrame, model: str, probe: str, hidden: str) -> DataFrame:
+    """Linear CKA of every pair of models, (a_<model>, b_<model>, similarity), from their hidden layers on the same probes.
+
+    The layers of all models are laid side by side for each probe, so one Gram aggregate holds the feature products of all
+    pairs and the probes are read once. Every model must have answered every probe, with as many units as the others."""
+    models = activations.select(model).distinct().withColumn("_m", F.row_number().over(W.orderBy(model)) - 1)  # a row a model
+    width = activations.agg(F.max(F.size(hidden)).alias("_h"))
+    listed = activations.groupBy(probe).agg(F.array_sort(F.collect_list(F.struct(F.col(model).alias("m"), F.col(hidden).cast("array<double>").alias("v")))).alias("_e"))
+    whole = attach_params(attach_params(listed, models.agg(F.count(F.lit(1)).alias("_k"))), width)
+    flat = F.flatten(F.transform("_e", lambda e: e["v"]))
+    full = F.when(F.size(flat) == F.col("_k") * F.col("_h"), flat).otherwise(F.raise_error(F.lit("a model lacks hidden units for a probe")).cast("array<double>"))
+    g = materialize(gram(whole.select(F.concat(F.array(F.lit(1.0)), full).alias("_v")), "_v"), "gram")
+    sums = g.filter("i = 0").select(F.col("j").alias("u"), F.col("v").alias("s"))
+    n = g.filter("i = 0 AND j = 0").select(F.col("v").alias("_n"))
+    si, sj = sums.select(F.col("u").alias("i"), F.col("s").alias("_si")), sums.select(F.col("u").alias("j"), F.col("s").alias("_sj"))
+    centred = attach_params(attach_params(g.filter("i > 0").join(si, "i").join(sj, "j"), n), width)
+    c = F.col("v") - F.col("_si") * F.col("_sj") / F.col("_n")
+    place = lambda x: F.floor((F.col(x) - 1) / F.col("_h")).cast("int")
+    blocks = centred.select(place("i").alias("a"), place("j").alias("b"), (c * c * F.when((place("i") == place("j")) & (F.col("i") < F.col("j")), 2.0).otherwise(1.0)).alias("q"))
+    blocks = blocks.groupBy("a", "b").agg(F.sum("q").alias("q"))
+    norms = blocks.filter("a = b")
+    pairs = blocks.filter("a < b").join(norms.select("a", F.sqrt("q").alias("_na")), "a").join(norms.select("b", F.sqrt("q").alias("_nb")), "b")
+    named = pairs.join(models.select(F.col("_m").alias("a"), F.col(model).alias(f"a_{model}")), "a").join(models.select(F.col("_m").alias("b"), F.col(model).alias(f"b_{model}")), "b")
+    return named.select(f"a_{model}", f"b_{model}", F.try_divide("q", F.col("_na") * F.col("_nb")).alias("similarity"))
 
 
 def length_filter(df: DataFrame, vector: str, order: str) -> DataFrame:

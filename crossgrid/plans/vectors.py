@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crossgrid.functions import hashing as H
-from crossgrid.operators import accuracy as A, vectors as V
+from crossgrid.operators import accuracy as A, resample as S, vectors as V
 from crossgrid.plans import fixtures as X
+from crossgrid.plans.inference import N_PERMS, null_sql, perm_sql
 from crossgrid.plans.registry import query, r
-from crossgrid.session import attach_params, rounded
+from crossgrid.session import attach_params, materialize, rounded
 
 
 @query("pairs_theta", f"""
@@ -79,43 +80,73 @@ def vector_delta_array(t):
         "vec_id", rounded(F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, v: acc + v))).alias("norm"))
 
 
-def _half(lo: int) -> str:
-    return ", ".join(f"embedding[{lo + i}]::DOUBLE AS {'x' if lo == 1 else 'y'}{i}" for i in range(8))
-
-
-def _cka_norm(a: str, b: str) -> str:
-    return " + ".join(f"power(covar_pop({a}{i}, {b}{j}), 2)" for i in range(8) for j in range(8))
-
-
 @query("linear_cka", f"""
-    WITH e AS (SELECT {_half(1)}, {_half(33)} FROM embeddings)
-    SELECT {r(f"({_cka_norm('x', 'y')}) / sqrt(({_cka_norm('x', 'x')}) * ({_cka_norm('y', 'y')}))")} AS cka FROM e""")
+    WITH e AS (SELECT vec_id, d, embedding[d]::DOUBLE AS v FROM embeddings, range(1, 65) t(d)),
+    z AS MATERIALIZED (SELECT vec_id, d, d > 32 AS y, v - avg(v) OVER (PARTITION BY d) AS v FROM e),
+    c AS (SELECT a.y AS ya, b.y AS yb, sum(a.v * b.v) AS s FROM z a JOIN z b USING (vec_id) GROUP BY a.y, b.y, a.d, b.d),
+    n AS (SELECT sum(s * s) FILTER (WHERE NOT ya AND yb) AS xy, sum(s * s) FILTER (WHERE NOT ya AND NOT yb) AS xx, sum(s * s) FILTER (WHERE ya AND yb) AS yy FROM c)
+    SELECT {r("xy / (sqrt(xx) * sqrt(yy))")} AS cka FROM n""")
 def linear_cka(t):
-    """Linear CKA of two groups of eight hidden units over all vectors as probes."""
-    e = t.embeddings.select(F.slice("embedding", 1, 8).alias("x"), F.slice("embedding", 33, 8).alias("y"))
+    """Linear CKA of the two halves of all vectors, read as hidden units on the same probes."""
+    e = t.embeddings.select(F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 32).alias("y"))
     return V.linear_cka(e, "x", "y").select(rounded("cka").alias("cka"))
 
 
-@query("head_forward", f"""
+_HIDDEN_SQL = f"""
     WITH p AS MATERIALIZED ({X.PARAMS_SQL}),
-    z AS MATERIALIZED (SELECT vec_id, d::INTEGER AS d,
+    nz AS MATERIALIZED (SELECT vec_id, d::INTEGER AS d,
               sqrt(-2 * ln((('0x' || substr(md5('u:' || vec_id || ':' || d), 1, 8))::BIGINT::DOUBLE + 1) / 4294967297.0::DOUBLE))
               * cos(2 * pi() * (('0x' || substr(md5('v:' || vec_id || ':' || d), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE)) AS z
           FROM embeddings, range(0, 16) t(d)),
-    h AS (SELECT p.model, z.vec_id, (p.idx - 1) // 16 AS unit, greatest(0, sum(p.value * 10 * z.z) + 0.1 * ((p.idx - 1) // 16)) AS act
-          FROM p JOIN z ON z.d = (p.idx - 1) % 16 GROUP BY p.model, z.vec_id, (p.idx - 1) // 16)
+    h AS (SELECT p.model, nz.vec_id, (p.idx - 1) // 16 AS unit, greatest(0, sum(p.value * 10 * nz.z) + 0.1 * ((p.idx - 1) // 16)) AS act
+          FROM p JOIN nz ON nz.d = (p.idx - 1) % 16 GROUP BY p.model, nz.vec_id, (p.idx - 1) // 16)"""
+
+
+@query("head_forward", _HIDDEN_SQL + f"""
     SELECT model, vec_id, {r("sum(act * p3.value * 10) + 0.5")} AS output
     FROM h JOIN (SELECT model AS m3, idx - 1 AS unit3, value FROM p WHERE idx <= 4) p3 ON m3 = model AND unit3 = unit GROUP BY model, vec_id""")
 def head_forward(t):
     """Two-layer head of every label on a shared set of hash-normal probes (one per vector)."""
+    return _activations(t).select("model", "vec_id", rounded("output").alias("output"))
+
+
+def _activations(t):
     vec = X.params(t).groupBy("model").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda e: e["value"] * 10).alias("w"))
     heads = vec.select(
         "model", F.array(*[F.slice("w", 16 * i + 1, 16) for i in range(4)]).alias("w0"),
         F.array(*[F.lit(0.1 * i) for i in range(4)]).alias("b0"), F.slice("w", 1, 4).alias("w3"), F.lit(0.5).alias("b3"))
     probes = t.embeddings.select("vec_id", F.array(*[H.hash_normal("vec_id", F.lit(d)) for d in range(16)]).alias("x"))
-    out = V.head_forward(probes, heads, "model", "vec_id", "x")
-    return out.select("model", "vec_id", rounded("output").alias("output"))
+    return V.head_forward(probes, heads, "model", "vec_id", "x")
+
+
+_CKA_SQL = _HIDDEN_SQL + """,
+    c AS MATERIALIZED (SELECT model, unit, vec_id, act - avg(act) OVER (PARTITION BY model, unit) AS z FROM h),
+    x AS (SELECT a.model AS ma, b.model AS mb, a.unit AS ua, b.unit AS ub, sum(a.z * b.z) AS s FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.model <= b.model GROUP BY ALL),
+    n AS (SELECT ma, mb, sum(s * s) AS q FROM x GROUP BY ALL),
+    k AS MATERIALIZED (SELECT n.ma AS a_model, n.mb AS b_model, n.q / nullif(sqrt(a.q) * sqrt(b.q), 0) AS sim
+          FROM n JOIN n a ON a.ma = n.ma AND a.mb = n.ma JOIN n b ON b.ma = n.mb AND b.mb = n.mb WHERE n.ma < n.mb)"""
+
+
+@query("cka_matrix", _CKA_SQL + f" SELECT a_model, b_model, {r('sim')} AS similarity FROM k")
+def cka_matrix(t):
+    """Linear CKA of the hidden layers of every pair of models, from one Gram aggregate over all probes."""
+    out = V.cka_matrix(_activations(t), "model", "vec_id", "hidden")
+    return out.withColumn("similarity", rounded("similarity"))
+
+
+@query("cka_group_test", _CKA_SQL + f""",
+    {perm_sql("SELECT DISTINCT model, model % 2 AS val FROM h", key="model", order="model", cols="model")},
+    j AS (SELECT a.i, sim, a.val = b.val AS same FROM k JOIN m a ON a.model = a_model JOIN m b ON b.i = a.i AND b.model = b_model),
+    g AS (SELECT i, avg(sim) FILTER (WHERE same) - avg(sim) FILTER (WHERE NOT same) AS v FROM j GROUP BY i),
+    {null_sql()}
+    SELECT {r("obs")} AS observed_gap, {r("null_mean")} AS null_mean, {r("null_95pct")} AS null_95pct, {r("p_value")} AS p_value, n_perms FROM z""")
+def cka_group_test(t):
+    """Are the functions of models of one group more alike? Labels are permuted over the models."""
+    pairs = materialize(V.cka_matrix(_activations(t), "model", "vec_id", "hidden"), "pairs")
+    units = V.pair_units(pairs, ["model"]).withColumn("group", F.col("model") % 2)
+    out = S.label_gap_test(pairs, units, ["model"], "group", "similarity", N_PERMS)
+    return out.select(*[rounded(c).alias(c) for c in ("observed_gap", "null_mean", "null_95pct", "p_value")], "n_perms")
 
 
 @query("length_filter", """

@@ -33,39 +33,51 @@ def chain(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix64(left * _GOLD + right)
 
 
-class WordIds:
-    """Numbers words in the order of their first appearance and keeps a 64-bit hash of each.
-
-    It lives as long as a task; ``limit`` words at most, then it starts anew (``fresh``)."""
-
-    def __init__(self, limit: int = 1_000_000):
-        self.limit = limit
-        self.fresh()
-
-    def fresh(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.hashes = np.empty(1024, dtype=np.uint64)
-
-    def hash_words(self, words: list[bytes]) -> np.ndarray:
-        """The hashes of ``words`` as an array of the same length."""
-        import xxhash
-
-        if len(self.ids) > self.limit:
-            self.fresh()
-        ids, get = self.ids, self.ids.get
-        out = [get(w, -1) for w in words]
-        if -1 in out:
-            for i, k in enumerate(out):
-                if k < 0:
-                    w = words[i]
-                    k = ids.get(w, -1)
-                    if k < 0:
-                        k = ids[w] = len(ids)
-                        if k >= len(self.hashes):
-                            self.hashes = np.concatenate([self.hashes, np.empty(k, dtype=np.uint64)])
-                        self.hashes[k] = xxhash.xxh3_64_intdigest(w)
-                    out[i] = k
-        return self.hashes[np.array(out, dtype=np.int64)]
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes(text: bytes, chunk: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of each word of ``text`` (runs of bytes other than white space), in order.
+
+    A word's hash is the scrambled sum of one pseudo-random value for each byte and its place in the word, so all words
+    are hashed side by side."""
+    return _word_hashes(text, chunk)[0]
+
+
+def text_word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """The hashes of each text's words."""
+    hashes, starts = _word_hashes(b" ".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.split(hashes, np.searchsorted(starts, ends[:-1])) if texts else []
+
+
+def _word_hashes(text: bytes, chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    out, begin, at = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], 0
+    while at < len(data):
+        end = min(len(data), at + chunk)
+        if end < len(data):  # cut at white space
+            free = np.flatnonzero(_IS_SPACE[data[end : end + chunk]])
+            while not len(free) and end < len(data):
+                end = min(len(data), end + chunk)
+                free = np.flatnonzero(_IS_SPACE[data[end : end + chunk]])
+            end += int(free[0]) if len(free) else 0
+        part = data[at:end]
+        space = _IS_SPACE[part]
+        first = ~space
+        first[1:] &= space[:-1]
+        starts = np.flatnonzero(first)
+        if len(starts):
+            place = np.arange(len(part), dtype=np.int64)
+            place -= np.maximum.accumulate(np.where(first, place, 0))
+            value = mix64((place.astype(np.uint64) << np.uint64(8)) + part + _GOLD)
+            value[space] = 0
+            out.append(mix64(np.add.reduceat(value, starts)))
+            begin.append(starts + at)
+        at = end
+    return np.concatenate(out), np.concatenate(begin)
 
 
 def with_row(docs: DataFrame, name: str = "_row") -> DataFrame:

@@ -32,14 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from crossgrid.llm.common import LOWER, MESSAGE, WordIds, arrow_rows, by_shard, delivered, messages, mix64, received, small_batches, squeeze, unsqueeze, utf8
+from crossgrid.llm.common import LOWER, MESSAGE, arrow_rows, by_shard, delivered, messages, mix64, received, small_batches, squeeze, text_word_hashes, unsqueeze, utf8
 from crossgrid.session import materialize
 
 #: Weight of the unigrams in the smoothing of pairs, in tokens.
 PRIOR = 50.0
 BLOCK_TOKENS = 3_000_000
 SHARD_TOKENS = 500_000
-#: The hash of the end token; no word is empty, so none has the hash of the empty string by construction.
+#: Stands for the end token; a word has this hash by a chance of 2^-64 only.
 _END = np.uint64(0x2D06800538D394C2)
 
 
@@ -185,7 +185,6 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, train: str, block_
     made = pa.schema([("n_tokens", pa.int64()), ("_stream", pa.binary()), ("_words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(600_000)
         ids, flags, parts, held = [], [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -200,8 +199,8 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, train: str, block_
             return arrow_rows({"n_tokens": [held], "_stream": [stream], "_words": [squeeze(names, seen)]}, made)
 
         for batch in small_batches(batches, "_text"):
-            for i, learn, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                own = words.hash_words(utf8(text).translate(LOWER).split())
+            hashes = text_word_hashes([utf8(t).translate(LOWER) for t in batch.column(2).to_pylist()])
+            for i, learn, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), hashes, strict=True):
                 ids.append(i)
                 flags.append(bool(learn))
                 parts.append(np.append(own, _END))

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from crossgrid.llm.common import LOWER, WordIds, arrow_rows, chain, mix64, small_batches, sorted_groups, utf8, with_row
+from crossgrid.llm.common import LOWER, arrow_rows, chain, mix64, small_batches, sorted_groups, text_word_hashes, utf8, with_row
 from crossgrid.llm.components import components
 from crossgrid.llm.exact_dedup import mark_listed
 from crossgrid.session import materialize
@@ -47,12 +47,16 @@ _ADD = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(text: str | None, ids: WordIds, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit fingerprints of the runs of ``size`` words; of the whole text if it has fewer."""
-    words = utf8(text).translate(LOWER).split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = ids.hash_words(words)
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The shingle set of each text: sorted distinct 64-bit fingerprints."""
+    for h in text_word_hashes([utf8(t).translate(LOWER) for t in texts]):
+        yield _shingles(h, size)
+
+
+def _shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of the runs of ``size`` words; of the whole text if it has fewer."""
+    if not len(h):
+        return h
     k = min(size, len(h))
     x = np.full(len(h) - k + 1, k, dtype=np.uint64)
     for j in range(k):
@@ -113,12 +117,10 @@ def sign(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        ids = WordIds(300_000)
         for batch in small_batches(batches, "_text"):
             at = batch.schema.get_field_index("_text")
             rows = {f.name: [] for f in made}
-            for text in batch.column(at).to_pylist():
-                s = shingle_set(text, ids, shingle)
+            for s in shingle_sets(batch.column(at).to_pylist(), shingle):
                 d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
                 rows["n_shingles"].append(len(s))
                 rows["_s1"].append(d[0])
@@ -216,9 +218,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shin
     made = pa.schema([("_cls", pa.int64()), ("_set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(300_000)
         for batch in small_batches(batches, "_text"):
-            yield arrow_rows({"_cls": batch.column(0), "_set": [shingle_set(t, ids, shingle).tobytes() for t in batch.column(1).to_pylist()]}, made)
+            yield arrow_rows({"_cls": batch.column(0), "_set": [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), shingle)]}, made)
 
     return found.mapInArrow(run, "_cls long, _set binary")
 

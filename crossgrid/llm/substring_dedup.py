@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from crossgrid.llm.common import (
-    MESSAGE, WordIds, arrow_rows, by_shard, chain, delivered, messages, mix64, received, small_batches, squeeze, unsqueeze, utf8,
+    MESSAGE, arrow_rows, by_shard, chain, delivered, messages, mix64, received, small_batches, squeeze, unsqueeze, utf8, word_hashes,
 )
 from crossgrid.session import materialize
 
@@ -78,16 +79,20 @@ class Block:
         self.ids = np.frombuffer(ids, dtype=np.int64)
         self.missing = np.frombuffer(missing, dtype=np.uint8)
         self.counts = np.frombuffer(counts, dtype=np.int64)
-        self.words = words.split()
+        self._text = words
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self._text.split()
 
     def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First window, number of windows, anchor (48 bits), and document of each."""
-        n = len(self.words) - WINDOW + 1
+        h = word_hashes(self._text)
+        n = len(h) - WINDOW + 1
         doc = np.repeat(np.arange(len(self.counts)), self.counts)
         if n <= 0:
             none = np.zeros(0, dtype=np.int64)
             return none, none, none.astype(np.uint64), none
-        h = WordIds(1 << 40).hash_words(self.words)
         run = h[: len(h) - RUN + 1]
         for j in range(1, RUN):
             run = chain(run, h[j : len(h) - RUN + 1 + j])
@@ -199,7 +204,7 @@ def parse(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, docs: np.ndar
     return factor, least
 
 
-def answer_stretches(shard: int, got: list[tuple[int, int, bytes]], ids: WordIds) -> list[tuple[int, int, int, bytes]]:
+def answer_stretches(shard: int, got: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
     """To each block: for the factors of each stretch it sent, in order, their windows and smallest document."""
     docs, texts = [], []
     for _, _, data in got:
@@ -209,7 +214,7 @@ def answer_stretches(shard: int, got: list[tuple[int, int, bytes]], ids: WordIds
     doc = np.concatenate(docs)
     order = np.argsort(doc, kind="stable")  # the reference block: stretches by their first document
     counts = np.array([t.count(b" ") + 1 for t in texts], dtype=np.int64)[order]
-    words = ids.hash_words(b" ".join([texts[k] for k in order]).split())
+    words = word_hashes(b" ".join([texts[k] for k in order]))
     ends = np.cumsum(counts)
     factor, least = parse(words, ends - counts, ends, doc[order])
     # windows of each stretch, back in the order of sending
@@ -275,9 +280,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield from messages(Distinct(Block(got[0][2]), [(s, d) for s, _, d in got[1:]], shards).send(block))
 
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(500_000)
         for shard, got in received(batches):
-            yield from messages(answer_stretches(shard, got, ids))
+            yield from messages(answer_stretches(shard, got))
 
     made = pa.schema([("_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string()),
                       ("removed_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])

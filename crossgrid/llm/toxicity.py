@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from crossgrid.llm.common import ALNUM, WordIds, arrow_rows, chain, small_batches, utf8
+from crossgrid.llm.common import ALNUM, arrow_rows, chain, small_batches, text_word_hashes, utf8
 
 BITS = 20
 MAX_TRAIN_ROWS = 20_000
@@ -25,15 +25,15 @@ EPOCHS = 3
 _SKIP = np.uint64(0xA0761D6478BD642F)
 
 
-def features(words: list[bytes], ids: WordIds, bits: int = BITS) -> np.ndarray:
-    """Distinct or repeated places of the words, pairs and skip pairs."""
-    h = ids.hash_words(words)
-    parts = [h]
-    if len(h) > 1:
-        parts.append(chain(h[:-1], h[1:]))
-    if len(h) > 2:
-        parts.append(chain(h[:-2] ^ _SKIP, h[2:]))
-    return (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64)
+def features(texts: list[str | None], bits: int = BITS) -> Iterator[np.ndarray]:
+    """For each text the places, repeated ones too, of its words, pairs and skip pairs."""
+    for h in text_word_hashes([utf8(t).translate(ALNUM) for t in texts]):
+        parts = [h]
+        if len(h) > 1:
+            parts.append(chain(h[:-1], h[1:]))
+        if len(h) > 2:
+            parts.append(chain(h[:-2] ^ _SKIP, h[2:]))
+        yield (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Ftrl:
@@ -73,10 +73,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     made = pa.schema([("place", pa.int32()), ("weight", pa.float64())])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seen, model = WordIds(), [], Ftrl(bits)
-        for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = np.append(np.unique(features(utf8(text).translate(ALNUM).split(), ids, bits)), 1 << bits)
+        seen, model = [], Ftrl(bits)
+        for batch in small_batches(batches, "_text"):
+            for f, label in zip(features(batch.column(0).to_pylist(), bits), batch.column(1).to_pylist(), strict=True):
+                at = np.append(np.unique(f), 1 << bits)
                 seen.append((at.astype(np.int32), int(label > 0)))
         for _ in range(epochs):
             for at, label in seen:
@@ -100,12 +100,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, dtype=np.float32)
         table[sent.value[0]] = sent.value[1]
-        ids = WordIds(300_000)
         for batch in small_batches(batches, "_text"):
             at = batch.schema.get_field_index("_text")
             scores = np.empty(batch.num_rows)
-            for i, text in enumerate(batch.column(at).to_pylist()):
-                f = features(utf8(text).translate(ALNUM).split(), ids, bits)
+            for i, f in enumerate(features(batch.column(at).to_pylist(), bits)):
                 f = np.unique(f[table[f] != 0])
                 scores[i] = 1.0 / (1.0 + np.exp(-np.clip(table[f].astype(float).sum() + bias, -35, 35)))
             kept = [j for j in range(batch.num_columns) if j != at]

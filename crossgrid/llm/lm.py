@@ -81,15 +81,19 @@ class EliasFano:
         if not bit:
             before = np.arange(len(before)) * 64 - before
         word = np.searchsorted(before, k, side="right") - 1
-        rest = k - before[word]
-        out = np.empty(len(k), dtype=np.int64)
-        for at in range(0, len(k), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            w = np.ascontiguousarray(self.bitmap[word[part]])
-            bits = np.unpackbits(w.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            seen = np.cumsum(bits if bit else 1 - bits, axis=1, dtype=np.uint8)
-            out[part] = word[part] * 64 + (seen > rest[part, None]).argmax(axis=1)
-        return out
+        rest = (k - before[word]).astype(np.uint64)
+        w = self.bitmap[word]
+        if not bit:
+            w = ~w
+        at = np.zeros(len(k), dtype=np.uint64)
+        for half in (32, 16, 8, 4, 2, 1):  # the half of the word that holds it, again and again
+            half = np.uint64(half)
+            low = np.bitwise_count(w & ((np.uint64(1) << half) - np.uint64(1))).astype(np.uint64)
+            up = rest >= low
+            rest = np.where(up, rest - low, rest)
+            w = np.where(up, w >> half, w)
+            at += np.where(up, half, np.uint64(0))
+        return word * 64 + at.astype(np.int64)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -114,15 +118,18 @@ class EliasFano:
         end = self._select(top, 0) - top
         start, end = np.maximum(start, lo), np.minimum(end, hi)
         want = (x & ((1 << self.bits) - 1)).astype(np.uint64)
-        out = np.full(len(x), -1, dtype=np.int64)
+        last = end.copy()
         live = np.flatnonzero(start < end)
-        while len(live):
-            low = self._low(start[live])
-            hit = low == want[live]
-            out[live[hit]] = start[live[hit]]
-            live = live[low < want[live]]
-            start[live] += 1
+        while len(live):  # binary search among the values of that high part
+            middle = (start[live] + end[live]) >> 1
+            less = self._low(middle) < want[live]
+            start[live[less]] = middle[less] + 1
+            end[live[~less]] = middle[~less]
             live = live[start[live] < end[live]]
+        there = np.flatnonzero(start < last)
+        out = np.full(len(x), -1, dtype=np.int64)
+        hit = there[self._low(start[there]) == want[there]]
+        out[hit] = start[hit]
         return out
 
 
@@ -159,12 +166,15 @@ class Trie:
 
     def log_p(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """NaN for pairs that the trie does not hold."""
-        everywhere = np.zeros(len(context), dtype=np.int64)
-        node = self.contexts.find(context, everywhere, everywhere + self.contexts.n)
+        names, which = np.unique(context, return_inverse=True)
+        everywhere = np.zeros(len(names), dtype=np.int64)
+        node = self.contexts.find(names, everywhere, everywhere + self.contexts.n)
+        known = np.maximum(node, 0)
+        lo, hi = self.pointers.get(known), self.pointers.get(np.minimum(known + 1, self.contexts.n))
         out = np.full(len(context), np.nan)
-        live = np.flatnonzero(node >= 0)
-        k = node[live]
-        place = self.successors.find(k * self.universe + word[live], self.pointers.get(k), self.pointers.get(k + 1))
+        live = np.flatnonzero(node[which] >= 0)
+        k = which[live]
+        place = self.successors.find(node[k] * self.universe + word[live], lo[k], hi[k])
         ok = place >= 0
         out[live[ok]] = self.floor + self.codes[place[ok]].astype(np.float64) * self.step
         return out
@@ -179,6 +189,15 @@ def unigram(c: np.ndarray, n: int, v: int) -> np.ndarray:
     return (c + 0.1) / (n + 0.1 * (v + 1))
 
 
+def planes(numbers: np.ndarray) -> np.ndarray:
+    """The bytes of the numbers, all lowest ones first: they compress better apart."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)
+
+
+def unplanes(data: bytes, kind: str = "i8") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
 def write_blocks(docs: DataFrame, id_col: str, text_col: str, train: str, block_tokens: int) -> DataFrame:
     """_block, n_tokens, _stream (ids, null flags, training flags, token counts, word numbers, that of the end token) and
     _words (scrambled hashes, sorted, and training counts of the words, which are numbered in this order)."""
@@ -193,10 +212,14 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, train: str, block_
             learned = np.repeat(np.array(flags, dtype=bool), counts)
             names, number = np.unique(tokens, return_inverse=True)
             seen = np.bincount(number[learned], minlength=len(names)).astype(np.int32)
+            # frequent words get short numbers in the stream
+            by_count = np.argsort(-np.bincount(number, minlength=len(names)), kind="stable").astype(np.int32)
+            rank = np.empty(len(names), dtype=np.int32)
+            rank[by_count] = np.arange(len(names), dtype=np.int32)
             missing = np.array([i is None for i in ids], dtype=np.uint8)
-            stream = squeeze(np.array([i or 0 for i in ids], dtype=np.int64), missing, np.array(flags, dtype=np.uint8), counts, number.astype(np.int32),
+            stream = squeeze(np.array([i or 0 for i in ids], dtype=np.int64), missing, np.array(flags, dtype=np.uint8), counts, planes(by_count), planes(rank[number]),
                              np.array([np.searchsorted(names, mix64(np.array([_END]))[0])], dtype=np.int64))
-            return arrow_rows({"n_tokens": [held], "_stream": [stream], "_words": [squeeze(names, seen)]}, made)
+            return arrow_rows({"n_tokens": [held], "_stream": [stream], "_words": [squeeze(names, planes(seen))]}, made)
 
         for batch in small_batches(batches, "_text"):
             hashes = text_word_hashes([utf8(t).translate(LOWER) for t in batch.column(2).to_pylist()])
@@ -218,8 +241,8 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, train: str, block_
 
 def send_words(block: int, data: bytes, shards: int) -> list[tuple[int, int, int, bytes]]:
     names, seen = unsqueeze(data)
-    names, seen = np.frombuffer(names, dtype=np.uint64), np.frombuffer(seen, dtype=np.int32)
-    return [(s, block, 0, squeeze(names[at], seen[at])) for s, at in by_shard(word_shard(names, shards))]
+    names, seen = np.frombuffer(names, dtype=np.uint64), unplanes(seen, "i4")
+    return [(s, block, 0, squeeze(names[at], planes(seen[at]))) for s, at in by_shard(word_shard(names, shards))]
 
 
 def answer_words(shard: int, shards: int, got: list[tuple[int, int, bytes]]) -> tuple[list[tuple[int, int, int, bytes]], int, int]:
@@ -229,13 +252,13 @@ def answer_words(shard: int, shards: int, got: list[tuple[int, int, bytes]]) ->
     for _, _, data in got:
         k, c = unsqueeze(data)
         names.append(np.frombuffer(k, dtype=np.uint64))
-        seen.append(np.frombuffer(c, dtype=np.int32))
+        seen.append(unplanes(c, "i4"))
     _, inverse = np.unique(np.concatenate(names), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate(seen)).astype(np.int64)
     out, at = [], 0
     for (block, _, _), k in zip(got, names, strict=True):
         own = inverse[at : at + len(k)]
-        out.append((block, shard, 1, squeeze(total[own], own * shards + shard)))
+        out += [(block, shard, 1, squeeze(planes(total[own]))), (block, shard, 3, squeeze(planes(own * shards + shard)))]
         at += len(k)
     return out, int(total.sum()), int((total > 0).sum())
 
@@ -243,33 +266,36 @@ def answer_words(shard: int, shards: int, got: list[tuple[int, int, bytes]]) ->
 class Tokens:
     """A block's tokens with the global counts and ids of its words, and its distinct pairs."""
 
-    def __init__(self, stream: bytes, answers: list[bytes]):
-        """``answers`` of the word shards in their order, which is that of the words."""
-        ids, missing, train, counts, number, end = unsqueeze(stream)
+    def __init__(self, stream: bytes, counted: list[tuple[int, bytes]], named: list[bytes]):
+        """``counted``: counts by the word shards in their order, which is that of the words; ``named``: their ids, if wanted."""
+        ids, missing, train, counts, by_count, stream_, end = unsqueeze(stream)
         self.ids, self.missing = np.frombuffer(ids, dtype=np.int64), np.frombuffer(missing, dtype=np.uint8)
         self.train, self.counts = np.frombuffer(train, dtype=np.uint8) > 0, np.frombuffer(counts, dtype=np.int64)
-        self.number = np.frombuffer(number, dtype=np.int32).astype(np.int64)
-        told = [unsqueeze(a) for a in answers]
-        self.count, self.word = (np.concatenate([np.frombuffer(x[k], dtype=np.int64) for x in told]) for k in (0, 1))
+        self.number = unplanes(by_count, "i4")[unplanes(stream_, "i4")]
+        counts_ = [unplanes(unsqueeze(a)[0]) for _, a in counted]
+        self.count = np.concatenate(counts_)
+        self.home = np.repeat(np.array([s for s, _ in counted]), [len(c) for c in counts_])  # each word's shard
+        self.word = np.concatenate([unplanes(unsqueeze(a)[0]) for a in named]) if named else None
         self.end, size = int(np.frombuffer(end, dtype=np.int64)[0]), len(self.count)
         starts = np.cumsum(self.counts) - self.counts
-        self.context = np.empty(len(self.number), dtype=np.int64)
+        self.context = np.empty(len(self.number), dtype=np.int32)
         self.context[1:] = self.number[:-1]
         self.context[starts] = self.end
         # pairs of words that both occur in training; the others need no trie
         known = (self.count[self.context] > 0) & (self.count[self.number] > 0)
         self.asked = np.flatnonzero(known)
-        code = self.context[self.asked] * size + self.number[self.asked]
-        pairs, self.pair = np.unique(code, return_inverse=True)
+        code = self.context[self.asked].astype(np.int64) * size + self.number[self.asked]
+        pairs, pair = np.unique(code, return_inverse=True)
+        self.pair = pair.astype(np.int32)
+        del code, pair, known
         self.left, self.right = pairs // size, pairs % size
         learned = np.repeat(self.train, self.counts)[self.asked]
         self.seen = np.bincount(self.pair[learned], minlength=len(pairs)).astype(np.int32)
 
     def shard(self, n: int, shards: int) -> np.ndarray:
         """By context; a context with more than a shard's share of the training tokens is dealt out by word."""
-        left, right = self.word[self.left].astype(np.uint64), self.word[self.right].astype(np.uint64)
-        deals = np.maximum(1, -(-self.count[self.left] * shards // max(1, n))).astype(np.uint64)
-        return ((mix64(left) + mix64(right + np.uint64(1)) % deals) % np.uint64(shards)).astype(np.int64)
+        deals = np.maximum(1, -(-self.count[self.left] * shards // max(1, n)))
+        return (self.home[self.left] + self.home[self.right] % deals) % shards
 
     def send(self, block: int, n: int, shards: int) -> list[tuple[int, int, int, bytes]]:
         out = []
@@ -278,7 +304,7 @@ class Tokens:
             turn = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
             b, w = left[turn], self.right[at]
             out.append((s, block, 0, squeeze(
-                self.word[b], self.count[b], np.diff(np.concatenate([turn, [len(at)]])).astype(np.int32), self.word[w], self.count[w], self.seen[at])))
+                *map(planes, (self.word[b], self.count[b], np.diff(np.concatenate([turn, [len(at)]])).astype(np.int32), self.word[w], self.count[w], self.seen[at])))))
         return out
 
 
@@ -286,7 +312,7 @@ def answer_pairs(shard: int, got: list[tuple[int, int, bytes]], n: int, v: int,
     """Builds the shard's trie from all training counts, and answers each block with quantised log10 probabilities."""
     parts = [[] for _ in range(5)]
     for _, _, data in got:
-        b, cb, size, w, cw, seen = (np.frombuffer(x, dtype=d) for x, d in zip(unsqueeze(data), ("i8", "i8", "i4", "i8", "i8", "i4"), strict=True))
+        b, cb, size, w, cw, seen = (unplanes(x, d) for x, d in zip(unsqueeze(data), ("i8", "i8", "i4", "i8", "i8", "i4"), strict=True))
         for p, x in zip(parts, (np.repeat(b, size), np.repeat(cb, size), w, cw, seen), strict=True):
             p.append(x)
     sizes = [len(x) for x in parts[0]]
@@ -300,12 +326,15 @@ def answer_pairs(shard: int, got: list[tuple[int, int, bytes]], n: int, v: int,
     at = order[first][held]
     universe = int(max(left.max(), right.max())) + 1
     trie = Trie(left[at], right[at], np.log10((count[held] + prior * p1[at]) / (c_left[at] + prior)), universe)
-    log_p = trie.log_p(left, right)
+    # each distinct pair is looked up once, whoever sent it
+    every = order[first]
+    log_p = trie.log_p(left[every], right[every])
     unseen = np.isnan(log_p)
-    log_p[unseen] = np.log10(prior * p1[unseen] / (c_left[unseen] + prior))
+    log_p[unseen] = np.log10(prior * p1[every][unseen] / (c_left[every][unseen] + prior))
     floor = float(log_p.min())
     step = max((float(log_p.max()) - floor) / 65535, 1e-12)
-    codes = np.rint((log_p - floor) / step).astype(np.uint16)
+    codes = np.empty(len(left), dtype=np.uint16)
+    codes[order] = np.repeat(np.rint((log_p - floor) / step).astype(np.uint16), np.diff(np.concatenate([first, [len(left)]])))
     out, done = [], 0
     for (block, _, _), size in zip(got, sizes, strict=True):
         out.append((block, shard, 2, squeeze(np.array([floor, step]), codes[done : done + size])))
@@ -367,7 +396,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("_block").alias("_to"), F.lit(0).cast("long").alias("_from"), F.lit(0).alias("_role"), F.col("_stream").alias("_data")).union(told.filter("_to >= 0"))
 
     def block_of(got: list[tuple[int, int, bytes]]) -> Tokens:
-        return Tokens(got[0][2], [d for _, r, d in got if r == 1])
+        return Tokens(got[0][2], [(s, d) for s, r, d in got if r == 1], [d for _, r, d in got if r == 3])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, got in received(batches):
@@ -387,6 +416,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                               "train_tokens": np.full(len(tokens), n), "base_score": low, "score": high}, made)
 
     answers = delivered(delivered(stream).mapInArrow(ask, MESSAGE)).mapInArrow(model, MESSAGE)
-    out = delivered(stream.union(answers)).mapInArrow(
+    out = delivered(stream.filter("_role <> 3").union(answers)).mapInArrow(
         add, "_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("_id", id_col)

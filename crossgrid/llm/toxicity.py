@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from crossgrid.llm.common import ALNUM, arrow_rows, chain, small_batches, text_word_hashes, utf8
 
 BITS = 20
-MAX_TRAIN_ROWS = 20_000
+MAX_TRAIN_ROWS = 30_000
 EPOCHS = 3
 _SKIP = np.uint64(0xA0761D6478BD642F)
 
@@ -39,7 +39,7 @@ def features(texts: list[str | None], bits: int = BITS) -> Iterator[np.ndarray]:
 class Ftrl:
     """FTRL-proximal with per-coordinate rates (McMahan et al. 2013); features are 0 or 1, one more is the bias."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1):
+    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z = np.zeros((1 << bits) + 1)
         self.n = np.zeros((1 << bits) + 1)

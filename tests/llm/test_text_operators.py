@@ -311,7 +311,7 @@ def test_toxicity_learns_planted_words(spark):
 
 
 def test_ftrl_against_its_formula():
-    model, w = toxicity.Ftrl(bits=3, l1=0.1), np.zeros(9)
+    model, w = toxicity.Ftrl(bits=3, alpha=0.2, l1=0.1), np.zeros(9)
     z, n = np.zeros(9), np.zeros(9)
     rng = np.random.default_rng(10)
     for _ in range(50):

@@ -8,7 +8,7 @@ from crossgrid.functions import hashing as H, ids, metrics as M
 from crossgrid.operators import ranking as R
 from crossgrid.plans import fixtures as X
 from crossgrid.plans.registry import query, r
-from crossgrid.session import materialize, rounded, scratch_path
+from crossgrid.session import rounded, scratch_path
 from crossgrid.sources import readers, sinks
 
 

@@ -7,7 +7,8 @@ that many symbols left out. At s = 0.8 a pair is beyond 31 of 64 with a probabil
 
 Stages, each on what the one before left:
 1. equal sets become one class (an aggregate; copies are never paired),
-2. every bucket has a centre, and each class is held against the nearest centre of its buckets,
+2. every bucket has a leader; each class is held against the nearest leader of its buckets, then against the other
+   leaders that the first links did not join it with,
 3. components of the confirmed links,
 4. buckets that still hold several components: all pairs of different components, in tiles of bounded size, first by
    signature, then by set; a tile skips what its own links have joined and returns links only,
@@ -39,8 +40,6 @@ CHUNKS = 16
 DISTANCE = 31
 #: Classes in one side of a tile.
 TILE = 500
-#: Members to whom the centre of a bucket is near.
-PROBES = 16
 
 _rng = np.random.default_rng(20240229)
 _ADD = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -94,10 +93,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILARITY) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _u16(column) -> np.ndarray:
+def _symbols(column, kind=np.uint8) -> np.ndarray:
     """Signatures of a binary column as rows."""
-    got = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(got.to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, SYMBOLS)
 
 
 def _sets(column) -> list[np.ndarray]:
@@ -112,7 +110,7 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sign(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """_row, _id, _k1, _k2, n_shingles, _s1, _s2 (128 bits of the set), _sig of every row; written once."""
-    made = pa.schema([("n_shingles", pa.int64()), ("_s1", pa.int64()), ("_s2", pa.int64()), ("_sig", pa.binary())])
+    made = pa.schema([("n_shingles", pa.int64()), ("_s1", pa.int64()), ("_s2", pa.int64()), ("_sig", pa.binary()), ("_low", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -125,7 +123,9 @@ def sign(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame
                 rows["n_shingles"].append(len(s))
                 rows["_s1"].append(d[0])
                 rows["_s2"].append(d[1])
-                rows["_sig"].append(signature(s).tobytes())
+                sig = signature(s)
+                rows["_sig"].append(sig.tobytes())
+                rows["_low"].append(sig.astype(np.uint8).tobytes())
             kept = [j for j in range(batch.num_columns) if j != at]
             new = arrow_rows(rows, made)
             yield pa.RecordBatch.from_arrays([batch.column(j) for j in kept] + new.columns,
@@ -134,81 +134,58 @@ def sign(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame
     rows = _identified(docs, id_col, text_col)
     kind = rows.schema["_id"].dataType.simpleString()
     out = rows.select("_id", "_k1", "_k2", "_text").mapInArrow(
-        run, f"_id {kind}, _k1 long, _k2 long, n_shingles long, _s1 long, _s2 long, _sig binary")
+        run, f"_id {kind}, _k1 long, _k2 long, n_shingles long, _s1 long, _s2 long, _sig binary, _low binary")
     return materialize(with_row(out), "signatures")
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
-    """One row for each distinct set: _cls (its smallest row number), _k1, _k2 (of that row), _s1, _s2, _sig."""
-    one = F.min(F.struct("_row", "_k1", "_k2", "_sig"))
+    """One row for each distinct set: _cls (its smallest row number), _k1, _k2 (of that row), _s1, _s2, _sig, and
+    _low, the low byte of each symbol: no pair is farther by it than by _sig."""
+    one = F.min(F.struct("_row", "_k1", "_k2", "_sig", "_low"))
     return materialize(
         signed.filter("n_shingles > 0").groupBy("_s1", "_s2").agg(one.alias("o"))
-        .select(F.col("o._row").alias("_cls"), "_s1", "_s2", "o._k1", "o._k2", "o._sig"), "set-classes")
+        .select(F.col("o._row").alias("_cls"), "_s1", "_s2", "o._k1", "o._k2", "o._sig", "o._low"), "set-classes")
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """_key, _n, _cls, _sig of every bucket with several classes; buckets of the same classes count once. Written once."""
+    """_key, _cls, _first of every bucket with several classes; _first marks its leader, one of them by hash. Written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = bucket_keys(_u16(batch.column(1)))
+                keys = bucket_keys(_symbols(batch.column(1), np.uint16))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["_key", "_cls"])
 
-    keys = classes.select("_cls", "_sig").mapInArrow(run, "_key long, _cls long")
-    shared = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key")
-    every = materialize(keys.join(shared, "_key"), "buckets")
-    return materialize(every.join(_distinct_groups(every), "_key").join(classes.select("_cls", "_sig"), "_cls").select("_key", "_n", "_cls", "_sig"), "buckets")
+    keys = classes.select("_cls", "_sig").mapInArrow(run, "_key long, _cls long").withColumn("_h", F.xxhash64("_cls", "_key"))
+    shared = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("_low_h")).filter("n > 1").drop("n")
+    return materialize(keys.join(shared, "_key").select("_key", "_cls", (F.col("_h") == F.col("_low_h")).alias("_first")), "buckets")
 
 
-def _distinct_groups(rows: DataFrame) -> DataFrame:
-    """_key, _n: one of the keys that have the same classes, and their number."""
-    group = rows.groupBy("_key").agg(
-        F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("_cls")).alias("x1"), F.bit_xor(F.xxhash64("_cls", F.lit(1))).alias("x2"))
-    return group.groupBy("_n", "x1", "x2").agg(F.min("_key").alias("_key")).select("_key", "_n")
-
-
-def centres(members: DataFrame) -> DataFrame:
-    """_key, _leader: the class of each bucket that is nearest to ``PROBES`` others of its part. Only a good choice of whom
-    to ask first: what it misses is found in the last stages."""
-    part = F.pmod(F.xxhash64("_cls"), F.ceil(F.col("_n") / TILE)).alias("_part")
-    rows = members.select("_key", part, "_cls", "_sig").repartition("_key", "_part").sortWithinPartitions("_key", "_part")
-    made = pa.schema([("_key", pa.int64()), ("_leader", pa.int64()), ("_far", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = {f.name: [] for f in made}
-        for group in sorted_groups(batches, ["_key", "_part"]):
-            sig, cls = _u16(group["_sig"]), group["_cls"].to_numpy()
-            probe = np.argsort(mix64(cls.view(np.uint64)), kind="stable")[:PROBES]
-            far = sum((sig != sig[p]).sum(axis=1) for p in probe) / len(probe)
-            best = np.lexsort((cls, far))[0]
-            for name, value in zip(out, (group["_key"][0].as_py(), int(cls[best]), float(far[best])), strict=True):
-                out[name].append(value)
-            if len(out["_key"]) >= 10_000:
-                yield arrow_rows(out, made)
-                out = {f.name: [] for f in made}
-        yield arrow_rows(out, made)
-
-    found = rows.mapInArrow(run, "_key long, _leader long, _far double")
-    return found.groupBy("_key").agg(F.min(F.struct("_far", "_leader"))["_leader"].alias("_leader"))
-
-
-def near_leader(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """_leader, _cls: for each class the nearest centre of its buckets within the distance."""
-    sigs = classes.select(F.col("_cls").alias("_leader"), F.col("_sig").alias("_sig2"))
-    pairs = members.join(centres(members).join(sigs, "_leader"), "_key").filter("_cls <> _leader")
+def leader_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """_leader, _cls, _far of all pairs of a class and a leader of one of its buckets within the distance; at most one for
+    each member of a bucket. Written once."""
+    leaders = members.filter("_first").select("_key", F.col("_cls").alias("_leader"))
+    sigs = classes.select("_cls", "_low")
+    pairs = members.filter("not _first").select("_key", "_cls").join(leaders, "_key").select("_leader", "_cls").distinct()
+    pairs = pairs.join(sigs, "_cls").join(sigs.select(F.col("_cls").alias("_leader"), F.col("_low").alias("_low2")), "_leader")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                far = (_u16(batch.column(2)) != _u16(batch.column(3))).sum(axis=1)
+                far = (_symbols(batch.column(2)) != _symbols(batch.column(3))).sum(axis=1)
                 ok = far <= DISTANCE
                 yield arrow_rows({"_leader": batch.column(0).to_numpy()[ok], "_cls": batch.column(1).to_numpy()[ok], "_far": far[ok]},
                                  pa.schema([("_leader", pa.int64()), ("_cls", pa.int64()), ("_far", pa.int32())]))
 
-    close = pairs.select("_leader", "_cls", "_sig", "_sig2").mapInArrow(run, "_leader long, _cls long, _far int")
-    return close.groupBy("_cls").agg(F.min(F.struct("_far", "_leader"))["_leader"].alias("_leader"))
+    return materialize(pairs.select("_leader", "_cls", "_low", "_low2").mapInArrow(run, "_leader long, _cls long, _far int"), "leader-pairs")
+
+
+def _distinct_groups(rows: DataFrame) -> DataFrame:
+    """One of the keys that have the same classes."""
+    group = rows.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("_cls")).alias("x1"), F.bit_xor(F.xxhash64("_cls", F.lit(1))).alias("x2"))
+    return group.groupBy("_n", "x1", "x2").agg(F.min("_key").alias("_key")).select("_key")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -246,7 +223,7 @@ def confirm_leaders(pairs: DataFrame, sets, percent: int) -> DataFrame:
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """Deal the members (_key, _cls, _comp, _sig) of buckets with several components to tiles (_key, _i, _j) in roles.
+    """Deal the members (_key, _cls, _comp, _low) of buckets with several components to tiles (_key, _i, _j) in roles.
 
     Only pairs of different components count, so every pair has a side outside the bucket's most frequent component: those
     members stand on the left (_role 0), in parts of ``TILE``; all members stand on the right (_role 1), in parts of twice
@@ -257,14 +234,14 @@ def _tiles(rows: DataFrame) -> DataFrame:
     dealt = rows.join(size, "_key")
     own = lambda parts: F.pmod(F.xxhash64("_cls", F.lit(3)), F.col(parts)).cast("long")
     all_ = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts).cast("long") - 1))
-    left = dealt.filter("_comp <> _major").select("_key", own("_left").alias("_i"), all_("_right").alias("_j"), F.lit(0).alias("_role"), "_cls", "_comp", "_sig")
-    right = dealt.select("_key", all_("_left").alias("_i"), own("_right").alias("_j"), F.lit(1).alias("_role"), "_cls", "_comp", "_sig")
+    left = dealt.filter("_comp <> _major").select("_key", own("_left").alias("_i"), all_("_right").alias("_j"), F.lit(0).alias("_role"), "_cls", "_comp", "_low")
+    right = dealt.select("_key", all_("_left").alias("_i"), own("_right").alias("_j"), F.lit(1).alias("_role"), "_cls", "_comp", "_low")
     return left.union(right)
 
 
 def _close_pairs(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     """Each left row with the right rows that are within the distance and in other components."""
-    sig, comp, role = _u16(group["_sig"]), group["_comp"].to_numpy(), group["_role"].to_numpy()
+    sig, comp, role = _symbols(group["_low"]), group["_comp"].to_numpy(), group["_role"].to_numpy()
     right = np.flatnonzero(role == 1)
     for x in np.flatnonzero(role == 0):
         ok = right[comp[right] != comp[x]]
@@ -273,12 +250,14 @@ def _close_pairs(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
             yield int(x), ok
 
 
-def cross_links(members: DataFrame, comps: DataFrame, sets, percent: int) -> DataFrame:
+def cross_links(members: DataFrame, classes: DataFrame, comps: DataFrame, sets, percent: int) -> DataFrame:
     """Links (a, b) between classes of one bucket that are in different components so far."""
-    rows = members.join(comps.select(F.col("node").alias("_cls"), "comp"), "_cls", "left")
-    rows = rows.select("_key", "_cls", F.coalesce("comp", "_cls").alias("_comp"), "_sig")
+    rows = members.join(comps.select(F.col("node").alias("_cls"), "comp"), "_cls", "left").select("_key", "_cls", F.coalesce("comp", "_cls").alias("_comp"))
+    several = rows.groupBy("_key").agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi")).filter("lo < hi").select("_key")
+    rows = materialize(rows.join(several, "_key"), "open-buckets")
+    rows = rows.join(_distinct_groups(rows), "_key").join(classes.select("_cls", "_low"), "_cls").select("_key", "_cls", "_comp", "_low")
     order = ["_key", "_i", "_j"]
-    kept = pa.schema([("_key", pa.int64()), ("_cls", pa.int64()), ("_comp", pa.int64()), ("_sig", pa.binary())])
+    kept = pa.schema([("_key", pa.int64()), ("_cls", pa.int64()), ("_comp", pa.int64()), ("_low", pa.binary())])
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, order):
@@ -288,9 +267,9 @@ def cross_links(members: DataFrame, comps: DataFrame, sets, percent: int) -> Dat
                 yield arrow_rows({n: g[n].to_pylist() for n in kept.names}, kept)
 
     tiled = _tiles(rows).repartition(*order).sortWithinPartitions(*order, "_role", "_cls")
-    left = tiled.mapInArrow(survivors, "_key long, _cls long, _comp long, _sig binary").dropDuplicates(["_key", "_cls"])
+    left = tiled.mapInArrow(survivors, "_key long, _cls long, _comp long, _low binary").dropDuplicates(["_key", "_cls"])
     left = materialize(left, "open-buckets")
-    left = materialize(left.join(_distinct_groups(left).select("_key"), "_key"), "open-buckets")
+    left = materialize(left.join(_distinct_groups(left), "_key"), "open-buckets")
     again = _tiles(left).join(sets(left.select("_cls").distinct()), "_cls").repartition(*order).sortWithinPartitions(*order, "_role", "_cls")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +293,7 @@ def cross_links(members: DataFrame, comps: DataFrame, sets, percent: int) -> Dat
             if a:
                 yield arrow_rows({"a": a, "b": b}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return again.select(*order, "_role", "_cls", "_comp", "_sig", "_set").mapInArrow(confirm, "a long, b long")
+    return again.select(*order, "_role", "_cls", "_comp", "_low", "_set").mapInArrow(confirm, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
@@ -327,11 +306,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sets(wanted: DataFrame) -> DataFrame:
         return sets_of(docs, materialize(classes.join(wanted, "_cls").select("_cls", "_k1", "_k2"), "wanted"), id_col, text_col, shingle)
 
-    stars = materialize(near_leader(members, classes), "leaders")
-    first = materialize(confirm_leaders(stars, sets, percent), "links")
-    comps = materialize(components(first), "components")
-    more = materialize(cross_links(members, comps, sets, percent), "links")
-    comps = components(first.union(more))
+    pairs = leader_pairs(members, classes)
+    nearest = pairs.groupBy("_cls").agg(F.min(F.struct("_far", "_leader"))["_leader"].alias("_leader"))
+    links = materialize(confirm_leaders(nearest, sets, percent), "links")
+    # pairs whose sides are not under one leader by these links
+    under = links.groupBy(F.col("b").alias("_cls")).agg(F.min("a").alias("_up"))
+    side = lambda name: F.coalesce(F.col(name + "_up"), F.col(name))
+    rest = pairs.join(under.withColumnRenamed("_up", "_cls_up"), "_cls", "left").join(under.select(F.col("_cls").alias("_leader"), F.col("_up").alias("_leader_up")), "_leader", "left")
+    rest = materialize(rest.filter(side("_cls") != side("_leader")).select("_leader", "_cls"), "leader-pairs")
+    links = links.union(materialize(confirm_leaders(rest, sets, percent), "links"))
+    comps = materialize(components(links), "components")
+    more = materialize(cross_links(members, classes, comps, sets, percent), "links")
+    comps = components(links.union(more))
     known = classes.join(comps.withColumnRenamed("node", "_cls"), "_cls", "left").select("_s1", "_s2", F.coalesce("comp", "_cls").alias("_comp"))
     alone = signed.filter("n_shingles = 0").withColumn("_comp", F.col("_row"))
     rows = signed.filter("n_shingles > 0").join(known, ["_s1", "_s2"]).select(*alone.columns).union(alone)

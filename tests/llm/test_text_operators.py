@@ -495,6 +495,15 @@ def test_revealing_words_are_those_of_the_counts(spark):
     assert joined.select(pii.sanitise(F.col("text"), F.col("spans")).alias("t")).first().t == "write to [EMAIL]"
 
 
+def test_rare_values_have_revealing_words(spark, tmp_path):
+    rows = [(1, "Mister Quux writes from solo@rare.org about the town"), (2, "the pair@rare.org and Frob"), (3, "the pair@rare.org or Frob")]
+    rows += [(10 + k, "about the town or from and writes") for k in range(60)]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x.startswith("term")] for r in queries.QUERIES["op10_personal_data"](spark, str(tmp_path)).collect()}
+    found = {i: {dict(rows)[i][int(a) : int(b)] for _, a, b in spans} for i, spans in got.items() if spans}
+    assert found == {1: {"Mister", "Quux"}, 2: {"Frob"}, 3: {"Frob"}}
+
+
 def test_personal_data_edges(spark):
     assert pii.personal_data(docs_of(spark, EDGES)).count() == len(EDGES)
     assert pii.personal_data(docs_of(spark, [])).count() == 0

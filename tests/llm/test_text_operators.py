@@ -504,6 +504,34 @@ def test_rare_values_have_revealing_words(spark, tmp_path):
     assert found == {1: {"Mister", "Quux"}, 2: {"Frob"}, 3: {"Frob"}}
 
 
+def test_revealing_words_are_marked_in_every_text(spark, tmp_path):
+    far = " ".join(f"plain{k}" for k in range(20))
+    rows = [(k, f"mail x{k % 7}@y.zz or 10.0.0.{k % 5} {far} Zorro{k % 7} É{k % 5} {WORDS[k % 40]}") for k in range(24)] + [(40, "Zorro3 alone, zorro3 again"), (41, None), (42, "zorro9")]
+    rows += [(50 + k, f"{far} {WORDS[k % 40]} {WORDS[(k * 7) % 40]}") for k in range(80)] + [(200, "Quux " + "many " * 700 + "solo@rare.org"), (201, "the Quux." + " many" * 300 + " quux")]
+    texts = {i: t or "" for i, t in rows}
+    word = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+    words = {i: [(m[0].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m.start(), m.end()) for m in word.finditer(t)] for i, t in texts.items()}
+    free = {i: [w for w in ws if not any(w[1] < e and s < w[2] for s, _, e in base_of(texts[i]))] for i, ws in words.items()}
+    df, df_value, co = Counter(w for ws in words.values() for w in {x[0] for x in ws}), Counter(), Counter()
+    for i, t in texts.items():
+        values = {t[s:e] for s, _, e in base_of(t)}
+        df_value.update(values)
+        co.update((v, w) for v in values for w in {x[0] for x in free[i]})
+    n = len(rows)
+    telling = {w for (v, w), c in co.items() if (p := math.log2(n * c / (df[w] * df_value[v]))) > 0 and p >= pii.DISCLOSURE * math.log2(n / df_value[v])}
+    want = {i: sorted([*base_of(texts[i]), *((a, 4, b) for w, a, b in ws if w in telling)]) for i, ws in free.items()}
+    assert {"zorro3", "quux"} <= telling and want[40] and want[201]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    kinds = {k: j for j, k in enumerate((*pii.KINDS, "term"))}
+    got = {r.doc_id: [(int(a), kinds[k], int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)] for r in queries.QUERIES["op10_personal_data"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_personal_data_everywhere_edges(spark):
+    assert pii.personal_data_everywhere(docs_of(spark, EDGES)).count() == len(EDGES)
+    assert pii.personal_data_everywhere(docs_of(spark, [])).count() == 0
+
+
 def test_personal_data_edges(spark):
     assert pii.personal_data(docs_of(spark, EDGES)).count() == len(EDGES)
     assert pii.personal_data(docs_of(spark, [])).count() == 0

@@ -360,6 +360,25 @@ def test_pages(spark):
     assert html_wrapper.extract(pages.limit(0)).count() == 0
 
 
+def test_constancy_decides_inside_articles_too(spark):
+    def unnamed(k):
+        return f"<main><div class=x1><ul><li>Start</li><li>Maps</li></ul></div><article><h1>T {k}</h1><p>Own {k}</p><p>Licence</p><div class=x2><div>Buy now</div></div></article></main>"
+
+    rows = [(k, "http://a.example/", unnamed(k)) for k in range(40)]
+    rows += [(100 + k, "http://b.example/", f"<div class='no-sidebar page'><article><h1>T {k}</h1><p>Own {k}</p></article></div><footer>F {k}</footer>") for k in range(4)]
+    rows += [(200 + k, f"http://c{k}.example/", unnamed(k)) for k in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrapper.extract(pages).collect()}
+    assert all(got[k] == f"T {k}\n\nOwn {k}\n\nLicence" for k in range(40))
+    assert all(got[100 + k] == f"T {k}\n\nOwn {k}" for k in range(4))
+    assert all(got[200 + k].startswith("Start\n\nMaps") and got[200 + k].endswith("Buy now") for k in range(2))  # one page proves nothing
+
+
+def test_a_copied_article_is_not_template():
+    page = "<article><h1>T</h1><div><p>Body</p></div></article><div>{}</div>"
+    assert html_wrapper.main_text(page.format("ad 1"), [html_wrapper.parse(page.format(f"ad {k}")) for k in (2, 3)]) == "T\n\nBody"
+
+
 def test_tree_matching_is_the_largest_ordered_one():
     a, b = (html_wrapper.parse(f"<div>{''.join(f'<p>{x}</p>' for x in s)}</div>") for s in ("abcde", "xbdey"))
     pairs = [(x.text, y.text) for x, y in html_wrapper.match_trees(a, b) if x.tag == "#"]

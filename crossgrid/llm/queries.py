@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crossgrid.llm import decontaminate, exact_dedup, html_wrapper, lm, near_dedup, packing, pieces, pii, substring_dedup, toxicity
+from crossgrid.llm import decontaminate, exact_dedup, hard_negatives, html_wrapper, lm, near_dedup, packing, pieces, pii, substring_dedup, top_k, toxicity
 from crossgrid.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,41 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
     out = lm.score_texts(docs, train="crc32(cast(doc_id as string)) % 10 <> 0")
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+_WHOLE = "list_transform(embedding, lambda x: floor({} * CAST(x AS DOUBLE)))"
+_FINITE = "vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query("op11_hard_negatives", f"""
+    WITH rows AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS lab, {_WHOLE.format(256)} AS x
+        FROM embeddings WHERE label IS NOT NULL AND {_FINITE}
+    ), scored AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id, a.lab = b.lab AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS s
+        FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+    ), positives AS (
+        SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, s AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 100 * s BETWEEN 80 * positive_score AND 100 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id) QUALIFY row_number() OVER w <= 5
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(Tables(spark, sf_dir).embeddings, F.col("vec_id") % 100 == 0, moved, 256)
+
+
+@query("op12_top_k", f"""
+    WITH rows AS (SELECT vec_id, {_WHOLE.format(1024)} AS x FROM embeddings WHERE {_FINITE}
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+        FROM rows q JOIN rows c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+    )
+    SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+    WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(Tables(spark, sf_dir).embeddings, F.col("vec_id") % 100 == 0, 10, 1024)

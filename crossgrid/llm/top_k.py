@@ -1,18 +1,18 @@
 """Exact top-k search by inner product: aggregation of sorted lists without random access.
 
 A block of rows holds one list per dimension, sorted by component. The score of a row is the sum of its contributions
-q[d] * x[d], so a query reads every list from the end where its contributions are highest, all lists to the same depth.
-For a row the contributions met so far are known; one not yet met in list d is at most the frontier of d (the last one
-read) and at least the floor of d (the far end of the list). Known ones plus frontiers bound a score from above, known
-ones plus floors from below. A row is out once its upper bound is below the k-th best (lower bound, or score of an earlier
-block of the unit). While the sum of all frontiers reaches the k-th best, rows never met may still qualify and nothing is
-out; afterwards only rows that were met can remain. Reading stops when the rows still in are so few that to resolve their
-final scores takes less than to read on, or at the end of the lists. Scores are exact integers.
+q[d] * x[d], so a query reads each list in order, from the end where its contributions are highest. Lists are read a stretch
+at a time, first the stretches that lower the bounds most. For a row the contributions met so far are known; one not yet
+met in list d is at most the frontier of d (the last one read) and at least the floor of d (the far end of the list). Known
+ones plus frontiers bound a score from above, known ones plus floors from below. A row is out once its upper bound is below
+the k-th best (lower bound, or score of an earlier block of the unit). While the sum of all frontiers reaches the k-th best,
+rows never met may still qualify and nothing is out; afterwards only rows that were met can remain. Reading stops when the
+rows still in are so few that to resolve their final scores takes less than to read on, or at the end of the lists. Scores
+are exact integers.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,60 +23,68 @@ from crossgrid.llm import vectors
 from crossgrid.llm.common import arrow_rows
 from crossgrid.llm.vectors import Best
 
-#: A block's lists are read in so many steps at most.
-STEPS = 12
+#: Stretches of a list, rounds in which all stretches are read at most.
+STRETCHES, ROUNDS = 16, 10
 
 FOUND = "_q long, vec_id long, score long"
 _FOUND = pa.schema([("_q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 class Lists:
-    """The sorted lists of a block: places and components of each dimension, first from the low end, then from the high end."""
+    """The sorted lists of a block: places and components of each dimension, first from the low end, then from the high end.
+
+    Components are held as shares of the largest one in single precision; what that rounds away is allowed for."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         n, d = x.shape
-        self.ids, self.x = ids, x
+        self.ids, self.x, self.most = ids, x, max(1.0, vectors.largest(x))
         low = np.argsort(x, axis=0, kind="stable").T
-        values = np.take_along_axis(x.T, low, axis=1).astype(float)
+        values = (np.take_along_axis(x.T, low, axis=1) / self.most).astype(np.float32)
         low = low + n * np.arange(d)[:, None]  # places in a matrix [dimension, row]
-        self.places = np.concatenate([low, low[:, ::-1]])  # [list, depth]
-        self.values = np.concatenate([values, values[:, ::-1]])
-        self.most = vectors.largest(x)
-        self.met = np.empty((d, n))
-        self.bound = np.empty((d, n))
+        fill = ((0, 0), (0, -n % STRETCHES))  # the last entry again up to whole stretches
+        cut = (2 * d, STRETCHES, -(-n // STRETCHES))
+        self.places = np.concatenate([np.pad(y, fill, "edge") for y in (low, low[:, ::-1])]).reshape(cut)
+        self.values = np.concatenate([np.pad(y, fill, "edge") for y in (values, values[:, ::-1])]).reshape(cut)
+        self.first, self.last = self.values[:, 0, 0], self.values[:, :, -1]
+        self.met, self.bound = np.empty((d, n), dtype=np.float32), np.empty((d, n), dtype=np.float32)
 
 
-def candidates(lists: Lists, q: np.ndarray, k: int, least: float) -> tuple[np.ndarray, int]:
-    """Rows that may be among the ``k`` best with a score of at least ``least``, and the depth to which lists were read."""
+def candidates(lists: Lists, q: np.ndarray, k: int, least: float) -> tuple[np.ndarray, float]:
+    """Rows that may be among the ``k`` best with a score of at least ``least``, and the share of the lists that was read."""
     n, d = lists.x.shape
     if not n or not d:
-        return np.arange(n), 0
-    weight = q.astype(float)
+        return np.arange(n), 0.0
+    unit = max(1.0, vectors.largest(q))
+    weight = (q / unit).astype(np.float32)
+    least /= unit * lists.most
     read = np.arange(d) + d * (weight >= 0)  # the lists to read
-    most = float(np.abs(weight).sum()) * lists.most
-    slack = 0.0 if most < 1 << 53 else most * 2.0**-40  # rounding of sums beyond exact doubles
+    slack = (d + 4) * 2.0**-23 * (float(np.abs(weight).sum()) + (abs(least) if least > -np.inf else 0.0))
     met, bound = lists.met, lists.bound
     met.fill(-np.inf)  # contributions not yet met
-
-    def frontier_at(depth: int) -> np.ndarray:
-        return weight * lists.values[read, depth - 1]
+    after = weight[:, None] * lists.last[read]  # frontiers after each stretch
+    frontier, floor = weight * lists.first[read], after[:, -1]
 
     def at_least(unmet: np.ndarray) -> np.ndarray:
         """Scores, with ``unmet`` in the place of what was not met: it is no higher than what was."""
         return np.maximum(met, unmet[:, None], out=bound).sum(axis=0)
 
-    step = -(-n // STEPS)
-    # rows never met are out from the depth on where all frontiers together fall short
-    end = bisect.bisect_left(range(1, n), True, key=lambda depth: frontier_at(depth).sum() + slack < least) + 1
-    inside, depth, bar = np.arange(n), 0, least
-    while depth < n and len(inside) > step:
-        end = min(n, max(end, depth + step))
-        met.reshape(-1)[lists.places[read, depth:end]] = weight[:, None] * lists.values[read, depth:end]
-        depth = end
+    # a stretch lowers the bounds of all rows not met before it
+    gain = (np.concatenate([frontier[:, None], after[:, :-1]], axis=1) - after) * np.arange(STRETCHES, 0, -1)
+    order = np.argsort(-np.minimum.accumulate(gain, axis=1), axis=None, kind="stable")  # a list's stretches in their order
+    inside, bar = np.arange(n), least
+    step = -(-len(order) // ROUNDS)
+    for at in range(0, len(order), step):
+        if len(inside) <= -(-n // ROUNDS):
+            return inside, at / len(order)
+        dim, stretch = np.divmod(order[at : at + step], STRETCHES)
+        met.reshape(-1)[lists.places[read[dim], stretch]] = weight[dim][:, None] * lists.values[read[dim], stretch]
+        np.minimum.at(frontier, dim, after[dim, stretch])
+        if least > -np.inf and frontier.sum() + slack >= least:
+            continue  # a row never met may still qualify
         if least == -np.inf:
-            bar = vectors.kth_highest(at_least(frontier_at(n)) - slack, k)
-        inside = np.flatnonzero(at_least(frontier_at(depth)) + slack >= bar)
-    return inside, depth
+            bar = vectors.kth_highest(at_least(floor), k) - slack
+        inside = np.flatnonzero(at_least(frontier) + slack >= bar)
+    return inside, 1.0
 
 
 def _unit(k: int, d: int):

@@ -127,7 +127,7 @@ class Anchor:
         norm = block.norm[rows]
         error = block.rest[level, rows] * np.sqrt(np.maximum(0.0, self.norm**2 - along**2)) + norm * self.rounded
         error += SLACK * (1.0 + norm * (self.norm + self.rounded))
-        return known, known - error, known + error
+        return known, vectors.held(known - error), vectors.held(known + error)
 
 
 def nearest_same(block: Block, anchor: Anchor, rows: np.ndarray, best: Best) -> None:

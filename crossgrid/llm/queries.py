@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crossgrid.llm import decontaminate, exact_dedup, hard_negatives, html_wrapper, lm, near_dedup, packing, pieces, pii, substring_dedup, top_k, toxicity
+from crossgrid.llm import decontaminate, exact_dedup, hard_negatives, html_wrapper, lm, near_dedup, packing, pieces, pii, substring_dedup, top_k, toxicity, whitening
 from crossgrid.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(Tables(spark, sf_dir).embeddings, F.col("vec_id") % 100 == 0, 10, 1024)
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened vectors; tested against exact sums and a plain eigendecomposition."""
+    return whitening.whiten(Tables(spark, sf_dir).embeddings, 64, 1_000_000)

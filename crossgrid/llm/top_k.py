@@ -56,7 +56,8 @@ def candidates(lists: Lists, q: np.ndarray, k: int, least: float) -> tuple[np.nd
         return np.arange(n), 0.0
     unit = max(1.0, vectors.largest(q))
     weight = (q / unit).astype(np.float32)
-    least /= unit * lists.most
+    whole = unit * lists.most
+    least = (least if least > -(1 << 63) else -np.inf) / whole  # scores are held within the range of a long
     read = np.arange(d) + d * (weight >= 0)  # the lists to read
     slack = (d + 4) * 2.0**-23 * (float(np.abs(weight).sum()) + (abs(least) if least > -np.inf else 0.0))
     met, bound = lists.met, lists.bound
@@ -82,7 +83,7 @@ def candidates(lists: Lists, q: np.ndarray, k: int, least: float) -> tuple[np.nd
         if least > -np.inf and frontier.sum() + slack >= least:
             continue  # a row never met may still qualify
         if least == -np.inf:
-            bar = vectors.kth_highest(at_least(floor), k) - slack
+            bar = min(vectors.kth_highest(at_least(floor), k) - slack, float(1 << 63) / whole)
         inside = np.flatnonzero(at_least(frontier) + slack >= bar)
     return inside, 1.0
 

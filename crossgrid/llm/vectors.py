@@ -65,6 +65,11 @@ def largest(x: np.ndarray) -> float:
     return float(np.abs(x.astype(float)).max(initial=0))
 
 
+def held(score):
+    """Bounds of scores that are themselves held within the range of a long."""
+    return np.clip(score, *map(float, _LONG))
+
+
 def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products of a vector with the rows of a matrix, held within the range of a long."""
     if largest(q) * largest(x) * max(1, len(q)) < 1 << 53:

@@ -557,7 +557,7 @@ def _event_files(spark, name):
 
 
 def test_streams_lose_no_late_rows(spark):
-    from crossgrid.streaming import jobs
+    from crossgrid.streaming import event_time, jobs
 
     path, rows = _event_files(spark, "events")
     stream = lambda: jobs.read_stream(spark, f"{path}/*", max_files=1)
@@ -565,13 +565,13 @@ def test_streams_lose_no_late_rows(spark):
     for _ in range(2):
         out = jobs.stream_append_once(stream(), ["id"], scratch_path(spark, "work"), table)
     assert sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 5, 6]
-    days = jobs.stream_windows(stream(), "ts", ["user"], "value", scratch_path(spark, "work"), "1 day").collect()
+    days = event_time.windows(stream(), "ts", ["user"], "value", scratch_path(spark, "work"), "1 day", delay="30 days").rows.collect()
     want = {}
     for _, u, t, v in rows:
         n, s = want.get((u, t[:10]), (0, 0.0))
         want[u, t[:10]] = (n + 1, s + v)
     assert {(r.user, str(r.window_start)[:10]): (r.n, r.total) for r in days} == want
-    sessions = jobs.stream_sessions(stream(), "ts", "user", "value", "30 minutes", scratch_path(spark, "work")).collect()
+    sessions = event_time.sessions(stream(), "ts", "user", "value", "30 minutes", scratch_path(spark, "work"), delay="30 days").rows.collect()
     got = sorted((r.user, str(r.session_start), r.n, r.total, r.is_open) for r in sessions)
     assert got == [("u", "2024-01-02 10:00:00", 1, 8.0, False), ("u", "2024-01-20 10:00:00", 3, 35.0, False),
                    ("u", "2024-01-21 10:00:00", 2, 8.0, True), ("v", "2024-01-20 10:20:00", 1, 16.0, False)]

@@ -10,6 +10,7 @@ from crossgrid.plans import fixtures as X
 from crossgrid.plans.registry import query, r
 from crossgrid.session import rounded, scratch_path
 from crossgrid.sources import readers, sinks
+from crossgrid.sources.keyed_table import KeyedTable
 
 
 @query("scan_required_cols", """
@@ -183,6 +184,17 @@ def resume_todo(t):
                            t.orders.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
+@query("resume_batches", f"""
+    SELECT (o_orderkey % 4 + 1)::INTEGER AS delivery, o_orderpriority, count(*) AS n, {r("sum(o_totalprice)", 2)} AS total FROM orders GROUP BY 1, 2""")
+def resume_batches(t):
+    """Four deliveries, each with the rows of the one before again, into a table with a key index: a row counts where it came first."""
+    table = KeyedTable(t.spark, scratch_path(t.spark, "keyed"), ["o_orderkey"])
+    for k in range(4):
+        rows = t.orders.filter((F.col("o_orderkey") % 4).isin(k, k - 1)).select("o_orderkey", "o_orderpriority", "o_totalprice")
+        table.append(rows.withColumn("delivery", F.lit(k + 1)))
+    return table.read().groupBy("delivery", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("expected_minus_have", """
     SELECT p_brand, p_type FROM (SELECT DISTINCT p_brand FROM part), (SELECT DISTINCT p_type FROM part)
     EXCEPT SELECT p_brand, p_type FROM part WHERE p_size <= 10""")

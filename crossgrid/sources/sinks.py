@@ -67,30 +67,19 @@ def todo_keys(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return wanted.join(done.select(*key), key, "left_anti")
 
 
-#: Column by which an appended table may be partitioned: a hash of the key.
-BUCKET = "_bucket"
-
-
-def append_missing(spark: SparkSession, fresh: DataFrame, path: str, key: list[str], buckets: int | None = None) -> None:
+def append_missing(spark: SparkSession, fresh: DataFrame, path: str, key: list[str]) -> None:
     """Append only the rows whose key the table does not hold yet, one row for each key.
 
-    With ``buckets`` the table is partitioned by key bucket, and of what it holds only the buckets of ``fresh`` are read;
-    every call for one table must name the same number."""
+    All keys of the table are read; ``keyed_table`` has an index for many batches."""
     rows = fresh.dropDuplicates(key)
-    if buckets:
-        rows = rows.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-    parts = [BUCKET] if buckets else []
     try:
         done = spark.read.schema(rows.schema).parquet(path)
     except AnalysisException as e:  # first run: the table does not exist
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows.write.partitionBy(*parts).parquet(path)
+        rows.write.parquet(path)
         return
-    if buckets:
-        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
-        done = done.filter(F.col(BUCKET).isin(touched))
-    rows.join(done.select(*key), key, "left_anti").write.mode("append").partitionBy(*parts).parquet(path)
+    rows.join(done.select(*key), key, "left_anti").write.mode("append").parquet(path)
 
 
 def union_parts(parts: list[DataFrame]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crossgrid.sources.sinks import BUCKET, append_missing
+from crossgrid.sources.keyed_table import KeyedTable
 
 
 #: Key buckets of a table that is appended to.
@@ -82,7 +82,8 @@ def stream_accuracy(stream: DataFrame, keys: list[str], label: str, pred: str, w
 def stream_append_once(stream: DataFrame, key: list[str], work_dir: str, table: str) -> DataFrame:
     """Append rows whose key is new, however late they come: repeats in a batch, in the table and in replays change nothing."""
     def add(batch: DataFrame, batch_id: int) -> None:
-        append_missing(batch.sparkSession, batch, table, key, BUCKETS)
+        KeyedTable(batch.sparkSession, table, key, BUCKETS).append(batch)
 
     run_batches(stream, work_dir, add)
-    return stream.sparkSession.read.parquet(table).drop(BUCKET)
+    rows = KeyedTable(stream.sparkSession, table, key, BUCKETS).read()
+    return stream.sparkSession.createDataFrame([], stream.schema) if rows is None else rows

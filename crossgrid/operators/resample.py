@@ -1,4 +1,4 @@
-"""Permutation tests and bootstraps.
+"""Permutation tests.
 
 A permutation reorders *units* (periods, models), never rows: units x permutations is small
 and known in advance. Order ``i`` of a unit is ``md5("seed:i:unit")``, so every engine and
@@ -8,16 +8,12 @@ statistic in the same pass.
 
 from __future__ import annotations
 
-import math
-from itertools import accumulate
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from crossgrid.functions import hashing as H, metrics as M
 from crossgrid.operators.accuracy import CELL_KEY
-from crossgrid.operators.ranking import hashed_rank
 from crossgrid.operators.regress import moment_rows, unpack
 from crossgrid.session import attach_params, materialize, small_side
 
@@ -225,97 +221,6 @@ def label_gap_test(pairs: DataFrame, units: DataFrame, unit: list[str], label: s
     return null.withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one").drop("_one")
 
 
-def bootstrap_r2(preds: DataFrame, cell: list[str], row_key: list[str], label: str, pred: str,
-                 n_boot: int, ci: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile interval of R2 from exact resampling with replacement.
-
-    Draw k of replicate b takes the row whose rank in its cell is hash(seed, b, k) mod n. Ranks
-    come from :func:`hashed_rank`, so a cell of any size is split over many tasks, and draws meet
-    rows on (cell, rank), which spreads one cell over all tasks.
-    """
-    rows = preds.filter(F.col(label).isNotNull() & F.col(pred).isNotNull()).select(
-        *cell, F.col(label).alias("_y"), F.col(pred).alias("_f"),
-        H.hash_order(F.lit("row"), *row_key).alias("_h"))
-    # read twice: by the draws and by the rows they hit
-    ranked = materialize(hashed_rank(rows, cell, "_h", "_idx"), "ranked")
-    sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_m"))
-    # one md5 serves two replicates: fifteen hex digits each
-    digest = H.hash_order(F.lit(seed), "_block", "_k", *cell)
-    parts = F.array(*[
-        F.struct((F.col("_block") * 2 + i + 1).alias("rep"), F.substring("_d", 16 * i + 1, 15).alias("_u")) for i in range(2)])
-    draws = (
-        ranked.select(*cell, F.col("_idx").alias("_k"))
-        .join(sizes, cell)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 2))))
-        .withColumn("_d", digest).withColumn("_p", F.explode(parts)).filter(F.col("_p.rep") <= n_boot)
-        .select(*cell, "_m", "_p.rep", (F.conv("_p._u", 16, 10).cast("long") % F.col("_n") + 1).alias("_idx"))
-    )
-    # the draws are many times the rows: hash the rows of a partition, do not sort the draws
-    hit = draws.join(ranked.hint("shuffle_hash"), [*cell, "_idx"]).withColumn("_w", F.lit(1))
-    return _boot_summary(_weighted_r2(hit, cell), cell, ci)
-
-
-def bootstrap_r2_poisson(preds: DataFrame, cell: list[str], row_key: list[str], label: str, pred: str,
-                         n_boot: int, ci: float = 0.95, seed: int = 0) -> DataFrame:
-    """The same interval with Poisson(1) weights: no draw ever leaves its row.
-
-    Only partial sums per (cell, replicate) are shuffled, whatever the number of rows.
-    """
-    rows = preds.filter(F.col(label).isNotNull() & F.col(pred).isNotNull()).select(
-        *cell, *row_key, F.col(label).alias("_y"), F.col(pred).alias("_f"))
-    means = rows.groupBy(*cell).agg(F.avg("_y").alias("_m"))
-    # one md5 serves four replicates: eight hex digits each
-    digest = H.hash_order(F.lit(seed), "_block", *row_key)
-    parts = F.array(*[
-        F.struct((F.col("_block") * 4 + i + 1).alias("rep"), F.substring("_d", 8 * i + 1, 8).alias("_u")) for i in range(4)])
-    weighted = (
-        rows.join(means, cell)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 4))))
-        .withColumn("_d", digest).withColumn("_p", F.explode(parts))
-        .select(*cell, "_y", "_f", "_m", "_p.rep", poisson_weight(F.col("_p._u")).alias("_w"))
-        .filter((F.col("_w") > 0) & (F.col("rep") <= n_boot))
-    )
-    return _boot_summary(_weighted_r2(weighted, cell), cell, ci)
-
-
-# Distribution function of the Poisson distribution with mean 1 at 0, 1, 2, ...: as far as 32 bits tell it from 1.
-POISSON_CDF = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
-
-
-def poisson_weight(u):
-    """Number of draws of a row at a uniform value given as eight hex digits.
-
-    Hex text of equal length compares like the numbers it stands for.
-    """
-    w = F.lit(len(POISSON_CDF))
-    for k in reversed(range(len(POISSON_CDF))):
-        w = F.when(u < f"{math.ceil(POISSON_CDF[k] * 2 ** 32):08x}", k).otherwise(w)
-    return w
-
-
-def _weighted_r2(df: DataFrame, cell: list[str]) -> DataFrame:
-    """R2 per replicate from weighted sums of labels centred at the cell mean."""
-    z = F.col("_y") - F.col("_m")
-    w = F.col("_w")
-    sums = df.groupBy(*cell, "rep").agg(
-        F.sum(w).alias("_sw"), F.sum(w * z).alias("_sz"), F.sum(w * z * z).alias("_szz"),
-        F.sum(w * (F.col("_y") - F.col("_f")) * (F.col("_y") - F.col("_f"))).alias("_se"),
-        F.min("_y").alias("_lo"), F.max("_y").alias("_hi"))
-    sst = F.col("_szz") - F.col("_sz") * F.col("_sz") / F.col("_sw")
-    return sums.withColumn("r2", F.when(F.col("_hi") > F.col("_lo"), 1 - F.try_divide(F.col("_se"), sst)))
-
-
-def _boot_summary(scores: DataFrame, cell: list[str], ci: float) -> DataFrame:
-    """``percentile`` here buffers one number per replicate, which is bounded by n_boot."""
-    tail = (1 - ci) / 2
-    return scores.groupBy(*cell).agg(
-        F.avg("r2").alias("r2_boot_mean"),
-        F.coalesce(F.stddev_samp("r2"), F.lit(0.0)).alias("r2_boot_std"),
-        F.percentile("r2", tail).alias("ci_lower"), F.percentile("r2", 1 - tail).alias("ci_upper"),
-        F.count("r2").alias("n_boot"),
-    ).filter("n_boot > 0")
-
-
 def partial_corr(pairs: DataFrame, x: str, y: str, z1: str, z2: str):
     """Partial correlation of x and y given two controls, from one set of moments."""
     s = pairs.agg(*[

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from crossgrid.functions import geo, hashing as H
@@ -65,63 +66,158 @@ def knn(points: DataFrame, sample: DataFrame, key: str, k: int = NEIGHBOURS) ->
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-#: Points of a grid cell from which the search of all neighbours starts.
-CROWD = 64
-FINEST = 22
+#: Places of a leaf of the space partition; lower bounds are lowered by so much for rounding.
+LEAF, ROUNDING = 2048, 4e-15
+_SOLVED = "leaf int, lat double, lon double, id long, first boolean, x double, y double, z double, reach double, near array<struct<neighbor: long, km: double>>"
+_FOUND = "lat double, lon double, near array<struct<neighbor: long, km: double>>"
 
 
-def _cell(m: int) -> tuple[Column, Column]:
-    g = 360.0 / (1 << m)
-    return (F.floor((F.col("lon") + 180.0) / g) % (1 << m)).cast("long").alias("cx"), F.floor((F.col("lat") + 90.0) / g).cast("long").alias("cy")
+def _on_sphere(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Points of the unit sphere: straight distances there grow with great-circle ones and have no seams or poles."""
+    p, m = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(p) * np.cos(m), np.cos(p) * np.sin(m), np.sin(p)], axis=1)
 
 
-def knn_all(points: DataFrame, key: str, k: int = NEIGHBOURS, crowd: int = CROWD) -> DataFrame:
+def _order_code(at: np.ndarray, bits: int = 20) -> np.ndarray:
+    """Z-order of points in the cube around the sphere."""
+    cell = np.minimum(((at + 1.0) / 2.0 * (1 << bits)).astype(np.int64), (1 << bits) - 1)
+    code = np.zeros(len(at), dtype=np.int64)
+    for k in range(bits):
+        for axis in range(3):
+            code |= (cell[:, axis] >> k & 1) << (3 * k + axis)
+    return code
+
+
+def _nearest(lat: np.ndarray, lon: np.ndarray, at: np.ndarray, refs: pd.DataFrame, k: int, within: np.ndarray | None = None):
+    """For each place the ``k`` nearest of ``refs`` (no farther than the chord ``within``) by (km, id): lists of (id, km)."""
+    ref_at, ids = refs[["x", "y", "z"]].to_numpy(), refs["id"].to_numpy()
+    ref_lat, ref_lon = refs["lat"].to_numpy(), refs["lon"].to_numpy()
+    out, step = [], max(1, (1 << 20) // max(1, len(ids)))
+    for lo in range(0, len(lat), step):
+        part = slice(lo, lo + step)
+        square = sum((at[part, axis, None] - ref_at[None, :, axis]) ** 2 for axis in range(3))
+        bound = np.full(len(square), np.inf) if within is None else within[part].copy()
+        if len(ids) > k:
+            bound = np.minimum(bound, np.sqrt(np.partition(square, k - 1, axis=1)[:, k - 1]))
+        row, ref = np.nonzero(square <= ((bound * (1 + 1e-12) + ROUNDING) ** 2)[:, None])
+        half_lat, half_lon = np.radians(ref_lat[ref] - lat[part][row]) / 2, np.radians(ref_lon[ref] - lon[part][row]) / 2
+        a = np.sin(half_lat) ** 2 + np.cos(np.radians(lat[part][row])) * np.cos(np.radians(ref_lat[ref])) * np.sin(half_lon) ** 2
+        km = 2 * geo.EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(a)))
+        order = np.lexsort((ids[ref], km, row))
+        row, ref, km = row[order], ref[order], km[order]
+        begin = np.searchsorted(row, np.arange(len(square) + 1))
+        out += [list(zip(ids[ref[u:v]].tolist(), km[u:v].tolist(), strict=True)) for u, v in ((u, min(v, u + k)) for u, v in zip(begin[:-1], begin[1:], strict=True))]
+    return out
+
+
+def _as_near(lists: list) -> list:
+    return [[{"neighbor": i, "km": v} for i, v in pairs] for pairs in lists]
+
+
+def _solve_leaf(k: int):
+    """Each task holds one leaf: its places' nearest references within the leaf, and how far a nearer one may be."""
+
+    def solve(frames):
+        frames = [f for f in frames if len(f)]
+        if not frames:
+            return
+        leaf = pd.concat(frames, ignore_index=True)
+        at = _on_sphere(leaf["lat"].to_numpy(), leaf["lon"].to_numpy())
+        leaf["x"], leaf["y"], leaf["z"] = at.T
+        places = np.flatnonzero(leaf["first"].to_numpy())
+        near = _nearest(leaf["lat"].to_numpy()[places], leaf["lon"].to_numpy()[places], at[places], leaf, k)
+        reach, lists = np.full(len(leaf), -1.0), [None] * len(leaf)
+        for p, pairs, kept in zip(places.tolist(), near, _as_near(near), strict=True):
+            reach[p] = 2 * np.sin(min(pairs[-1][1] / (2 * geo.EARTH_RADIUS_KM), np.pi / 2)) if len(pairs) == k else 3.0
+            lists[p] = kept
+        leaf["leaf"], leaf["reach"], leaf["near"] = TaskContext.get().partitionId(), reach, lists
+        yield leaf[["leaf", "lat", "lon", "id", "first", "x", "y", "z", "reach", "near"]]
+
+    return solve
+
+
+def _visit(k: int):
+    """References of a leaf meet the places of other leaves whose reach touches it."""
+
+    def visit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        asked = frame[frame["asks"]]
+        if not len(asked):
+            return pd.DataFrame({"lat": [], "lon": [], "near": []})
+        at = asked[["x", "y", "z"]].to_numpy()
+        near = _nearest(asked["lat"].to_numpy(), asked["lon"].to_numpy(), at, frame[~frame["asks"]], k, asked["reach"].to_numpy())
+        some = [p for p, pairs in enumerate(near) if pairs]
+        return pd.DataFrame({"lat": asked["lat"].to_numpy()[some], "lon": asked["lon"].to_numpy()[some], "near": _as_near([near[p] for p in some])})
+
+    return visit
+
+
+def _gap(low, high, at: Column) -> Column:
+    """How far a coordinate lies outside an interval."""
+    return F.greatest(F.lit(0.0), low - at, at - high)
+
+
+def _boxes(points: DataFrame, by: str) -> DataFrame:
+    sides = [f(c).alias(f"{name}{c}") for c in "xyz" for f, name in ((F.min, "l"), (F.max, "h"))]
+    return points.groupBy(by).agg(*sides, F.max("reach").alias("reach"))
+
+
+def _box_gap(a: str, b: str) -> Column:
+    """Squared distance of two boxes."""
+    out = F.lit(0.0)
+    for c in "xyz":
+        gap = F.greatest(F.lit(0.0), F.col(f"{a}.l{c}") - F.col(f"{b}.h{c}"), F.col(f"{b}.l{c}") - F.col(f"{a}.h{c}"))
+        out = out + gap * gap
+    return out
+
+
+def knn_all(points: DataFrame, key: str, k: int = NEIGHBOURS, leaf: int = LEAF) -> DataFrame:
     """k nearest other points of every point by great-circle distance, exactly: (id, neighbor, km, rank).
 
-    Points at one place share their search, and only the k + 1 lowest keys of a place can be anyone's neighbours, so a
-    crowded place is small. Places look in the 3 x 3 grid cells around them. A place is done when its neighbours are nearer
-    than the edge of that square; the others look again in cells four times as wide, up to the whole globe. The first grid
-    is the widest one whose cells hold at most ``crowd`` places. Points without coordinates are left out.
-    """
-    own = points.select(F.col(key).alias("id"), (F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon")).filter("lat is not null and lon is not null")
+    Points at one place share their search, and only the k + 1 lowest keys of a place can be anyone's neighbours. These
+    references are cut along a Z-order curve on the sphere into leaves of about ``leaf`` each, small where points are
+    crowded and wide where they are not. Round one finds the nearest within each leaf; that bounds how far a nearer one may
+    be. In round two a place visits only those other leaves whose box lies within that reach; pairs of leaves are found over
+    boxes of boxes. Points without coordinates are left out; ids are integers."""
+    spark = points.sparkSession
+    there = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
+    own = points.select(F.col(key).cast("long").alias("id"), (F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon")).filter(there)
     lowest = F.row_number().over(W.partitionBy("lat", "lon").orderBy("id"))
-    refs = materialize(own.withColumn("_r", lowest).filter(F.col("_r") <= k + 1), "reference-points")
-    places = refs.filter("_r = 1").select("lat", "lon")
-    grid = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), *_cell(m)) for m in range(2, FINEST + 1)])).alias("g")
-    most = places.select(grid).groupBy("g").agg(F.count(F.lit(1)).alias("n")).groupBy("g.m").agg(F.max("n").alias("n"))
-    fine = [r["m"] for r in most.collect() if r["n"] <= crowd]  # one row a level
-    level, todo, done = min(fine, default=FINEST), places, None
-    while True:
-        g = 360.0 / (1 << level)
-        cx, cy = _cell(level)
-        around = F.array(*[F.struct(((F.col("_x") + i + (1 << level)) % (1 << level)).alias("cx"), (F.col("_y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        asked = todo.select("lat", "lon", cx.alias("_x"), cy.alias("_y")).withColumn("_c", F.explode(F.array_distinct(around)))
-        there = refs.select(F.col("id").alias("neighbor"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *[c for c in _cell(level)])
-        there = there.select("neighbor", F.col("_lat"), F.col("_lon"), "cx", "cy")
-        near = asked.select("lat", "lon", "_x", "_y", "_c.*").join(there, ["cx", "cy"]).withColumn("km", geo.haversine_km("lat", "lon", "_lat", "_lon"))
-        best = W.partitionBy("lat", "lon").orderBy("km", "neighbor")
-        near = near.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k + 1)
-        # what lies outside the square is at least as far as its nearest edge: a parallel or a meridian
-        north, south = (F.col("_y") + 2) * g - 90.0, (F.col("_y") - 1) * g - 90.0
-        to_parallel = F.least(F.when(north < 90.0, north - F.col("lat")).otherwise(F.lit(360.0)), F.when(south > -90.0, F.col("lat") - south).otherwise(F.lit(360.0)))
-        turn = F.col("lon") + 180.0 - F.floor((F.col("lon") + 180.0) / g) * g + g
-        aside = F.least(turn, 3 * g - turn)
-        to_meridian = F.when(aside < 90.0, F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(aside)))).otherwise(F.radians(90.0 - F.abs("lat")))
-        edge = geo.EARTH_RADIUS_KM * F.least(F.radians(to_parallel), to_meridian)
-        whole = F.lit(level <= 1)
-        state = near.groupBy("lat", "lon").agg(
-            (F.when(F.count(F.lit(1)) > k, F.max("km")).otherwise(F.lit(float("inf"))) < F.min(edge)).alias("_ok"),
-            F.collect_list(F.struct("neighbor", "km")).alias("_near"))  # at most k + 1
-        found = materialize(state.withColumn("_ok", F.col("_ok") | whole), "neighbours-found")
-        part = found.filter("_ok").select("lat", "lon", "_near")
-        done = part if done is None else done.union(part)
-        todo = found.filter("not _ok").select("lat", "lon")
-        if level <= 1 or todo.isEmpty():
-            break
-        level = max(1, level - 2)
-    each = own.join(done, ["lat", "lon"]).select("id", F.explode("_near").alias("n")).select("id", "n.*").filter("id <> neighbor")
-    rank = F.row_number().over(W.partitionBy("id").orderBy("km", "neighbor"))
-    return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "neighbor", "km", "rank")
+    refs = materialize(own.withColumn("_r", lowest).filter(F.col("_r") <= k + 1).select("id", "lat", "lon", (F.col("_r") == 1).alias("first")), "references")
+    leaves = max(1, -(-refs.count() // leaf))
+    kind = points.schema[key].dataType.simpleString()
+
+    def coded(frames):
+        for f in frames:
+            f["code"] = _order_code(_on_sphere(f["lat"].to_numpy(), f["lon"].to_numpy()))
+            yield f
+
+    # places at one code still fall apart by their coordinates
+    curve = refs.mapInPandas(coded, "id long, lat double, lon double, first boolean, code long").repartitionByRange(leaves, "code", "lat", "lon")
+    solved = materialize(curve.mapInPandas(_solve_leaf(k + 1), _SOLVED), "leaves")
+    places = solved.filter("first")
+    done = places.select("lat", "lon", "near")
+    if leaves > 1:
+        group = max(1, int(leaves**0.5))
+        boxes = materialize(_boxes(solved, "leaf"), "leaf-boxes")
+        wide = boxes.withColumn("super", F.floor(F.col("leaf") / group)).groupBy("super").agg(
+            *[f(f"{n}{c}").alias(f"{n}{c}") for c in "xyz" for f, n in ((F.min, "l"), (F.max, "h"))])
+        reach = F.col("a.reach") + ROUNDING
+        # the wide boxes are as many as the root of the number of leaves
+        hit = boxes.alias("a").join(F.broadcast(wide.alias("s")), _box_gap("a", "s") <= reach * reach).select("a.*", "s.super")
+        pairs = hit.alias("a").join(boxes.withColumn("super", F.floor(F.col("leaf") / group)).alias("b"), "super").filter(
+            (F.col("a.leaf") != F.col("b.leaf")) & (_box_gap("a", "b") <= reach * reach))
+        pairs = pairs.select(F.col("a.leaf").alias("leaf"), F.col("b.leaf").alias("to"), *[F.col(f"b.{n}{c}").alias(f"{n}{c}") for c in "xyz" for n in "lh"])
+        square = sum((_gap(F.col(f"l{c}"), F.col(f"h{c}"), F.col(c)) ** 2 for c in "xyz"), F.lit(0.0))
+        asked = places.drop("near").join(materialize(pairs, "leaf-pairs"), "leaf").filter(square <= (F.col("reach") + ROUNDING) ** 2)
+        cols = ["lat", "lon", "id", "x", "y", "z", "reach"]
+        met = asked.select(F.col("to").alias("leaf"), *cols, F.lit(True).alias("asks")).union(solved.select("leaf", *cols, F.lit(False).alias("asks")))
+        found = met.groupBy("leaf").applyInPandas(_visit(k + 1), _FOUND)
+        both = done.union(found).groupBy("lat", "lon").agg(F.flatten(F.collect_list("near")).alias("near"))
+        best = F.slice(F.array_sort(F.transform("near", lambda n: F.struct(n["km"].alias("km"), n["neighbor"].alias("neighbor")))), 1, k + 1)
+        done = both.select("lat", "lon", best.alias("near"))
+    others = F.slice(F.filter("near", lambda n: n["neighbor"] != F.col("id")), 1, k)
+    each = own.join(done, ["lat", "lon"]).select("id", F.posexplode(others).alias("_p", "n"))
+    return each.select(F.col("id").cast(kind).alias("id"), F.col("n.neighbor").cast(kind).alias("neighbor"), "n.km", (F.col("_p") + 1).alias("rank"))
 
 
 def exclusive_quartiles(df: DataFrame, value: str) -> DataFrame:
@@ -149,15 +245,13 @@ def block_sweep(points: DataFrame, neighbours: DataFrame, key: str, degrees=BLOC
     sizes = blocks.groupBy("block_deg").agg(
         F.count(F.lit(1)).alias("n_blocks"), F.min("n").alias("min_items"), F.max("n").alias("max_items"), *share.values())
     median = quantile_columns(blocks, "n", {"median_items": 0.5}, ["block_deg"])
-    pairs = neighbours.select(F.col("id").alias("_a"), F.col("neighbor").alias("_b"))
-    place = points.select(F.col(key).alias("_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
-    a = place.join(pairs, "_a")
-    other = points.select(F.col(key).alias("_b"), "lon", "lat")
-    both = other.join(a, "_b").withColumn("block_deg", F.explode(options))
-    crossed = H.split_bucket(geo.block_id("lon_a", "lat_a", F.col("block_deg")), split, seed) != H.split_bucket(
-        geo.block_id("lon", "lat", F.col("block_deg")), split, seed)
-    cross = both.groupBy("block_deg", "_a").agg(F.avg(crossed.cast("int")).alias("f")).groupBy("block_deg").agg(
-        F.avg("f").alias("cross_split_fraction"))
+    # the buckets of a point for all sizes travel as one short array
+    buckets = F.array(*[H.split_bucket(geo.block_id("lon", "lat", F.lit(float(d))), split, seed) for d in degrees])
+    placed = materialize(points.select(F.col(key).alias("id"), buckets.alias("_x")), "point-buckets")
+    ends = neighbours.select("id", "neighbor").join(placed, "id").join(placed.select(F.col("id").alias("neighbor"), F.col("_x").alias("_y")), "neighbor")
+    apart = [F.avg((F.col("_x")[j] != F.col("_y")[j]).cast("int")).alias(f"_{j}") for j in range(len(degrees))]
+    shares = ends.groupBy("id").agg(*apart).agg(*[F.avg(f"_{j}").alias(f"_{j}") for j in range(len(degrees))])
+    cross = shares.select(F.inline(F.array(*[F.struct(F.lit(float(d)).alias("block_deg"), F.col(f"_{j}").alias("cross_split_fraction")) for j, d in enumerate(degrees)])))
     mean_lat = points.agg(F.avg("lat").alias("_lat"))
     chance = sum(s * s for s in split)
     return attach_params(sizes.join(median, "block_deg").join(cross, "block_deg"), mean_lat).select(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from crossgrid.functions import metrics as M
-from crossgrid.operators import accuracy as A, cells as C, regress as G, resample as S, vectors as V
+from crossgrid.operators import accuracy as A, bootstrap as B, cells as C, regress as G, resample as S, vectors as V
 from crossgrid.operators.raster import reference_class
 from crossgrid.plans import fixtures as X
 from crossgrid.plans.registry import query, r
@@ -13,7 +15,7 @@ from crossgrid.session import materialize, rounded
 from crossgrid.sources.readers import REQUIRED_CELLS
 
 N_PERMS = 999
-N_BOOT = 20
+N_BOOT = 1000
 OFF = "model_year <> eval_year OR model_quarter <> eval_quarter"
 
 
@@ -244,37 +246,37 @@ def partial_corr(t):
 _CELL_ROWS = f"SELECT year, quarter, l_orderkey, l_linenumber, l_partkey, l_suppkey, label AS y, pred AS f FROM ({X.PRED_SQL})"
 
 
-@query("bootstrap_r2", f"""
-    WITH p AS ({_CELL_ROWS}),
-    rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY year, quarter ORDER BY md5('row:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey)) AS idx FROM p),
-    n AS (SELECT year, quarter, count(*) AS n, avg(y) AS m FROM p GROUP BY ALL),
-    d AS (SELECT year, quarter, rep, ('0x' || substr(md5('0:' || ((rep - 1) // 2) || ':' || rk.idx || ':' || year || ':' || quarter), 16 * ((rep - 1) % 2) + 1, 15))::BIGINT % n + 1 AS idx
-          FROM rk JOIN n USING (year, quarter), range(1, {N_BOOT} + 1) t(rep)),
-    s AS (SELECT year, quarter, rep, 1 - sum((y - f) * (y - f)) / nullif(sum((y - m) * (y - m)) - power(sum(y - m), 2) / count(*), 0) AS r2
-          FROM d JOIN rk USING (year, quarter, idx) JOIN n USING (year, quarter) GROUP BY ALL)
-    SELECT year, quarter, {r("avg(r2)")} AS r2_boot_mean, {r("coalesce(stddev_samp(r2), 0)")} AS r2_boot_std,
-           {r("quantile_cont(r2, 0.025)")} AS ci_lower, {r("quantile_cont(r2, 0.975)")} AS ci_upper, count(r2) AS n_boot FROM s GROUP BY ALL""")
+@query("bootstrap_r2")
 def bootstrap_r2(t):
-    """Bootstrap interval of R2 per period: exact draws with replacement."""
-    out = S.bootstrap_r2(X.predictions(t), ["year", "quarter"], X.LINE_KEY, "label", "pred", N_BOOT)
+    """Bootstrap interval of R2 per period: exact draws with replacement; tested against brute force on a fixture."""
+    out = B.bootstrap_r2(X.predictions(t), ["year", "quarter"], X.LINE_KEY, "label", "pred", N_BOOT)
     return out.select("year", "quarter", *[rounded(c).alias(c) for c in ("r2_boot_mean", "r2_boot_std", "ci_lower", "ci_upper")], "n_boot")
 
 
-_POISSON = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(S.POISSON_CDF)) + f" ELSE {len(S.POISSON_CDF)} END"
+_LIMITS = [min(math.ceil(c * 2**32), 2**32 - 1) for c in B.POISSON_CDF]
+_POISSON = "CASE " + " ".join(f"WHEN u < {c} THEN {k}" for k, c in enumerate(_LIMITS)) + f" ELSE {len(_LIMITS)} END"
+
+
+def _mix_sql(src: str, x: str) -> str:
+    """``src`` with u = the scrambled 32-bit number ``x``, as in ``bootstrap.poisson_weights``."""
+    one = f"SELECT * REPLACE (xor(u, u >> 16) * {B.MIX[1]}::UBIGINT % 4294967296 AS u) FROM (SELECT *, ({x})::UBIGINT AS u FROM {src})"
+    two = f"SELECT * REPLACE (xor(u, u >> 13) * {B.MIX[2]}::UBIGINT % 4294967296 AS u) FROM ({one})"
+    return f"SELECT * REPLACE (xor(u, u >> 16) AS u) FROM ({two})"
 
 
 @query("bootstrap_r2_poisson", f"""
-    WITH p AS ({_CELL_ROWS}), n AS (SELECT year, quarter, avg(y) AS m FROM p GROUP BY ALL),
-    d AS (SELECT year, quarter, rep, y, f, {_POISSON} AS w FROM (
-          SELECT *, ('0x' || substr(md5('0:' || ((rep - 1) // 4) || ':' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey), 8 * ((rep - 1) % 4) + 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
-          FROM p, range(1, {N_BOOT} + 1) t(rep))),
-    s AS (SELECT year, quarter, rep, 1 - sum(w * (y - f) * (y - f)) / nullif(sum(w * (y - m) * (y - m)) - power(sum(w * (y - m)), 2) / sum(w), 0) AS r2
-          FROM d JOIN n USING (year, quarter) GROUP BY ALL)
+    WITH h AS MATERIALIZED (SELECT year, quarter, y, f, y - avg(y) OVER (PARTITION BY year, quarter) AS z,
+               ('0x' || substr(d, 1, 8))::UBIGINT AS h1, ('0x' || substr(d, 9, 8))::UBIGINT AS h2
+          FROM (SELECT *, md5('0:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey) AS d FROM ({_CELL_ROWS}))),
+    a AS ({_mix_sql(f"h, range(1, {N_BOOT} + 1) t(rep)", f"(h1 + rep * {B.MIX[0]}) % 4294967296")}),
+    b AS ({_mix_sql("(SELECT * EXCLUDE (u), u AS u1 FROM a)", "xor(u1, h2)")}),
+    s AS (SELECT year, quarter, rep, 1 - sum(w * (y - f) * (y - f)) / nullif(sum(w * z * z) - power(sum(w * z), 2) / sum(w), 0) AS r2
+          FROM (SELECT *, {_POISSON} AS w FROM b) WHERE w > 0 GROUP BY ALL)
     SELECT year, quarter, {r("avg(r2)")} AS r2_boot_mean, {r("coalesce(stddev_samp(r2), 0)")} AS r2_boot_std,
            {r("quantile_cont(r2, 0.025)")} AS ci_lower, {r("quantile_cont(r2, 0.975)")} AS ci_upper, count(r2) AS n_boot FROM s GROUP BY ALL""")
 def bootstrap_r2_poisson(t):
     """The same interval with Poisson weights: rows are not shuffled."""
-    out = S.bootstrap_r2_poisson(X.predictions(t), ["year", "quarter"], X.LINE_KEY, "label", "pred", N_BOOT)
+    out = B.bootstrap_r2_poisson(X.predictions(t), ["year", "quarter"], X.LINE_KEY, "label", "pred", N_BOOT)
     return out.select("year", "quarter", *[rounded(c).alias(c) for c in ("r2_boot_mean", "r2_boot_std", "ci_lower", "ci_upper")], "n_boot")
 
 

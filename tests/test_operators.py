@@ -1,5 +1,8 @@
 """Operators against brute force, goldens and metamorphic relations on small fixtures."""
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crossgrid.functions import hashing as H
 from crossgrid.operators import (
-    accuracy as A, cells as C, composite as CI, importance as I, quantile as Q, ranking as R, raster as RA,
+    accuracy as A, bootstrap as B, cells as C, composite as CI, importance as I, quantile as Q, ranking as R, raster as RA,
     recovery as RC, regress as G, resample as S, spatial as SP, vectors as V,
 )
 from crossgrid.session import materialize, scratch_path
@@ -206,11 +209,85 @@ def test_insufficient_groups(spark):
 
 def test_bootstrap_of_exact_predictions(spark):
     df = spark.createDataFrame([("c", i, float(i), float(i)) for i in range(40)], ["cell", "k", "y", "f"])
-    for fn in (S.bootstrap_r2, S.bootstrap_r2_poisson):
+    for fn in (B.bootstrap_r2, B.bootstrap_r2_poisson):
         out = fn(df, ["cell"], ["k"], "y", "f", 12).first()
         assert (out.n_boot, out.r2_boot_mean, out.r2_boot_std) == (12, 1.0, 0.0)
     flat = df.withColumn("y", F.lit(1.0))
-    assert S.bootstrap_r2(flat, ["cell"], ["k"], "y", "f", 5).count() == 0
+    assert B.bootstrap_r2(flat, ["cell"], ["k"], "y", "f", 5).count() == 0
+    assert B.bootstrap_r2(df.limit(0), ["cell"], ["k"], "y", "f", 5).count() == 0
+
+
+def _boot_frame(rng, sizes):
+    rows = [(c, i, float(y), float(y + e)) for c, n in sizes.items() for i, (y, e) in enumerate(zip(rng.normal(5, 2, n), rng.normal(0, 1, n), strict=True))]
+    return rows, "cell string, k int, y double, f double"
+
+
+def _boot_r2(w, y, f):
+    sst = w @ ((y - y.mean()) ** 2) - (w @ (y - y.mean())) ** 2 / w.sum(axis=-1)
+    return 1 - w @ ((y - f) ** 2) / sst
+
+
+def test_exact_draws_add_up_and_are_even():
+    sizes = np.array([40, 7, 0, 300, 55, 1, 90, 12])  # rows of the eight leaves
+    counts = []
+    for piece in range(8):
+        path = [(int(sizes[(piece >> 3 - k) << 3 - k :][: 8 >> k].sum()), int(sizes[(piece >> 3 - k) << 3 - k :][: 4 >> k].sum())) for k in range(3)]
+        if sizes[piece]:
+            counts.append(B.piece_counts(path, piece, 4000, 7, 99))
+            w = B.draw(counts[-1], int(sizes[piece]), np.random.default_rng(piece))
+            assert (w.sum(axis=0) == counts[-1]).all() and abs(w.mean() - 1) < 0.1
+            assert counts[-1].var() == pytest.approx(sizes[piece] * (1 - sizes[piece] / 505), rel=0.15)
+    assert (np.sum(counts, axis=0) == 505).all()
+
+
+def test_exact_bootstrap_against_brute_force(spark, monkeypatch):
+    """The same replicates from plain weights, whatever the partitions; some cells of many pieces, one of a single row."""
+    monkeypatch.setattr(B, "PIECE", 16)
+    rows, schema = _boot_frame(np.random.default_rng(5), {"a": 300, "b": 20, "c": 1, "d": 2})
+    df = spark.createDataFrame(rows, schema)
+    got = {r.cell: r for r in B.bootstrap_r2(df, ["cell"], ["k"], "y", "f", 200, seed=3).collect()}
+    again = {r.cell: r for r in B.bootstrap_r2(df.repartition(7, "f"), ["cell"], ["k"], "y", "f", 200, seed=3).collect()}
+    assert set(got) == set(again) == {"a", "b", "d"}
+    keyed = df.select("*", F.xxhash64("k").alias("h"), F.xxhash64(F.col("cell").cast("string")).alias("c")).collect()
+    for cell in got:
+        assert got[cell].r2_boot_mean == pytest.approx(again[cell].r2_boot_mean, rel=1e-9)
+        mine = [r for r in keyed if r.cell == cell]
+        bits = max(0, math.ceil(math.log2(len(mine) / 16)))
+        pieces = {}
+        for r in sorted(mine, key=lambda r: (r.h, r.y)):
+            pieces.setdefault((r.h & (1 << 64) - 1) >> 64 - bits if bits else 0, []).append(r)
+        w, y, f = [], [], []
+        for piece, own in pieces.items():
+            size = lambda level, prefix: sum(len(v) for p, v in pieces.items() if p >> bits - level == prefix)  # noqa: E731, B023
+            path = [(size(k, piece >> bits - k), size(k + 1, (piece >> bits - k) * 2)) for k in range(bits)]
+            counts = B.piece_counts(path, piece, 200, 3, own[0].c) if bits else np.full(200, len(own))
+            w.append(B.draw(counts, len(own), B._generator(3, own[0].c, bits, piece, True)))
+            y += [r.y for r in own]
+            f += [r.f for r in own]
+        w = np.concatenate(w).T
+        assert (w.sum(axis=1) == len(mine)).all()
+        with np.errstate(all="ignore"):
+            r2 = _boot_r2(w, np.array(y), np.array(f))
+        r2 = r2[[len(set(np.array(y)[row > 0])) > 1 for row in w]]
+        assert got[cell].n_boot == len(r2)
+        assert (got[cell].r2_boot_mean, got[cell].r2_boot_std) == pytest.approx((r2.mean(), r2.std(ddof=1)), rel=1e-8)
+        assert (got[cell].ci_lower, got[cell].ci_upper) == pytest.approx(tuple(np.quantile(r2, [0.025, 0.975])), rel=1e-8)
+
+
+def test_poisson_bootstrap_against_brute_force(spark, monkeypatch):
+    rows, schema = _boot_frame(np.random.default_rng(6), {"a": 700, "b": 30})
+    got = {r.cell: r for r in B.bootstrap_r2_poisson(spark.createDataFrame(rows, schema).repartition(3), ["cell"], ["k"], "y", "f", 300, seed=4).collect()}
+    for cell in "ab":
+        mine = [r for r in rows if r[0] == cell]
+        words = [hashlib.md5(f"4:{r[1]}".encode()).hexdigest() for r in mine]
+        w = B.poisson_weights(np.array([int(x[:8], 16) for x in words]), np.array([int(x[8:16], 16) for x in words]), 300).T
+        r2 = _boot_r2(w, np.array([r[2] for r in mine]), np.array([r[3] for r in mine]))
+        assert (got[cell].r2_boot_mean, got[cell].r2_boot_std, got[cell].ci_lower) == pytest.approx((r2.mean(), r2.std(ddof=1), np.quantile(r2, 0.025)), rel=1e-8)
+    w = B.poisson_weights(np.arange(4000) * 7919, np.arange(4000) * 104729, 500)
+    assert w.mean() == pytest.approx(1, abs=0.005) and w.var() == pytest.approx(1, abs=0.01)
+    share = [(w == k).mean() for k in range(4)]
+    assert share == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(4)], abs=0.003)
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.05 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.15
 
 
 # --- regression ------------------------------------------------------------------------------
@@ -523,8 +600,8 @@ def test_knn_all_against_brute_force(spark):
     lon, lat, ids = np.radians([p[1] for p in pts]), np.radians([p[2] for p in pts]), np.array([p[0] for p in pts])
     a = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
     km = 2 * 6371.0 * np.arcsin(np.minimum(1.0, np.sqrt(a)))
-    for crowd in (8, 1000):
-        got = SP.knn_all(df, "id", 4, crowd=crowd).toPandas()
+    for leaf in (9, 40, 5000):
+        got = SP.knn_all(df, "id", 4, leaf=leaf).toPandas()
         assert len(got) == 4 * len(pts)
         by_id = {i: part.sort_values("rank") for i, part in got.groupby("id")}
         for k, i in enumerate(ids):
@@ -533,6 +610,30 @@ def test_knn_all_against_brute_force(spark):
             assert np.allclose(by_id[i]["km"], want, atol=1e-6)
     few = SP.knn_all(df.limit(3), "id", 4).toPandas()
     assert len(few) == 6
+    assert SP.knn_all(df.limit(0), "id", 4).count() == 0
+
+
+def test_neighbours_of_a_town_and_scattered_points(spark):
+    """One crowded town, lone points around the globe, equal distances on a lattice: the same neighbours as brute force."""
+    rng = np.random.default_rng(8)
+    pts = [(float(lo), float(la)) for lo, la in zip(rng.normal(2.35, 0.02, 900), rng.normal(48.85, 0.02, 900))]
+    pts += [(float(lo), float(la)) for lo, la in zip(rng.uniform(-180, 180, 60), np.degrees(np.arcsin(rng.uniform(-1, 1, 60))))]
+    pts += [(100.0 + i, float(j)) for i in range(6) for j in range(-3, 3)] + [(2.35, 48.85)] * 400
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id int, lon double, lat double")
+    lon, lat = np.radians(np.array(pts)).T
+    want = []
+    for i in range(len(pts)):
+        a = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat) * np.sin((lon - lon[i]) / 2) ** 2
+        km = 2 * 6371.0 * np.arcsin(np.minimum(1.0, np.sqrt(a)))
+        km[i] = np.inf
+        order = np.lexsort((np.arange(len(pts)), km.round(9)))[:3]
+        want.append(km[order])
+    for leaf in (50, 300):
+        got = SP.knn_all(df, "id", 3, leaf=leaf).toPandas().sort_values(["id", "rank"])
+        assert np.allclose(got["km"].to_numpy().reshape(-1, 3), np.array(want), atol=1e-8)
+        town = got[got["id"] >= len(pts) - 400].groupby("id")["neighbor"].apply(list)
+        first = [len(pts) - 400 + j for j in range(4)]
+        assert all(near == [j for j in first if j != i][:3] for i, near in town.items())
 
 
 def test_quantiles_with_an_outlier_sort_small_bins(spark, monkeypatch):

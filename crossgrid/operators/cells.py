@@ -8,7 +8,7 @@ from crossgrid.functions import metrics as M
 from crossgrid.functions.ids import parse_quarter_label, quarter_label
 from crossgrid.operators.accuracy import CELL_KEY
 from crossgrid.operators.ranking import first_per_key
-from crossgrid.session import attach_params
+from crossgrid.session import attach_params, materialize
 
 
 def gap_flags(cells: DataFrame) -> DataFrame:
@@ -95,27 +95,80 @@ def symmetrize_pairs(pairs: DataFrame, cells: DataFrame, value: str) -> DataFram
     return out.withColumn("pair_transfer_r2", F.try_divide(total, known))
 
 
-def two_way_additive(cells: DataFrame, value: str, sweeps: int = 10) -> DataFrame:
-    """mu + row + column effects by mean polish, with residuals.
-
-    The windows run over aggregated cells (one row per model x evaluation period). Missing
-    cells are allowed; a complete matrix is exact after one sweep.
-    """
-    present = cells.filter(F.col(value).isNotNull())
-    rows = W.partitionBy("model_year", "model_quarter")
-    cols = W.partitionBy("eval_year", "eval_quarter")
-    out = attach_params(present, present.agg(F.avg(value).alias("mu"))).withColumns({
-        "row_effect": F.lit(0.0), "col_effect": F.lit(0.0),
-    })
-    out = out.withColumn("residual", F.col(value) - F.col("mu"))
-    for _ in range(sweeps):
-        out = out.withColumn("_s", F.avg("residual").over(rows))
-        out = out.withColumns({"row_effect": F.col("row_effect") + F.col("_s"),
-                               "residual": F.col("residual") - F.col("_s")})
-        out = out.withColumn("_s", F.avg("residual").over(cols))
-        out = out.withColumns({"col_effect": F.col("col_effect") + F.col("_s"),
-                               "residual": F.col("residual") - F.col("_s")})
-    return out.drop("_s")
+#: Conjugate gradients stop when what is left of the normal equations is this share of them.
+CONVERGED = 1e-13
+
+
+def _connected(links: DataFrame) -> DataFrame:
+    """(a, component): the least node that each one reaches; names are halved by jumps, so rounds are logarithmic."""
+    label = materialize(links.select("a").distinct().withColumn("component", F.col("a")), "labels")
+    while True:
+        near = links.join(label.select(F.col("a").alias("b"), F.col("component").alias("_near")), "b").groupBy("a").agg(F.min("_near").alias("_near"))
+        low = label.join(near, "a").select("a", F.col("component").alias("_was"), F.least("component", "_near").alias("component"))
+        jump = label.select(F.col("a").alias("component"), F.col("component").alias("_to"))
+        label = materialize(low.join(jump, "component").select("a", "_was", F.least("component", "_to").alias("component")), "labels")
+        if label.filter("component <> _was").isEmpty():
+            return label.drop("_was")
+
+
+def two_way_additive(cells: DataFrame, value: str) -> DataFrame:
+    """mu + row + column effects by least squares, with residuals and the component of a cell.
+
+    A sweep over row and column means solves a complete matrix. With cells missing, conjugate gradients on the normal
+    equations of rows and columns go on until they are solved; every step sums over the cells once. Rows and columns that
+    no chain of cells connects form components of their own; only there do effects compare. In each component the column
+    effects average to zero over the cells, so the row effects hold its level."""
+    present = materialize(cells.filter(F.col(value).isNotNull()).withColumns({
+        "_u": F.concat_ws(":", F.lit("r"), "model_year", "model_quarter"), "_v": F.concat_ws(":", F.lit("c"), "eval_year", "eval_quarter")}), "present")
+    total = present.agg(F.avg(value).alias("mu"), F.count(F.lit(1)).alias("n"), F.count_distinct("_u").alias("rows"), F.count_distinct("_v").alias("cols")).first()
+    if not total.n:
+        return present.drop("_u", "_v").withColumns({c: F.lit(None).cast("double") for c in ("mu", "row_effect", "col_effect", "residual")} | {"component": F.lit(None).cast("string")})
+    y = (F.col(value) - total.mu).alias("y")
+    links = materialize(present.select(F.col("_u").alias("a"), F.col("_v").alias("b"), y).union(present.select("_v", "_u", y)), "links")
+    is_row = F.col("a").startswith("r")
+    by_row = links.filter(is_row).groupBy("a").agg(F.avg("y").alias("x"))
+    met = links.filter(~is_row).join(by_row.select(F.col("a").alias("b"), "x"), "b")
+    x = by_row.union(met.groupBy("a").agg(F.avg(F.col("y") - F.col("x")).alias("x")))
+    around = links.join(x.select(F.col("a").alias("b"), F.col("x").alias("_x")), "b").groupBy("a").agg(
+        F.count(F.lit(1)).alias("deg"), F.sum("y").alias("s"), F.sum("_x").alias("_x"))
+    left = F.col("s") - F.col("deg") * F.col("x") - F.col("_x")
+    nodes = materialize(around.join(x, "a").select("a", "deg", "s", "x", left.alias("r"), F.lit(0.0).alias("p")), "effects")
+    complete = total.n == total.rows * total.cols
+    if not complete:
+        nodes = _conjugate(links, nodes, total.rows + total.cols)
+        part = _connected(links)
+    else:
+        part = nodes.select("a", F.lit("c").alias("component"))
+    placed = materialize(nodes.select("a", "deg", "x").join(part, "a"), "effects")
+    level = placed.filter(~is_row).groupBy("component").agg((F.sum(F.col("deg") * F.col("x")) / F.sum("deg")).alias("_m"))
+    effects = placed.join(level, "component").select("a", "component", (F.col("x") + F.when(is_row, F.col("_m")).otherwise(-F.col("_m"))).alias("x"))
+    rows = effects.select(F.col("a").alias("_u"), F.col("x").alias("row_effect"), "component")
+    cols = effects.select(F.col("a").alias("_v"), F.col("x").alias("col_effect"))
+    out = present.join(rows, "_u").join(cols, "_v").withColumn("mu", F.lit(total.mu))
+    return out.withColumn("residual", F.col(value) - F.col("mu") - F.col("row_effect") - F.col("col_effect")).select(
+        *cells.columns, "mu", "row_effect", "col_effect", "residual", "component")
+
+
+def _conjugate(links: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """Solve deg * x + (sum of x over neighbours) = s from the start in ``nodes``, scaled by the degrees.
+
+    A step writes one small table of nodes and takes three sums to the driver."""
+    first = nodes.agg(F.sum(F.col("s") ** 2 / F.col("deg")), F.sum(F.col("r") ** 2 / F.col("deg"))).first()
+    goal, rz, beta = CONVERGED**2 * (first[0] or 0.0), first[1], 0.0
+    for _ in range(2 * most):
+        if rz <= goal:
+            break
+        aimed = nodes.withColumn("p", F.col("r") / F.col("deg") + beta * F.col("p"))
+        near = links.join(aimed.select(F.col("a").alias("b"), F.col("p").alias("_p")), "b").groupBy("a").agg(F.sum("_p").alias("_p"))
+        step = materialize(aimed.join(near, "a").withColumn("q", F.col("deg") * F.col("p") + F.col("_p")).drop("_p"), "effects")
+        pq = step.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        alpha = rz / pq if pq else 0.0
+        nodes = step.select("a", "deg", "s", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p")
+        now = nodes.agg(F.sum(F.col("r") ** 2 / F.col("deg"))).first()[0]
+        beta, rz = now / rz, now
+        if not alpha:
+            break
+    return nodes
 
 
 def asymmetry(cells: DataFrame, value: str) -> DataFrame:

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from crossgrid.session import attach_params, materialize, small_side
@@ -223,43 +222,87 @@ def concat_parts(parts: DataFrame, model: str, position: str, part: str) -> Data
     return parts.groupBy(model).agg(F.flatten(F.transform(ordered, lambda e: e["_v"])).alias("vector"))
 
 
+#: Triangles that one task of the reduction takes together.
+FAN = 16
+
+
+def tall_triangle(rows: DataFrame, vector: str, width: int) -> DataFrame:
+    """The triangular factor of a tall matrix whose rows are the vectors, as one row (part, r: its entries).
+
+    Each task reduces its rows to a triangle of ``width`` x ``width``, then triangles are reduced together, FAN at a time.
+    No product of the matrix with itself is taken, so small singular values keep their digits."""
+    def reduced(blocks) -> list[float]:
+        r = np.zeros((0, width))
+        for block in blocks:
+            r = np.linalg.qr(np.concatenate([r, block]), mode="r")
+        full = np.zeros((width, width))
+        full[: len(r)] = r
+        return full.ravel().tolist()
+
+    def of_task(frames):
+        def blocks():
+            for f in frames:
+                for at in range(0, len(f), 4096):
+                    yield np.array([np.asarray(v, dtype=float) for v in f["v"].iloc[at : at + 4096]]).reshape(-1, width)
+
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "r": [reduced(blocks())]})
+
+    def of_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "r": [reduced(np.array(r).reshape(width, width) for r in frame.sort_values("part")["r"])]})
+
+    out = materialize(rows.select(F.col(vector).alias("v")).mapInPandas(of_task, "part long, r array<double>"), "triangles")
+    most = out.agg(F.max("part")).first()[0]
+    while most:
+        most //= FAN
+        out = out.groupBy(F.floor(F.col("part") / FAN).alias("group")).applyInPandas(of_group, "part long, r array<double>")
+    return out
+
+
+def singular_values(triangle: DataFrame, width: int) -> DataFrame:
+    """(component, singular_value, share of the squared norm) from a triangular factor."""
+    def solve(frames):
+        for f in frames:
+            for r in f["r"]:
+                s = np.linalg.svd(np.array(r).reshape(width, width), compute_uv=False)
+                square = (s**2).sum()
+                yield pd.DataFrame({"component": np.arange(1, width + 1), "singular_value": s, "share": s**2 / square if square else np.full(width, np.nan)})
+
+    return triangle.mapInPandas(solve, "component INT, singular_value DOUBLE, share DOUBLE")
+
+
 def pca_share(df: DataFrame, vector: str, k: int) -> DataFrame:
-    """Variance share of the leading components; at most min(k, n - 1, d) of them."""
-    vectors = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    shape = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
-    k = max(1, min(k, shape["n"] - 1, shape["d"]))
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
-    rows = [(i + 1, float(s)) for i, s in enumerate(model.explainedVariance)]
-    return df.sparkSession.createDataFrame(rows, "component INT, variance_share DOUBLE")
+    """Variance share of the leading components; at most min(k, n - 1, d) of them.
 
+    Vectors are centred at their mean and reduced to a triangle whose singular values are those of the centred matrix."""
+    rows = df.select(F.col(vector).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull())
+    means = rows.select(F.posexplode("_v").alias("_j", "_x")).groupBy("_j").agg(F.avg("_x").alias("_x"))
+    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
+    d = shape["d"] or 0
+    k = max(1, min(k, shape["n"] - 1, d)) if d else 0
+    centre = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "_x"))), lambda e: e["_x"]).alias("_mean"))  # as long as a vector
+    centred = attach_params(rows, centre).select(F.zip_with("_v", "_mean", lambda x, m: x - m).alias("_v"))
+    out = singular_values(tall_triangle(centred, "_v", d), d)
+    return out.filter(F.col("component") <= k).select("component", F.col("share").alias("variance_share"))
 
-def svd_share(cells: DataFrame, value: str) -> DataFrame:
+
+def svd_share(cells: DataFrame, value: str, holes: str = "mean") -> DataFrame:
     """Singular values of the centred cell matrix and their shares of the squared norm.
 
-    The Gram matrix of the rows (one per model period) has a side as long as the calendar; its
-    eigenvalues are the squared singular values.
-    """
-    mean = cells.agg(F.avg(value).alias("_mean"))
-    centred = attach_params(cells, mean).withColumn("_v", F.col(value) - F.col("_mean"))
-    # every row of the matrix must hold every column: a hole has no singular value
-    columns = cells.select("eval_year", "eval_quarter").distinct().agg(F.count(F.lit(1)).alias("_columns"))
-    listed = attach_params(centred.groupBy("model_year", "model_quarter").agg(
-        F.array_sort(F.collect_list(F.struct("eval_year", "eval_quarter", "_v"))).alias("_e"), F.count("_v").alias("_n")), columns)
-    row = F.when(F.col("_n") == F.col("_columns"), F.transform("_e", lambda e: e["_v"])).otherwise(
-        F.raise_error(F.concat(F.lit("incomplete matrix: model period "), F.concat_ws("/", "model_year", "model_quarter"), F.lit(" lacks cells"))).cast("array<double>"))
+    A hole counts as the mean, or with ``holes="error"`` ends the job."""
+    if holes not in ("mean", "error"):
+        raise ValueError(holes)
+    known = cells.filter(F.col(value).isNotNull())
+    column = known.select("eval_year", "eval_quarter").distinct()
+    number = materialize(column.withColumn("_j", F.row_number().over(W.orderBy("eval_year", "eval_quarter")) - 1), "columns")  # periods of a calendar
+    width = number.count()
+    centred = attach_params(known, known.agg(F.avg(value).alias("_mean"))).withColumn("_v", F.col(value) - F.col("_mean"))
+    entry = F.map_from_entries(F.collect_list(F.struct("_j", "_v"))).alias("_m")  # one a period
+    listed = centred.join(number, ["eval_year", "eval_quarter"]).groupBy("model_year", "model_quarter").agg(entry, F.count(F.lit(1)).alias("_n"))
+    row = F.transform(F.sequence(F.lit(0), F.lit(max(0, width - 1))), lambda j: F.coalesce(F.try_element_at("_m", j), F.lit(0.0)))
+    if holes == "error":
+        row = F.when(F.col("_n") == width, row).otherwise(
+            F.raise_error(F.concat(F.lit("incomplete matrix: model period "), F.concat_ws("/", "model_year", "model_quarter"), F.lit(" lacks cells"))).cast("array<double>"))
     rows = listed.select(row.alias("_r"))
-    packed = gram(rows, "_r").agg(F.collect_list(F.struct("i", "j", "v")).alias("_g"))
-
-    def decompose(batches):
-        for pdf in batches:
-            out = []
-            for entries in pdf["_g"]:
-                k = 1 + max((e["j"] for e in entries), default=-1)
-                s = np.zeros((k, k))
-                for e in entries:
-                    s[e["i"], e["j"]] = s[e["j"], e["i"]] = e["v"]
-                squares = np.clip(np.linalg.eigvalsh(s)[::-1], 0.0, None) if k else np.zeros(0)
-                out += [(i + 1, float(np.sqrt(q)), float(q / squares.sum())) for i, q in enumerate(squares)]
-            yield pd.DataFrame(out, columns=["component", "singular_value", "share"])
-
-    return packed.mapInPandas(decompose, "component INT, singular_value DOUBLE, share DOUBLE")
+    n = rows.count()
+    out = singular_values(tall_triangle(rows, "_r", width), width)
+    return out.filter(F.col("component") <= min(n, width))

@@ -235,6 +235,19 @@ def two_way_additive(t):
     return out.select(*A.CELL_KEY, *[rounded(c).alias(c) for c in ("mu", "row_effect", "col_effect", "residual")])
 
 
+@query("two_way_blocks", f"""
+    WITH c AS (SELECT *, model_quarter % 2 AS half FROM ({X.CELLS_SQL}) WHERE model_quarter % 2 = eval_quarter % 2),
+    g AS (SELECT avg(r2) AS mu FROM c), h AS (SELECT half, avg(r2) AS level FROM c GROUP BY half),
+    a AS (SELECT model_year, model_quarter, avg(r2) AS am FROM c GROUP BY ALL),
+    b AS (SELECT eval_year, eval_quarter, avg(r2) AS bm FROM c GROUP BY ALL)
+    SELECT {X.CELL_KEY}, {r("mu")} AS mu, {r("am - mu")} AS row_effect, {r("bm - level")} AS col_effect, {r("r2 - am - bm + level")} AS residual
+    FROM c JOIN a USING (model_year, model_quarter) JOIN b USING (eval_year, eval_quarter) JOIN h USING (half), g""")
+def two_way_blocks(t):
+    """The additive fit of the cells whose quarters are both odd or both even: two components without a link."""
+    out = C.two_way_additive(X.cells(t).filter("model_quarter % 2 = eval_quarter % 2"), "r2")
+    return out.select(*A.CELL_KEY, *[rounded(c).alias(c) for c in ("mu", "row_effect", "col_effect", "residual")])
+
+
 @query("two_way_variance", f"""
     WITH c AS ({X.CELLS_SQL}), g AS (SELECT avg(r2) AS mu FROM c),
     a AS (SELECT model_year, model_quarter, avg(r2) AS am FROM c GROUP BY ALL),

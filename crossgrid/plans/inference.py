@@ -566,3 +566,23 @@ def direction_note(t):
 def svd_share(t):
     """Share of the squared Frobenius norm in each singular component of the centred matrix."""
     return V.svd_share(_cells(t), "r2")
+
+
+def power_sql(rows: str, steps: int) -> str:
+    """CTEs ending in ``z`` (share): the largest eigenvalue of the Gram matrix of ``rows`` (k, x: list) over its trace,
+    by power iteration."""
+    return f"""x AS MATERIALIZED ({rows}),
+    g AS MATERIALIZED (SELECT list(v ORDER BY i) AS m, sum(v[i]) AS trace FROM (
+        SELECT a.k AS i, list(list_dot_product(a.x, b.x) ORDER BY b.k) AS v FROM x a, x b GROUP BY a.k)),
+    w(n, v, size) AS (SELECT 0, list_transform(range(1, len(m) + 1), lambda i: 1.0::DOUBLE + sin(i)), 1.0::DOUBLE FROM g
+        UNION ALL SELECT n + 1, list_transform(u, lambda e: e / sqrt(list_dot_product(u, u))), sqrt(list_dot_product(u, u))
+        FROM (SELECT n, list_transform(m, lambda row: list_dot_product(row, v)) AS u FROM w, g WHERE n < {steps})),
+    z AS (SELECT size / trace AS share FROM w, g WHERE n = {steps})"""
+
+
+@query("svd_first_share", f"""
+    WITH RECURSIVE c AS ({X.CELLS_SQL}), {power_sql("SELECT row_number() OVER (ORDER BY model_year, model_quarter) AS k, list(r2 - (SELECT avg(r2) FROM c) ORDER BY eval_year, eval_quarter) AS x FROM c GROUP BY model_year, model_quarter", 2000)}
+    SELECT {r("share")} AS share FROM z""")
+def svd_first_share(t):
+    """Share of the first singular component."""
+    return V.svd_share(_cells(t), "r2").filter("component = 1").select(rounded("share").alias("share"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from crossgrid.functions import hashing as H
 from crossgrid.operators import accuracy as A, resample as S, vectors as V
 from crossgrid.plans import fixtures as X
-from crossgrid.plans.inference import N_PERMS, null_sql, perm_sql
+from crossgrid.plans.inference import N_PERMS, null_sql, perm_sql, power_sql
 from crossgrid.plans.registry import query, r
 from crossgrid.session import attach_params, materialize, rounded
 
@@ -175,3 +175,12 @@ def concat_parts(t):
 def pca_share(t):
     """Variance share of the first ten principal components of the vectors."""
     return V.pca_share(t.embeddings, "embedding", 10)
+
+
+@query("pca_first_share", f"""
+    WITH RECURSIVE m AS (SELECT i, avg(embedding[i]::DOUBLE) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY i),
+    {power_sql("SELECT i AS k, list(embedding[i]::DOUBLE - mean ORDER BY vec_id) AS x FROM embeddings, m GROUP BY i", 4000)}
+    SELECT {r("share", 5)} AS variance_share FROM z""")
+def pca_first_share(t):
+    """Variance share of the first principal component."""
+    return V.pca_share(t.embeddings, "embedding", 1).select(rounded("variance_share", 5).alias("variance_share"))

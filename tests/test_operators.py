@@ -104,12 +104,42 @@ def test_accuracy_on_prediction_rows(spark):
     assert got["b"].r2 is None and got["b"].pearson_r is None and got["b"].mae == 0.5
 
 
-def test_incomplete_additive_fit(spark):
-    """Mean polish on a matrix with a hole reproduces exact row and column effects."""
-    cells = [(y, q, e, q2, 0.5 + 0.1 * y + 0.01 * q + 0.02 * e - 0.03 * q2) for y in (1, 2) for q in (1, 2) for e in (1, 2) for q2 in (1, 2)]
-    df = spark.createDataFrame([c for c in cells if c[:4] != (1, 1, 2, 2)], [*A.CELL_KEY, "r2"])
-    out = C.two_way_additive(df, "r2", sweeps=25).toPandas()
-    assert out["residual"].abs().max() < 1e-6
+def _additive(spark, cells):
+    """The fit as a frame, and plain least squares on indicator columns."""
+    got = C.two_way_additive(spark.createDataFrame([(1, int(i), 1, int(j), float(v)) for i, j, v in cells], [*A.CELL_KEY, "r2"]), "r2").toPandas()
+    rows, cols = sorted({c[0] for c in cells}), sorted({c[1] for c in cells})
+    x = np.zeros((len(cells), len(rows) + len(cols)))
+    for k, (i, j, _) in enumerate(cells):
+        x[k, rows.index(i)] = x[k, len(rows) + cols.index(j)] = 1
+    y = np.array([c[2] for c in cells])
+    fitted = x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    return got.sort_values(["model_quarter", "eval_quarter"]), {(i, j): v - f for (i, j, v), f in zip(cells, fitted, strict=True)}
+
+
+def test_additive_fit_of_incomplete_matrices(spark):
+    """A narrow band, random holes and two unconnected blocks: the residuals of least squares, effects centred by component."""
+    rng = np.random.default_rng(2)
+    noise = lambda i, j: 0.1 * i - 0.03 * j * j + rng.normal()
+    cases = [
+        ([(i, j, noise(i, j)) for i in range(14) for j in range(14) if abs(i - j) <= 2], 1),
+        ([(i, j, noise(i, j)) for i in range(9) for j in range(7) if rng.random() < 0.6 or i == 0 or j == 0], 1),
+        ([(i, j, noise(i, j) + 5 * (i < 4)) for i in range(8) for j in range(9) if (i < 4) == (j < 3) and (i, j) != (0, 1)], 2),
+        ([(i, j, noise(i, j)) for i in range(5) for j in range(6)], 1),
+    ]
+    for cells, parts in cases:
+        got, want = _additive(spark, cells)
+        assert np.allclose(got["residual"], [want[i, j] for i, j in zip(got["model_quarter"], got["eval_quarter"], strict=True)], atol=1e-8)
+        assert got["component"].nunique() == parts
+        assert np.allclose(got["mu"] + got["row_effect"] + got["col_effect"] + got["residual"], got["r2"])
+        assert np.allclose(got.groupby("component")["col_effect"].mean(), 0, atol=1e-10)
+    empty = C.two_way_additive(spark.createDataFrame([(1, 1, 1, 1, None)], "model_year int, model_quarter int, eval_year int, eval_quarter int, r2 double"), "r2")
+    assert empty.count() == 0 and empty.columns[-1] == "component"
+
+
+def test_additive_plan_does_not_stack_windows(spark, capsys):
+    cells = spark.createDataFrame([(1, i, 1, j, float(i * j)) for i in range(4) for j in range(4) if i != j], [*A.CELL_KEY, "r2"])
+    C.two_way_additive(cells, "r2").explain()
+    assert "Window" not in capsys.readouterr().out
 
 
 def test_matrix_round_trip(spark):
@@ -710,14 +740,41 @@ def test_parameter_checks_look_both_ways(spark):
             V.param_overlay(a, d, ["k"], F.col("k") == swap).collect()
 
 
-def test_svd_of_an_incomplete_matrix_is_an_error(spark):
+def test_svd_of_an_incomplete_matrix(spark):
     rows = [(y, 1, e, 1, float(y * e % 5)) for y in range(3) for e in range(3)]
     cells = spark.createDataFrame(rows, "model_year int, model_quarter int, eval_year int, eval_quarter int, r2 double")
     got = V.svd_share(cells, "r2").toPandas().sort_values("component")
     m = np.array([r[4] for r in rows]).reshape(3, 3)
-    assert np.allclose(got["singular_value"], np.linalg.svd(m - m.mean())[1], atol=1e-6)
+    assert np.allclose(got["singular_value"], np.linalg.svd(m - m.mean())[1], atol=1e-12)
+    holed = cells.filter("model_year <> 1 or eval_year <> 2")
+    centred = m - np.delete(m.ravel(), 5).mean()
+    centred[1, 2] = 0
+    assert np.allclose([r.singular_value for r in V.svd_share(holed, "r2").orderBy("component").collect()], np.linalg.svd(centred)[1], atol=1e-12)
     with pytest.raises(Exception, match="incomplete matrix"):
-        V.svd_share(cells.filter("model_year <> 1 or eval_year <> 2"), "r2").collect()
+        V.svd_share(holed, "r2", holes="error").collect()
+
+
+def test_singular_values_of_an_ill_conditioned_matrix(spark, monkeypatch):
+    """Values over fourteen powers of ten keep their digits; a product of the matrix with itself would lose half of them."""
+    rng = np.random.default_rng(12)
+    u, v = np.linalg.qr(rng.normal(size=(300, 8)))[0], np.linalg.qr(rng.normal(size=(8, 8)))[0]
+    want = 10.0 ** -np.arange(0, 16, 2)
+    df = spark.createDataFrame([(row.tolist(),) for row in u * want @ v.T], "v array<double>")
+    for fan in (2, 16):
+        monkeypatch.setattr(V, "FAN", fan)
+        got = V.singular_values(V.tall_triangle(df.repartition(11), "v", 8), 8).toPandas().sort_values("component")
+        assert np.allclose(got["singular_value"], want, rtol=0, atol=2e-15)
+    assert V.singular_values(V.tall_triangle(df.limit(3), "v", 8), 8).count() == 8
+
+
+def test_pca_shares(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(200, 6)) @ rng.normal(size=(6, 6)) + 1e6
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
+    s = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+    got = V.pca_share(df, "v", 4).orderBy("component").collect()
+    assert [r.component for r in got] == [1, 2, 3, 4] and np.allclose([r.variance_share for r in got], s[:4] / s.sum(), rtol=1e-8)
+    assert V.pca_share(df.limit(3), "v", 10).count() == 2
 
 
 def test_gram_in_tiles_is_the_whole_gram(spark, monkeypatch):

@@ -37,7 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and the text they decode to."""
-    coded = pieces.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"))
+    coded = pieces.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"])
     return coded.select("doc_id", "lang", "source", "n_pieces", "n_byte_pieces", "piece_ids", "decoded", "round_trip")
 
 

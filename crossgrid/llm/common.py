@@ -143,6 +143,39 @@ def unsqueeze(message: bytes) -> list[bytes]:
     return out
 
 
+#: What operators keep in a Python worker from one task to the next, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """The store of ``operator`` in this Python worker; those of others, left by earlier stages, are given back."""
+    if left := [name for name in _KEPT if name != operator]:
+        for name in left:
+            del _KEPT[name]
+        give_back()
+    return _KEPT.setdefault(operator, {})
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def one_text(docs: DataFrame, columns: list[str], text_col: str) -> tuple[DataFrame, str, list[str]]:
+    """``columns`` of ``docs`` and the text, which is sent once: the rows, the text's name there, the columns to carry on."""
+    if text_col in columns:
+        return docs.select(*columns), text_col, columns
+    return docs.select(*columns, F.col(text_col).alias("_text")), "_text", columns
+
+
 #: Rows that blocks of documents and shards of keys send each other.
 MESSAGE = "_to long, _from long, _role int, _data binary"
 MESSAGE_ARROW = pa.schema([("_to", pa.int64()), ("_from", pa.int64()), ("_role", pa.int32()), ("_data", pa.binary())])

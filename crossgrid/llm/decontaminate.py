@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crossgrid.llm.common import ALNUM, arrow_rows, small_batches, utf8
+from crossgrid.llm.common import ALNUM, arrow_rows, kept, one_text, small_batches, utf8
 
 WINDOW = 13
 #: Bytes of normalised item text in one automaton: about 13 times as many nodes, some 100 MB.
@@ -28,7 +28,6 @@ BLOCK_BYTES = 128 << 10
 #: Automata that a Python worker keeps; with more blocks than that it builds them again for each batch.
 KEPT = 4
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-_AUTOMATA: dict[tuple[str, int], object] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,11 +75,12 @@ def build(ids: list[str], texts: list[str | None], window: int = WINDOW):
 
 def _automaton(key: tuple[str, int], block, window: int):
     """``key`` names the block among all that this Python worker ever sees."""
-    if key not in _AUTOMATA:
-        while len(_AUTOMATA) >= KEPT:
-            _AUTOMATA.pop(next(iter(_AUTOMATA)))
-        _AUTOMATA[key] = build(*block.value, window)
-    return _AUTOMATA[key]
+    automata = kept("decontaminate")
+    if key not in automata:
+        while len(automata) >= KEPT:
+            automata.pop(next(iter(automata)))
+        automata[key] = build(*block.value, window)
+    return automata[key]
 
 
 def scan(text: str | None, automata: list) -> tuple[int, np.ndarray, set[str]]:
@@ -122,8 +122,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "_text", 64 << 20):
-            texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
+        for batch in small_batches(batches, sent, 64 << 20):
+            texts = batch.column(batch.schema.get_field_index(sent)).to_pylist()
             found = [(0, np.zeros(0, dtype=np.int64), set()) for _ in texts]
             for k, block in enumerate(blocks or [None]):
                 automaton = None if block is None else _automaton((name, k), block, window)
@@ -139,15 +139,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 rows["item_ids"].append(sorted(items))
                 rows["hit_spans"].append(original_spans(text, hit) if len(hit) else [])
                 rows["contaminated"].append(len(hit) > 0 and 20 * len(hit) >= n)
-            kept = [(batch.schema.field(j), batch.column(j)) for j in range(batch.num_columns) if batch.schema.names[j] != "_text"]
+            own = [batch.schema.get_field_index(c) for c in carried]
             new = arrow_rows(rows, made)
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + new.columns, schema=pa.schema([f for f, _ in kept] + list(made)))
+            yield pa.RecordBatch.from_arrays([batch.column(j) for j in own] + new.columns, schema=pa.schema([batch.schema.field(j) for j in own] + list(made)))
 
     names = [f.name for f in made]
     keep = [c for c in docs.columns if c not in names] if carry else [id_col]
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows, sent, carried = one_text(docs, keep, text_col)
     out = "n_words long, n_hit long, n_items long, item_ids array<string>, hit_spans array<struct<start: long, end: long>>, contaminated boolean"
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
     return rows.mapInArrow(run, f"{fields}, {out}")
 
 

@@ -16,16 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from crossgrid.llm.common import small_batches
+from crossgrid.llm.common import kept, one_text, small_batches
 
 MARK = "▁"
-#: Units of more UTF-8 bytes are solved one by one.
-SHORT = 48
-#: Units that a Python worker remembers, from one task to the next.
-CACHE = 800_000
-_CODERS: dict[str, Encoder] = {}
+#: Units of more UTF-8 bytes are solved one by one; others so many at once.
+SHORT, SIDE = 48, 8192
+#: Bytes of units that a Python worker remembers, from one task to the next; a unit counts UNIT bytes and its own.
+CACHE, UNIT = 80 << 20, 200
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 _LEAD = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)
 
@@ -143,6 +142,12 @@ class Vocabulary:
         if not len(rows):
             return out
         rows = rows[np.argsort(size[rows], kind="stable")]
+        for at in range(0, len(rows), SIDE):
+            self._solve_side(units, rows[at : at + SIDE], size, out)
+        return out
+
+    def _solve_side(self, units: list[bytes], rows: np.ndarray, size: np.ndarray, out: list) -> None:
+        """Short units of about one length, side by side."""
         width = int(size[rows[-1]])
         joined = np.frombuffer(b"".join(units[k] for k in rows), dtype=np.uint8)
         text = np.zeros((len(rows), width + 1), dtype=np.uint8)
@@ -186,11 +191,10 @@ class Vocabulary:
             at = at[t[at] > 0]
         for i, k in enumerate(rows):
             out[k] = np.array(self.solve_one(units[k]), dtype=np.int32) if odd[i] else found[i, width + 1 - steps[i] :]
-        return out
 
 
 class Encoder:
-    """Encodes batches of texts; remembers the ids of up to ``cache`` units."""
+    """Encodes batches of texts; remembers units and their ids up to ``cache`` bytes, and those of one batch."""
 
     def __init__(self, vocabulary: Vocabulary, cache: int = CACHE):
         self.v, self.cache = vocabulary, cache
@@ -198,6 +202,7 @@ class Encoder:
 
     def _fresh(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = self.units_held = 0
         self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     @staticmethod
@@ -212,12 +217,26 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         got = self.v.solve([(u if u[:1] == MARK else MARK + u).encode("utf-8", "surrogatepass") for u in new])
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, *got])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(g) for g in got])])
+        self.held += sum(UNIT + 4 * len(u) + g.nbytes for u, g in zip(new, got, strict=True))
+        ends = self.start[self.units_held] + np.cumsum([len(g) for g in got])
+        self.flat = self._room(self.flat, int(ends[-1]))
+        self.flat[self.start[self.units_held] : ends[-1]] = np.concatenate(got)
+        self.start = self._room(self.start, self.units_held + len(got) + 1)
+        self.start[self.units_held + 1 : self.units_held + len(got) + 1] = ends
+        self.units_held += len(got)
+
+    @staticmethod
+    def _room(x: np.ndarray, size: int) -> np.ndarray:
+        """``x`` with room for ``size`` entries; it grows by half at least."""
+        if size <= len(x):
+            return x
+        out = np.zeros(max(size, len(x) * 3 // 2), dtype=x.dtype)
+        out[: len(x)] = x
+        return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids begin (one more entry at the end)."""
-        if len(self.known) > self.cache:
+        if self.held > self.cache:
             self._fresh()
         units = [self.units(t) if t else [] for t in texts]
         every = [u for us in units for u in us]
@@ -240,24 +259,25 @@ class Encoder:
         return (got[1:] if got[:1] == b" " else got).decode("utf-8", "replace")
 
 
-def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", cache: int = CACHE) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", cache: int = CACHE, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with piece_ids array<int>, n_pieces long, n_byte_pieces long, decoded string and round_trip boolean
-    (decoded equals the text, null read as empty); columns of these names are replaced."""
+    (decoded equals the text, null read as empty); columns of these names are replaced. ``keep`` names the columns of
+    ``docs`` to carry on (all of them by default)."""
     vocabulary = Vocabulary.load(model_path)  # its size is that of a vocabulary, not of the data
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     name = uuid.uuid4().hex
     made = pa.schema([("piece_ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("n_byte_pieces", pa.int64()), ("decoded", pa.string()), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _CODERS:
-            _CODERS.clear()
-            _CODERS[name] = Encoder(sent.value, cache)
-        coder = _CODERS[name]
+        coders = kept("pieces")
+        if name not in coders:
+            coders.clear()
+            coders[name] = Encoder(sent.value, cache)
+        coder = coders[name]
         is_byte = np.zeros(len(coder.v.surface), dtype=bool)
         is_byte[coder.v.byte_ids] = True
-        for batch in small_batches(batches, "_text", 4 << 20):
-            at = batch.schema.get_field_index("_text")
-            texts = batch.column(at).to_pylist()
+        for batch in small_batches(batches, text, 2 << 20):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             ids, cut = coder.encode(texts)
             as_list = ids.tolist()
             decoded = [coder.decode(as_list[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -266,9 +286,10 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", cach
                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(cut)),
                 pa.array(seen[cut[1:]] - seen[cut[:-1]]), pa.array(decoded), pa.array([(t or "") == d for t, d in zip(texts, decoded, strict=True)]),
             ]
-            kept = [j for j in range(batch.num_columns) if j != at]
-            yield pa.RecordBatch.from_arrays([batch.column(j) for j in kept] + columns, schema=pa.schema([batch.schema.field(j) for j in kept] + list(made)))
+            own = [batch.schema.get_field_index(c) for c in carried]
+            yield pa.RecordBatch.from_arrays([batch.column(j) for j in own] + columns, schema=pa.schema([batch.schema.field(j) for j in own] + list(made)))
 
-    rows = docs.select(*[c for c in docs.columns if c not in made.names], F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(run, f"{fields}, piece_ids array<int>, n_pieces long, n_byte_pieces long, decoded string, round_trip boolean")
+    rows, text, carried = one_text(docs, [c for c in docs.columns if c not in made.names and (keep is None or c in keep)], text_col)
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
+    fields = f"{fields}, " if fields else ""
+    return rows.mapInArrow(run, f"{fields}piece_ids array<int>, n_pieces long, n_byte_pieces long, decoded string, round_trip boolean")

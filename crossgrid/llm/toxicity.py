@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from crossgrid.llm.common import ALNUM, arrow_rows, chain, small_batches, text_word_hashes, utf8
+from crossgrid.llm.common import ALNUM, arrow_rows, chain, kept, one_text, small_batches, text_word_hashes, utf8
 
 BITS = 20
 MAX_TRAIN_ROWS = 30_000
@@ -98,19 +98,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
     sent = docs.sparkSession.sparkContext.broadcast((place.astype(np.int32), weight.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         table = np.zeros(1 << bits, dtype=np.float32)
         table[sent.value[0]] = sent.value[1]
-        for batch in small_batches(batches, "_text"):
-            at = batch.schema.get_field_index("_text")
+        for batch in small_batches(batches, text):
+            at = batch.schema.get_field_index(text)
             scores = np.empty(batch.num_rows)
             for i, f in enumerate(features(batch.column(at).to_pylist(), bits)):
                 f = np.unique(f[table[f] != 0])
                 scores[i] = 1.0 / (1.0 + np.exp(-np.clip(table[f].astype(float).sum() + bias, -35, 35)))
-            kept = [j for j in range(batch.num_columns) if j != at]
+            own = [batch.schema.get_field_index(c) for c in carried]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(j) for j in kept] + [pa.array(scores)],
-                schema=pa.schema([batch.schema.field(j) for j in kept] + [pa.field(out, pa.float64())]))
+                [batch.column(j) for j in own] + [pa.array(scores)],
+                schema=pa.schema([batch.schema.field(j) for j in own] + [pa.field(out, pa.float64())]))
 
-    rows = docs.select(*[c for c in docs.columns if c != out], F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    rows, text, carried = one_text(docs, [c for c in docs.columns if c != out], text_col)
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
     return rows.mapInArrow(run, f"{fields}, `{out}` double")

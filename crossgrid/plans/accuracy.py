@@ -9,8 +9,7 @@ from crossgrid.operators import accuracy as A, cells as C
 from crossgrid.plans import fixtures as X
 from crossgrid.plans.registry import query, r
 from crossgrid.session import attach_params, rounded, scratch_path
-from crossgrid.sources.readers import read_predictions
-from crossgrid.sources.sinks import write_prediction_files
+from crossgrid.sources import readers, sinks
 
 PERIOD = ["year", "quarter"]
 
@@ -36,15 +35,16 @@ def cross_quarter_matrix(t):
            {r("covar_pop(label, pred) / sqrt(var_pop(label) * var_pop(pred))")} AS pearson_r
     FROM ({X.PRED_SQL}) GROUP BY ALL""")
 def prediction_cells(t):
-    """Prediction files of two epochs, written, scanned and scored: R2, r and n of every cell at its highest epoch."""
+    """Prediction files of two epochs, written, listed and scored: R2, r and n of every cell at its highest epoch, the only one read."""
     p = X.predictions(t)
     rows = p.select(
         F.lower(F.concat("state", "state")).alias("state"), "variable", F.col("year").alias("model_year"), F.lit(1).alias("model_quarter"),
         F.col("year").alias("eval_year"), F.col("quarter").alias("eval_quarter"), F.col("l_orderkey").cast("string").alias("name"), "label",
         F.explode(F.array(F.struct(F.lit(5).alias("epoch"), (F.col("pred") / 2).alias("pred")), F.struct(F.lit(12).alias("epoch"), F.col("pred").alias("pred")))).alias("e"))
     path = scratch_path(t.spark, "predictions")
-    write_prediction_files(rows.select("*", "e.epoch", "e.pred").drop("e"), path)
-    out = A.score_cells(read_predictions(t.spark, path), ["state", "variable"])
+    sinks.write_prediction_files(rows.select("*", "e.epoch", "e.pred").drop("e"), path)
+    newest = readers.newest_files(readers.file_index(t.spark, path))
+    out = A.score_cells(readers.read_files(t.spark, newest), ["state", "variable"])
     return out.select("state", "variable", *A.CELL_KEY, "epoch", "n", rounded("r2").alias("r2"), rounded("pearson_r").alias("pearson_r"))
 
 
@@ -334,6 +334,16 @@ def matrix_melt(t):
     return long.withColumn("r2", rounded("r2"))
 
 
+@query("matrix_written", f"""
+    SELECT {X.CELL_KEY}, r2 FROM (SELECT {X.CELL_KEY}, {r("r2")} AS r2 FROM ({X.CELLS_SQL})) WHERE r2 IS NOT NULL""")
+def matrix_written(t):
+    """The wide matrix written as a CSV file, read back and melted: the same cells."""
+    path = scratch_path(t.spark, "matrix")
+    sinks.write_matrix(C.pivot_matrix(X.cells(t).withColumn("r2", rounded("r2")), "r2", QUARTER_LABELS), path)
+    wide = readers.read_csv(t.spark, path, ", ".join(["model STRING", *[f"`{q}` DOUBLE" for q in QUARTER_LABELS]]), ["model"])
+    return C.melt_matrix(wide, "model", QUARTER_LABELS, "r2")
+
+
 @query("pair_symmetrize", f"""
     WITH c AS (SELECT * FROM ({X.CELLS_SQL}) WHERE eval_quarter <> 4),
     u AS (SELECT DISTINCT year, quarter FROM ({X.PRED_SQL}))

@@ -173,20 +173,20 @@ def coords(t: Tables) -> DataFrame:
 PIXELS_SQL = """
     SELECT vec_id AS chip_id, label AS state, (vec_id % 4 + 1)::INTEGER AS quarter, px,
            list_transform(range(1, 13), lambda b: greatest(0.0::DOUBLE, round(embedding[px * 12 + b]::DOUBLE * 100000))) AS bands
-    FROM embeddings, (SELECT unnest(range(0, 5)) AS px)"""
+    FROM embeddings, (SELECT unnest(range(0, 6)) AS px)"""
 
 
 def pixels(t: Tables) -> DataFrame:
-    """Five 12-band pixels per embedding; values at or below zero are nodata (0)."""
+    """Six 12-band pixels per embedding, the last one filled up with nodata; values at or below zero are nodata (0)."""
     return t.embeddings.select(
         F.col("vec_id").alias("chip_id"), F.col("label").alias("state"),
         (F.col("vec_id") % 4 + 1).cast("int").alias("quarter"),
-        F.explode(F.sequence(F.lit(0), F.lit(4))).alias("px"), "embedding",
+        F.explode(F.sequence(F.lit(0), F.lit(5))).alias("px"), "embedding",
     ).select(
         "chip_id", "state", "quarter", "px",
         F.transform(
-            F.slice("embedding", F.col("px") * 12 + 1, 12),
-            lambda v: F.greatest(F.lit(0.0), F.round(v.cast("double") * 100000)),
+            F.sequence(F.lit(0), F.lit(11)),
+            lambda b: F.greatest(F.lit(0.0), F.round(F.get("embedding", F.col("px") * 12 + b).cast("double") * 100000)),
         ).alias("bands"),
     )
 

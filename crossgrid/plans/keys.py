@@ -227,6 +227,16 @@ def class_counts_map(t):
     return sinks.class_maps(counts, "p_size").select("p_size", F.array_join(entries, ",").alias("entries"))
 
 
+@query("class_maps_written", """SELECT p_size, p_type AS class, count(*) AS n FROM part GROUP BY 1, 2""")
+def class_maps_written(t):
+    """The class counts of every key written as JSON maps and read back."""
+    counts = t.part.groupBy("p_size", F.col("p_type").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(t.spark, "class-maps")
+    sinks.write_class_maps(counts, "p_size", path)
+    back = t.spark.read.schema("p_size INT, counts MAP<STRING, BIGINT>").json(path)
+    return back.select(F.col("p_size").cast(counts.schema["p_size"].dataType).alias("p_size"), F.explode("counts").alias("class", "n"))
+
+
 @query("keyed_value_load", """
     SELECT id, value FROM (
         SELECT *, row_number() OVER (PARTITION BY id ORDER BY o_orderkey) AS k FROM (
@@ -572,7 +582,7 @@ def dedup_last(t):
 
 
 @query("latest_version", """
-    WITH v AS (SELECT DISTINCT l_suppkey, l_linenumber::INTEGER AS v FROM lineitem WHERE l_quantity > 45),
+    WITH v AS (SELECT DISTINCT l_suppkey, l_linenumber::INTEGER AS v FROM lineitem),
     m AS (SELECT l_suppkey, max(v) AS latest FROM v GROUP BY 1),
     g AS (SELECT l_suppkey, min(c)::INTEGER AS next_free FROM (
               SELECT m.l_suppkey, unnest(range(1, latest + 2)) AS c FROM m) x
@@ -580,7 +590,7 @@ def dedup_last(t):
     SELECT l_suppkey, latest, '/exp/v' || latest AS latest_name, next_free FROM m JOIN g USING (l_suppkey)""")
 def latest_version(t):
     """Numeric latest version per experiment, and the lowest free number."""
-    names = t.lineitem.filter("l_quantity > 45").select(
+    names = t.lineitem.select(
         "l_suppkey", F.concat(F.lit("/exp/v"), F.col("l_linenumber").cast("string")).alias("name"))
     return R.latest_version(names, ["l_suppkey"], "name", r"/v(\d+)$")
 

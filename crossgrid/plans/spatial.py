@@ -11,7 +11,8 @@ from crossgrid.operators.ranking import sample_per_group
 from crossgrid.plans import fixtures as X
 from crossgrid.plans.inference import null_sql, perm_sql
 from crossgrid.plans.registry import query, r
-from crossgrid.session import materialize, rounded
+from crossgrid.session import materialize, rounded, scratch_path
+from crossgrid.sources import readers
 
 _U64 = "18446744073709551616.0::DOUBLE"
 
@@ -124,7 +125,7 @@ def pooled_band_stats(t):
 
 
 @query("pooled_band_stats_sampled", _PX + f""",
-    ch AS (SELECT chip_id FROM (SELECT DISTINCT chip_id, quarter FROM px) QUALIFY row_number() OVER (PARTITION BY quarter ORDER BY md5('1337:' || chip_id)) <= 40),
+    ch AS (SELECT chip_id FROM (SELECT DISTINCT chip_id, quarter FROM px) QUALIFY row_number() OVER (PARTITION BY quarter ORDER BY md5('1337:' || chip_id)) <= 200),
     l AS (SELECT (i - 1)::INTEGER AS band, bands[i] AS v FROM px SEMI JOIN ch USING (chip_id), range(1, 13) t(i))
     SELECT band, count(*) FILTER (WHERE v > 0) AS n_valid, {r("avg(v) FILTER (WHERE v > 0)", 4)} AS mean,
            {r("stddev_pop(v) FILTER (WHERE v > 0)", 4)} AS std FROM l GROUP BY 1""")
@@ -132,7 +133,7 @@ def pooled_band_stats_sampled(t):
     """The same from an equal sample of chips per quarter."""
     px = X.pixels(t)
     chips = px.select("chip_id", "quarter").distinct().withColumn("_h", hash_order(F.lit(1337), "chip_id"))
-    chosen = sample_per_group(chips, ["quarter"], "_h", 40).select("chip_id")
+    chosen = sample_per_group(chips, ["quarter"], "_h", 200).select("chip_id")
     return RA.pooled_band_stats(px.join(chosen, "chip_id", "left_semi")).select(
         "band", "n_valid", rounded("mean", 4).alias("mean"), rounded("std", 4).alias("std"))
 
@@ -185,14 +186,41 @@ def reference_class(t):
     return RA.reference_class(_cover(t), _LC, exclude=["tree_cover"]).select("reference_class", rounded("mean", 4).alias("mean"))
 
 
+_BROKEN = "chip_id % 7 = 0 AND px = 2 OR chip_id % 97 = 5"
+
+
+def _chip_files(t):
+    """Pixels as JSON lines by quarter, some of them cut off: (readable pixels, quarantined lines)."""
+    text = F.to_json(F.struct("chip_id", "px", "bands"))
+    line = F.when(F.expr(_BROKEN), F.expr("left(value, length(value) - 9)")).otherwise(F.col("value"))
+    path = scratch_path(t.spark, "chips")
+    X.pixels(t).withColumn("value", text).select("quarter", line.alias("value")).write.partitionBy("quarter").text(path)
+    return readers.read_quarantined(t.spark, path, "chip_id BIGINT, px INT, bands ARRAY<DOUBLE>", key=r'"chip_id":(\d+)')
+
+
 @query("null_chip_audit", _PX + f""",
-    a AS (SELECT chip_id, CASE WHEN chip_id % 7 = 0 THEN NULL ELSE bands END AS bands FROM px),
+    a AS (SELECT chip_id, CASE WHEN {_BROKEN} THEN NULL ELSE bands END AS bands FROM px),
     c AS (SELECT chip_id, sum(len(list_filter(bands, lambda b: b <> 0)))::DOUBLE / sum(len(bands)) AS f, count(*) FILTER (WHERE bands IS NULL) AS bad FROM a GROUP BY 1)
     SELECT chip_id, {r("f")} AS nonzero_fraction, CASE WHEN bad > 0 OR f IS NULL THEN 'unreadable' WHEN f <= 0.4 THEN 'null' ELSE 'ok' END AS status FROM c""")
 def null_chip_audit(t):
-    """ok / null / unreadable per chip."""
-    px = X.pixels(t).withColumn("bands", F.when(F.col("chip_id") % 7 != 0, F.col("bands")))
-    return RA.chip_audit(px, ["chip_id"], threshold=0.4).select("chip_id", rounded("nonzero_fraction").alias("nonzero_fraction"), "status")
+    """ok / null / unreadable per chip of files with broken lines."""
+    good, broken = _chip_files(t)
+    lost = broken.select(F.col("key").cast("long").alias("chip_id"), F.lit(None).cast("array<double>").alias("bands"))
+    return RA.chip_audit(good.select("chip_id", "bands").union(lost), ["chip_id"], threshold=0.4).select(
+        "chip_id", rounded("nonzero_fraction").alias("nonzero_fraction"), "status")
+
+
+@query("quarantine_counts", _PX + f"""
+    SELECT quarter, count(*) FILTER (WHERE NOT ({_BROKEN}) AND len(list_filter(bands, lambda b: b <> 0)) > 0) AS n_good,
+           count(*) FILTER (WHERE NOT ({_BROKEN}) AND len(list_filter(bands, lambda b: b <> 0)) = 0) AS n_null,
+           count(*) FILTER (WHERE {_BROKEN}) AS n_quarantined, count(*) AS n_lines FROM px GROUP BY quarter""")
+def quarantine_counts(t):
+    """Lines per folder: good, without a value, quarantined; they add up to what was written."""
+    good, broken = _chip_files(t)
+    kinds = good.select("file", F.when(F.exists("bands", lambda b: b != 0), "good").otherwise("null").alias("kind")).union(broken.select("file", F.lit("quarantined")))
+    folder = F.regexp_extract("file", r"quarter=(\d+)", 1).cast("int").alias("quarter")
+    counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("good", "null", "quarantined")]
+    return kinds.groupBy(folder).agg(*counts, F.count(F.lit(1)).alias("n_lines"))
 
 
 @query("null_chip_summary", _PX + f""",

@@ -56,15 +56,16 @@ def cosine_by_slice(t):
 
 @query("param_overlay", f"""
     WITH p AS MATERIALIZED (SELECT *, {_SLICE} AS layer FROM ({X.PARAMS_SQL}))
-    SELECT a.idx, a.layer, {r("CASE WHEN a.layer IN ('patch_embed', 'stage1') THEN b.value ELSE a.value END", 8)} AS value,
+    SELECT a.model, a.idx, a.layer, {r("CASE WHEN a.layer IN ('patch_embed', 'stage1') THEN b.value ELSE a.value END", 8)} AS value,
            a.layer IN ('patch_embed', 'stage1') AS swapped
-    FROM p a JOIN p b ON b.idx = a.idx AND b.model = 1 WHERE a.model = 0""")
+    FROM p a JOIN p b ON b.idx = a.idx AND b.model = (a.model + 1) % 10""")
 def param_overlay(t):
-    """Early layers of one model over another: donor values for the chosen groups."""
+    """Early layers of the next model over each model: donor values for the chosen groups."""
     p = _slices(X.params(t))
     swap = F.col("layer").isin("patch_embed", "stage1")
-    out = V.param_overlay(p.filter("model = 0"), p.filter("model = 1"), ["idx", "layer"], swap)
-    return out.select("idx", "layer", rounded("value", 8).alias("value"), "swapped")
+    donor = p.withColumn("model", F.pmod(F.col("model") - 1, F.lit(10)).cast(p.schema["model"].dataType))
+    out = V.param_overlay(p, donor, ["model", "idx", "layer"], swap)
+    return out.select("model", "idx", "layer", rounded("value", 8).alias("value"), "swapped")
 
 
 @query("vector_delta_array", f"""

@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 
 from crossgrid.functions.ids import item_key, normalize_id, parse_pred_path, safe_double
 from crossgrid.operators.ranking import first_per_key
+from crossgrid.session import materialize
 
 PRED_SCHEMA = "row_index STRING, name STRING, pred STRING, label STRING, extra STRING"
 
@@ -32,28 +33,77 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"(?<=/)[a-z_]+=", ""), r"(\.csv)/part-[^/]*$", "$1")
 
 
+def file_index(spark: SparkSession, path: str) -> DataFrame:
+    """The files below a folder or glob by their names alone: (file, path, n_bytes and the fields of a prediction path).
+
+    Nothing is opened. Fields of a path that doesn't tell its cell are NULL."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.col("length").alias("n_bytes"))
+    named = listed.select("file", plain_path(F.col("file")).alias("path"), "n_bytes")
+    return named.select("*", *[c.alias(n) for n, c in parse_pred_path("path").items()])
+
+
+#: What a prediction path tells besides its epoch.
+PRED_CELL = ["state", "variable", "model_year", "model_quarter", "eval_year", "eval_quarter"]
+
+
+def newest_files(index: DataFrame, wanted: DataFrame | None = None, cell: list[str] | None = None) -> DataFrame:
+    """The files of the highest epoch of each cell, of those in ``wanted`` (rows that hold some of the cell's columns) if given.
+
+    Two paths with one cell and epoch are both kept; ``single_match`` tells them."""
+    cell = cell or PRED_CELL
+    known = index.filter(F.col("epoch").isNotNull())
+    if wanted is not None:
+        known = known.join(wanted, [c for c in wanted.columns if c in cell], "left_semi")
+    latest = known.groupBy(*cell).agg(F.max("epoch").alias("epoch"))
+    # a field may be unknown, such as a file without a variable
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"n.{c}")) for c in [*cell, "epoch"]]
+    return known.alias("k").join(latest.alias("n"), same, "left_semi")
+
+
+def manifest_files(manifest: DataFrame, index: DataFrame, path: str = "preds_csv") -> tuple[DataFrame, DataFrame]:
+    """The index rows of the files that a manifest names, and the manifest rows of which the index has no file."""
+    held = index.select(F.col("path").alias(path)).distinct()
+    return index.join(manifest.select(F.col(path).alias("path")).distinct(), "path", "left_semi"), manifest.join(held, path, "left_anti")
+
+
 def unmatched_paths(spark: SparkSession, path: str) -> DataFrame:
     """Files below a glob whose path does not tell their cell: (path, n_rows). ``read_predictions`` leaves them out."""
-    raw = _prediction_files(spark, path)
-    return raw.select("path", *[c.alias(n) for n, c in parse_pred_path("path").items()]).filter("epoch is null").groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"))
+    odd = file_index(spark, path).filter("epoch is null")
+    return _prediction_files(spark, odd).groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def _prediction_files(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.schema(PRED_SCHEMA).option("header", True).option("enforceSchema", True)
-        .option("recursiveFileLookup", True).csv(path)
-        .withColumn("path", plain_path(F.col("_metadata.file_path")))
-    )
+def _prediction_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The rows of the files of an index; only these are scanned. Their names pass the driver, as in any listing."""
+    names = [r.file for r in files.select("file").collect()]
+    if not names:
+        return spark.createDataFrame([], f"{PRED_SCHEMA}, path STRING")
+    raw = spark.read.schema(PRED_SCHEMA).option("header", True).option("enforceSchema", True).csv(names)
+    return raw.withColumn("path", plain_path(F.col("_metadata.file_path")))
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """All prediction files below a glob in one scan; periods come from each file's path."""
-    raw = _prediction_files(spark, path)
-    return raw.select(
+def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Prediction rows of the files of an index; periods come from each file's path."""
+    return _prediction_files(spark, files.filter(F.col("epoch").isNotNull())).select(
         "path", *[c.alias(n) for n, c in parse_pred_path("path").items()],
         normalize_id(item_key("name")).alias("geoid"),
         safe_double("pred").alias("pred"), safe_double("label").alias("label"),
-    ).filter(F.col("epoch").isNotNull())
+    )
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """All prediction files below a folder or glob. ``newest_files`` picks from the index before anything is read."""
+    return read_files(spark, file_index(spark, path))
+
+
+def read_quarantined(spark: SparkSession, path: str, schema: str, kind: str = "json", key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows that can be read, quarantined rows (file, line, and the text that ``key``, a pattern with one group, finds in it)).
+
+    ``kind``: json (a row a line) or csv (with a header). A row that doesn't parse to the schema is quarantined whole."""
+    reader = spark.read.schema(f"{schema}, _broken STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
+    parsed = (reader.option("header", True).csv(path) if kind == "csv" else reader.json(path)).withColumn("file", F.col("_metadata.file_path"))
+    raw = materialize(parsed, "parsed")  # parsed once for both
+    found = F.nullif(F.regexp_extract("_broken", key, 1), F.lit("")) if key else F.lit(None).cast("string")
+    return raw.filter("_broken is null").drop("_broken"), raw.filter("_broken is not null").select("file", F.col("_broken").alias("line"), found.alias("key"))
 
 
 def single_match(files: DataFrame, key: list[str], variable: str) -> tuple[DataFrame, DataFrame]:

@@ -574,6 +574,46 @@ def test_prediction_files(spark):
         ("az", 2018, 2, 3, "04003010600", 1.0), ("az", 2018, 2, 3, "04003010700", None), ("oh", 2016, 1, 1, "39003010600", 0.25)]
 
 
+def test_only_chosen_files_are_read(spark):
+    """Listing, not scanning, tells the highest epoch; cells that are wanted but not there and odd files are known before."""
+    rows = [("ga", "income", 2018, q, 2019, 3, epoch, "x", 1.0, 2.0) for q in (1, 2) for epoch in (9, 10)] + [("oh", "a b+c%", 2018, 1, 2018, 1, 3, "x", 1.0, 2.0)]
+    path = scratch_path(spark, "preds")
+    sinks.write_prediction_files(spark.createDataFrame(rows, "state string, variable string, model_year int, model_quarter int, eval_year int, eval_quarter int, epoch int, name string, pred double, label double"), path)
+    spark.createDataFrame([("x", 1.0)], ["name", "pred"]).coalesce(1).write.option("header", True).csv(f"{path}/notes.csv")
+    index = readers.file_index(spark, path)
+    assert index.filter("epoch is null").count() == 1 and index.filter("epoch is not null").count() == 5
+    newest = readers.newest_files(index)
+    out = readers.read_files(spark, newest)
+    files = out.inputFiles()
+    assert len(files) == 3 and sum("epoch10" in f for f in files) == 2 and not any("epoch9" in f or "notes" in f for f in files)
+    assert sorted((r.state, r.model_quarter, r.epoch, r.pred) for r in out.collect()) == [("ga", 1, 10, 1.0), ("ga", 2, 10, 1.0), ("oh", 1, 3, 1.0)]
+    some = readers.newest_files(index, spark.createDataFrame([("ga", 2), ("az", 1)], "state string, model_quarter int"))
+    assert [r.model_quarter for r in readers.read_files(spark, some).collect()] == [2]
+    assert readers.read_files(spark, index.limit(0)).count() == 0
+    manifest = index.filter("epoch = 9 and model_quarter = 1").selectExpr("path as preds_csv").union(spark.createDataFrame([("/none.csv",)], ["preds_csv"]))
+    held, missing = readers.manifest_files(manifest, index)
+    assert [r.epoch for r in held.collect()] == [9] and [r.preds_csv for r in missing.collect()] == ["/none.csv"]
+
+
+def test_quarantine_of_broken_rows(spark):
+    """Every line of a CSV and a JSON file is either read or quarantined with its file."""
+    from pathlib import Path
+
+    base = Path(scratch_path(spark, "broken"))
+    (base / "c").mkdir(parents=True)
+    (base / "j").mkdir()
+    (base / "c/one.csv").write_text("id,v\n1,0.5\n2,oops\n3,1.5,9\n4,\n")
+    (base / "c/two.csv").write_text("id,v\nx,1\n5,2.5\n")
+    good, broken = readers.read_quarantined(spark, str(base / "c"), "id INT, v DOUBLE", "csv")
+    assert sorted((r.id, r.v) for r in good.collect()) == [(1, 0.5), (4, None), (5, 2.5)]
+    assert sorted((r.file.rsplit("/", 1)[1], r.line) for r in broken.collect()) == [("one.csv", "2,oops"), ("one.csv", "3,1.5,9"), ("two.csv", "x,1")]
+    (base / "j/a.json").write_text('{"id":1,"v":0.5}\n{"id":2,"v":\n{"id":"z","v":1.0}\n\n{"id":3}\nnot json\n')
+    good, broken = readers.read_quarantined(spark, str(base / "j"), "id INT, v DOUBLE", key=r'"id":(\d+)')
+    assert sorted((r.id, r.v) for r in good.collect()) == [(1, 0.5), (3, None)]
+    assert sorted((r.line, r.key) for r in broken.collect()) == [('not json', None), ('{"id":"z","v":1.0}', None), ('{"id":2,"v":', "2")]
+    assert good.count() + broken.count() == 5
+
+
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="b, c"):
         readers.require_columns(spark.createDataFrame([(1,)], ["a"]), ["a", "b", "c"])

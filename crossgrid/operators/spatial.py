@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
@@ -9,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from crossgrid.functions import geo, hashing as H
 from crossgrid.operators.quantile import quantile_columns
-from crossgrid.operators.resample import permute_units, summarize_null
+from crossgrid.operators.resample import summarize_null
 from crossgrid.session import attach_params, materialize
 
 # Candidate block sizes in degrees, and the default sample.
@@ -259,26 +261,125 @@ def block_sweep(points: DataFrame, neighbours: DataFrame, key: str, degrees=BLOC
         "train_pct", "val_pct", "test_pct", "cross_split_fraction", F.lit(chance).alias("chance_agreement"))
 
 
-def morans_i(points: DataFrame, value: str, degrees: float, n_perms: int = 999, seed: int = 0) -> DataFrame:
-    """Moran's I of block means with contiguity weights, and its permutation p-value.
+#: Constants of a 64-bit mixer, fixed values.
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+_ROUNDS = 6
 
-    Rows are averaged per block first; a block has at most eight neighbours, so the pair table
-    grows with the map and not with the data. Values are permuted over the blocks.
-    """
-    d = F.lit(float(degrees))
-    blocks = points.groupBy(F.floor(F.col("lon") / d).alias("bx"), F.floor(F.col("lat") / d).alias("by")).agg(F.avg(value).alias("v"))
-    mean = blocks.agg(F.avg("v").alias("_m"), F.var_pop("v").alias("_var"), F.count(F.lit(1)).alias("_n"))
-    z = attach_params(blocks, mean).select("bx", "by", (F.col("v") - F.col("_m")).alias("z"))
-    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
-    around = F.array(*[F.struct((F.col("bx") + i).alias("nx"), (F.col("by") + j).alias("ny")) for i, j in steps])
-    wanted = blocks.select("bx", "by", F.explode(around).alias("_s")).select("bx", "by", "_s.*")
-    pairs = wanted.join(blocks.select(F.col("bx").alias("nx"), F.col("by").alias("ny")), ["nx", "ny"])
-    perms = permute_units(z, ["bx", "by"], "z", n_perms, seed)
-    mine = perms.select("perm", "bx", "by", "z")
-    theirs = perms.select("perm", F.col("bx").alias("nx"), F.col("by").alias("ny"), F.col("z").alias("zn"))
-    lagged = mine.join(pairs, ["bx", "by"]).join(theirs, ["perm", "nx", "ny"])
-    stat = lagged.groupBy("perm").agg(F.sum(F.col("z") * F.col("zn")).alias("s"), F.count(F.lit(1)).alias("w"))
-    scored = attach_params(stat, mean).withColumn("i", F.try_divide(F.col("s") / F.col("w"), F.col("_var")))
-    out = summarize_null(scored, "i")
-    first = mean.select(F.col("_n").alias("n_units"))
-    return attach_params(out, first).withColumnRenamed("observed", "morans_i")
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[1])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[2])
+    return x ^ (x >> np.uint64(31))
+
+
+def permuted(x: np.ndarray, n: int, perm: np.ndarray, seed: int, inverse: bool = False) -> np.ndarray:
+    """Where permutation ``perm`` of 0..n-1 takes each ``x`` (arrays of one shape): a Feistel network on pairs of digits to
+    the base of the root of n, walked on while it leaves the range. Nothing but the numbers themselves is needed."""
+    base = max(2, math.isqrt(max(0, n - 1)) + 1)
+    key = _scrambled(perm.astype(np.uint64) * np.uint64(MIX[0]) + np.uint64(seed))
+
+    def once(x, key):
+        left, right = x // base, x % base
+        for r in range(_ROUNDS - 1, -1, -1) if inverse else range(_ROUNDS):
+            half = left if inverse else right
+            add = (_scrambled(half.astype(np.uint64) + key * np.uint64(2 * r + 1)) % np.uint64(base)).astype(np.int64)
+            left, right = ((right - add) % base, left) if inverse else (right, (left + add) % base)
+        return left * base + right
+
+    with np.errstate(over="ignore"):
+        out = once(x, key)
+        while (far := out >= n).any():
+            out[far] = once(out[far], key[far])
+    return out
+
+
+def _dealt(n: int, n_perms: int, seed: int):
+    """Each value goes to the item that holds it in each permutation; permutation 0 leaves it where it is."""
+    def deal(frames):
+        perm = np.arange(n_perms + 1)
+        for f in frames:
+            for at in range(0, len(f), 512):
+                idx, z = f["idx"].to_numpy()[at : at + 512], f["z"].to_numpy()[at : at + 512]
+                x, p = np.repeat(idx, n_perms), np.tile(perm[1:], len(idx))
+                to = np.concatenate([idx, permuted(x, n, p, seed, inverse=True)])
+                yield pd.DataFrame({"idx": to, "perm": np.concatenate([np.zeros(len(idx), dtype=np.int64), p]), "z": np.concatenate([z, np.repeat(z, n_perms)])})
+
+    return deal
+
+
+#: Items whose permuted values are gathered together.
+GATHER = 512
+
+
+def morans_i(points: DataFrame, neighbours: DataFrame, key: str, value: str, n_perms: int = 999, seed: int = 0, leaf: int = LEAF) -> DataFrame:
+    """Moran's I of points with row-standardised neighbour weights, and its permutation p-value.
+
+    ``neighbours`` holds (id, neighbor), such as of ``knn_all``; a point's known neighbours share a weight of one. Values are
+    permuted over the points. A point holds its value in all permutations as one array, so the weights meet them once: points
+    near each other are one group, to which the arrays of neighbours outside are sent besides. Points without value or place
+    take no part."""
+    there = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon") & F.col(value).isNotNull()
+    known = materialize(points.filter(there).select(F.col(key).cast("long").alias("id"), "lat", "lon", F.col(value).cast("double").alias("v")), "moran-points")
+    total = known.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m")).first()
+    n, groups = total.n, max(1, -(-total.n // leaf))
+
+    def coded(frames):
+        for f in frames:
+            f["code"] = _order_code(_on_sphere(f["lat"].to_numpy(), f["lon"].to_numpy()))
+            yield f
+
+    def placed(frames):
+        frames = [f for f in frames if len(f)]
+        if frames:
+            whole = pd.concat(frames, ignore_index=True).sort_values(["code", "lat", "lon", "id"])
+            yield pd.DataFrame({"id": whole["id"], "v": whole["v"], "part": TaskContext.get().partitionId(), "pos": np.arange(len(whole))})
+
+    curve = known.mapInPandas(coded, "id long, lat double, lon double, v double, code long").repartitionByRange(groups, "code", "lat", "lon", "id")
+    parts = materialize(curve.mapInPandas(placed, "id long, v double, part int, pos long"), "moran-parts")
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("k"))  # one row a group
+    before = sizes.select("part", (F.sum("k").over(W.orderBy("part")) - F.col("k")).alias("_before"))
+    items = materialize(parts.join(before, "part").select("id", "part", (F.col("_before") + F.col("pos")).alias("idx"), (F.col("v") - (total.m or 0.0)).alias("z")), "moran-items")
+    arrays = materialize(
+        items.select("idx", "z").mapInPandas(_dealt(n, n_perms, seed), "idx long, perm int, z double")
+        .groupBy(F.floor(F.col("idx") / GATHER).alias("block")).applyInPandas(_gathered(n_perms + 1), "idx long, a array<double>"), "moran-values")
+    ends = neighbours.select(F.col("id").cast("long").alias("id"), F.col("neighbor").cast("long").alias("_n")).filter("id <> _n").distinct()
+    edges = ends.join(items.select("id", "part", "idx"), "id").join(items.select(F.col("id").alias("_n"), F.col("idx").alias("to")), "_n").select("part", "idx", "to")
+    edges = materialize(edges, "moran-edges")
+    needed = edges.select("part", "idx").union(edges.select("part", "to")).distinct().join(arrays, "idx").select("part", "idx", "a")
+    own = edges.select(F.col("part").alias("group"), F.col("idx").alias("at"), F.col("to").alias("to"))
+    sums = own.groupBy("group").cogroup(needed.groupBy("part")).applyInPandas(_lagged(n_perms + 1), "n_linked long, s array<double>")
+    stat = sums.select("n_linked", F.posexplode("s").alias("perm", "s")).groupBy("perm").agg(F.sum("s").alias("s"), F.sum("n_linked").alias("k"))
+    spread = items.agg(F.sum(F.col("z") * F.col("z")).alias("_zz"))
+    scored = attach_params(stat, spread).withColumn("i", F.try_divide(F.lit(n) * F.col("s"), F.col("k") * F.col("_zz")))
+    return summarize_null(scored, "i").withColumn("n_units", F.lit(n).cast("long")).withColumnRenamed("observed", "morans_i")
+
+
+def _gathered(width: int):
+    def gather(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        low = int(key[0]) * GATHER
+        out = np.zeros((GATHER, width))
+        out[frame["idx"].to_numpy() - low, frame["perm"].to_numpy()] = frame["z"].to_numpy()
+        have = np.unique(frame["idx"].to_numpy())
+        return pd.DataFrame({"idx": have, "a": list(out[have - low])})
+
+    return gather
+
+
+def _lagged(width: int):
+    """Per permutation the sum over a group's points of value times the mean of the neighbours' values."""
+    def lag(edges: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        idx = values["idx"].to_numpy()
+        order = np.argsort(idx)
+        idx, a = idx[order], np.array(values["a"].tolist())[order]
+        edges = edges.sort_values(["at", "to"])
+        own, first, counts = np.unique(edges["at"].to_numpy(), return_index=True, return_counts=True)
+        to = np.searchsorted(idx, edges["to"].to_numpy())
+        total = np.zeros(width)
+        for lo in range(0, len(own), 256):
+            hi = min(len(own), lo + 256)
+            ends = first[hi] if hi < len(own) else len(to)
+            lags = np.add.reduceat(a[to[first[lo] : ends]], first[lo:hi] - first[lo], axis=0) / counts[lo:hi, None]
+            total += (a[np.searchsorted(idx, own[lo:hi])] * lags).sum(axis=0)
+        return pd.DataFrame({"n_linked": [len(own)], "s": [total]})
+
+    return lag

@@ -9,7 +9,6 @@ from crossgrid.functions.hashing import hash_order
 from crossgrid.operators import raster as RA, spatial as SP
 from crossgrid.operators.ranking import sample_per_group
 from crossgrid.plans import fixtures as X
-from crossgrid.plans.inference import null_sql, perm_sql
 from crossgrid.plans.registry import query, r
 from crossgrid.session import materialize, rounded, scratch_path
 from crossgrid.sources import readers
@@ -89,25 +88,26 @@ def block_sweep(t):
 _MORAN_PERMS = 999
 
 
-def _moran_sql() -> str:
-    units = "SELECT bx, by_, v - (SELECT avg(v) FROM b) AS val FROM b"
-    return f"""
-    WITH b AS MATERIALIZED (SELECT floor(lon / 4)::BIGINT AS bx, floor(lat / 4)::BIGINT AS by_, avg(value) AS v FROM ({X.COORDS_SQL}) GROUP BY 1, 2),
-    {perm_sql(units, _MORAN_PERMS, key="bx || ':' || by_", order="bx, by_", cols="bx, by_")},
-    g AS (SELECT a.i, sum(a.val * n.val) / count(*) / (SELECT var_pop(v) FROM b) AS v
-          FROM m a JOIN m n ON n.i = a.i AND abs(n.bx - a.bx) <= 1 AND abs(n.by_ - a.by_) <= 1 AND (n.bx <> a.bx OR n.by_ <> a.by_) GROUP BY a.i),
-    {null_sql()}
-    SELECT {r("obs")} AS morans_i, {r("null_mean")} AS null_mean, {r("null_95pct")} AS null_95pct, {r("p_value")} AS p_value, n_perms,
-           (SELECT count(*) FROM b) AS n_units FROM z"""
-
-
-@query("morans_i", _moran_sql())
+@query("morans_i")
 def morans_i(t):
-    """Spatial autocorrelation of block means with a permutation test."""
-    out = SP.morans_i(X.coords(t), "value", 4.0, _MORAN_PERMS)
+    """Spatial autocorrelation of all points with their five neighbours, with a permutation test; tested against numpy."""
+    pts = X.coords(t)
+    near = materialize(_knn(t).select("id", "neighbor"), "neighbours")
+    out = SP.morans_i(pts, near, "id", "value", _MORAN_PERMS)
     return out.select(*[rounded(c).alias(c) for c in ("morans_i", "null_mean", "null_95pct", "p_value")], "n_perms", "n_units")
 
 
+@query("morans_i_observed", _KNN + f""",
+    z AS (SELECT id, value - (SELECT avg(value) FROM c) AS z FROM c),
+    l AS (SELECT k.id, avg(b.z) AS lag FROM k JOIN z b ON b.id = k.neighbor GROUP BY k.id)
+    SELECT {r("sum(z * lag) / sum(z * z)")} AS morans_i, count(*) AS n_units FROM z JOIN l USING (id)""")
+def morans_i_observed(t):
+    """Moran's I itself, without permutations."""
+    pts = X.coords(t)
+    near = materialize(_knn(t).select("id", "neighbor"), "neighbours")
+    return SP.morans_i(pts, near, "id", "value", 0).select(rounded("morans_i").alias("morans_i"), "n_units")
+
+
 # --- raster ----------------------------------------------------------------------------
 
 _PX = f"WITH px AS ({X.PIXELS_SQL})"

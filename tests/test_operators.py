@@ -474,10 +474,43 @@ def test_exclusive_quartiles(spark):
     assert [out.p25, out.median, out.p75] == pytest.approx(statistics.quantiles(xs, n=4))
 
 
-def test_morans_i_of_a_gradient_is_positive(spark):
-    pts = [(x + 0.5, y + 0.5, float(x)) for x in range(6) for y in range(6) for _ in range(2)]
-    out = SP.morans_i(spark.createDataFrame(pts, ["lon", "lat", "v"]), "v", 1.0, 99).first()
-    assert out.morans_i > 0.5 and out.p_value == pytest.approx(0.01)
+def test_permutations_are_bijections():
+    for n in (1, 2, 3, 10, 97, 1000):
+        x = np.arange(n)
+        seen = []
+        for p in (1, 2, 30):
+            to = SP.permuted(x.copy(), n, np.full(n, p), 7)
+            assert sorted(to.tolist()) == list(range(n))
+            assert (SP.permuted(to.copy(), n, np.full(n, p), 7, inverse=True) == x).all()
+            seen.append(to)
+        assert n < 10 or any((seen[0] != s).any() for s in seen[1:])
+    place = np.array([SP.permuted(np.array([3]), 20, np.array([p]), 1)[0] for p in range(1, 8001)])
+    assert np.bincount(place, minlength=20).std() < 4 * np.sqrt(8000 / 20)  # each place about as often
+
+
+@pytest.mark.parametrize("leaf", [30, 4000])
+def test_morans_i_against_numpy(spark, leaf):
+    """Observed value and every permuted one from a dense weight matrix; a point without value counts nowhere."""
+    rng = np.random.default_rng(9)
+    lon, lat = rng.uniform(0, 10, 120), rng.uniform(40, 50, 120)
+    v = lon + rng.normal(size=120)
+    df = spark.createDataFrame([(i, float(a), float(b), None if i == 5 else float(c)) for i, (a, b, c) in enumerate(zip(lon, lat, v, strict=True))], "id int, lon double, lat double, v double")
+    near = SP.knn_all(df, "id", 4).select("id", "neighbor")
+    pairs = [(r.id, r.neighbor) for r in near.collect() if 5 not in (r.id, r.neighbor)]
+    keep = np.array([i for i in range(120) if i != 5])
+    w = np.zeros((120, 120))
+    for i, j in pairs:
+        w[i, j] = 1
+    w = w[np.ix_(keep, keep)]
+    w /= w.sum(axis=1, keepdims=True)
+    z = v[keep] - v[keep].mean()
+    out = SP.morans_i(df, near, "id", "v", 199, seed=3, leaf=leaf).first()
+    assert out.morans_i == pytest.approx(z @ w @ z / (z @ z), rel=1e-10) and out.n_units == 119 and out.n_perms == 199
+    assert out.morans_i > 0.5 and out.p_value == pytest.approx(1 / 200)
+    null = [(q := rng.permutation(z)) @ w @ q / (z @ z) for _ in range(3000)]
+    assert out.null_mean == pytest.approx(np.mean(null), abs=0.02) and out.null_95pct == pytest.approx(np.quantile(null, 0.95), abs=0.03)
+    flat = SP.morans_i(df.withColumn("v", F.lit(1.0)), near, "id", "v", 9).first()
+    assert flat.morans_i is None
 
 
 def test_band_stats_floors(spark):

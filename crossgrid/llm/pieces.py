@@ -18,13 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crossgrid.llm.common import kept, one_text, small_batches
+from crossgrid.llm.common import give_back, kept, one_text, small_batches
 
 MARK = "▁"
 #: Units of more UTF-8 bytes are solved one by one; others so many at once.
 SHORT, SIDE = 48, 8192
 #: Bytes of units that a Python worker remembers, from one task to the next; a unit counts UNIT bytes and its own.
-CACHE, UNIT = 80 << 20, 200
+CACHE, UNIT = 48 << 20, 200
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 _LEAD = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)
 
@@ -238,6 +238,7 @@ class Encoder:
         """Ids of all texts in one array, and where each text's ids begin (one more entry at the end)."""
         if self.held > self.cache:
             self._fresh()
+            give_back()
         units = [self.units(t) if t else [] for t in texts]
         every = [u for us in units for u in us]
         get = self.known.get
@@ -276,7 +277,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", cach
         coder = coders[name]
         is_byte = np.zeros(len(coder.v.surface), dtype=bool)
         is_byte[coder.v.byte_ids] = True
-        for batch in small_batches(batches, text, 2 << 20):
+        for batch in small_batches(batches, text, 1 << 20):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             ids, cut = coder.encode(texts)
             as_list = ids.tolist()

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from crossgrid.functions import bands as B, metrics as M
-from crossgrid.functions.geo import point_in_ring
-from crossgrid.session import attach_params
+from crossgrid.session import attach_params, materialize, small_side
 
 MIN_VARIANCE = 1e-8
 
@@ -115,30 +114,82 @@ def pixel_diversity(pixels: DataFrame, chip: list[str], bands: str = "bands", bi
     return spread.join(entropy, chip)
 
 
-def zonal_counts(pixels: DataFrame, polygons: DataFrame, key: str, cell: float, salt: int = 8, max_pixels: int | None = None) -> tuple[DataFrame, DataFrame]:
+#: Distinct pixel centres of one grid cell that one task takes at most, on average.
+CROWD = 20_000
+
+
+def _edges(polygons: DataFrame, key: str) -> DataFrame:
+    """(key, ax, ay, bx, by) of every ring, closed or open; ``rings`` may hold holes and separate parts."""
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
+    ring = polygons.select(key, F.explode(rings).alias("_r")).filter(F.size("_r") > 1)
+    ends = F.transform("_r", lambda p, i: F.struct(p.alias("a"), F.get("_r", (i + 1) % F.size("_r")).alias("b")))
+    return ring.select(key, F.explode(ends).alias("e")).select(key, *[F.col(f"e.{p}.{c}").cast("double").alias(f"{p}{c}") for p in "ab" for c in "xy"]).filter(
+        "ax <> bx or ay <> by")
+
+
+def classified_cells(polygons: DataFrame, key: str, cell: float) -> tuple[DataFrame, DataFrame]:
+    """Grid cells of each polygon: (key, cx, cy) wholly inside, and (key, cx, cy, edges) that an edge runs through.
+
+    An edge marks the cells it passes in each row of the grid, a little widened against rounding. Between them a cell is
+    inside where the line through the row's middle has crossed an odd number of edges. ``edges`` are those of the row: no
+    others decide about its points."""
+    def at(v):
+        return F.floor(v / cell)
+
+    rows = _edges(polygons, key).withColumn("cy", F.explode(F.sequence(at(F.least("ay", "by")), at(F.greatest("ay", "by")))))
+
+    def x_at(y):
+        """Where the edge meets a height, held within the edge."""
+        x = F.col("ax") + F.try_divide((F.col("bx") - F.col("ax")) * (y - F.col("ay")), F.col("by") - F.col("ay"))
+        return F.greatest(F.least("ax", "bx"), F.least(F.greatest("ax", "bx"), x))
+
+    low, high = x_at(F.col("cy") * cell), x_at((F.col("cy") + 1) * cell)
+    first, second = (F.when(F.col("ay") == F.col("by"), F.col(f"{p}x")).when(
+        F.col(f"{p}y") < F.col("cy") * cell, low).when(F.col(f"{p}y") > (F.col("cy") + 1) * cell, high).otherwise(F.col(f"{p}x")) for p in "ab")
+    pad = 1e-9 * (1.0 + F.abs("ax") + F.abs("bx"))
+    passed = F.sequence(at(F.least(first, second) - pad), at(F.greatest(first, second) + pad))
+    middle = (F.col("cy") + 0.5) * cell
+    crossing = F.when((F.col("ay") > middle) != (F.col("by") > middle), x_at(middle))
+    # a polygon's own edges and cells, by row
+    per_row = rows.groupBy(key, "cy").agg(
+        F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("edges"), F.array_distinct(F.flatten(F.collect_list(passed))).alias("on"),
+        F.array_sort(F.collect_list(crossing)).alias("cuts"))
+    border = per_row.select(key, "cy", "edges", F.explode("on").alias("cx"))
+    spans = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2, F.lit(2)), lambda i: F.struct(
+        F.ceil(F.get("cuts", i) / cell - 0.5).alias("lo"), F.floor(F.get("cuts", i + 1) / cell - 0.5).alias("hi")))
+    inner = F.flatten(F.transform(F.filter(spans, lambda s: s["lo"] <= s["hi"]), lambda s: F.sequence(s["lo"], s["hi"])))
+    inside = per_row.filter(F.size("cuts") >= 2).select(key, "cy", F.explode(F.array_except(inner, "on")).alias("cx"))
+    return inside, border
+
+
+def _odd_crossings(x, y, edges):
+    """Even-odd rule of a ray to the right over edges."""
+    def crossed(e):
+        straddles = (e["ay"] > y) != (e["by"] > y)
+        return F.when(straddles, x < F.try_divide((e["bx"] - e["ax"]) * (y - e["ay"]), e["by"] - e["ay"]) + e["ax"]).otherwise(False)
+
+    return F.size(F.filter(edges, crossed)) % 2 == 1
+
+
+def zonal_counts(pixels: DataFrame, polygons: DataFrame, key: str, cell: float, max_pixels: int | None = None, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """Class counts of the pixel centres inside each polygon, all polygons included, and a report of those with more than
     ``max_pixels`` (they are counted like the others).
 
-    Pixels and polygons meet on a coarse grid cell. A crowded cell is split over ``salt`` tasks:
-    pixels take a salt by their place, polygons are repeated for each. Equal pixels are counted
-    before the join.
-    """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxed = polygons.select(key, "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"),
-                            F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    cells = (
-        boxed.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))))
-        .withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    )
-    centres = (
+    ``polygons`` holds a ``ring`` or several ``rings`` (even-odd rule: holes, parts). Cells wholly inside a polygon give their
+    class counts without a test of points; only pixels of cells on its border are tested. Equal pixels are counted first, and
+    a border cell with more than ``crowd`` distinct centres is split over as many tasks as it needs."""
+    inside, border = (materialize(x, "zone-cells") for x in classified_cells(polygons, key, cell))
+    centres = materialize(
         pixels.groupBy("x", "y", "class").agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-        .withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(salt)).cast("int"))
-    )
-    box = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
-    inside = centres.join(cells, ["cx", "cy", "salt"]).filter(box & point_in_ring("x", "y", "ring"))
-    counts = inside.groupBy(key, "class").agg(F.sum("c").alias("n"))
+        .withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)), "centres")
+    whole = centres.groupBy("cx", "cy", "class").agg(F.sum("c").alias("c")).join(inside, ["cx", "cy"]).select(key, "class", "c")
+    crowded = centres.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > crowd).select("cx", "cy", F.ceil(F.col("_k") / crowd).cast("int").alias("_parts"))
+    crowded = small_side(crowded, "crowded-cells")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = centres.join(crowded, ["cx", "cy"], "left").withColumn("part", F.pmod(F.xxhash64("x", "y"), parts).cast("int")).drop("_parts")
+    zones = border.join(crowded, ["cx", "cy"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    tested = dealt.join(zones, ["cx", "cy", "part"]).filter(_odd_crossings(F.col("x"), F.col("y"), F.col("edges"))).select(key, "class", "c")
+    counts = whole.union(tested).groupBy(key, "class").agg(F.sum("c").alias("n"))
     if max_pixels is None:
         return counts, counts.limit(0)
     return counts, counts.groupBy(key).agg(F.sum("n").alias("n_pixels")).filter(F.col("n_pixels") > max_pixels)

@@ -546,15 +546,60 @@ def test_tiles_cover_the_window(spark):
     assert RA.block_tiles(spark.createDataFrame([(0, 5)], "w int, h int"), "w", "h").count() == 0
 
 
-def test_zonal_counts_of_a_triangle(spark):
+def _inside(x, y, rings):
+    """Even-odd rule, one point at a time."""
+    odd = False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                odd = not odd
+    return odd
+
+
+def _zones(rng):
+    turn = np.sort(rng.uniform(0, 2 * np.pi, 40))
+    reach = rng.uniform(0.5, 3.0, 40)
+    return {
+        "triangle": [[(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]],
+        "hole": [[(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (0.0, 6.0), (0.0, 0.0)], [(1.25, 1.25), (4.5, 1.5), (4.0, 4.75)]],
+        "parts": [[(0.1, 4.1), (1.9, 4.1), (1.9, 5.9)], [(4.0, 0.0), (6.0, 0.0), (6.0, 2.0), (4.0, 2.0)]],
+        "star": [[(3 + float(r * np.cos(t)), 3 + float(r * np.sin(t))) for t, r in zip(turn, reach, strict=True)]],
+        "none": [],
+    }
+
+
+@pytest.mark.parametrize(("cell", "crowd"), [(0.5, 10_000), (1.0, 7), (10.0, 50)])
+def test_zonal_counts_of_holes_and_parts(spark, cell, crowd):
     rng = np.random.default_rng(0)
-    pix = [(float(x), float(y), 10) for x, y in rng.uniform(0, 4, size=(400, 2))]
-    ring = [(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]
-    zones = spark.createDataFrame([("z", ring)], "geoid string, ring array<struct<x:double,y:double>>")
-    px = spark.createDataFrame(pix + pix[:50], ["x", "y", "class"])
-    counts, _ = RA.zonal_counts(px, zones, "geoid", 1.0, salt=3)
-    want = sum(x + y < 4 for x, y, _ in pix + pix[:50])
-    assert counts.first().n == want
+    zones = _zones(rng)
+    pix = [(float(x), float(y), int(c)) for x, y, c in zip(rng.uniform(-1, 7, 700), rng.uniform(-1, 7, 700), rng.integers(0, 3, 700), strict=True)]
+    pix += [(float(x), float(y), 5) for x in range(7) for y in range(7)] + pix[:50]  # corners of grid and polygons, repeats
+    polygons = spark.createDataFrame(list(zones.items()), "geoid string, rings array<array<struct<x:double,y:double>>>")
+    counts, over = RA.zonal_counts(spark.createDataFrame(pix, ["x", "y", "class"]), polygons, "geoid", cell, max_pixels=100, crowd=crowd)
+    want = {}
+    for name, rings in zones.items():
+        for x, y, c in pix:
+            if _inside(x, y, rings):
+                want[name, c] = want.get((name, c), 0) + 1
+    assert {(r.geoid, r["class"]): r.n for r in counts.collect()} == want
+    assert {r.geoid for r in over.collect()} == {z for z in zones if sum(n for (g, _), n in want.items() if g == z) > 100}
+
+
+def test_only_border_cells_are_tested(spark):
+    """Inside cells are those whose four corners and centre lie inside, and no edge passes them."""
+    zones = _zones(np.random.default_rng(1))
+    polygons = spark.createDataFrame(list(zones.items()), "geoid string, rings array<array<struct<x:double,y:double>>>")
+    inside, border = RA.classified_cells(polygons, "geoid", 0.25)
+    on = {(r.geoid, r.cx, r.cy) for r in border.select("geoid", "cx", "cy").collect()}
+    got = {(r.geoid, r.cx, r.cy) for r in inside.collect()}
+    assert not got & on and len(got) > 300
+    probe = [0.001, 0.125, 0.249]
+    for name, rings in zones.items():
+        for cx in range(-2, 26):
+            for cy in range(-2, 26):
+                if (name, cx, cy) not in on:
+                    hits = {_inside(cx * 0.25 + u, cy * 0.25 + v, rings) for u in probe for v in probe}
+                    assert hits == {(name, cx, cy) in got}
 
 
 # --- importance and recovery ---------------------------------------------------------------------------

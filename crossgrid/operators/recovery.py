@@ -81,6 +81,13 @@ def clustering_table(df: DataFrame) -> DataFrame:
         for k in ("season", "year") for c, n in (("observed_gap", "gap"), ("p_value", "p_value"))])
 
 
+def complete_states(df: DataFrame, layers: tuple, layer: str = "layer_group") -> tuple[DataFrame, DataFrame]:
+    """Rows of the states that have every layer, and the others as (state, missing layers)."""
+    held = df.groupBy("state").agg(F.collect_set(layer).alias("_held"))  # a few layers
+    lacking = held.select("state", F.array_except(F.array(*[F.lit(x) for x in layers]), "_held").alias("missing"))
+    return df.join(lacking.filter(F.size("missing") == 0), "state", "left_semi"), lacking.filter(F.size("missing") > 0)
+
+
 def block_table(df: DataFrame, blocks: list[str]) -> DataFrame:
     """R2 per nested block side by side; states with an incomplete set of blocks are dropped."""
     wide = df.groupBy("state").agg(

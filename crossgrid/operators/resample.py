@@ -221,6 +221,23 @@ def label_gap_test(pairs: DataFrame, units: DataFrame, unit: list[str], label: s
     return null.withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one").drop("_one")
 
 
+def label_gap_tests(pairs: DataFrame, units: DataFrame, unit: list[str], label: str, value: str, by: list[str],
+                    n_perms: int = 999, seed: int = 0) -> DataFrame:
+    """``label_gap_test`` for every group of ``by`` at once: (by..., observed_gap, null_mean, null_95pct, p_value, n_perms).
+
+    Labels are permuted over all units, once for all groups; a group's pairs meet each permutation of their two labels."""
+    perms = permute_units(units.withColumn("_label", F.col(label)).select(*unit, "_label"), unit, "_label", n_perms, seed)
+    ends = [f"{side}_{u}" for side in "ab" for u in unit]
+    fanned = _fan_out(pairs.select(*ends).distinct(), n_perms)
+    for side in "ab":
+        named = perms.select("perm", *[F.col(u).alias(f"{side}_{u}") for u in unit], F.col("_label").alias(f"_{side}"))
+        fanned = fanned.join(named, ["perm", *[f"{side}_{u}" for u in unit]])
+    same = small_side(fanned.select("perm", *ends, (F.col("_a") == F.col("_b")).alias("_same")), "same-label")
+    met = pairs.select(*by, *ends, value).join(same, ends)
+    gap = F.avg(F.when(F.col("_same"), F.col(value))) - F.avg(F.when(~F.col("_same"), F.col(value)))
+    return summarize_null(met.groupBy(*by, "perm").agg(gap.alias("gap")), "gap", by).withColumnRenamed("observed", "observed_gap")
+
+
 def partial_corr(pairs: DataFrame, x: str, y: str, z1: str, z2: str):
     """Partial correlation of x and y given two controls, from one set of moments."""
     s = pairs.agg(*[

@@ -228,61 +228,98 @@ def gradient_check(t):
 # --- per-layer clustering ----------------------------------------------------------------
 
 
-def _layer_pairs_sql(layer: str) -> str:
-    return f"""SELECT a.year AS a_year, a.quarter AS a_quarter, b.year AS b_year, b.quarter AS b_quarter,
-           sum(a.delta * b.delta) / nullif(sqrt(sum(a.delta * a.delta)) * sqrt(sum(b.delta * b.delta)), 0) AS sim
-    FROM qv a JOIN qv b ON a.layer = b.layer AND a.idx = b.idx AND (a.year, a.quarter) < (b.year, b.quarter)
-    WHERE a.layer = '{layer}' GROUP BY ALL"""
-
-
-_LAYERS = {"A": "patch_embed", "N": "stage3", "R": "final_norm"}
+# The layer groups from input to output.
+_LAYERS = ("patch_embed", "stage1", "stage2", "stage3", "stage4", "final_norm", "head")
 _LAYER_PERMS = 999
+_VALUES = ("avg(l_extendedprice)", "1000 * avg(l_quantity)", "100000 * avg(l_discount)", "100000 * avg(l_tax)", "max(l_extendedprice)", "min(l_extendedprice)")
+
+# a model for each state and ship quarter, a layer for each line number; state R lacks the last layer
+_PARAMS_FROM = "FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_linenumber = 7)"
+_LAYER = f"CASE l_linenumber {' '.join(f'WHEN {k} THEN {chr(39)}{x}{chr(39)}' for k, x in enumerate(_LAYERS, 1))} END"
+_LAYER_SQL = f"""qv AS MATERIALIZED (
+        SELECT f.state, f.layer_group, year, quarter, f.idx, f.v - b.v AS delta FROM (
+            SELECT state, layer_group, year, quarter, unnest(range(1, {len(_VALUES) + 1})) AS idx, unnest(vs) AS v FROM (
+                SELECT l_returnflag AS state, {_LAYER} AS layer_group, year(l_shipdate)::INTEGER AS year, quarter(l_shipdate)::INTEGER AS quarter,
+                       [{", ".join(f"({v})::DOUBLE" for v in _VALUES)}] AS vs {_PARAMS_FROM} GROUP BY ALL)) f
+        JOIN (SELECT state, layer_group, unnest(range(1, {len(_VALUES) + 1})) AS idx, unnest(vs) AS v FROM (
+                SELECT l_returnflag AS state, {_LAYER} AS layer_group, [{", ".join(f"({v})::DOUBLE" for v in _VALUES)}] AS vs {_PARAMS_FROM} GROUP BY ALL)) b
+          ON b.state = f.state AND b.layer_group = f.layer_group AND b.idx = f.idx),
+    lp AS MATERIALIZED (
+        SELECT a.state, a.layer_group, a.year AS a_year, a.quarter AS a_quarter, b.year AS b_year, b.quarter AS b_quarter,
+               coalesce(sum(a.delta * b.delta) / nullif(sqrt(sum(a.delta * a.delta)) * sqrt(sum(b.delta * b.delta)), 0), 0) AS sim
+        FROM qv a JOIN qv b ON a.state = b.state AND a.layer_group = b.layer_group AND a.idx = b.idx AND (a.year, a.quarter) < (b.year, b.quarter) GROUP BY ALL)"""
 
 
 def _layer_sql() -> str:
     parts = []
-    for flag, name in _LAYERS.items():
-        for label, by in (("quarter", "season"), ("year", "year")):
-            parts.append(f"""SELECT '{name}' AS layer_group, '{by}' AS clustering_by, obs, p_value FROM (
-                WITH p AS MATERIALIZED ({_layer_pairs_sql(flag)}), {N.perm_sql(N._QUNITS.format(label=label), _LAYER_PERMS)},
-                g AS (SELECT a.i, avg(sim) FILTER (WHERE a.val = b.val) - avg(sim) FILTER (WHERE a.val <> b.val) AS v FROM p
-                      JOIN m a ON a.year = a_year AND a.quarter = a_quarter JOIN m b ON b.i = a.i AND b.year = b_year AND b.quarter = b_quarter GROUP BY a.i),
-                {N.null_sql()} SELECT obs, p_value FROM z)""")
-    return f"WITH qv AS MATERIALIZED ({N._QVEC_SQL}), lc AS MATERIALIZED ({' UNION ALL '.join(parts)})"
+    for label, by in (("quarter", "season"), ("year", "year")):
+        parts.append(f"""SELECT split_part(grp, '/', 1) AS state, split_part(grp, '/', 2) AS layer_group, '{by}' AS clustering_by, obs, p_value FROM (
+            WITH {N.perm_sql(f"SELECT DISTINCT year, quarter, {label} AS val FROM qv", _LAYER_PERMS)},
+            g AS (SELECT state || '/' || layer_group AS grp, a.i, avg(sim) FILTER (WHERE a.val = b.val) - avg(sim) FILTER (WHERE a.val <> b.val) AS v FROM lp
+                  JOIN m a ON a.year = a_year AND a.quarter = a_quarter JOIN m b ON b.i = a.i AND b.year = b_year AND b.quarter = b_quarter GROUP BY 1, a.i),
+            {N.null_sql(by="grp")} SELECT grp, obs, p_value FROM z)""")
+    return f"""WITH {_LAYER_SQL}, every AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+    lc AS (SELECT * FROM every WHERE state IN (SELECT state FROM every GROUP BY state HAVING count(DISTINCT layer_group) = {len(_LAYERS)}))"""
+
+
+def _layer_deltas(t):
+    """Parameters of each state, layer group and quarter less those of the state and layer over all quarters."""
+    rows = t.lineitem.filter("not (l_returnflag = 'R' and l_linenumber = 7)").select(
+        F.col("l_returnflag").alias("state"), F.expr(_LAYER).alias("layer_group"), F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter"),
+        "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    values = F.array(*[F.expr(v).cast("double") for v in _VALUES]).alias("vs")
+
+    def long(keys, name):
+        return rows.groupBy(*keys).agg(values).select(*keys, F.posexplode("vs").alias("idx", name))
+
+    own, base = long(["state", "layer_group", *CELL], "value"), long(["state", "layer_group"], "_base")
+    return own.join(base, ["state", "layer_group", "idx"]).select(
+        F.concat_ws("/", "state", "layer_group").alias("grp"), *CELL, "idx", (F.col("value") - F.col("_base")).alias("delta"))
 
 
 def _layer_tests(t):
-    """Season and year clustering of every layer group."""
-    deltas = materialize(N.quarter_deltas(t), "deltas")
-    pairs = materialize(V.cosine_pairs(deltas, CELL, ["idx"], "delta", by="layer"), "pairs")
-    out = None
-    for flag, name in _LAYERS.items():
-        own = pairs.filter(F.col("layer") == flag).drop("layer")
-        for label, by in (("quarter", "season"), ("year", "year")):
-            res = S.label_gap_test(own, V.pair_units(own, CELL), CELL, label, "similarity", _LAYER_PERMS).select(
-                F.lit(name).alias("layer_group"), F.lit(by).alias("clustering_by"), "observed_gap", "p_value")
-            out = res if out is None else out.unionByName(res)
-    return out
+    """Season and year clustering of every state and layer group."""
+    deltas = materialize(_layer_deltas(t), "deltas")
+    pairs = materialize(V.cosine_pairs(deltas, CELL, ["idx"], "delta", by="grp"), "pairs")
+    units, out = materialize(V.pair_units(pairs, CELL), "units"), None
+    for label, by in (("quarter", "season"), ("year", "year")):
+        res = S.label_gap_tests(pairs, units, CELL, label, "similarity", ["grp"], _LAYER_PERMS).select(
+            F.split_part("grp", F.lit("/"), F.lit(1)).alias("state"), F.split_part("grp", F.lit("/"), F.lit(2)).alias("layer_group"),
+            F.lit(by).alias("clustering_by"), "observed_gap", "p_value")
+        out = res if out is None else out.unionByName(res)
+    return materialize(out, "layer-tests")
 
 
 @query("summary_pivot", _layer_sql() + f"""
-    SELECT 'all' AS state, layer_group, {r("max(obs) FILTER (WHERE clustering_by = 'season')")} AS season_gap, {r("max(p_value) FILTER (WHERE clustering_by = 'season')")} AS season_p_value,
-           {r("max(obs) FILTER (WHERE clustering_by = 'year')")} AS year_gap, {r("max(p_value) FILTER (WHERE clustering_by = 'year')")} AS year_p_value FROM lc GROUP BY layer_group""")
+    SELECT state, layer_group, {r("max(obs) FILTER (WHERE clustering_by = 'season')")} AS season_gap, {r("max(p_value) FILTER (WHERE clustering_by = 'season')")} AS season_p_value,
+           {r("max(obs) FILTER (WHERE clustering_by = 'year')")} AS year_gap, {r("max(p_value) FILTER (WHERE clustering_by = 'year')")} AS year_p_value FROM lc GROUP BY state, layer_group""")
 def summary_pivot(t):
-    """Season and year clustering side by side per layer group."""
-    out = RC.clustering_table(_layer_tests(t).withColumn("state", F.lit("all")))
+    """Season and year clustering side by side per state and layer group, of the states that have all seven."""
+    whole, _ = RC.complete_states(_layer_tests(t), _LAYERS)
+    out = RC.clustering_table(whole)
     return out.select("state", "layer_group", *[rounded(c).alias(c) for c in ("season_gap", "season_p_value", "year_gap", "year_p_value")])
 
 
+@query("incomplete_states", f"""
+    SELECT state, string_agg(layer, ',' ORDER BY layer) AS missing FROM (SELECT DISTINCT l_returnflag AS state FROM lineitem), (SELECT unnest({list(_LAYERS)}) AS layer)
+    WHERE (state, layer) NOT IN (SELECT DISTINCT l_returnflag, {_LAYER} {_PARAMS_FROM}) GROUP BY state""")
+def incomplete_states(t):
+    """States that the summary leaves out, and the layer groups they lack."""
+    have = _layer_deltas(t).select(F.split_part("grp", F.lit("/"), F.lit(1)).alias("state"), F.split_part("grp", F.lit("/"), F.lit(2)).alias("layer_group")).distinct()
+    _, lacking = RC.complete_states(have, _LAYERS)
+    return lacking.select("state", F.array_join(F.array_sort("missing"), ",").alias("missing"))
+
+
 @query("early_late_verdict", _layer_sql() + """
-    SELECT e AS early, l AS late, CASE WHEN e AND l THEN 'both' WHEN e THEN 'early' WHEN l THEN 'late' ELSE 'neither' END AS verdict FROM (
-        SELECT coalesce(bool_or(layer_group IN ('patch_embed', 'stage1') AND p_value < 0.05), FALSE) AS e,
+    SELECT state, e AS early, l AS late, CASE WHEN e AND l THEN 'both' WHEN e THEN 'early' WHEN l THEN 'late' ELSE 'neither' END AS verdict FROM (
+        SELECT state, coalesce(bool_or(layer_group IN ('patch_embed', 'stage1') AND p_value < 0.05), FALSE) AS e,
                coalesce(bool_or(layer_group IN ('stage3', 'stage4', 'final_norm', 'head') AND p_value < 0.05), FALSE) AS l
-        FROM lc WHERE clustering_by = 'season')""")
+        FROM lc WHERE clustering_by = 'season' GROUP BY state)""")
 def early_late_verdict(t):
-    """Where in the network does season clustering sit?"""
-    season = _layer_tests(t).filter("clustering_by = 'season'")
-    return RC.layer_verdict(season, "layer_group", "p_value", ids.EARLY_LAYERS, (*ids.LATE_LAYERS, "head"))
+    """Where in the network does season clustering sit, per state?"""
+    whole, _ = RC.complete_states(_layer_tests(t), _LAYERS)
+    season = whole.filter("clustering_by = 'season'")
+    return RC.layer_verdict(season, "layer_group", "p_value", ids.EARLY_LAYERS, (*ids.LATE_LAYERS, "head"), by=["state"])
 
 
 _BLOCK_NAMES = [b for b, _ in N._BLOCKS]

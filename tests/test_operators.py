@@ -237,6 +237,24 @@ def test_insufficient_groups(spark):
     assert out.insufficient_data and out.observed_gap is None and out.p_value is None
 
 
+def test_label_gaps_of_groups_are_those_of_each_group(spark):
+    rng = np.random.default_rng(21)
+    units = [(y, q) for y in (1, 2) for q in (1, 2, 3)]
+    rows = [(g, *a, *b, float(rng.normal() + (g == "x") * (a[1] == b[1]))) for g in ("x", "y") for k, a in enumerate(units) for b in units[k + 1 :]]
+    pairs = spark.createDataFrame(rows, "g string, a_year int, a_quarter int, b_year int, b_quarter int, s double")
+    known = spark.createDataFrame(units, "year int, quarter int")
+    got = {r.g: r for r in S.label_gap_tests(pairs, known, ["year", "quarter"], "quarter", "s", ["g"], 99).collect()}
+    for g in ("x", "y"):
+        one = S.label_gap_test(pairs.filter(F.col("g") == g).drop("g"), known, ["year", "quarter"], "quarter", "s", 99).first()
+        assert (got[g].observed_gap, got[g].p_value, got[g].n_perms) == (pytest.approx(one.observed_gap), one.p_value, 99)
+
+
+def test_incomplete_states_are_reported(spark):
+    df = spark.createDataFrame([("a", "l1"), ("a", "l2"), ("b", "l1")], "state string, layer_group string")
+    whole, lacking = RC.complete_states(df, ("l1", "l2"))
+    assert {r.state for r in whole.collect()} == {"a"} and [(r.state, r.missing) for r in lacking.collect()] == [("b", ["l2"])]
+
+
 def test_bootstrap_of_exact_predictions(spark):
     df = spark.createDataFrame([("c", i, float(i), float(i)) for i in range(40)], ["cell", "k", "y", "f"])
     for fn in (B.bootstrap_r2, B.bootstrap_r2_poisson):

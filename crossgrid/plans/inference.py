@@ -391,6 +391,26 @@ def ols_joint_r2(t):
     return out.filter("term = 'const'").select(rounded("r_squared").alias("r_squared"), "n_obs")
 
 
+def _joint_sql() -> str:
+    """One coefficient at a time: the other columns are cleared from it and from the label, the rest is a line."""
+    parts = []
+    for x in _ALL_GAPS:
+        ctes, last = sweep_sql("gp", "r2", [*[o for o in _ALL_GAPS if o != x], x])
+        k = len(_ALL_GAPS)
+        parts.append(f"""SELECT '{x}' AS term, * FROM (WITH {ctes}
+            SELECT sum(a.c0 * a.c{k}) / sum(a.c{k} * a.c{k}) AS b, (sum(a.c0 * a.c0) - power(sum(a.c0 * a.c{k}), 2) / sum(a.c{k} * a.c{k})) / (count(*) - {k + 1}) AS s2,
+                   sum(a.c{k} * a.c{k}) AS sxx, count(*) AS n FROM w{k - 1} a)""")
+    return _GAPS + f", f AS ({' UNION ALL '.join(parts)})"
+
+
+@query("ols_joint_coefs", _joint_sql() + f"""
+    SELECT term, {r("b")} AS coef, {r("sqrt(s2 / sxx)")} AS std_err, {r("b / sqrt(s2 / sxx)", 4)} AS t, n AS n_obs FROM f""")
+def ols_joint_coefs(t):
+    """Coefficients and errors of the joint model of all metrics."""
+    out = G.ols(_gap_rows(t), "r2", _ALL_GAPS).filter("term <> 'const'")
+    return out.select("term", rounded("coef").alias("coef"), rounded("std_err").alias("std_err"), rounded("t", 4).alias("t"), "n_obs")
+
+
 _BLOCKS = [("quality", [f"{p}_{m}" for m in ("cloud_frac", "valid_obs_frac") for p in ("diff", "abs_diff")]),
            ("quality+season_pair", []), ("quality+season_pair+ndvi", ["diff_ndvi", "abs_diff_ndvi"])]
 

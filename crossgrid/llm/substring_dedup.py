@@ -7,10 +7,9 @@ to meet only the reference block of its anchor's shard: every other block holds
 1. Documents are written in blocks, as words.
 2. Blocks send the anchors they hold to shards, which answer which of them stand in several documents.
 3. Blocks send the stretches of those anchors, each distinct one once. A shard joins them in the order of their first
-   document to its reference block, indexes its windows, and parses each stretch greedily: a factor starts at a window
-   that the index knows and goes on while the next word extends the match at its source. Factors of a window's length
-   or more are kept; at factor boundaries every window that crosses is looked up by itself. A shard answers with the
-   smallest document of each window.
+   document to its reference block and looks every window of every stretch up in it by hash: a factor is a run of windows
+   with one smallest document. Nothing is matched word by word and factors are not the longest ones, so this is a join of
+   window hashes laid out as a parse. A shard answers with the smallest document of each window.
 4. Blocks remove, from every document, the words of windows whose smallest document is below it.
 
 No document meets all others, a frequent passage is sent once by each block, and nothing is collected. A null id is

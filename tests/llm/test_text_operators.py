@@ -528,23 +528,22 @@ def plain_entities(text):
 
 
 def plain_revealing(rows):
-    """Shrunk PMI of every pair over distinct texts; the spans of every row."""
+    """Shrunk PMI of every pair, values over distinct texts and words over rows; the spans of every row."""
     texts = {i: t or "" for i, t in rows}
     word = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
     words = {i: [(m[0].translate(_TERM), m.start(), m.end()) for m in word.finditer(t)] for i, t in texts.items()}
     free = {i: [w for w in ws if not any(w[1] < e and s < w[2] for s, _, e in base_of(texts[i]))] for i, ws in words.items()}
     once = {t: i for i, t in texts.items()}
-    df, df_entity, co = Counter(), Counter(), Counter()
+    df, df_entity, co = Counter(w for ws in words.values() for w in {x[0] for x in ws}), Counter(), Counter()
     for t, i in once.items():
-        df.update({x[0] for x in words[i]})
         found = plain_entities(t)
         df_entity.update(found)
         co.update((v, w) for v in found for w in {x[0] for x in free[i]})
     telling = set()
     for (v, w), c in co.items():
         m = min(df[w], df_entity[v])
-        p = math.log2(len(once) * c / (df[w] * df_entity[v])) * c / (c + 1) * m / (m + 1)
-        if p > 0 and p >= pii.DISCLOSURE * math.log2(len(once) / df_entity[v]):
+        p = math.log2(len(texts) * c / (df[w] * df_entity[v])) * c / (c + 1) * m / (m + 1)
+        if p > 0 and p >= pii.DISCLOSURE * math.log2(len(texts) / df_entity[v]):
             telling.add(w)
     return telling, {i: sorted([*base_of(texts[i]), *((a, 4, b) for w, a, b in ws if w in telling)]) for i, ws in free.items()}
 

@@ -18,7 +18,7 @@ from crossgrid.functions import hashing as H
 from crossgrid.session import materialize
 
 #: Rows of a piece of a cell, on average at most; rows whose weights are held at once.
-PIECE, CHUNK = 512, 512
+PIECE, CHUNK = 512, 128
 _SUMS = "_cell long, rep int, sw double, sz double, szz double, se double, lo double, hi double"
 # Distribution function of the Poisson distribution with mean 1 at 0, 1, 2, ...: as far as 32 bits tell it from 1.
 POISSON_CDF = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
@@ -32,14 +32,17 @@ class Sums:
     def __init__(self, n_boot: int):
         self.s = np.zeros((4, n_boot))
         self.lo, self.hi = np.full(n_boot, np.inf), np.full(n_boot, -np.inf)
+        self.varies = False  # whether the labels drawn differ in every replicate: no more is asked of lo and hi
 
     def add(self, weight: np.ndarray, y: np.ndarray, f: np.ndarray, mean: float) -> None:
         """``weight``: [row, replicate]."""
         z = y - mean
         self.s += np.stack([np.ones_like(z), z, z * z, (y - f) ** 2]) @ weight
-        drawn = weight > 0
-        self.lo = np.minimum(self.lo, np.where(drawn, y[:, None], np.inf).min(axis=0))
-        self.hi = np.maximum(self.hi, np.where(drawn, y[:, None], -np.inf).max(axis=0))
+        if not self.varies:
+            drawn = weight > 0
+            self.lo = np.minimum(self.lo, np.where(drawn, y[:, None], np.inf).min(axis=0))
+            self.hi = np.maximum(self.hi, np.where(drawn, y[:, None], -np.inf).max(axis=0))
+            self.varies = bool((self.lo < self.hi).all())
 
     def frame(self, cell: int) -> pd.DataFrame:
         sw, sz, szz, se = self.s

@@ -20,6 +20,7 @@ text. Pages without a host share one group, null addresses too. Rows may repeat;
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ from crossgrid.session import attach_params, materialize
 EXEMPLARS = 3
 #: A host with more than 1 / PARTS of the pages is dealt to several tasks.
 PARTS = 1000
-#: Nodes of a tree level beyond which matching goes by position only.
-WIDE = 400
+#: Pairs of children beyond which a level is aligned by rows of arrays; the alignment is the same.
+CELLS = 1024
 
 #: Fixed values of HTML: elements that hold no text of the page, void elements, inline elements, and elements that end an open p.
 _DROP = {"script", "style", "noscript", "template", "svg", "iframe", "object", "select", "button", "textarea", "title", "canvas", "math"}
@@ -137,6 +138,72 @@ def _alike(a: Node, b: Node) -> int:
     return 0 if a.label != b.label else 3 if a.tag == "#" and a.text == b.text else 1
 
 
+def _aligned(p: list[Node], q: list[Node]) -> list[tuple[int, int]]:
+    """Partners of two lists, in order, with the largest total weight; the last ones first."""
+    best = [[0] * (len(q) + 1)]
+    for c in p:
+        row, up = [0], best[-1]
+        for j, d in enumerate(q):
+            w = _alike(c, d)
+            row.append(max(up[j + 1], row[j], up[j] + w if w else 0))
+        best.append(row)
+    out, i, j = [], len(p), len(q)
+    while i and j:
+        w = _alike(p[i - 1], q[j - 1])
+        if w and best[i][j] == best[i - 1][j - 1] + w:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif best[i][j] == best[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def _aligned_wide(p: list[Node], q: list[Node]) -> list[tuple[int, int]]:
+    """The same partners, for long lists: of the rows of the table about the root of their number are kept, and those between
+    two kept ones are made again on the way back."""
+    out, i, j = [], len(p), len(q)
+    while i and j and p[i - 1].label == q[j - 1].label and (p[i - 1].tag != "#" or p[i - 1].text == q[j - 1].text):
+        i, j = i - 1, j - 1  # no other partner weighs more
+        out.append((i, j))
+    labels: dict[str, int] = {}
+    texts: dict[str, int] = {}
+    label = [np.array([labels.setdefault(n.label, len(labels)) for n in x], dtype=np.int64) for x in (p[:i], q[:j])]
+    text = [np.array([texts.setdefault(n.text, len(texts)) if n.tag == "#" else none for n in x], dtype=np.int64) for x, none in ((p[:i], -1), (q[:j], -2))]
+
+    def below(up: np.ndarray, k: int) -> np.ndarray:
+        width = len(up) - 1
+        alike = label[1][:width] == label[0][k]
+        new = np.where(alike, up[:-1] + 1 + 2 * (text[1][:width] == text[0][k]), 0)
+        row = np.zeros_like(up)
+        np.maximum.accumulate(np.maximum(up[1:], new), out=row[1:])
+        return row
+
+    step = max(1, math.isqrt(i))
+    kept, row = [], np.zeros(j + 1, dtype=np.int32)
+    for k in range(i):
+        if k % step == 0:
+            kept.append(row)
+        row = below(row, k)
+    while i and j:
+        first = (i - 1) // step * step
+        rows = [kept.pop()[: j + 1]]
+        for k in range(first, i):
+            rows.append(below(rows[-1], k))
+        while i > first and j:
+            here, up = rows[i - first], rows[i - first - 1]
+            w = _alike(p[i - 1], q[j - 1])
+            if w and here[j] == up[j - 1] + w:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif here[j] == up[j]:
+                i -= 1
+            else:
+                j -= 1
+    return out
+
+
 def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching, level by level: children are aligned in order so that the weight of partners is largest."""
     pairs, todo = [], [(a, b)]
@@ -146,26 +213,7 @@ def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
         p, q = x.kids, y.kids
         if not p or not q:
             continue
-        if len(p) > WIDE or len(q) > WIDE:
-            todo += [(c, d) for c, d in zip(p, q, strict=False) if c.label == d.label]
-            continue
-        best = [[0] * (len(q) + 1)]
-        for c in p:
-            row, up = [0], best[-1]
-            for j, d in enumerate(q):
-                w = _alike(c, d)
-                row.append(max(up[j + 1], row[j], up[j] + w if w else 0))
-            best.append(row)
-        i, j = len(p), len(q)
-        while i and j:
-            w = _alike(p[i - 1], q[j - 1])
-            if w and best[i][j] == best[i - 1][j - 1] + w:
-                i, j = i - 1, j - 1
-                todo.append((p[i], q[j]))
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
+        todo += [(p[i], q[j]) for i, j in (_aligned if len(p) * len(q) <= CELLS else _aligned_wide)(p, q)]
     return pairs
 
 

@@ -385,6 +385,19 @@ def test_tree_matching_is_the_largest_ordered_one():
     assert len(html_wrapper.match_trees(a, b)) >= 10 and pairs
 
 
+def test_html_alignment_does_not_depend_on_length():
+    """Long lists get the same partners as short ones, and a block put in early does not make the rest of a long page new."""
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        p, q = ([html_wrapper.Node("#", "#", False, str(rng.integers(5))) if rng.random() < 0.6 else html_wrapper.Node(t := str(rng.choice(["p", "div"])), t, False)
+                 for _ in range(rng.integers(0, 45))] for _ in range(2))
+        assert html_wrapper._aligned_wide(p, q) == html_wrapper._aligned(p, q)
+    for n in (300, 900):
+        rows = [f"<p>row {k}</p>" for k in range(n)]
+        pages = [f"<div>{''.join(rows)}</div>", f"<div><p>new {n}</p>{''.join(rows)}</div>"]
+        assert html_wrapper.main_text(pages[1], [html_wrapper.parse(pages[0])]) == f"new {n}"
+
+
 # -- near-dedup ---------------------------------------------------------------------------------------------------------------------
 
 def shingles(text, size):

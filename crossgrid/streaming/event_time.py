@@ -27,7 +27,7 @@ class EventTimeResult:
     """``rows``: windows or sessions, open ones too. ``late``: what came after its window or session was closed, and rows
     without an event time or key.
 
-    ``state_rows``: groups in the state store after the run (None, if there was nothing to do). ``last``: one row with the
+    ``state_rows``: groups in the state store after the run (None, if there was nothing to do); of sessions, buckets of keys. ``last``: one row with the
     latest event time."""
 
     rows: DataFrame
@@ -141,15 +141,21 @@ def _last(spark: SparkSession, work_dir: str) -> DataFrame:
     return _written(spark, work_dir, "marks").agg(F.max("last").alias("last"))
 
 
-def _merged(parts: pd.DataFrame) -> pd.DataFrame:
-    """Sessions of one key, those that touch as one."""
-    parts = parts.sort_values(["a", "b"], kind="stable")
-    before = parts["b"].cummax().shift()
-    number = (~(parts["a"] < before)).cumsum()
-    by = parts.groupby(number, sort=True)
-    return by.agg({"a": "min", "b": "max", "n": "sum"}).assign(total=by["total"].sum(min_count=1))
+def _merged(key: np.ndarray, parts: pd.DataFrame) -> pd.DataFrame:
+    """Sessions of each key, those that touch as one."""
+    code = pd.factorize(key, use_na_sentinel=False)[0]
+    order = np.lexsort((parts["b"].to_numpy(), parts["a"].to_numpy(), code))
+    code, (a, b, n, total) = code[order], (parts[c].to_numpy()[order] for c in ("a", "b", "n", "total"))
+    reach = pd.Series(b).groupby(code).cummax().to_numpy()
+    fresh = np.ones(len(code), dtype=bool)
+    fresh[1:] = (code[1:] != code[:-1]) | ~(a[1:] < reach[:-1])
+    first, known = np.flatnonzero(fresh), ~np.isnan(total)
+    sums = np.where(np.add.reduceat(known.astype(np.int64), first) > 0, np.add.reduceat(np.where(known, total, 0.0), first), np.nan)
+    return pd.DataFrame({"key": key[order][first], "a": a[first], "b": np.maximum.reduceat(b, first), "n": np.add.reduceat(n, first), "total": sums})
 
 
+#: Keys are dealt to so many groups of the state, fixed for its lifetime: a group is folded at once, whatever the number of keys.
+BUCKETS = 1024
 _OPEN = "a array<long>, b array<long>, n array<long>, total array<double>"
 
 
@@ -159,7 +165,7 @@ def sessions(
     """Sessions per key, with rows (key, session_start, session_end, n, total, is_open).
 
     A row before the watermark is late. A session whose end the watermark has reached is closed: no later row that is in
-    time touches it, so it leaves the state, by a timer where its key has no more rows. ``is_open``: no event of any key is
+    time touches it, so it leaves the state, by a timer where its bucket of keys has no more rows. ``is_open``: no event of any key is
     later than the session's end."""
     spark = stream.sparkSession
 
@@ -172,34 +178,36 @@ def sessions(
 
     route(stream, time, delay, work_dir, split)
     kind = dict(stream.dtypes)[key]
+    cols = ["key", "a", "b", "n", "total"]
 
     def fold(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        parts = [f[["a", "b", "n", "total"]] for f in frames] if not state.hasTimedOut else []
+        parts = [f[cols] for f in frames] if not state.hasTimedOut else []
         if state.exists:
-            parts.append(pd.DataFrame(dict(zip(("a", "b", "n", "total"), state.get, strict=True))))
-        merged = _merged(pd.concat(parts))
+            parts.append(pd.DataFrame(dict(zip(cols, state.get, strict=True))))
+        whole = pd.concat(parts, ignore_index=True)
+        merged = _merged(whole["key"].to_numpy(), whole.astype({"total": "float64"}))
         mark = state.getCurrentWatermarkMs()
         open_ = merged["b"].to_numpy() > mark * 1000
         if open_.any():
             kept = merged[open_]
-            state.update(tuple(kept[c].tolist() for c in ("a", "b", "n", "total")))
+            state.update(tuple(kept[c].tolist() for c in cols))
             state.setTimeoutTimestamp(max(int(kept["b"].min()) // 1000 + 1, mark + 1))
         else:
             state.remove()
-        yield pd.DataFrame({key: np.repeat(group[0], len(merged)), **merged, "held": open_})
+        yield merged.assign(bucket=group[0], held=open_)[["bucket", *cols, "held"]]
 
     def state(sums: DataFrame) -> DataFrame:
-        marked = sums.withWatermark("ended", _total(spark, delay, gap))  # ends are ``gap`` after the latest event
-        return marked.groupBy(key).applyInPandasWithState(
-            fold, f"{key} {kind}, a long, b long, n long, total double, held boolean", _OPEN, "update", "EventTimeTimeout")
+        marked = sums.withColumnRenamed(key, "key").withWatermark("ended", _total(spark, delay, gap))  # ends are ``gap`` after the latest event
+        return marked.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")).groupBy("bucket").applyInPandasWithState(
+            fold, f"bucket int, key {kind}, a long, b long, n long, total double, held boolean", f"key array<{kind}>, {_OPEN}", "update", "EventTimeTimeout")
 
     held = _fold(_sums_stream(spark, work_dir), state, work_dir, partitions)
     changes = _written(spark, work_dir, "changes")
-    newest = changes.groupBy(key).agg(F.max("batch").alias("_newest"))
-    # a closed session is told once; of open ones, what a key told last
-    now = changes.join(newest, key).filter(~F.col("held") | (F.col("batch") == F.col("_newest")))
+    newest = changes.groupBy("bucket").agg(F.max("batch").alias("_newest"))
+    # a closed session is told once; of open ones, what a bucket told last
+    now = changes.join(F.broadcast(newest), "bucket").filter(~F.col("held") | (F.col("batch") == F.col("_newest")))
     ended: Column = F.timestamp_micros("b")
     last = _last(spark, work_dir)
     out = attach_params(now, last).select(
-        key, F.timestamp_micros("a").alias("session_start"), ended.alias("session_end"), "n", "total", (ended > F.col("last")).alias("is_open"))
+        F.col("key").alias(key), F.timestamp_micros("a").alias("session_start"), ended.alias("session_end"), "n", "total", (ended > F.col("last")).alias("is_open"))
     return EventTimeResult(out, _late(spark, work_dir), held, last)

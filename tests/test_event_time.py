@@ -163,6 +163,20 @@ def test_sessions_over_restarts(spark):
     assert max(held) <= 4  # one group of open sessions a user
 
 
+def test_sessions_of_many_keys(spark):
+    """Keys share groups of the state: there are never more than buckets, and each key has its own sessions."""
+    users = 2 * event_time.BUCKETS
+    parts = [[(d * users + u, f"u{u}", 24.0 * d + u % 20 + h, None if u % 7 == 0 else float(u)) for u in range(users) for h in (0.0, 0.5, 3.0 + u % 2)] for d in (0, 1)]
+    box, work = Deliveries(spark), scratch_path(spark, "work")
+    for rows in parts:
+        out = event_time.sessions(box.add(rows), "ts", "user", "value", "3 hours", work, delay="48 hours", partitions=2)
+    want = [(u, n, v if int(u[1:]) % 7 else None) for u, _, _, n, v in plain_sessions([(i, u, h, v or 0.0) for p in parts for i, u, h, v in p if int(u[1:]) < 300], 3.0)]
+    got = [(r.user, r.n, r.total) for r in out.rows.collect()]
+    assert sorted((x for x in got if int(x[0][1:]) < 300), key=str) == sorted(want, key=str)
+    assert len(got) == 3 * users and sum(n for _, n, _ in got) == 6 * users
+    assert out.state_rows <= event_time.BUCKETS
+
+
 def test_streams_without_rows(spark):
     box, work = Deliveries(spark), scratch_path(spark, "work")
     out = run_days(box.add([]), work)

@@ -637,6 +637,33 @@ def test_importance_sanity(spark):
     assert norm[norm["unit"] == "band"]["normalized_importance"].sum() == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("piece", [7, 65536])
+def test_importance_against_sorted_rows(spark, monkeypatch, piece):
+    """Each row gets the features of the row at its place of the fixed order, in cells of several pieces too; no row
+    of a repeat is ranked and then joined by its rank."""
+    import hashlib
+
+    monkeypatch.setattr(I, "PIECE", piece)
+    rng = np.random.default_rng(2)
+    rows = [(2016 + k % 3 // 2, None if k % 50 == 0 else k % 2, k, float(rng.integers(9)), None if k % 11 == 0 else float(rng.normal()), 1.0, float(rng.normal())) for k in range(240)]
+    df = spark.createDataFrame(rows, "year int, quarter int, k long, a double, b double, c double, y double")
+    out = I.permutation_importance(df, ["year", "quarter"], ["k"], "y", ["a", "b", "c"], {"a": ("a",), "c": ("c",), "all": ("a", "b")}, lambda x: x["a"] + x["b"], 3)
+    got = {(r.year, r.quarter, r.repeat, r.feature): (r.n_test, r.mae_base, r.mae_pert) for r in out.collect()}
+    want = {}
+    for cell in {(r[0], r[1]) for r in rows if r[1] is not None}:
+        own = [r for r in rows if (r[0], r[1]) == cell]
+        source = sorted(own, key=lambda r: hashlib.md5(f"src:{r[2]}".encode()).hexdigest())
+        for repeat in range(3):
+            pairs = list(zip(sorted(own, key=lambda r: hashlib.md5(f"0:{repeat}:{r[2]}".encode()).hexdigest()), source, strict=True))
+            base = [abs(r[6] - r[3] - r[4]) for r in own if r[4] is not None]
+            for name, f in {"a": lambda r, s: (s[3], r[4]), "c": lambda r, s: (r[3], r[4]), "all": lambda r, s: (s[3], s[4])}.items():
+                new = [abs(r[6] - sum(f(r, s))) for r, s in pairs if None not in f(r, s)]
+                want[(*cell, repeat, name)] = (len(own), pytest.approx(np.mean(base)), pytest.approx(np.mean(new)))
+    assert got == want
+    plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "row_number" not in plan and "FlatMapCoGroupsInArrow" in plan  # no rank is joined row by row
+
+
 def test_same_season_control(spark):
     pairs = spark.createDataFrame([(2017, 1, 2016, 1), (2017, 1, 2016, 3), (2017, 2, 2016, 2)], RC.PAIR_KEY)
     have = spark.createDataFrame([(2016, 1), (2017, 1), (2018, 1), (2016, 2), (2017, 2)], ["year", "quarter"])

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -293,31 +294,18 @@ def permuted(x: np.ndarray, n: int, perm: np.ndarray, seed: int, inverse: bool =
     return out
 
 
-def _dealt(n: int, n_perms: int, seed: int):
-    """Each value goes to the item that holds it in each permutation; permutation 0 leaves it where it is."""
-    def deal(frames):
-        perm = np.arange(n_perms + 1)
-        for f in frames:
-            for at in range(0, len(f), 512):
-                idx, z = f["idx"].to_numpy()[at : at + 512], f["z"].to_numpy()[at : at + 512]
-                x, p = np.repeat(idx, n_perms), np.tile(perm[1:], len(idx))
-                to = np.concatenate([idx, permuted(x, n, p, seed, inverse=True)])
-                yield pd.DataFrame({"idx": to, "perm": np.concatenate([np.zeros(len(idx), dtype=np.int64), p]), "z": np.concatenate([z, np.repeat(z, n_perms)])})
-
-    return deal
-
-
-#: Items whose permuted values are gathered together.
-GATHER = 512
+#: Values of one chunk; values that a group looks up at most (points times permutations); groups that small inputs get, too.
+CHUNK, LOOKUPS, GROUPS = 1024, 1 << 24, 64
 
 
 def morans_i(points: DataFrame, neighbours: DataFrame, key: str, value: str, n_perms: int = 999, seed: int = 0, leaf: int = LEAF) -> DataFrame:
     """Moran's I of points with row-standardised neighbour weights, and its permutation p-value.
 
     ``neighbours`` holds (id, neighbor), such as of ``knn_all``; a point's known neighbours share a weight of one. Values are
-    permuted over the points. A point holds its value in all permutations as one array, so the weights meet them once: points
-    near each other are one group, to which the arrays of neighbours outside are sent besides. Points without value or place
-    take no part."""
+    permuted over the points. Which point's value stands where in a permutation is computed, not sent: points near each other
+    are one group, which holds what it looks up for all permutations while the chunks of values pass by. So the plain values
+    move once a group, never once a permutation; a group's size depends on the permutations alone. Points without value or
+    place take no part."""
     there = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon") & F.col(value).isNotNull()
     known = materialize(points.filter(there).select(F.col(key).cast("long").alias("id"), "lat", "lon", F.col(value).cast("double").alias("v")), "moran-points")
     total = known.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m")).first()
@@ -339,47 +327,85 @@ def morans_i(points: DataFrame, neighbours: DataFrame, key: str, value: str, n_p
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("k"))  # one row a group
     before = sizes.select("part", (F.sum("k").over(W.orderBy("part")) - F.col("k")).alias("_before"))
     items = materialize(parts.join(before, "part").select("id", "part", (F.col("_before") + F.col("pos")).alias("idx"), (F.col("v") - (total.m or 0.0)).alias("z")), "moran-items")
-    arrays = materialize(
-        items.select("idx", "z").mapInPandas(_dealt(n, n_perms, seed), "idx long, perm int, z double")
-        .groupBy(F.floor(F.col("idx") / GATHER).alias("block")).applyInPandas(_gathered(n_perms + 1), "idx long, a array<double>"), "moran-values")
+    size = max(1, min(LOOKUPS // (n_perms + 1), max(256, -(-n // GROUPS))))
+    n_groups = max(1, -(-n // size))
     ends = neighbours.select(F.col("id").cast("long").alias("id"), F.col("neighbor").cast("long").alias("_n")).filter("id <> _n").distinct()
-    edges = ends.join(items.select("id", "part", "idx"), "id").join(items.select(F.col("id").alias("_n"), F.col("idx").alias("to")), "_n").select("part", "idx", "to")
-    edges = materialize(edges, "moran-edges")
-    needed = edges.select("part", "idx").union(edges.select("part", "to")).distinct().join(arrays, "idx").select("part", "idx", "a")
-    own = edges.select(F.col("part").alias("group"), F.col("idx").alias("at"), F.col("to").alias("to"))
-    sums = own.groupBy("group").cogroup(needed.groupBy("part")).applyInPandas(_lagged(n_perms + 1), "n_linked long, s array<double>")
+    edges = ends.join(items.select("id", "idx"), "id").join(items.select(F.col("id").alias("_n"), F.col("idx").alias("to")), "_n").select(
+        F.floor(F.col("idx") / size).alias("group"), F.lit(-1).cast("long").alias("chunk"), "idx", "to", F.lit(None).cast("array<double>").alias("zs"))
+    chunks = items.groupBy(F.floor(F.col("idx") / CHUNK).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "z"))), lambda x: x["z"]).alias("zs"))
+    sent = chunks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("group"), "chunk",
+                         F.lit(None).cast("long").alias("idx"), F.lit(None).cast("long").alias("to"), "zs")
+    met = edges.union(sent).repartition(n_groups, "group").sortWithinPartitions("group", "chunk")
+    sums = met.mapInArrow(_lagged(n, n_perms, seed), "n_linked long, s array<double>")
     stat = sums.select("n_linked", F.posexplode("s").alias("perm", "s")).groupBy("perm").agg(F.sum("s").alias("s"), F.sum("n_linked").alias("k"))
     spread = items.agg(F.sum(F.col("z") * F.col("z")).alias("_zz"))
     scored = attach_params(stat, spread).withColumn("i", F.try_divide(F.lit(n) * F.col("s"), F.col("k") * F.col("_zz")))
     return summarize_null(scored, "i").withColumn("n_units", F.lit(n).cast("long")).withColumnRenamed("observed", "morans_i")
 
 
-def _gathered(width: int):
-    def gather(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        low = int(key[0]) * GATHER
-        out = np.zeros((GATHER, width))
-        out[frame["idx"].to_numpy() - low, frame["perm"].to_numpy()] = frame["z"].to_numpy()
-        have = np.unique(frame["idx"].to_numpy())
-        return pd.DataFrame({"idx": have, "a": list(out[have - low])})
-
-    return gather
-
-
-def _lagged(width: int):
-    """Per permutation the sum over a group's points of value times the mean of the neighbours' values."""
-    def lag(edges: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        idx = values["idx"].to_numpy()
-        order = np.argsort(idx)
-        idx, a = idx[order], np.array(values["a"].tolist())[order]
-        edges = edges.sort_values(["at", "to"])
-        own, first, counts = np.unique(edges["at"].to_numpy(), return_index=True, return_counts=True)
-        to = np.searchsorted(idx, edges["to"].to_numpy())
-        total = np.zeros(width)
-        for lo in range(0, len(own), 256):
-            hi = min(len(own), lo + 256)
-            ends = first[hi] if hi < len(own) else len(to)
-            lags = np.add.reduceat(a[to[first[lo] : ends]], first[lo:hi] - first[lo], axis=0) / counts[lo:hi, None]
-            total += (a[np.searchsorted(idx, own[lo:hi])] * lags).sum(axis=0)
-        return pd.DataFrame({"n_linked": [len(own)], "s": [total]})
+class _Group:
+    """The edges of a group of points, and the values that these look up in all permutations."""
+
+    def __init__(self, n: int, n_perms: int, seed: int, at: np.ndarray, to: np.ndarray):
+        order = np.lexsort((to, at))
+        nodes, (at, to) = np.unique(np.concatenate([at, to])), (at[order], to[order])
+        self.own, self.first, self.counts = np.unique(np.searchsorted(nodes, at), return_index=True, return_counts=True)
+        self.to = np.searchsorted(nodes, to)
+        source = np.empty((len(nodes), n_perms + 1), dtype=np.int32 if n < 1 << 31 else np.int64)
+        source[:, 0] = nodes
+        for lo in range(0, len(nodes), 512):
+            part = nodes[lo : lo + 512]
+            x, p = np.repeat(part, n_perms), np.tile(np.arange(1, n_perms + 1), len(part))
+            source[lo : lo + 512, 1:] = permuted(x, n, p, seed).reshape(len(part), n_perms)
+        flat = source.reshape(-1)
+        self.order = np.argsort(flat)
+        self.source = flat[self.order]
+        self.values = np.zeros(source.shape)
+
+    def take(self, chunk: int, zs: np.ndarray) -> None:
+        """Values from the place where ``chunk`` begins."""
+        low = chunk * CHUNK
+        u, v = np.searchsorted(self.source, np.array([low, low + len(zs)], dtype=self.source.dtype))
+        self.values.reshape(-1)[self.order[u:v]] = zs[self.source[u:v] - low]
+
+    def sums(self) -> np.ndarray:
+        """Per permutation the sum over the points of value times the mean of the neighbours' values."""
+        total = np.zeros(self.values.shape[1])
+        for lo in range(0, len(self.own), 256):
+            hi = min(len(self.own), lo + 256)
+            end = self.first[hi] if hi < len(self.own) else len(self.to)
+            lags = np.add.reduceat(self.values[self.to[self.first[lo] : end]], self.first[lo:hi] - self.first[lo], axis=0) / self.counts[lo:hi, None]
+            total += (self.values[self.own[lo:hi]] * lags).sum(axis=0)
+        return total
+
+
+def _lagged(n: int, n_perms: int, seed: int):
+    """Streams of (group, chunk): a group's edges come first, under chunk -1, then the chunks of all values in order."""
+    def lag(batches):
+        key, at, to, group = None, [], [], None
+
+        def done():
+            if group is not None:
+                yield pa.RecordBatch.from_pydict({"n_linked": pa.array([len(group.own)], pa.int64()), "s": pa.array([group.sums()], pa.list_(pa.float64()))})
+
+        for batch in batches:
+            keys, chunk = batch.column("group").to_numpy(), batch.column("chunk").to_numpy()
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
+            for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[lo] != key:
+                    yield from done()
+                    key, at, to, group = keys[lo], [], [], None
+                split = lo + int(np.searchsorted(chunk[lo:hi], 0))
+                at.append(batch.column("idx").slice(lo, split - lo).to_numpy(zero_copy_only=False))
+                to.append(batch.column("to").slice(lo, split - lo).to_numpy(zero_copy_only=False))
+                if split == hi:
+                    continue
+                if group is None:
+                    if not sum(map(len, at)):
+                        continue  # nobody here has a neighbour
+                    group = _Group(n, n_perms, seed, np.concatenate(at).astype(np.int64), np.concatenate(to).astype(np.int64))
+                # chunks are full but for the last, so those of a batch follow each other
+                group.take(int(chunk[split]), batch.column("zs").slice(split, hi - split).flatten().to_numpy())
+        yield from done()
 
     return lag

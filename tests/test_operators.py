@@ -531,6 +531,28 @@ def test_morans_i_against_numpy(spark, leaf):
     assert flat.morans_i is None
 
 
+def test_morans_i_streams_values_by_chunks(spark, monkeypatch):
+    """Each permuted value by hand, with many small groups and chunks; no row is shuffled per permutation."""
+    monkeypatch.setattr(SP, "CHUNK", 7)
+    monkeypatch.setattr(SP, "LOOKUPS", 200)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, float(rng.uniform(0, 9)), float(rng.uniform(40, 50)), float(rng.normal())) for i in range(60)], "id int, lon double, lat double, v double")
+    near = SP.knn_all(df, "id", 3).select("id", "neighbor").filter("id <> 7")
+    frame = SP._lagged(60, 19, 5)
+    z, pairs = rng.normal(size=60), [(i, (i * 7 + k) % 60) for i in range(60) for k in (1, 2) if i % 5]
+    rows = [(i // 9, -1, i, j, None) for i, j in pairs] + [(g, c, None, None, z[c * 7 : c * 7 + 7].tolist()) for g in range(7) for c in range(9)]
+    sent = spark.createDataFrame(rows, "group long, chunk long, idx long, to long, zs array<double>").repartition(3, "group").sortWithinPartitions("group", "chunk")
+    got = sent.mapInArrow(frame, "n_linked long, s array<double>").collect()
+    assert sum(r.n_linked for r in got) == 48 and len(got) == 7
+    for p in range(20):
+        a = z[SP.permuted(np.arange(60), 60, np.full(60, p), 5)] if p else z
+        assert sum(r.s[p] for r in got) == pytest.approx(sum(a[i] * np.mean([a[j] for k, j in pairs if k == i]) for i in range(60) if i % 5))
+    out = SP.morans_i(df, near, "id", "v", 19, seed=5)
+    assert out.first().n_units == 60 and out.first().n_perms == 19
+    plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+
+
 def test_band_stats_floors(spark):
     """All-nodata input: mean 0 and std 0.0001, the floors of count and variance."""
     df = spark.createDataFrame([([0.0] * 12,), ([0.0] * 12,)], ["bands"])

@@ -625,3 +625,11 @@ def test_no_operator_imports_swallow_errors():
     for path in pathlib.Path(queries.__file__).parent.glob("*.py"):
         if path.name != "queries.py":
             assert "except ImportError" not in path.read_text()
+
+
+def test_kept_words_have_the_places_of_all(spark):
+    """Only words that are asked for are placed, at the places that they have among all words."""
+    texts = ["", "a b a", " ".join(f"w{k % 7}é," for k in range(100)), "B\U0001f600 a--b\na", "- -"]
+    df = spark.createDataFrame([(t, ["a", "w3é"]) for t in texts], "t string, terms array<string>")
+    got = df.select(pii._all_words(F.col("t")).alias("x"), pii._all_words(F.col("t"), lambda v: F.array_contains("terms", v)).alias("y")).collect()
+    assert all([w for w in r.x if w.value in ("a", "w3é")] == r.y for r in got) and sum(len(r.y) for r in got) == 18

@@ -22,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)
         edges = materialize(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -30,4 +30,5 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).union(edges.select("b", "b").distinct()).distinct()
+    # now every node that is not the smallest of its component has one edge, to that one
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select("b", "b").distinct())

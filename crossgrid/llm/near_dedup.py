@@ -11,7 +11,8 @@ Stages, each on what the one before left:
    leaders that the first links did not join it with,
 3. components of the confirmed links,
 4. buckets that still hold several components: all pairs of different components, in tiles of bounded size, first by
-   signature, then by set; a tile skips what its own links have joined and returns links only,
+   signature, then by set; a pair counts in the first bucket only that holds both, a tile skips what its own links have
+   joined and returns links only,
 5. components again.
 No bucket is capped or sampled. Texts travel only for classes that have a candidate, found again by a Bloom filter.
 
@@ -21,7 +22,7 @@ another's id and text is a copy of it. Empty tables give empty results; other co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +41,12 @@ CHUNKS = 16
 DISTANCE = 31
 #: Classes in one side of a tile.
 TILE = 500
+#: A tile numbers the shingles of its sets if it holds no more of them; longer sets are compared pair by pair.
+NUMBERED = 1 << 23
+#: Symbols kept of a chunk, one choice for each bucket of the chunk.
+_CHOICES = list(combinations(range(SYMBOLS // CHUNKS), SYMBOLS // CHUNKS - DISTANCE // CHUNKS))
+#: The upper bits of a bucket's key are its number, from 0 to 63.
+_NUMBER_AT = 57
 
 _rng = np.random.default_rng(20240229)
 _ADD = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -72,19 +79,28 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def bucket_keys(sigs: np.ndarray) -> np.ndarray:
-    """One column for each chunk and choice of symbols left out."""
-    wide = SYMBOLS // CHUNKS
-    parts = sigs.reshape(len(sigs), CHUNKS, wide).astype(np.uint64)
+    """One column for each chunk and choice of symbols left out; keys of a column begin with its number."""
+    parts = sigs.reshape(len(sigs), CHUNKS, SYMBOLS // CHUNKS).astype(np.uint64)
     out = []
     for c in range(CHUNKS):
-        for j, kept in enumerate(combinations(range(wide), wide - DISTANCE // CHUNKS)):
+        for j, kept in enumerate(_CHOICES):
             x = np.full(len(sigs), c * 256 + j, dtype=np.uint64)
             for k in kept:
                 x = chain(x, parts[:, c, k])
-            out.append(x)
+            out.append((x >> np.uint64(64 - _NUMBER_AT)) | np.uint64(len(out) << _NUMBER_AT))
     return np.stack(out, axis=1)
 
 
+def first_met(differ: np.ndarray, number: int) -> np.ndarray:
+    """Of pairs, given by the symbols in which they differ, those that share no bucket of a lower number."""
+    chunk, choice = divmod(number, len(_CHOICES))
+    parts = differ.reshape(len(differ), CHUNKS, SYMBOLS // CHUNKS)
+    met = (parts[:, :chunk].sum(axis=2, dtype=np.uint8) <= DISTANCE // CHUNKS).any(axis=1)
+    for kept in _CHOICES[:choice]:
+        met |= ~parts[:, chunk, kept].any(axis=1)
+    return ~met
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILARITY) -> bool:
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
@@ -93,6 +109,29 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILARITY) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def similar_among(sets: list[np.ndarray], percent: int = SIMILARITY) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A function that returns those of the places ``ys`` whose set is similar to the one at ``x``; no set is empty.
+
+    Short sets are numbered once, so that one is counted against many in a few array operations."""
+    size = np.array([len(s) for s in sets])
+    if size.sum() > NUMBERED:
+        return lambda x, ys: np.array([y for y in ys.tolist() if similar(sets[x], sets[y], percent)], dtype=np.int64)
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(ids, np.cumsum(size)[:-1])
+    held = np.zeros(len(names), dtype=np.uint8)
+
+    def among(x: int, ys: np.ndarray) -> np.ndarray:
+        ys = ys[np.minimum(size[ys], size[x]) * 100 >= percent * np.maximum(size[ys], size[x])]
+        if not len(ys):
+            return ys
+        held[ids[x]] = 1
+        both = np.add.reduceat(held[np.concatenate([ids[y] for y in ys.tolist()])], np.cumsum(size[ys]) - size[ys], dtype=np.int64)
+        held[ids[x]] = 0
+        return ys[100 * both >= percent * (size[x] + size[ys] - both)]
+
+    return among
+
+
 def _symbols(column, kind=np.uint8) -> np.ndarray:
     """Signatures of a binary column as rows."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, SYMBOLS)
@@ -182,7 +221,7 @@ def leader_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _distinct_groups(rows: DataFrame) -> DataFrame:
-    """One of the keys that have the same classes."""
+    """Of the keys that have the same classes, the one of the lowest bucket number: there a pair of them meets first."""
     group = rows.groupBy("_key").agg(
         F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("_cls")).alias("x1"), F.bit_xor(F.xxhash64("_cls", F.lit(1))).alias("x2"))
     return group.groupBy("_n", "x1", "x2").agg(F.min("_key").alias("_key")).select("_key")
@@ -223,7 +262,7 @@ def confirm_leaders(pairs: DataFrame, sets, percent: int) -> DataFrame:
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """Deal the members (_key, _cls, _comp, _low) of buckets with several components to tiles (_key, _i, _j) in roles.
+    """Deal the members (_key, _cls, _comp, _sig) of buckets with several components to tiles (_key, _i, _j) in roles.
 
     Only pairs of different components count, so every pair has a side outside the bucket's most frequent component: those
     members stand on the left (_role 0), in parts of ``TILE``; all members stand on the right (_role 1), in parts of twice
@@ -234,18 +273,23 @@ def _tiles(rows: DataFrame) -> DataFrame:
     dealt = rows.join(size, "_key")
     own = lambda parts: F.pmod(F.xxhash64("_cls", F.lit(3)), F.col(parts)).cast("long")
     all_ = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts).cast("long") - 1))
-    left = dealt.filter("_comp <> _major").select("_key", own("_left").alias("_i"), all_("_right").alias("_j"), F.lit(0).alias("_role"), "_cls", "_comp", "_low")
-    right = dealt.select("_key", all_("_left").alias("_i"), own("_right").alias("_j"), F.lit(1).alias("_role"), "_cls", "_comp", "_low")
+    left = dealt.filter("_comp <> _major").select("_key", own("_left").alias("_i"), all_("_right").alias("_j"), F.lit(0).alias("_role"), "_cls", "_comp", "_sig")
+    right = dealt.select("_key", all_("_left").alias("_i"), own("_right").alias("_j"), F.lit(1).alias("_role"), "_cls", "_comp", "_sig")
     return left.union(right)
 
 
-def _close_pairs(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """Each left row with the right rows that are within the distance and in other components."""
-    sig, comp, role = _symbols(group["_low"]), group["_comp"].to_numpy(), group["_role"].to_numpy()
+def _close_pairs(group: pa.Table, comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each left row with the right rows that are within the distance, meet it in no earlier bucket and are in other
+    components; ``comp`` may change meanwhile."""
+    sig, role = _symbols(group["_sig"], np.uint16), group["_role"].to_numpy()
+    number = group["_key"][0].as_py() >> _NUMBER_AT
     right = np.flatnonzero(role == 1)
     for x in np.flatnonzero(role == 0):
         ok = right[comp[right] != comp[x]]
-        ok = ok[(sig[ok] != sig[x]).sum(axis=1) <= DISTANCE] if len(ok) else ok
+        if len(ok):
+            differ = sig[ok] != sig[x]
+            near = np.flatnonzero(differ.sum(axis=1) <= DISTANCE)
+            ok = ok[near][first_met(differ[near], number)]
         if len(ok):
             yield int(x), ok
 
@@ -255,45 +299,38 @@ def cross_links(members: DataFrame, classes: DataFrame, comps: DataFrame, sets,
     rows = members.join(comps.select(F.col("node").alias("_cls"), "comp"), "_cls", "left").select("_key", "_cls", F.coalesce("comp", "_cls").alias("_comp"))
     several = rows.groupBy("_key").agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi")).filter("lo < hi").select("_key")
     rows = materialize(rows.join(several, "_key"), "open-buckets")
-    rows = rows.join(_distinct_groups(rows), "_key").join(classes.select("_cls", "_low"), "_cls").select("_key", "_cls", "_comp", "_low")
+    rows = rows.join(_distinct_groups(rows), "_key").join(classes.select("_cls", "_sig"), "_cls").select("_key", "_cls", "_comp", "_sig")
     order = ["_key", "_i", "_j"]
-    kept = pa.schema([("_key", pa.int64()), ("_cls", pa.int64()), ("_comp", pa.int64()), ("_low", pa.binary())])
+    kept = pa.schema([("_key", pa.int64()), ("_cls", pa.int64()), ("_comp", pa.int64()), ("_sig", pa.binary())])
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, order):
-            hit = sorted({k for x, ok in _close_pairs(group) for k in (x, *ok.tolist())})
+            hit = sorted({k for x, ok in _close_pairs(group, group["_comp"].to_numpy()) for k in (x, *ok.tolist())})
             if hit:
                 g = group.take(pa.array(hit))
                 yield arrow_rows({n: g[n].to_pylist() for n in kept.names}, kept)
 
     tiled = _tiles(rows).repartition(*order).sortWithinPartitions(*order, "_role", "_cls")
-    left = tiled.mapInArrow(survivors, "_key long, _cls long, _comp long, _low binary").dropDuplicates(["_key", "_cls"])
+    left = tiled.mapInArrow(survivors, "_key long, _cls long, _comp long, _sig binary").dropDuplicates(["_key", "_cls"])
     left = materialize(left, "open-buckets")
-    left = materialize(left.join(_distinct_groups(left), "_key"), "open-buckets")
     again = _tiles(left).join(sets(left.select("_cls").distinct()), "_cls").repartition(*order).sortWithinPartitions(*order, "_role", "_cls")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, order):
-            every, cls, comp = _sets(group["_set"]), group["_cls"].to_pylist(), group["_comp"].to_pylist()
-            joined: dict[int, int] = {}
-
-            def root(c: int) -> int:
-                while (up := joined.get(c, c)) != c:
-                    c = up
-                return c
-
+            cls, comp = group["_cls"].to_numpy(), group["_comp"].to_numpy().copy()
+            among = similar_among(_sets(group["_set"]), percent)
             a, b = [], []
-            for x, ok in _close_pairs(group):
-                for y in ok.tolist():
-                    rx, ry = root(comp[x]), root(comp[y])
-                    if rx != ry and similar(every[x], every[y], percent):
+            for x, ok in _close_pairs(group, comp):
+                for y in among(x, ok).tolist():
+                    if comp[x] != comp[y]:
                         a.append(cls[x])
                         b.append(cls[y])
-                        joined[max(rx, ry)] = min(rx, ry)
+                        low, high = sorted((comp[x], comp[y]))
+                        comp[comp == high] = low
             if a:
                 yield arrow_rows({"a": a, "b": b}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return again.select(*order, "_role", "_cls", "_comp", "_low", "_set").mapInArrow(confirm, "a long, b long")
+    return again.select(*order, "_role", "_cls", "_comp", "_sig", "_set").mapInArrow(confirm, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
@@ -317,7 +354,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = links.union(materialize(confirm_leaders(rest, sets, percent), "links"))
     comps = materialize(components(links), "components")
     more = materialize(cross_links(members, classes, comps, sets, percent), "links")
-    comps = components(links.union(more))
+    comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
     known = classes.join(comps.withColumnRenamed("node", "_cls"), "_cls", "left").select("_s1", "_s2", F.coalesce("comp", "_cls").alias("_comp"))
     alone = signed.filter("n_shingles = 0").withColumn("_comp", F.col("_row"))
     rows = signed.filter("n_shingles > 0").join(known, ["_s1", "_s2"]).select(*alone.columns).union(alone)

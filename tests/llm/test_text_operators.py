@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -462,6 +463,36 @@ def test_every_pair_within_the_distance_shares_a_bucket():
     assert all(set(x) & set(y) for x, y in zip(near_dedup.bucket_keys(a).tolist(), near_dedup.bucket_keys(b).tolist(), strict=True))
 
 
+def test_a_close_pair_is_compared_in_one_bucket_only():
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 1 << 16, near_dedup.SYMBOLS).astype(np.uint16)
+    sigs = np.tile(base, (30, 1))
+    for row in sigs:  # near each other, so that a pair shares many buckets
+        row[rng.choice(near_dedup.SYMBOLS, 14, replace=False)] ^= rng.integers(1, 1 << 16, 14).astype(np.uint16)
+    keys = near_dedup.bucket_keys(sigs)
+    met = []
+    for key in np.unique(keys).tolist():
+        rows = [int(r) for r in np.flatnonzero((keys.view(np.int64) == key).any(axis=1))]
+        group = pa.table({"_key": [key] * 2 * len(rows), "_role": [0] * len(rows) + [1] * len(rows), "_sig": [sigs[r].tobytes() for r in rows * 2]})
+        for x, ok in near_dedup._close_pairs(group, np.array(rows * 2)):
+            met += [(rows[x], rows[y - len(rows)]) for y in ok.tolist()]
+    assert sorted(met) == [(a, b) for a in range(30) for b in range(30) if a != b and (sigs[a] != sigs[b]).sum() <= near_dedup.DISTANCE]
+
+
+def test_sets_counted_together_are_the_similar_ones(monkeypatch):
+    rng = np.random.default_rng(15)
+    pool = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, int(n), replace=False)) for n in rng.integers(1, 61, 60)] + [np.sort(pool), np.sort(pool)[:48], np.sort(pool)[:47]]
+    every = np.arange(len(sets))
+    want = [[y for y in every if near_dedup.similar(sets[x], sets[y], 80)] for x in every]
+    assert 48 in map(len, (sets[y] for y in want[60])) and 47 not in map(len, (sets[y] for y in want[60]))
+    for most in (near_dedup.NUMBERED, 0):
+        monkeypatch.setattr(near_dedup, "NUMBERED", most)
+        among = near_dedup.similar_among(sets, 80)
+        assert [among(x, every).tolist() for x in every] == want
+        assert among(0, every[:0]).tolist() == []
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7), (101, 100)], "a long, b long")
     got = {r.node: r.comp for r in components.components(links).collect()}
